@@ -38,9 +38,13 @@ def clamp(c: ColLike, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(c)))
 
 
+_WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def strip(c: ColLike) -> Column:
-    """Trim all leading/trailing whitespace (not only spaces)."""
-    return F.regexp_replace(_c(c).cast("string"), r"^\s+|\s+$", "")
+    """Trim leading/trailing whitespace (spaces, tabs, line breaks) -- a
+    character-set trim, no regular expression."""
+    return F.btrim(_c(c).cast("string"), F.lit(_WHITESPACE))
 
 
 def safe_str(c: ColLike, max_len: int, default: str | None = None) -> Column:

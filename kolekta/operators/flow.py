@@ -25,10 +25,18 @@ def _layak_set() -> Column:
     return not_equal_ns("status_tagih", vocab.TIDAK_LAYAK)
 
 
-def flow_sums(home: str = vocab.HOME_REGION, categories: tuple[str, ...] = vocab.CATEGORIES,
+def flow_flags(df: DataFrame, home: str = vocab.HOME_REGION) -> DataFrame:
+    """Project the columns the flow needs plus its two row flags, computed once
+    per row (the conditional sums then only test booleans)."""
+    return df.select(AMT, "status_tagih", "invoice_status", _layak_set().alias("_keep"),
+                     is_home("region", home).alias("_is_home"))
+
+
+def flow_sums(categories: tuple[str, ...] = vocab.CATEGORIES,
               sudah: tuple[str, ...] = vocab.SUDAH_CATS, belum: tuple[str, ...] = vocab.BELUM_CATS) -> list[Column]:
+    """Conditional sums over ``flow_flags`` rows."""
     a = F.col(AMT)
-    keep, home_c, cat = _layak_set(), is_home("region", home), F.col("invoice_status")
+    keep, home_c, cat = F.col("_keep"), F.col("_is_home"), F.col("invoice_status")
     return status_sums() + [
         total(a, keep & home_c).alias("_home"),
         total(a, keep & ~home_c).alias("_regional"),
@@ -39,7 +47,7 @@ def flow_sums(home: str = vocab.HOME_REGION, categories: tuple[str, ...] = vocab
 
 
 def _flow_agg(inv, home, categories, month, segment, region) -> DataFrame:
-    return filter_invoices(inv, month, segment, region).agg(*flow_sums(home, categories))
+    return flow_flags(filter_invoices(inv, month, segment, region), home).agg(*flow_sums(categories))
 
 
 def flow_levels(inv: DataFrame, home: str = vocab.HOME_REGION, month=None, segment=None, region=None) -> DataFrame:

@@ -1,72 +1,157 @@
-"""The nested dashboard payload as ONE row.
-
-Each part (summary, charts, action plan, top customers) is its own small
-aggregate, attached as a scalar subquery: Spark runs each once and inlines
-the value -- no joins between the parts. Lists are sorted inside the
-aggregate (``array_sort`` on a leading order key), so the payload does not
-depend on shuffle order. The detail rows are deliberately not embedded; they
-stay a DataFrame (``filter_invoices`` + ``detail_page``).
+"""The nested dashboard payload as ONE row, from two scans of the fact table.
+
+1. One global aggregate (partial per task, one single-row exchange) holds
+   every conditional sum: the status KPIs, the aging buckets, all flow nodes
+   and home categories, the row count and the latest month.
+2. One grouping-sets aggregate (Expand + one partially aggregated shuffle)
+   holds the per-key sums of the low-cardinality dimensions: segment,
+   category, region, month, and region within the regional flow. Its rows --
+   one per distinct key of those dimensions -- are collected into one array.
+
+Both are attached as scalar subqueries (each runs once, no joins), and every
+chart -- maps, ordered lists, the largest segment, the action plan -- is
+derived from them with higher-order array functions in the final
+projection. The small pre-computed tables (cash inflow, trend, metrics) and
+the customer top-N are one subquery each. The detail rows are not embedded;
+they stay a DataFrame (``filter_invoices`` + ``detail_page``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.operators import customers, flow, history, summary
-from kolekta.operators.filters import active_filters, filter_invoices
+from kolekta.functions import is_home, month_ord, not_equal_ns, total
+from kolekta.operators import customers, history
+from kolekta.operators.filters import active, active_filters, filter_invoices
+from kolekta.operators.flow import flow_sums
+
+AMT = "nilai_m"
+DIMS = (("seg", "pengelolaan"), ("cat", "invoice_status"), ("reg", "region"), ("mon", "report_month"),
+        ("rgf", "_regional_region"))
+
+
+def _r4(c: Column) -> Column:
+    return F.round(c, 4).cast("double")
+
+
+def _pct(n: Column, d: Column, positive_only: bool = True) -> Column:
+    guard = d > 0 if positive_only else d != 0
+    return F.when(guard, F.round(n.cast("double") / d.cast("double") * 100, 2)).otherwise(F.lit(0.0))
+
+
+def _global(f: DataFrame, home: str) -> DataFrame:
+    a = F.col(AMT)
+    rows = f.select(AMT, "status_tagih", "invoice_status", "aging_category", "report_month",
+                    not_equal_ns("status_tagih", vocab.TIDAK_LAYAK).alias("_keep"), is_home("region", home).alias("_is_home"))
+    aging = [total(a, F.col("aging_category") == F.lit(b)).alias(f"_g{i}") for i, b in enumerate(vocab.AGING_BUCKETS)]
+    return rows.agg(*flow_sums(), *aging, F.count(F.lit(1)).alias("_n"),
+                    F.max_by("report_month", month_ord("report_month")).alias("_latest"))
 
 
-def _sorted_list(df: DataFrame, order: str, *cols: str) -> F.Column:
-    arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_k"), *[F.col(c) for c in cols])))
-    return df.agg(F.transform(arr, lambda x: x.dropFields("_k")).alias("v")).scalar()
+def _groups(f: DataFrame, home: str) -> DataFrame:
+    st, a = F.col("status_tagih"), F.col(AMT)
+    rows = f.select(AMT, "status_tagih", "pengelolaan", "invoice_status", "region", "report_month",
+                    F.when(not_equal_ns("status_tagih", vocab.TIDAK_LAYAK) & ~is_home("region", home), F.col("region"))
+                    .alias("_regional_region"))
+    cols = [c for _, c in DIMS]
+    g = rows.groupingSets([[c] for c in cols], *cols).agg(
+        total(a).alias("t"), total(a, st == F.lit(vocab.LAYAK)).alias("l"),
+        total(a, st == F.lit(vocab.TIDAK_LAYAK)).alias("tl"), total(a, st == F.lit(vocab.BERMASALAH)).alias("b"),
+        *[F.grouping(c).alias(f"_g_{d}") for d, c in DIMS])
+    dim = F.lit(None).cast("string")
+    key = F.lit(None).cast("string")
+    for d, c in reversed(DIMS):
+        dim = F.when(F.col(f"_g_{d}") == 0, F.lit(d)).otherwise(dim)
+        key = F.when(F.col(f"_g_{d}") == 0, F.col(c)).otherwise(key)
+    out = g.select(dim.alias("dim"), key.alias("key"), "t", "l", "tl", "b").where(F.col("key").isNotNull())
+    return out.agg(F.array_sort(F.collect_list(F.struct("dim", "key", "t", "l", "tl", "b"))).alias("v"))
 
 
-def _map(df: DataFrame, key: str, value: str) -> F.Column:
-    return df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("v")).scalar()
+def _entries(arr: Column, dim: str) -> Column:
+    return F.filter(arr, lambda x: x["dim"] == F.lit(dim))
 
 
-def _row(df: DataFrame) -> F.Column:
-    return df.select(F.struct(*df.columns).alias("v")).scalar()
+def _as_map(arr: Column, value) -> Column:
+    return F.map_from_entries(F.transform(arr, lambda x: F.struct(x["key"], value(x))))
 
 
 def dashboard_payload(inv: DataFrame, cust: DataFrame, inflow: DataFrame, trend: DataFrame, metrics: DataFrame,
                       month=None, segment=None, region=None, home: str = vocab.HOME_REGION) -> DataFrame:
-    flt = dict(month=month, segment=segment, region=region)
-    kpi = summary.kpi_summary(inv, **flt)
-    largest = summary.largest_segment(inv, **flt)
-    as_of = summary.as_of(filter_invoices(inv, **flt), month)
-    filters = active_filters(**flt)
-    summary_row = (kpi.select(F.struct(*kpi.columns).alias("k"))
-                   .select(F.col("k.*"), largest.select("largest_segment").scalar().alias("largest_segment"),
-                           as_of.select("as_of_date").scalar().alias("as_of_date"),
-                           F.struct(*[F.lit(v).alias(k) for k, v in filters.items()]).alias("active_filters")))
-    levels = flow.flow_levels(inv, home, **flt)
-    ar_flow = levels.select(F.struct(
-        *levels.columns,
-        _map(flow.flow_categories(inv, home, **flt), "category", "v").alias("home_categories"),
-        _map(flow.flow_regional(inv, home, **flt), "region", "v").alias("regional_breakdown")).alias("v")).scalar()
-    trend_rows = history.history_trend(inv, **flt)
-    charts = F.struct(
-        _map(summary.age_analysis(inv, **flt).select(F.format_string("%d %s", "ord", "label").alias("label"), "v"),
-             "label", "v").alias("age_analysis"),
-        _map(summary.segment_breakdown(inv, **flt), "pengelolaan", "v").alias("segment_breakdown"),
-        _map(summary.category_breakdown(inv, **flt), "invoice_status", "v").alias("category_breakdown"),
-        _sorted_list(summary.region_breakup(inv, **flt), "region", "region", "value", "percentage").alias("region_breakup"),
-        ar_flow.alias("ar_flow"),
-        _sorted_list(trend_rows, "report_month", "report_month", "total_m", "layak_m", "tidak_layak_m",
-                     "bermasalah_m").alias("history_trend"),
-        _sorted_list(inflow, "sort_order", *inflow.columns).alias("cash_inflow"),
-        _sorted_list(trend, "sort_order", *trend.columns).alias("trend_t13m"),
-        _row(history.sparkline(metrics)).alias("sparklines"))
-    plan = flow.action_plan(inv, None, home, **flt)
+    f = filter_invoices(inv, month, segment, region)
+    one = _global(f, home)
+    o_sub = one.select(F.struct(*one.columns).alias("v")).scalar()
+    g_sub = _groups(f, home).scalar()
     top = customers.top_customers(cust, month)
-    base = inv.sparkSession.range(1)
-    return base.select(
-        _row(summary_row).alias("summary"), charts.alias("charts"),
-        _sorted_list(plan, "ord", *plan.columns).alias("action_plan"),
-        _sorted_list(top, "rank", *top.columns).alias("top_customers"))
+    top_sub = top.agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in top.columns if c != "rank"])))).scalar()
+
+    def series(df: DataFrame) -> Column:
+        return df.agg(F.array_sort(F.collect_list(F.struct("sort_order", *[c for c in df.columns if c != "sort_order"])))).scalar()
+
+    spark = inv.sparkSession
+    base = spark.range(1).select(o_sub.alias("o"), g_sub.alias("g"), top_sub.alias("top"),
+                                 series(inflow).alias("inflow"), series(trend).alias("trend"),
+                                 history.sparkline(metrics).select(F.struct("overdue_pct", "dso", "months")).scalar()
+                                 .alias("spark"))
+    o, g = F.col("o"), F.col("g")
+    over = o["_tidak"] + o["_bermasalah"]
+    seg = _entries(g, "seg")
+    best = F.try_element_at(F.array_sort(F.transform(seg, lambda x: F.struct((-F.round(x["t"], 4)).alias("nv"),
+                                                                              x["key"].alias("k")))), F.lit(1))
+    filters = active_filters(month, segment, region)
+    as_of = F.lit(month) if active(month) else o["_latest"]
+    summary = F.struct(
+        _r4(o["_total"]).alias("total_ar_m"), _r4(o["_layak"]).alias("total_layak_tagih_m"),
+        _r4(o["_tidak"]).alias("total_tidak_layak_m"), _r4(o["_bermasalah"]).alias("total_bermasalah_m"),
+        _r4(over).alias("over_due_m"), _pct(over, o["_total"]).alias("overdue_pct"),
+        F.coalesce(best["k"], F.lit("-")).alias("largest_segment"),
+        F.lit(vocab.DSO_CONSTANT).alias("dso"), as_of.alias("as_of_date"), o["_n"].alias("total_records"),
+        F.struct(*[F.lit(v).alias(k) for k, v in filters.items()]).alias("active_filters"))
+
+    age = [(lbl, o[{"AR LAYAK TAGIH": "_layak", "AR BERMASALAH": "_bermasalah", "AR TIDAK LAYAK TAGIH": "_tidak"}[val]]
+            if col == "status_tagih" else o[f"_g{vocab.AGING_BUCKETS.index(val)}"])
+           for _, lbl, col, val in vocab.AGE_ANALYSIS]
+    age_map = F.map_from_arrays(F.array(*[F.lit(lbl) for lbl, _ in age]), F.array(*[_r4(v) for _, v in age]))
+
+    reg = _entries(g, "reg")
+    reg_tot = F.aggregate(reg, F.lit(0).cast("decimal(38,6)"), lambda acc, x: acc + x["t"])
+    region_breakup = F.transform(F.filter(reg, lambda x: x["t"] > 0), lambda x: F.struct(
+        x["key"].alias("region"), _r4(x["t"]).alias("value"), _pct(x["t"], reg_tot, positive_only=False).alias("percentage")))
+    history_trend = F.transform(_entries(g, "mon"), lambda x: F.struct(
+        x["key"].alias("report_month"), _r4(x["t"]).alias("total_m"), _r4(x["l"]).alias("layak_m"),
+        _r4(x["tl"]).alias("tidak_layak_m"), _r4(x["b"]).alias("bermasalah_m")))
+
+    cats = [(c, o[f"_c{i}"]) for i, c in enumerate(vocab.CATEGORIES)]
+    cat_entries = F.array(*[F.struct(F.lit(c).alias("k"), v.alias("s")) for c, v in cats])
+    home_cats = F.map_from_entries(F.transform(F.filter(cat_entries, lambda x: x["s"] > 0),
+                                               lambda x: F.struct(x["k"], _r4(x["s"]))))
+    ar_flow = F.struct(
+        _r4(o["_total"]).alias("total_m"), _r4(o["_tidak"]).alias("tidak_layak_m"),
+        _r4(o["_layak"]).alias("layak_tagih_m"), _r4(o["_bermasalah"]).alias("bermasalah_m"),
+        _r4(o["_home"]).alias("home_total_m"), _r4(o["_regional"]).alias("regional_total_m"),
+        _r4(o["_sudah"]).alias("sudah_invoice_m"), _r4(o["_belum"]).alias("belum_invoice_m"),
+        home_cats.alias("home_categories"),
+        _as_map(F.filter(_entries(g, "rgf"), lambda x: x["t"] > 0), lambda x: _r4(x["t"])).alias("regional_breakdown"))
+
+    amounts = {vocab.TIDAK_LAYAK: o["_tidak"], "REGIONAL": F.round(o["_regional"], 4)}
+    amounts.update({c: F.when(v > 0, F.round(v, 4)).otherwise(F.lit(0)) for c, v in cats})
+    plan = F.array(*[F.struct(F.lit(ord_).alias("ord"), F.lit(k).alias("kategori"),
+                              amounts.get(k, F.lit(0)).cast("decimal(38,6)").alias("_v"), F.lit(u).alias("uic"),
+                              F.lit(t).alias("tindak_lanjut"), F.lit(d).alias("due_date"))
+                     for ord_, k, u, t, d in vocab.ACTION_PLAN])
+    action_plan = F.transform(F.filter(plan, lambda x: x["_v"] > 0), lambda x: F.struct(
+        x["ord"].alias("ord"), x["kategori"].alias("kategori"), _r4(x["_v"]).alias("nilai_m"), x["uic"].alias("uic"),
+        x["tindak_lanjut"].alias("tindak_lanjut"), x["due_date"].alias("due_date")))
+
+    charts = F.struct(
+        age_map.alias("age_analysis"),
+        _as_map(seg, lambda x: _r4(x["t"])).alias("segment_breakdown"),
+        _as_map(_entries(g, "cat"), lambda x: _r4(x["t"])).alias("category_breakdown"),
+        region_breakup.alias("region_breakup"), ar_flow.alias("ar_flow"), history_trend.alias("history_trend"),
+        F.col("inflow").alias("cash_inflow"), F.col("trend").alias("trend_t13m"), F.col("spark").alias("sparklines"))
+    return base.select(summary.alias("summary"), charts.alias("charts"), action_plan.alias("action_plan"),
+                       F.col("top").alias("top_customers"))
 
 
 def payload_json(payload: DataFrame) -> DataFrame:

@@ -60,6 +60,8 @@ def write_version(df: DataFrame, table_dir: str, partition_by: str | None = None
         existing = [int(s.getPath().getName()[len(VERSION_PREFIX):]) for s in fs.listStatus(p)
                     if s.isDirectory() and s.getPath().getName().startswith(VERSION_PREFIX)]
     path = f"{table_dir.rstrip('/')}/{VERSION_PREFIX}{(max(existing) + 1 if existing else 1):06d}"
+    if partition_by:
+        df = rebalanced(df, partition_by)
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(partition_by)
@@ -67,6 +69,12 @@ def write_version(df: DataFrame, table_dir: str, partition_by: str | None = None
     return path
 
 
+def rebalanced(df: DataFrame, partition_by: str) -> DataFrame:
+    """Cluster rows by the partition column before a partitioned write, so each
+    task writes few folders; AQE sizes the tasks and splits a hot month."""
+    return df.hint("rebalance", partition_by)
+
+
 def read_current(spark: SparkSession, table_dir: str, schema=None) -> DataFrame:
     r = spark.read
     if schema is not None:
@@ -107,7 +115,7 @@ def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, pk: str
     touched = src.select(part).union(moved).distinct()
     old = cur.join(touched, cur[part].eqNullSafe(touched[part]), "left_semi")
     merged = upsert_rows(old, src.select(*cur.columns), pk).checkpoint(eager=True)
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (rebalanced(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(part).parquet(path))
     # A partition whose last key moved away has no rows to overwrite it with:
     # drop its folder. Partition values are months, a short list.
