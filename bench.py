@@ -68,6 +68,8 @@ def main() -> None:
     store("ar_cash_inflow_forecast_tbl", fx.cash_inflow())
     store("ar_trend_t13m_tbl", fx.trend_t13m())
     store("ar_metrics_history_tbl", fx.metrics_history())
+    # Open-item sheets arrive as landed files; the import starts there.
+    fx.open_item_wide().write.parquet(f"{root}/landing/open_items")
     materialize = round(time.perf_counter() - t0, 3)
 
     inv = cat.read_table("ar_segmen_ers_tbl")
@@ -82,7 +84,7 @@ def main() -> None:
     def noop(df_fn):
         return lambda: df_fn().write.format("noop").mode("overwrite").save()
 
-    wide, header = fx.open_item_wide(), fx.open_item_header()
+    wide, header = spark.read.parquet(f"{root}/landing/open_items"), fx.open_item_header()
     headline = {
         "kpi_summary": collect(lambda: summary.kpi_summary(inv)),
         "kpi_month_segment": collect(lambda: summary.kpi_summary(inv, month=month, segment="BUILDING")),

@@ -81,7 +81,8 @@ def contains_ci(c: ColLike, q: str) -> Column:
 def to_amount(c: ColLike) -> Column:
     """Tolerant numeric parse: null for text, blanks, NaN and infinities."""
     v = _c(c).try_cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+    # NaN sorts above +inf in Spark, so one comparison rejects NaN and both infinities.
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
 
 
 def ora_date(c: ColLike) -> Column:

@@ -7,10 +7,10 @@ A landed sheet is a wide DataFrame: identity columns named as on the sheet
 labels over the amount columns) is metadata, given as a small
 (idx, name, label) DataFrame.
 
-Only the column map (one row per sheet column) is read on the driver, to
-build the unpivot's column list; data rows never leave the executors. The
-unpivot is a Generate in the scan stage, filtered right away, so the 48-fold
-expansion never reaches a shuffle.
+Only the names of the amount columns are read on the driver, to build the
+unpivot's column list; data rows never leave the executors. The unpivot is
+an Expand in the scan stage, filtered right away, so the 48-fold expansion
+never reaches a shuffle.
 """
 
 from __future__ import annotations
@@ -73,19 +73,24 @@ def select_sheets(wide: DataFrame, dim: DataFrame | None = None) -> DataFrame:
 # --- ING-4/5 -----------------------------------------------------------------
 
 def unpivot_cells(wide: DataFrame, colmap: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per non-null amount cell: (row_idx, *keep, pos, category, bracket, raw)."""
-    cm = colmap.orderBy("position").collect()   # metadata: one row per sheet column
-    cells = F.array(*[F.struct(F.lit(r["position"]).alias("pos"), F.lit(r["category"]).alias("category"),
-                               F.lit(r["offset"]).alias("bracket"), F.col(r["name"]).cast("string").alias("raw"))
-                      for r in cm])
-    return wide.select("row_idx", *keep, F.inline(cells)).where(F.col("raw").isNotNull())
+    """One row per non-null amount cell: (row_idx, *keep, pos, category, bracket, raw).
+
+    ``unpivot`` plans an Expand inside whole-stage codegen; empty cells are
+    filtered in the same stage, and the cell's (position, category, bracket)
+    comes from a broadcast join with the column map (one row per sheet column)."""
+    names = [r["name"] for r in colmap.select("name").collect()]   # metadata: the amount columns
+    long = (wide.select("row_idx", *keep, *[F.col(f"`{n}`").cast("string").alias(n) for n in names])
+                .unpivot(["row_idx", *keep], names, "_cell", "raw")
+                .where(F.col("raw").isNotNull()))
+    cm = colmap.select(F.col("name").alias("_cell"), F.col("position").alias("pos"), "category",
+                       F.col("offset").alias("bracket"))
+    return long.join(F.broadcast(cm), "_cell").drop("_cell")
 
 
 def coerce_amount(cells: DataFrame) -> DataFrame:
     """Numeric cells only: text, NaN, infinities and exact zeros are dropped,
     negatives kept. Adds ``v`` (double)."""
-    v = to_amount("raw")
-    return cells.withColumn("v", v).where(F.col("v").isNotNull() & (F.col("v") != 0))
+    return cells.withColumn("v", to_amount("raw")).where(F.col("v") != 0)
 
 
 def scale_to_billions(raw: str = "raw") -> F.Column:
@@ -119,15 +124,14 @@ def classify_invoice(df: DataFrame, sudah: tuple[str, ...] = vocab.SUDAH_CATS) -
 def identity_columns(df: DataFrame, spec: tuple = vocab.IDENTITY_COLUMNS) -> DataFrame:
     """Sheet identity columns -> fact columns: trimmed, cut to their maximum
     length, blank as null; ``uic`` falls back to ERS and ``action_plan`` to
-    normal collection."""
-    out = df
-    for sheet_col, fact_col, n in spec:
-        src = F.col(f"`{sheet_col}`") if sheet_col in df.columns else F.lit(None).cast("string")
-        out = out.withColumn(fact_col, safe_str(src, n))
-    seg = F.col("`PENGELOLAAN`") if "PENGELOLAAN" in df.columns else F.lit(None).cast("string")
-    unlock = F.col("`UNLOCK`") if "UNLOCK" in df.columns else F.lit(None).cast("string")
-    return (out.withColumn("uic", safe_str(seg, vocab.UIC_MAX, vocab.UIC_DEFAULT))
-               .withColumn("action_plan", safe_str(unlock, vocab.ACTION_MAX, vocab.ACTION_DEFAULT)))
+    normal collection. One projection (no per-column plan rebuilds)."""
+    def src(name):
+        return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
+    made = {fact: safe_str(src(sheet), n) for sheet, fact, n in spec}
+    made["uic"] = safe_str(src("PENGELOLAAN"), vocab.UIC_MAX, vocab.UIC_DEFAULT)
+    made["action_plan"] = safe_str(src("UNLOCK"), vocab.ACTION_MAX, vocab.ACTION_DEFAULT)
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in made]   # names are case-insensitive
+    return df.select(*kept, *[v.alias(k) for k, v in made.items()])
 
 
 def with_invoice_key(df: DataFrame, month: str = "report_month") -> DataFrame:

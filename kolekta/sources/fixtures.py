@@ -82,6 +82,36 @@ from ({invoice}) ar_invoice group by customer_name, report_month
 """
 
 
+# Sheet columns in sheet order (the landed file also carries row_idx, sheet, sheet_pos).
+OPEN_ITEM_IDENTITY = ("NAME", "CA", "BP NUM", "NIPNAS", "PENGELOLAAN", "AREA", "WITEL", "SATKER", "REG", "UNLOCK")
+OPEN_ITEM_CELLS = tuple(f"k_{i}_{j}" for i in range(8) for j in range(6))
+OPEN_ITEM_COLUMNS = OPEN_ITEM_IDENTITY + OPEN_ITEM_CELLS + ("GRAND TOTAL",)
+_SHEETS = tuple(s for s, _ in vocab.SHEET_MONTHS) + ("Rekap",)
+
+
+def _cell_sql(i: int, j: int) -> str:
+    extra = {0: (1, "n/a"), 1: (2, "0"), 2: (3, "NaN")}.get(j)
+    other = f" when _ki = {(i + extra[0]) % 8} then '{extra[1]}'" if extra else ""
+    return f"case when _ki = {i} and _cj = {j} then _amt{other} end as k_{i}_{j}"
+
+
+OPEN_ITEM_WIDE_SQL = f"""
+select row_idx, element_at(array({', '.join(repr(s) for s in _SHEETS)}), sheet_pos + 1) as sheet, sheet_pos,
+ c_name as `NAME`, cast(o_custkey as string) as `CA`, cast(c_custkey as string) as `BP NUM`,
+ concat('N', cast(c_custkey as string)) as `NIPNAS`,
+ case when o_custkey % 13 = 0 then '  ' else c_mktsegment end as `PENGELOLAAN`,
+ case when r_name = 'ASIA' then ' Jakarta ' else r_name end as `AREA`, n_name as `WITEL`, o_orderpriority as `SATKER`,
+ concat('R', cast(n_regionkey as string)) as `REG`, case when o_orderkey % 5 = 0 then 'Follow up' end as `UNLOCK`,
+ {', '.join(_cell_sql(i, j) for i in range(8) for j in range(6))},
+ cast(o_totalprice as string) as `GRAND TOTAL`
+from (select *, o_orderkey as row_idx, cast(o_orderkey % {len(_SHEETS)} as int) as sheet_pos,
+  o_orderkey % 8 as _ki, o_custkey % 6 as _cj,
+  concat(case when o_orderkey % 89 = 0 then '-' else '' end, cast(cast(o_totalprice * 1000000 as decimal(20,2)) as string)) as _amt
+ from {{orders}} join {{customer}} on o_custkey = c_custkey join {{nation}} on c_nationkey = n_nationkey
+ join {{region}} on n_regionkey = r_regionkey) b
+"""
+
+
 def sql_for_duckdb(template: str) -> str:
     """Fixture SQL with the plain table names DuckDB has registered."""
     names = {t: t for t in BASE_TABLES}
@@ -126,54 +156,13 @@ class Fixtures:
         """Wide sheet rows: identity columns named as on the sheet, 48 amount
         columns ``k_{cat}_{bracket}`` held as text, a trailing non-category
         column, and the sheet each row was landed from."""
-        o = self.table("orders")
-        c = self.table("customer")
-        n = self.table("nation")
-        r = self.table("region")
-        base = (o.join(c, o.o_custkey == c.c_custkey)
-                 .join(n, c.c_nationkey == n.n_nationkey)
-                 .join(r, n.n_regionkey == r.r_regionkey))
-        k, ck = F.col("o_orderkey"), F.col("o_custkey")
-        amount_txt = F.concat(F.when(k % 89 == 0, F.lit("-")).otherwise(F.lit("")),
-                              (F.col("o_totalprice") * 1000000).cast("decimal(20,2)").cast("string"))
-        cells = []
-        for i in range(8):
-            for j in range(6):
-                cell = F.when((k % 8 == i) & (ck % 6 == j), amount_txt)
-                if j == 0:
-                    cell = cell.when(k % 8 == (i + 1) % 8, F.lit("n/a"))
-                if j == 1:
-                    cell = cell.when(k % 8 == (i + 2) % 8, F.lit("0"))
-                if j == 2:
-                    cell = cell.when(k % 8 == (i + 3) % 8, F.lit("NaN"))
-                cells.append(cell.alias(f"k_{i}_{j}"))
-        sheets = [s for s, _ in vocab.SHEET_MONTHS] + ["Rekap"]
-        sheet_arr = F.array(*[F.lit(s) for s in sheets])
-        sheet_pos = (k % len(sheets)).cast("int")
-        return base.select(
-            k.alias("row_idx"),
-            F.element_at(sheet_arr, sheet_pos + 1).alias("sheet"),
-            sheet_pos.alias("sheet_pos"),
-            F.col("c_name").alias("NAME"),
-            ck.cast("string").alias("CA"),
-            F.col("c_custkey").cast("string").alias("BP NUM"),
-            F.concat(F.lit("N"), F.col("c_custkey").cast("string")).alias("NIPNAS"),
-            F.when(ck % 13 == 0, F.lit("  ")).otherwise(F.col("c_mktsegment")).alias("PENGELOLAAN"),
-            F.when(F.col("r_name") == "ASIA", F.lit(" Jakarta ")).otherwise(F.col("r_name")).alias("AREA"),
-            F.col("n_name").alias("WITEL"),
-            F.col("o_orderpriority").alias("SATKER"),
-            F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("REG"),
-            F.when(k % 5 == 0, F.lit("Follow up")).alias("UNLOCK"),
-            *cells,
-            F.col("o_totalprice").cast("string").alias("GRAND TOTAL"),
-        )
+        return self._sql(OPEN_ITEM_WIDE_SQL)
 
     def open_item_header(self) -> DataFrame:
         """Row 0 of the sheet: category labels over the amount columns, as
         (idx, name, label) -- metadata, one row per sheet column."""
-        cols = [f.name for f in self.open_item_wide().schema.fields if f.name not in ("row_idx", "sheet", "sheet_pos")]
         rows = []
-        for idx, name in enumerate(cols):
+        for idx, name in enumerate(OPEN_ITEM_COLUMNS):
             label = None
             if name.startswith("k_") and name.endswith("_0"):
                 label = vocab.CATEGORIES[int(name.split("_")[1])]
