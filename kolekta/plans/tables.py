@@ -112,19 +112,24 @@ def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, pk: str
         return spark.read.parquet(path)
     cur = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
     moved = cur.select(pk, part).join(src.select(pk), pk, "left_semi").select(part)
-    touched = src.select(part).union(moved).distinct()
-    old = cur.join(touched, cur[part].eqNullSafe(touched[part]), "left_semi")
-    merged = upsert_rows(old, src.select(*cur.columns), pk).checkpoint(eager=True)
+    # The touched partitions are fixed before anything is rewritten (one value
+    # per month partition -- a short list), so no later step re-reads files
+    # that the overwrite replaces.
+    touched = [r[part] for r in src.select(part).union(moved).distinct().collect()]
+    in_touched = F.col(part).isin([v for v in touched if v is not None])
+    if None in touched:
+        in_touched = in_touched | F.col(part).isNull()
+    merged = upsert_rows(cur.where(in_touched), src.select(*cur.columns), pk).checkpoint(eager=True)
     (rebalanced(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(part).parquet(path))
-    # A partition whose last key moved away has no rows to overwrite it with:
-    # drop its folder. Partition values are months, a short list.
-    emptied = touched.join(merged.select(part).distinct(), part, "left_anti").collect()
+    # A partition whose last key moved away has no rows to overwrite it with: drop its folder.
+    kept = {r[part] for r in merged.select(part).distinct().collect()}
+    emptied = [v for v in touched if v not in kept]
     if emptied:
         jvm = spark.sparkContext._jvm
         esc = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for r in emptied:
-            name = "__HIVE_DEFAULT_PARTITION__" if r[part] is None else esc(str(r[part]))
+        for v in emptied:
+            name = "__HIVE_DEFAULT_PARTITION__" if v is None else esc(str(v))
             fs.delete(jvm.org.apache.hadoop.fs.Path(p, f"{part}={name}"), True)
     return spark.read.parquet(path)
 
