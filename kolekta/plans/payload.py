@@ -1,19 +1,22 @@
-"""The nested dashboard payload as ONE row, from two scans of the fact table.
-
-1. One global aggregate (partial per task, one single-row exchange) holds
-   every conditional sum: the status KPIs, the aging buckets, all flow nodes
-   and home categories, the row count and the latest month.
-2. One grouping-sets aggregate (Expand + one partially aggregated shuffle)
-   holds the per-key sums of the low-cardinality dimensions: segment,
-   category, region, month, and region within the regional flow. Its rows --
-   one per distinct key of those dimensions -- are collected into one array.
-
-Both are attached as scalar subqueries (each runs once, no joins), and every
-chart -- maps, ordered lists, the largest segment, the action plan -- is
-derived from them with higher-order array functions in the final
-projection. The small pre-computed tables (cash inflow, trend, metrics) and
-the customer top-N are one subquery each. The detail rows are not embedded;
-they stay a DataFrame (``filter_invoices`` + ``detail_page``).
+"""The nested dashboard payload as ONE row, from ONE scan of the fact table.
+
+1. Pre-aggregate: the fact rows are summed per combination of the six
+   dimensions the dashboard uses (month, segment, region, category, status,
+   aging) -- partial aggregation per task, one shuffle. The number of groups
+   is bounded by the product of those dimensions' sizes, not by the data.
+2. One grouping-sets aggregate over those few rows: the empty set (every
+   global KPI, flow node, aging bucket and home category as a conditional
+   sum), and one set each for segment, category, region, month and region
+   within the regional flow. Sums of decimal sums are exact, so the numbers
+   equal the single-operator ones.
+
+The resulting rows (one global, one per distinct key of each dimension) are
+collected into one array and attached as a scalar subquery (runs once, no
+joins); every chart -- maps, ordered lists, the largest segment, the latest
+month, the action plan -- is derived from it with higher-order array
+functions. The customer top-N and the small pre-computed tables are one
+subquery each. The detail rows are not embedded; they stay a DataFrame
+(``filter_invoices`` + ``detail_page``).
 """
 
 from __future__ import annotations
@@ -22,15 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import is_home, month_ord, not_equal_ns, total
+from kolekta.functions import is_home, month_ord, not_equal_ns
 from kolekta.operators import customers, history
 from kolekta.operators.filters import active, active_filters, filter_invoices
-from kolekta.operators.flow import flow_sums
 
 AMT = "nilai_m"
-DIMS = (("seg", "pengelolaan"), ("cat", "invoice_status"), ("reg", "region"), ("mon", "report_month"),
-        ("rgf", "_regional_region"))
-
+KEYS = ("report_month", "pengelolaan", "region", "invoice_status", "status_tagih", "aging_category")
 
 def _r4(c: Column) -> Column:
     return F.round(c, 4).cast("double")
@@ -41,38 +41,46 @@ def _pct(n: Column, d: Column, positive_only: bool = True) -> Column:
     return F.when(guard, F.round(n.cast("double") / d.cast("double") * 100, 2)).otherwise(F.lit(0.0))
 
 
-def _global(f: DataFrame, home: str) -> DataFrame:
-    a = F.col(AMT)
-    rows = f.select(AMT, "status_tagih", "invoice_status", "aging_category", "report_month",
-                    not_equal_ns("status_tagih", vocab.TIDAK_LAYAK).alias("_keep"), is_home("region", home).alias("_is_home"))
-    aging = [total(a, F.col("aging_category") == F.lit(b)).alias(f"_g{i}") for i, b in enumerate(vocab.AGING_BUCKETS)]
-    return rows.agg(*flow_sums(), *aging, F.count(F.lit(1)).alias("_n"),
-                    F.max_by("report_month", month_ord("report_month")).alias("_latest"))
-
-
-def _groups(f: DataFrame, home: str) -> DataFrame:
-    st, a = F.col("status_tagih"), F.col(AMT)
-    rows = f.select(AMT, "status_tagih", "pengelolaan", "invoice_status", "region", "report_month",
-                    F.when(not_equal_ns("status_tagih", vocab.TIDAK_LAYAK) & ~is_home("region", home), F.col("region"))
-                    .alias("_regional_region"))
-    cols = [c for _, c in DIMS]
-    g = rows.groupingSets([[c] for c in cols], *cols).agg(
-        total(a).alias("t"), total(a, st == F.lit(vocab.LAYAK)).alias("l"),
-        total(a, st == F.lit(vocab.TIDAK_LAYAK)).alias("tl"), total(a, st == F.lit(vocab.BERMASALAH)).alias("b"),
-        *[F.grouping(c).alias(f"_g_{d}") for d, c in DIMS])
-    dim = F.lit(None).cast("string")
-    key = F.lit(None).cast("string")
-    for d, c in reversed(DIMS):
-        dim = F.when(F.col(f"_g_{d}") == 0, F.lit(d)).otherwise(dim)
-        key = F.when(F.col(f"_g_{d}") == 0, F.col(c)).otherwise(key)
-    out = g.select(dim.alias("dim"), key.alias("key"), "t", "l", "tl", "b").where(F.col("key").isNotNull())
-    return out.agg(F.array_sort(F.collect_list(F.struct("dim", "key", "t", "l", "tl", "b"))).alias("v"))
+# Grouping sets over the pre-aggregate: (name, grouping columns). "flow" keeps
+# every column a global KPI tests, so all global measures derive from it.
+SETS = (("flow", ("status_tagih", "aging_category", "invoice_status", "_keep", "_is_home")),
+        ("seg", ("pengelolaan",)), ("cat", ("invoice_status",)), ("reg", ("region",)),
+        ("mon", ("report_month", "status_tagih")), ("rgf", ("_regional_region",)))
+_MARK = {"flow": "aging_category", "seg": "pengelolaan", "reg": "region", "mon": "report_month",
+         "rgf": "_regional_region"}
+
+
+def dashboard_rows(f: DataFrame, home: str = vocab.HOME_REGION) -> DataFrame:
+    """Rows (set, key, status, aging, category, keep, is_home, t, n): the
+    amount ``t`` and row count ``n`` per group of each grouping set."""
+    pre = f.groupBy(*KEYS).agg(F.sum(AMT).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    pre = pre.select(*KEYS, "_s", "_n", not_equal_ns("status_tagih", vocab.TIDAK_LAYAK).alias("_keep"),
+                     is_home("region", home).alias("_is_home"))
+    pre = pre.withColumn("_regional_region", F.when(F.col("_keep") & ~F.col("_is_home"), F.col("region")))
+    cols = list(dict.fromkeys(c for _, cs in SETS for c in cs))
+    g = pre.groupingSets([list(cs) for _, cs in SETS], *cols).agg(
+        F.sum("_s").alias("t"), F.sum("_n").alias("n"), *[F.grouping(c).alias(f"_g_{c}") for c in cols])
+    name = F.lit("cat")   # the only set whose marker is not unique to it
+    for set_name, mark in _MARK.items():
+        name = F.when(F.col(f"_g_{mark}") == 0, F.lit(set_name)).otherwise(name)
+    key = (F.when(name == "seg", F.col("pengelolaan")).when(name == "cat", F.col("invoice_status"))
+           .when(name == "reg", F.col("region")).when(name == "mon", F.col("report_month"))
+           .when(name == "rgf", F.col("_regional_region")))
+    rows = g.select(name.alias("dim"), key.alias("key"), "status_tagih", "aging_category", "invoice_status",
+                    "_keep", "_is_home", "t", "n")
+    return rows.where((F.col("dim") == "flow") | F.col("key").isNotNull())
 
 
 def _entries(arr: Column, dim: str) -> Column:
     return F.filter(arr, lambda x: x["dim"] == F.lit(dim))
 
 
+def _sum_if(arr: Column, pred=None) -> Column:
+    """Exact decimal sum of ``t`` over the entries where ``pred`` holds."""
+    sel = arr if pred is None else F.filter(arr, lambda x: F.coalesce(pred(x), F.lit(False)))
+    return F.aggregate(sel, F.lit(0).cast("decimal(38,6)"), lambda acc, x: acc + x["t"])
+
+
 def _as_map(arr: Column, value) -> Column:
     return F.map_from_entries(F.transform(arr, lambda x: F.struct(x["key"], value(x))))
 
@@ -80,9 +88,8 @@ def _as_map(arr: Column, value) -> Column:
 def dashboard_payload(inv: DataFrame, cust: DataFrame, inflow: DataFrame, trend: DataFrame, metrics: DataFrame,
                       month=None, segment=None, region=None, home: str = vocab.HOME_REGION) -> DataFrame:
     f = filter_invoices(inv, month, segment, region)
-    one = _global(f, home)
-    o_sub = one.select(F.struct(*one.columns).alias("v")).scalar()
-    g_sub = _groups(f, home).scalar()
+    rows = dashboard_rows(f, home)
+    arr = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("v")).scalar()
     top = customers.top_customers(cust, month)
     top_sub = top.agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in top.columns if c != "rank"])))).scalar()
 
@@ -90,52 +97,69 @@ def dashboard_payload(inv: DataFrame, cust: DataFrame, inflow: DataFrame, trend:
         return df.agg(F.array_sort(F.collect_list(F.struct("sort_order", *[c for c in df.columns if c != "sort_order"])))).scalar()
 
     spark = inv.sparkSession
-    base = spark.range(1).select(o_sub.alias("o"), g_sub.alias("g"), top_sub.alias("top"),
+    base = spark.range(1).select(arr.alias("g"), top_sub.alias("top"),
                                  series(inflow).alias("inflow"), series(trend).alias("trend"),
                                  history.sparkline(metrics).select(F.struct("overdue_pct", "dso", "months")).scalar()
                                  .alias("spark"))
-    o, g = F.col("o"), F.col("g")
-    over = o["_tidak"] + o["_bermasalah"]
+    g = F.col("g")
+    fl = _entries(g, "flow")
+    st = lambda v: (lambda x: x["status_tagih"] == F.lit(v))
+    keep_home = lambda x: x["_keep"] & x["_is_home"]
+    tot, layak = _sum_if(fl), _sum_if(fl, st(vocab.LAYAK))
+    tidak, bermasalah = _sum_if(fl, st(vocab.TIDAK_LAYAK)), _sum_if(fl, st(vocab.BERMASALAH))
+    count = F.aggregate(fl, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+    over = tidak + bermasalah
     seg = _entries(g, "seg")
     best = F.try_element_at(F.array_sort(F.transform(seg, lambda x: F.struct((-F.round(x["t"], 4)).alias("nv"),
                                                                               x["key"].alias("k")))), F.lit(1))
+    mon = _entries(g, "mon")
+    months = F.array_distinct(F.transform(mon, lambda x: x["key"]))
+    latest = F.array_max(F.filter(F.transform(months, lambda m: F.struct(month_ord(m).alias("o"), m.alias("m"))),
+                                  lambda x: x["o"].isNotNull()))["m"]
     filters = active_filters(month, segment, region)
-    as_of = F.lit(month) if active(month) else o["_latest"]
+    as_of = F.lit(month) if active(month) else latest
     summary = F.struct(
-        _r4(o["_total"]).alias("total_ar_m"), _r4(o["_layak"]).alias("total_layak_tagih_m"),
-        _r4(o["_tidak"]).alias("total_tidak_layak_m"), _r4(o["_bermasalah"]).alias("total_bermasalah_m"),
-        _r4(over).alias("over_due_m"), _pct(over, o["_total"]).alias("overdue_pct"),
+        _r4(tot).alias("total_ar_m"), _r4(layak).alias("total_layak_tagih_m"),
+        _r4(tidak).alias("total_tidak_layak_m"), _r4(bermasalah).alias("total_bermasalah_m"),
+        _r4(over).alias("over_due_m"), _pct(over, tot).alias("overdue_pct"),
         F.coalesce(best["k"], F.lit("-")).alias("largest_segment"),
-        F.lit(vocab.DSO_CONSTANT).alias("dso"), as_of.alias("as_of_date"), o["_n"].alias("total_records"),
+        F.lit(vocab.DSO_CONSTANT).alias("dso"), as_of.alias("as_of_date"), count.alias("total_records"),
         F.struct(*[F.lit(v).alias(k) for k, v in filters.items()]).alias("active_filters"))
 
-    age = [(lbl, o[{"AR LAYAK TAGIH": "_layak", "AR BERMASALAH": "_bermasalah", "AR TIDAK LAYAK TAGIH": "_tidak"}[val]]
-            if col == "status_tagih" else o[f"_g{vocab.AGING_BUCKETS.index(val)}"])
-           for _, lbl, col, val in vocab.AGE_ANALYSIS]
-    age_map = F.map_from_arrays(F.array(*[F.lit(lbl) for lbl, _ in age]), F.array(*[_r4(v) for _, v in age]))
+    age_vals = [_sum_if(fl, (lambda x, c=col, v=val: x[c] == F.lit(v))) for _, _, col, val in vocab.AGE_ANALYSIS]
+    age_map = F.map_from_arrays(F.array(*[F.lit(lbl) for _, lbl, _, _ in vocab.AGE_ANALYSIS]),
+                                F.array(*[_r4(v) for v in age_vals]))
 
     reg = _entries(g, "reg")
-    reg_tot = F.aggregate(reg, F.lit(0).cast("decimal(38,6)"), lambda acc, x: acc + x["t"])
+    reg_tot = _sum_if(reg)
     region_breakup = F.transform(F.filter(reg, lambda x: x["t"] > 0), lambda x: F.struct(
-        x["key"].alias("region"), _r4(x["t"]).alias("value"), _pct(x["t"], reg_tot, positive_only=False).alias("percentage")))
-    history_trend = F.transform(_entries(g, "mon"), lambda x: F.struct(
-        x["key"].alias("report_month"), _r4(x["t"]).alias("total_m"), _r4(x["l"]).alias("layak_m"),
-        _r4(x["tl"]).alias("tidak_layak_m"), _r4(x["b"]).alias("bermasalah_m")))
-
-    cats = [(c, o[f"_c{i}"]) for i, c in enumerate(vocab.CATEGORIES)]
-    cat_entries = F.array(*[F.struct(F.lit(c).alias("k"), v.alias("s")) for c, v in cats])
+        x["key"].alias("region"), _r4(x["t"]).alias("value"),
+        _pct(x["t"], reg_tot, positive_only=False).alias("percentage")))
+    history_trend = F.transform(F.array_sort(months), lambda m: F.struct(
+        m.alias("report_month"),
+        _r4(_sum_if(mon, lambda x: x["key"] == m)).alias("total_m"),
+        _r4(_sum_if(mon, lambda x: (x["key"] == m) & st(vocab.LAYAK)(x))).alias("layak_m"),
+        _r4(_sum_if(mon, lambda x: (x["key"] == m) & st(vocab.TIDAK_LAYAK)(x))).alias("tidak_layak_m"),
+        _r4(_sum_if(mon, lambda x: (x["key"] == m) & st(vocab.BERMASALAH)(x))).alias("bermasalah_m")))
+
+    home_sum = _sum_if(fl, keep_home)
+    regional_sum = _sum_if(fl, lambda x: x["_keep"] & ~x["_is_home"])
+    cat_vals = [(c, _sum_if(fl, (lambda x, c=c: keep_home(x) & (x["invoice_status"] == F.lit(c)))))
+                for c in vocab.CATEGORIES]
+    cat_entries = F.array(*[F.struct(F.lit(c).alias("k"), v.alias("s")) for c, v in cat_vals])
     home_cats = F.map_from_entries(F.transform(F.filter(cat_entries, lambda x: x["s"] > 0),
                                                lambda x: F.struct(x["k"], _r4(x["s"]))))
     ar_flow = F.struct(
-        _r4(o["_total"]).alias("total_m"), _r4(o["_tidak"]).alias("tidak_layak_m"),
-        _r4(o["_layak"]).alias("layak_tagih_m"), _r4(o["_bermasalah"]).alias("bermasalah_m"),
-        _r4(o["_home"]).alias("home_total_m"), _r4(o["_regional"]).alias("regional_total_m"),
-        _r4(o["_sudah"]).alias("sudah_invoice_m"), _r4(o["_belum"]).alias("belum_invoice_m"),
+        _r4(tot).alias("total_m"), _r4(tidak).alias("tidak_layak_m"), _r4(layak).alias("layak_tagih_m"),
+        _r4(bermasalah).alias("bermasalah_m"), _r4(home_sum).alias("home_total_m"),
+        _r4(regional_sum).alias("regional_total_m"),
+        _r4(_sum_if(fl, lambda x: keep_home(x) & x["invoice_status"].isin(*vocab.SUDAH_CATS))).alias("sudah_invoice_m"),
+        _r4(_sum_if(fl, lambda x: keep_home(x) & x["invoice_status"].isin(*vocab.BELUM_CATS))).alias("belum_invoice_m"),
         home_cats.alias("home_categories"),
         _as_map(F.filter(_entries(g, "rgf"), lambda x: x["t"] > 0), lambda x: _r4(x["t"])).alias("regional_breakdown"))
 
-    amounts = {vocab.TIDAK_LAYAK: o["_tidak"], "REGIONAL": F.round(o["_regional"], 4)}
-    amounts.update({c: F.when(v > 0, F.round(v, 4)).otherwise(F.lit(0)) for c, v in cats})
+    amounts = {vocab.TIDAK_LAYAK: tidak, "REGIONAL": F.round(regional_sum, 4)}
+    amounts.update({c: F.when(v > 0, F.round(v, 4)).otherwise(F.lit(0)) for c, v in cat_vals})
     plan = F.array(*[F.struct(F.lit(ord_).alias("ord"), F.lit(k).alias("kategori"),
                               amounts.get(k, F.lit(0)).cast("decimal(38,6)").alias("_v"), F.lit(u).alias("uic"),
                               F.lit(t).alias("tindak_lanjut"), F.lit(d).alias("due_date"))
