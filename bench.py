@@ -39,7 +39,7 @@ def _timed(action, repeat: int) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = build_session(f"local[{cpus}]", cpus, app="kolekta-bench",
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
 

@@ -89,3 +89,13 @@ def distinct_values(inv: DataFrame, col: str, drop_blank: bool = False) -> DataF
     v = F.col(col)
     cond = v.isNotNull() & (v != F.lit("")) if drop_blank else v.isNotNull()
     return inv.select(v.alias("value")).where(cond).distinct().orderBy("value")
+
+
+BASE_COLUMNS = ("invoice_id", "aging_category", "status_tagih", "region", "invoice_status", "nilai_m", "uic",
+                "due_date", "action_plan")
+
+
+def base_projection(inv: DataFrame, columns: tuple[str, ...] = BASE_COLUMNS) -> DataFrame:
+    """The nine-column detail feed, cleaned: null amount -> 0, null text -> ''."""
+    from kolekta.operators.quality import clean_invoices
+    return clean_invoices(inv.select(*columns))

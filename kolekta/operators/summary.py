@@ -61,6 +61,13 @@ def kpi_summary(inv: DataFrame, month=None, segment=None, region=None) -> DataFr
     )
 
 
+def minimal_summary(inv: DataFrame, month=None, segment=None, region=None) -> DataFrame:
+    """The short summary: total, collectible, uncollectible (round 2) and the row count."""
+    g = filter_invoices(inv, month, segment, region).agg(*status_sums(), F.count(F.lit(1)).alias("_n"))
+    return g.select(money("_total", 2).alias("total_ar_m"), money("_layak", 2).alias("total_layak_tagih_m"),
+                    money("_tidak", 2).alias("total_tidak_layak_m"), F.col("_n").cast("bigint").alias("total_records"))
+
+
 def kpi_by_aging(inv: DataFrame, month=None, segment=None, region=None) -> DataFrame:
     """Alternative KPI: current = aging ``Within Due``, past due = any other
     (null aging counts as past due)."""
@@ -101,7 +108,10 @@ def as_of(inv: DataFrame, month=None) -> DataFrame:
     if active(month):
         return inv.where(F.col("report_month") == F.lit(month)).agg(
             F.lit(month).alias("as_of_date"))
-    return inv.agg(F.max_by("report_month", month_ord("report_month")).alias("as_of_date"))
+    # Distinct months first (partially aggregated), so the label parse runs
+    # once per month rather than once per row.
+    months = inv.select("report_month").where(F.col("report_month").isNotNull()).distinct()
+    return months.agg(F.max_by("report_month", month_ord("report_month")).alias("as_of_date"))
 
 
 # --- AGG-6/7, WIN-2 ---------------------------------------------------------

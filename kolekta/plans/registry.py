@@ -62,6 +62,13 @@ def _kpi_summary(spark, sf):
     return summary.kpi_summary(inv(spark, sf))
 
 
+@register("minimal_summary", f"""{WITH_INV}, g as ({_G4})
+select {M('_total', 2)} as total_ar_m, {M('_layak', 2)} as total_layak_tagih_m, {M('_tidak', 2)} as total_tidak_layak_m,
+ cast(_n as bigint) as total_records from g""")
+def _minimal_summary(spark, sf):
+    return summary.minimal_summary(inv(spark, sf))
+
+
 @register("kpi_by_aging", f"""{WITH_INV}
 select {M(S())} as total_ar_m, {M(S("aging_category = 'Within Due'"))} as within_due_m,
  {M(S("aging_category is distinct from 'Within Due'"))} as past_due_m from ar_invoice""")
@@ -148,6 +155,15 @@ def _filter_invoices(spark, sf):
     return out(filters.filter_invoices(inv(spark, sf), MONTH, SEGMENT, REGION))
 
 
+@register("base_projection", f"""{WITH_INV}
+select invoice_id, coalesce(aging_category, '') as aging_category, coalesce(status_tagih, '') as status_tagih,
+ coalesce(region, '') as region, coalesce(invoice_status, '') as invoice_status,
+ cast(coalesce(nilai_m, 0) as double) as nilai_m, coalesce(uic, '') as uic, coalesce(due_date, '') as due_date,
+ coalesce(action_plan, '') as action_plan from ar_invoice""")
+def _base_projection(spark, sf):
+    return out(filters.base_projection(inv(spark, sf)))
+
+
 @register("filter_all", f"{WITH_INV} {fact_select()}")
 def _filter_all(spark, sf):
     return out(filters.filter_invoices(inv(spark, sf), "ALL", "", None))

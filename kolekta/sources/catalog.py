@@ -59,3 +59,15 @@ def read_wide(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 def with_source_file(df: DataFrame) -> DataFrame:
     """Tag each row with the file it came from (used to derive sheet names)."""
     return df.withColumn("source_file", F.input_file_name())
+
+
+def read_snapshots(spark: SparkSession, sheets: list[tuple[str, str]], fmt: str = "parquet") -> DataFrame:
+    """Landed sheets of one workbook, in workbook order, as one frame with
+    ``sheet`` and ``sheet_pos``: each file is read lazily and the frames are
+    appended by column name (a sheet missing a column gets nulls)."""
+    frames = [read_wide(spark, path, fmt).withColumn("sheet", F.lit(name)).withColumn("sheet_pos", F.lit(pos))
+              for pos, (name, path) in enumerate(sheets)]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
