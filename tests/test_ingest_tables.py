@@ -151,6 +151,23 @@ def test_stream_ingest_once_per_file(spark, scratch):
     assert first == again == replay == expected
 
 
+def test_stream_refreshes_mart_for_touched_months(spark, scratch):
+    from kolekta.streaming.folder_ingest import read_mart, stream_ingest
+    fx = Fixtures(spark, SF)
+    wide = fx.open_item_wide()
+    landing = os.path.join(scratch, "landing")
+    wide.where("sheet_pos = 5").write.parquet(landing)            # first drop: one sheet (one month)
+    schema = spark.read.parquet(landing).schema
+    table, ckpt, mart = (os.path.join(scratch, x) for x in ("table", "ckpt", "mart"))
+    stream_ingest(spark, landing, table, ckpt, fx.open_item_header(), schema, mart_path=mart)
+    wide.where("sheet_pos = 3").write.mode("append").parquet(landing)   # second drop: another month
+    t = stream_ingest(spark, landing, table, ckpt, fx.open_item_header(), schema, mart_path=mart)
+    k = summary.kpi_summary(t).first()
+    m = read_mart(spark, mart).first()
+    assert (m.total_ar_m, m.n) == (k.total_ar_m, k.total_records)
+    assert t.select("report_month").distinct().count() == 2
+
+
 def test_payload_matches_operators(spark):
     from kolekta.operators import flow
     from kolekta.plans.payload import dashboard_payload
