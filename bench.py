@@ -105,6 +105,20 @@ def main() -> None:
             inv, cust, cat.read_table("ar_cash_inflow_forecast_tbl"), cat.read_table("ar_trend_t13m_tbl"),
             cat.read_table("ar_metrics_history_tbl"))),
     }
+    if "--explain" in sys.argv:   # print the physical plans instead of timing
+        plans = {"kpi_month_segment": lambda: summary.kpi_summary(inv, month=month, segment="BUILDING"),
+                 "flow_levels": lambda: flow.flow_levels(inv), "action_plan": lambda: flow.action_plan(inv),
+                 "region_breakup": lambda: summary.region_breakup(inv), "kpi_cube": lambda: cubes.kpi_cube(inv),
+                 "customer_rollup": lambda: customers.customer_rollup(inv),
+                 "top_customers": lambda: customers.top_customers(cust),
+                 "detail_page": lambda: paging.detail_page(filters.drilldown(inv, "status_tagih", "AR BERMASALAH"), 3),
+                 "table_upsert": lambda: mutations.upsert_rows(inv, upd, "invoice_id"),
+                 "import_open_items": lambda: ingest.import_open_items(wide, header)}
+        for name, fn in plans.items():
+            print(f"\n## {name}\n\n```")
+            fn().explain()
+            print("```")
+        return
     summary.kpi_summary(inv).collect()   # warm-up (JIT, file listing cache)
     for name, action in headline.items():
         timings[name] = _timed(action, repeat)

@@ -23,7 +23,9 @@ def money(c: ColLike, scale: int = 4) -> Column:
 
 def total(c: ColLike, cond: Column | None = None) -> Column:
     """``S(p)``: sum of the amount where ``cond`` holds; 0 when nothing matches."""
-    amt = _c(c)
+    # Widened before summing: a sum over ~1e12 rows must not overflow
+    # decimal(28,6); Spark keeps the arithmetic long-backed while values are small.
+    amt = _c(c).cast("decimal(38,6)")
     return F.coalesce(F.sum(amt if cond is None else F.when(cond, amt)), F.lit(0))
 
 

@@ -53,7 +53,7 @@ _MARK = {"flow": "aging_category", "seg": "pengelolaan", "reg": "region", "mon":
 def dashboard_rows(f: DataFrame, home: str = vocab.HOME_REGION) -> DataFrame:
     """Rows (set, key, status, aging, category, keep, is_home, t, n): the
     amount ``t`` and row count ``n`` per group of each grouping set."""
-    pre = f.groupBy(*KEYS).agg(F.sum(AMT).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    pre = f.groupBy(*KEYS).agg(F.sum(F.col(AMT).cast("decimal(38,6)")).alias("_s"), F.count(F.lit(1)).alias("_n"))
     pre = pre.select(*KEYS, "_s", "_n", not_equal_ns("status_tagih", vocab.TIDAK_LAYAK).alias("_keep"),
                      is_home("region", home).alias("_is_home"))
     pre = pre.withColumn("_regional_region", F.when(F.col("_keep") & ~F.col("_is_home"), F.col("region")))

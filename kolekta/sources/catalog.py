@@ -30,6 +30,23 @@ class TableCatalog:
             return lambda: spark.read.schema(schema).parquet(current_path(spark, f"{root.rstrip('/')}/{name}"))
         return cls({name: loader(name) for name in schemas.TABLES})
 
+    @classmethod
+    def jdbc(cls, spark: SparkSession, url: str, properties: dict, month_predicates: list[str] | None = None
+             ) -> "TableCatalog":
+        """Tables read over JDBC (the dashboard's original store). Filters on the
+        returned DataFrames are pushed into the database's WHERE clause. For the
+        fact table, ``month_predicates`` (one WHERE fragment per month, e.g.
+        ``["REPORT_MONTH = 'Juni 2026'", ...]``) splits the read into parallel
+        partitions, one connection each."""
+        def loader(name):
+            def load():
+                table = name.upper()
+                if name == "ar_segmen_ers_tbl" and month_predicates:
+                    return spark.read.jdbc(url, table, predicates=month_predicates, properties=properties)
+                return spark.read.jdbc(url, table, properties=properties)
+            return load
+        return cls({name: loader(name) for name in schemas.TABLES})
+
     def read_table(self, name: str) -> DataFrame:
         """Whole table, lower-case columns; unknown names raise ``ValueError``."""
         schemas.table_spec(name)

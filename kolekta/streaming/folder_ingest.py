@@ -56,12 +56,12 @@ def mart_rows(inv: DataFrame) -> DataFrame:
     """Per month: KPI sums for every (segment, region) combination incl. ALL."""
     # The month is always a grouping column, segment and region form a cube:
     # four grouping sets instead of a full three-way cube.
-    s = lambda v: f"coalesce(sum(case when status_tagih = '{v}' then nilai_m end), 0)"
+    s = lambda v: f"coalesce(sum(case when status_tagih = '{v}' then cast(nilai_m as decimal(38,6)) end), 0)"
     return inv.sparkSession.sql(f"""
         select report_month,
                case when grouping(pengelolaan) = 1 then '{ALL}' else pengelolaan end as segment,
                case when grouping(region) = 1 then '{ALL}' else region end as region,
-               coalesce(sum(nilai_m), 0) as total_ar, {s(vocab.LAYAK)} as layak,
+               coalesce(sum(cast(nilai_m as decimal(38,6))), 0) as total_ar, {s(vocab.LAYAK)} as layak,
                {s(vocab.TIDAK_LAYAK)} as tidak_layak, {s(vocab.BERMASALAH)} as bermasalah, count(1) as n
         from {{inv}} group by report_month, cube(pengelolaan, region)""", inv=inv)
 
