@@ -19,10 +19,6 @@ from kolekta.operators.summary import AMT
 ALL = "ALL"
 
 
-def _label(col: str, alias: str | None = None) -> F.Column:
-    return F.when(F.grouping(col) == 1, F.lit(ALL)).otherwise(F.col(col)).alias(alias or col)
-
-
 def _measures() -> list[F.Column]:
     a, st = F.col(AMT), F.col("status_tagih")
     return [money(total(a)).alias("total_ar_m"),

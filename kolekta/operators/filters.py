@@ -85,10 +85,11 @@ def search_invoices(inv: DataFrame, q: str | None, columns: tuple[str, ...] = vo
 
 
 def distinct_values(inv: DataFrame, col: str, drop_blank: bool = False) -> DataFrame:
-    """Distinct non-null values of one column, ascending (a dropdown list)."""
+    """Distinct non-null values of one column, ascending (a dropdown list of a
+    dimension column: few values, sorted in one partition after the distinct)."""
     v = F.col(col)
     cond = v.isNotNull() & (v != F.lit("")) if drop_blank else v.isNotNull()
-    return inv.select(v.alias("value")).where(cond).distinct().orderBy("value")
+    return inv.select(v.alias("value")).where(cond).distinct().coalesce(1).sortWithinPartitions("value")
 
 
 BASE_COLUMNS = ("invoice_id", "aging_category", "status_tagih", "region", "invoice_status", "nilai_m", "uic",

@@ -113,4 +113,4 @@ def action_plan(inv: DataFrame, dim: DataFrame | None = None, home: str = vocab.
     amounts = long_rows(g, rows, ("kategori", "_v")).where(F.col("_v") > 0)
     return (amounts.join(F.broadcast(dim), "kategori")
             .select("ord", "kategori", money("_v").alias("nilai_m"), "uic", "tindak_lanjut", "due_date")
-            .orderBy("ord"))
+            .coalesce(1).sortWithinPartitions("ord"))   # at most len(dim) rows: no range-partition sampling job

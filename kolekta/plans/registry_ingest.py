@@ -121,9 +121,6 @@ def _import_report(spark, sf):
 
 # --- data quality -------------------------------------------------------------
 
-_STR_COLS = [c for c in FACT_COLS if c not in ("nilai_m", "above_credit_limit")]
-
-
 @register("clean_invoices", f"{WITH_INV} select " + ", ".join(
     "cast(coalesce(nilai_m, 0) as double) as nilai_m" if c == "nilai_m" else
     ("above_credit_limit" if c == "above_credit_limit" else f"coalesce({c}, '') as {c}") for c in FACT_COLS)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kolekta.functions import money, total
+from kolekta.functions import money
 from kolekta.operators.cubes import ALL
 from kolekta.operators.ingest import import_open_items
 from kolekta.operators.quality import split_valid
@@ -72,9 +72,8 @@ def refresh_mart(spark: SparkSession, inv: DataFrame, mart_path: str, months: Da
     if months is not None:
         inv = inv.join(F.broadcast(months), "report_month", "left_semi")   # months: a short list
     fs, p, _ = _fs(spark, mart_path)
-    mode = "overwrite"
     rows = mart_rows(inv)
-    (rows.write.mode(mode).option("partitionOverwriteMode", "dynamic" if fs.exists(p) else "static")
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if fs.exists(p) else "static")
          .partitionBy("report_month").parquet(mart_path))
 
 
