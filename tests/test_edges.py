@@ -108,6 +108,9 @@ def test_amount_text(spark):
     df = spark.createDataFrame([(x,) for x in [" 12 ", "1e3", "abc", "", "NaN", "inf", "-inf", "0", "-5.5", None]], "raw string")
     got = [r.v for r in df.select(to_amount("raw").alias("v")).collect()]
     assert got == [12.0, 1000.0, None, None, None, None, None, 0.0, -5.5, None]
+    from kolekta.operators.ingest import parse_amount
+    dec = [None if r.v is None else float(r.v) for r in df.select(parse_amount("raw").alias("v")).collect()]
+    assert dec == got
 
 
 def test_top_customers_nulls_first(spark):
