@@ -19,19 +19,30 @@ from kolekta.operators.summary import AMT
 ALL = "ALL"
 
 
+def pre_aggregate(inv: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum and count per combination of ``keys`` (plus status), partially
+    aggregated map-side. Cubes and roll-ups then expand these few rows rather
+    than every fact row: Spark expands before it aggregates, so a cube over
+    three columns would otherwise multiply the input eightfold."""
+    cols = list(dict.fromkeys(keys + ["status_tagih"]))
+    return inv.groupBy(*cols).agg(F.sum(F.col(AMT).cast("decimal(38,6)")).alias("_s"),
+                                  F.count(F.lit(1)).alias("_n"))
+
+
 def _measures() -> list[F.Column]:
-    a, st = F.col(AMT), F.col("status_tagih")
-    return [money(total(a)).alias("total_ar_m"),
-            money(total(a, st == F.lit(vocab.LAYAK))).alias("layak_m"),
-            money(total(a, st == F.lit(vocab.TIDAK_LAYAK))).alias("tidak_layak_m"),
-            money(total(a, st == F.lit(vocab.BERMASALAH))).alias("bermasalah_m"),
-            F.count(F.lit(1)).cast("bigint").alias("n")]
+    s, st = F.col("_s"), F.col("status_tagih")
+    return [money(total(s)).alias("total_ar_m"),
+            money(total(s, st == F.lit(vocab.LAYAK))).alias("layak_m"),
+            money(total(s, st == F.lit(vocab.TIDAK_LAYAK))).alias("tidak_layak_m"),
+            money(total(s, st == F.lit(vocab.BERMASALAH))).alias("bermasalah_m"),
+            F.sum("_n").cast("bigint").alias("n")]
 
 
 def kpi_cube(inv: DataFrame) -> DataFrame:
     """KPI measures for every (month, segment, region) combination, each
     dimension either a value or ``ALL``; ``ALL/ALL/ALL`` equals the KPI row."""
-    g = inv.cube("report_month", "pengelolaan", "region").agg(
+    dims = ["report_month", "pengelolaan", "region"]
+    g = pre_aggregate(inv, dims).cube(*dims).agg(
         *_measures(), F.grouping("report_month").alias("_gm"), F.grouping("pengelolaan").alias("_gs"),
         F.grouping("region").alias("_gr"))
     lab = lambda c, g_, a: F.when(F.col(g_) == 1, F.lit(ALL)).otherwise(F.col(c)).alias(a)
@@ -43,10 +54,9 @@ def drill_rollup(inv: DataFrame, month=None, segment=None, region=None,
                  levels: tuple[str, ...] = ("status_tagih", "region", "invoice_status")) -> DataFrame:
     """Nested subtotals status -> region -> category; ``level`` is the depth
     (0 = grand total) and rolled-up columns read ``ALL``."""
-    f = filter_invoices(inv, month, segment, region)
-    g = f.rollup(*levels).agg(F.grouping_id(*levels).alias("_gid"),
-                              *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(levels)],
-                              total(F.col(AMT)).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    f = pre_aggregate(filter_invoices(inv, month, segment, region), list(levels))
+    g = f.rollup(*levels).agg(*[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(levels)],
+                              total(F.col("_s")).alias("_v"), F.sum("_n").alias("_n"))
     depth = sum((1 - F.col(f"_g{i}") for i in range(len(levels))), F.lit(0))
     cols = [F.when(F.col(f"_g{i}") == 1, F.lit(ALL)).otherwise(F.col(c)).alias(c) for i, c in enumerate(levels)]
     return g.select(depth.cast("int").alias("level"), *cols, money("_v").alias("v"),

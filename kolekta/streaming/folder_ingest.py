@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from kolekta.functions import money
-from kolekta.operators.cubes import ALL
+from kolekta.operators.cubes import ALL, pre_aggregate
 from kolekta.operators.ingest import import_open_items
 from kolekta.operators.quality import split_valid
 from kolekta.plans.tables import _fs, upsert_partitions
@@ -53,17 +53,20 @@ def stream_ingest(spark: SparkSession, landing_dir: str, table_path: str, checkp
 
 
 def mart_rows(inv: DataFrame) -> DataFrame:
-    """Per month: KPI sums for every (segment, region) combination incl. ALL."""
+    """Per month: KPI sums for every (segment, region) combination incl. ALL.
+    The fact rows are first summed per (month, segment, region, status), and
+    only those rows are expanded by the grouping sets."""
     # The month is always a grouping column, segment and region form a cube:
     # four grouping sets instead of a full three-way cube.
-    s = lambda v: f"coalesce(sum(case when status_tagih = '{v}' then cast(nilai_m as decimal(38,6)) end), 0)"
+    s = lambda v: f"coalesce(sum(case when status_tagih = '{v}' then _s end), 0)"
     return inv.sparkSession.sql(f"""
         select report_month,
                case when grouping(pengelolaan) = 1 then '{ALL}' else pengelolaan end as segment,
                case when grouping(region) = 1 then '{ALL}' else region end as region,
-               coalesce(sum(cast(nilai_m as decimal(38,6))), 0) as total_ar, {s(vocab.LAYAK)} as layak,
-               {s(vocab.TIDAK_LAYAK)} as tidak_layak, {s(vocab.BERMASALAH)} as bermasalah, count(1) as n
-        from {{inv}} group by report_month, cube(pengelolaan, region)""", inv=inv)
+               coalesce(sum(_s), 0) as total_ar, {s(vocab.LAYAK)} as layak,
+               {s(vocab.TIDAK_LAYAK)} as tidak_layak, {s(vocab.BERMASALAH)} as bermasalah, sum(_n) as n
+        from {{pre}} group by report_month, cube(pengelolaan, region)""",
+        pre=pre_aggregate(inv, ["report_month", "pengelolaan", "region"]))
 
 
 def refresh_mart(spark: SparkSession, inv: DataFrame, mart_path: str, months: DataFrame | None = None) -> None:
