@@ -4,18 +4,20 @@
    dimensions the dashboard uses (month, segment, region, category, status,
    aging) -- partial aggregation per task, one shuffle. The number of groups
    is bounded by the product of those dimensions' sizes, not by the data.
-2. One grouping-sets aggregate over those few rows: the empty set (every
-   global KPI, flow node, aging bucket and home category as a conditional
-   sum), and one set each for segment, category, region, month and region
-   within the regional flow. Sums of decimal sums are exact, so the numbers
-   equal the single-operator ones.
-
-The resulting rows (one global, one per distinct key of each dimension) are
-collected into one array and attached as a scalar subquery (runs once, no
-joins); every chart -- maps, ordered lists, the largest segment, the latest
-month, the action plan -- is derived from it with higher-order array
-functions. The customer top-N and the small pre-computed tables are one
-subquery each. The detail rows are not embedded; they stay a DataFrame
+2. One grouping-sets aggregate over those rows: a "flow" set keeping every
+   column a global KPI tests, and one set each for segment, category, region,
+   month and region within the regional flow -- each group with its total,
+   three status sums and row count.
+3. One global aggregate over those few hundred rows computes every KPI,
+   flow node, aging bucket and home category as a conditional sum, and
+   gathers each chart's rows (one per segment, category, region or month)
+   with ``collect_list``.
+
+Sums of decimal sums are exact, so the numbers equal the single-operator
+ones. The customer top-N and the small pre-computed tables (cash inflow,
+trend, sparkline metrics) are appended to the same frame, each part filling
+its own column, and gathered by the same final aggregate -- one plan, no
+joins and no subqueries. The detail rows are not embedded; they stay a DataFrame
 (``filter_invoices`` + ``detail_page``).
 """
 
@@ -31,6 +33,17 @@ from kolekta.operators.filters import active, active_filters, filter_invoices
 
 AMT = "nilai_m"
 KEYS = ("report_month", "pengelolaan", "region", "invoice_status", "status_tagih", "aging_category")
+# Grouping sets over the pre-aggregate: (name, grouping columns).
+SETS = (("flow", ("status_tagih", "aging_category", "invoice_status", "_keep", "_is_home")),
+        ("seg", ("pengelolaan",)), ("cat", ("invoice_status",)), ("reg", ("region",)),
+        ("mon", ("report_month",)), ("rgf", ("_regional_region",)))
+_MARK = {"flow": "aging_category", "seg": "pengelolaan", "reg": "region", "mon": "report_month",
+         "rgf": "_regional_region"}
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("decimal(38,6)")
+
 
 def _r4(c: Column) -> Column:
     return F.round(c, 4).cast("double")
@@ -41,141 +54,158 @@ def _pct(n: Column, d: Column, positive_only: bool = True) -> Column:
     return F.when(guard, F.round(n.cast("double") / d.cast("double") * 100, 2)).otherwise(F.lit(0.0))
 
 
-# Grouping sets over the pre-aggregate: (name, grouping columns). "flow" keeps
-# every column a global KPI tests, so all global measures derive from it.
-SETS = (("flow", ("status_tagih", "aging_category", "invoice_status", "_keep", "_is_home")),
-        ("seg", ("pengelolaan",)), ("cat", ("invoice_status",)), ("reg", ("region",)),
-        ("mon", ("report_month", "status_tagih")), ("rgf", ("_regional_region",)))
-_MARK = {"flow": "aging_category", "seg": "pengelolaan", "reg": "region", "mon": "report_month",
-         "rgf": "_regional_region"}
-
-
 def dashboard_rows(f: DataFrame, home: str = vocab.HOME_REGION) -> DataFrame:
-    """Rows (set, key, status, aging, category, keep, is_home, t, n): the
-    amount ``t`` and row count ``n`` per group of each grouping set."""
+    """Rows (dim, key, status, aging, category, keep, is_home, t, l, tl, b, n):
+    amount, status sums and row count per group of each grouping set."""
+    s = F.col("_s")
     pre = f.groupBy(*KEYS).agg(F.sum(F.col(AMT).cast("decimal(38,6)")).alias("_s"), F.count(F.lit(1)).alias("_n"))
     pre = pre.select(*KEYS, "_s", "_n", not_equal_ns("status_tagih", vocab.TIDAK_LAYAK).alias("_keep"),
                      is_home("region", home).alias("_is_home"))
     pre = pre.withColumn("_regional_region", F.when(F.col("_keep") & ~F.col("_is_home"), F.col("region")))
     cols = list(dict.fromkeys(c for _, cs in SETS for c in cs))
+    st = F.col("status_tagih")
     g = pre.groupingSets([list(cs) for _, cs in SETS], *cols).agg(
-        F.sum("_s").alias("t"), F.sum("_n").alias("n"), *[F.grouping(c).alias(f"_g_{c}") for c in cols])
-    name = F.lit("cat")   # the only set whose marker is not unique to it
+        F.sum(s).alias("t"), F.sum(F.when(st == F.lit(vocab.LAYAK), s)).alias("l"),
+        F.sum(F.when(st == F.lit(vocab.TIDAK_LAYAK), s)).alias("tl"),
+        F.sum(F.when(st == F.lit(vocab.BERMASALAH), s)).alias("b"), F.sum("_n").alias("n"),
+        *[F.grouping(c).alias(f"_g_{c}") for c in cols])
+    name = F.lit("cat")   # the only set whose marker column is shared with another set
     for set_name, mark in _MARK.items():
         name = F.when(F.col(f"_g_{mark}") == 0, F.lit(set_name)).otherwise(name)
     key = (F.when(name == "seg", F.col("pengelolaan")).when(name == "cat", F.col("invoice_status"))
            .when(name == "reg", F.col("region")).when(name == "mon", F.col("report_month"))
            .when(name == "rgf", F.col("_regional_region")))
     rows = g.select(name.alias("dim"), key.alias("key"), "status_tagih", "aging_category", "invoice_status",
-                    "_keep", "_is_home", "t", "n")
+                    "_keep", "_is_home", "t", "l", "tl", "b", "n")
     return rows.where((F.col("dim") == "flow") | F.col("key").isNotNull())
 
 
-def _entries(arr: Column, dim: str) -> Column:
-    return F.filter(arr, lambda x: x["dim"] == F.lit(dim))
+def _q(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
+def _in(values) -> str:
+    return "(" + ", ".join(_q(v) for v in values) + ")"
 
-def _sum_if(arr: Column, pred=None) -> Column:
-    """Exact decimal sum of ``t`` over the entries where ``pred`` holds."""
-    sel = arr if pred is None else F.filter(arr, lambda x: F.coalesce(pred(x), F.lit(False)))
-    return F.aggregate(sel, F.lit(0).cast("decimal(38,6)"), lambda acc, x: acc + x["t"])
 
+def _sum_sql(cond: str) -> str:
+    return f"coalesce(sum(CASE WHEN {cond} THEN t END), cast(0 as decimal(38,6)))"
 
-def _as_map(arr: Column, value) -> Column:
-    return F.map_from_entries(F.transform(arr, lambda x: F.struct(x["key"], value(x))))
+
+def _rows_sql(cond: str, fields: str) -> str:
+    return f"array_sort(collect_list(CASE WHEN {cond} THEN named_struct({fields}) END))"
+
+
+def measure_sql() -> dict[str, str]:
+    """Every global measure and chart list over the grouping-set rows, as SQL
+    text (one expression per measure; built once, parsed by the JVM)."""
+    flow, keep_home = "dim = 'flow'", "dim = 'flow' AND _keep AND _is_home"
+    st = lambda v: f"{flow} AND status_tagih = {_q(v)}"
+    m = {"_total": _sum_sql(flow), "_layak": _sum_sql(st(vocab.LAYAK)), "_tidak": _sum_sql(st(vocab.TIDAK_LAYAK)),
+         "_bermasalah": _sum_sql(st(vocab.BERMASALAH)), "_home": _sum_sql(keep_home),
+         "_regional": _sum_sql("dim = 'flow' AND _keep AND NOT _is_home"),
+         "_sudah": _sum_sql(f"{keep_home} AND invoice_status IN {_in(vocab.SUDAH_CATS)}"),
+         "_belum": _sum_sql(f"{keep_home} AND invoice_status IN {_in(vocab.BELUM_CATS)}"),
+         "_count": "cast(coalesce(sum(CASE WHEN dim = 'flow' THEN n END), 0) as bigint)",
+         "_reg_total": _sum_sql("dim = 'reg'"),
+         "_seg": _rows_sql("dim = 'seg'", "'k', key, 'v', cast(round(t, 4) as double)"),
+         "_best": "min(CASE WHEN dim = 'seg' THEN named_struct('nv', -round(t, 4), 'k', key) END)",
+         "_cat": _rows_sql("dim = 'cat'", "'k', key, 'v', cast(round(t, 4) as double)"),
+         "_reg": _rows_sql("dim = 'reg' AND t > 0", "'k', key, 't', t"),
+         "_rgf": _rows_sql("dim = 'rgf' AND t > 0", "'k', key, 'v', cast(round(t, 4) as double)"),
+         "_mon": _rows_sql("dim = 'mon'", "'m', key, 't', t, 'l', l, 'tl', tl, 'b', b")}
+    m.update({f"_c{i}": _sum_sql(f"{keep_home} AND invoice_status = {_q(c)}") for i, c in enumerate(vocab.CATEGORIES)})
+    m.update({f"_g{i}": _sum_sql(f"{flow} AND aging_category = {_q(b)}") for i, b in enumerate(vocab.AGING_BUCKETS)})
+    return m
+
+
+def dashboard_measures(rows: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
+    """One row: every global measure plus each chart's (sorted) list (and any
+    ``extra`` aggregates, as SQL text, over the same rows). The latest month
+    is taken over the month rows, parsing each label once."""
+    m = measure_sql()
+    m.update(extra or {})
+    latest = F.max(F.when((F.col("dim") == "mon") & month_ord("key").isNotNull(),
+                          F.struct(month_ord("key").alias("o"), F.col("key").alias("m")))).alias("_latest")
+    return rows.agg(*[F.expr(f"{v} AS {k}") for k, v in m.items()], latest)
+
+
+def _tagged(df: DataFrame, name: str, order: str) -> DataFrame:
+    """One struct column ``name`` per row, its first field the sort key."""
+    rest = [c for c in df.columns if c != order]
+    return df.select(F.struct(order, *rest).alias(name))
 
 
 def dashboard_payload(inv: DataFrame, cust: DataFrame, inflow: DataFrame, trend: DataFrame, metrics: DataFrame,
                       month=None, segment=None, region=None, home: str = vocab.HOME_REGION) -> DataFrame:
     f = filter_invoices(inv, month, segment, region)
-    rows = dashboard_rows(f, home)
-    arr = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("v")).scalar()
-    top = customers.top_customers(cust, month)
-    top_sub = top.agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in top.columns if c != "rank"])))).scalar()
-
-    def series(df: DataFrame) -> Column:
-        return df.agg(F.array_sort(F.collect_list(F.struct("sort_order", *[c for c in df.columns if c != "sort_order"])))).scalar()
-
-    spark = inv.sparkSession
-    base = spark.range(1).select(arr.alias("g"), top_sub.alias("top"),
-                                 series(inflow).alias("inflow"), series(trend).alias("trend"),
-                                 history.sparkline(metrics).select(F.struct("overdue_pct", "dso", "months")).scalar()
-                                 .alias("spark"))
-    g = F.col("g")
-    fl = _entries(g, "flow")
-    st = lambda v: (lambda x: x["status_tagih"] == F.lit(v))
-    keep_home = lambda x: x["_keep"] & x["_is_home"]
-    tot, layak = _sum_if(fl), _sum_if(fl, st(vocab.LAYAK))
-    tidak, bermasalah = _sum_if(fl, st(vocab.TIDAK_LAYAK)), _sum_if(fl, st(vocab.BERMASALAH))
-    count = F.aggregate(fl, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
-    over = tidak + bermasalah
-    seg = _entries(g, "seg")
-    best = F.try_element_at(F.array_sort(F.transform(seg, lambda x: F.struct((-F.round(x["t"], 4)).alias("nv"),
-                                                                              x["key"].alias("k")))), F.lit(1))
-    mon = _entries(g, "mon")
-    months = F.array_distinct(F.transform(mon, lambda x: x["key"]))
-    latest = F.array_max(F.filter(F.transform(months, lambda m: F.struct(month_ord(m).alias("o"), m.alias("m"))),
-                                  lambda x: x["o"].isNotNull()))["m"]
+    # All parts are appended into one frame (each fills only its own column)
+    # and gathered by ONE global aggregate: one plan, no joins, no subqueries.
+    parts = [_tagged(customers.top_customers(cust, month), "_top_row", "rank"),
+             _tagged(inflow, "_inflow_row", "sort_order"), _tagged(trend, "_trend_row", "sort_order"),
+             _tagged(metrics.select("sort_order", "month_label", "overdue_pct", "dso"), "_metric_row", "sort_order")]
+    u = dashboard_rows(f, home)
+    for p in parts:
+        u = u.unionByName(p, allowMissingColumns=True)
+    gather = lambda col: f"array_sort(collect_list({col}))"  # noqa: E731   (nulls are skipped)
+    base = dashboard_measures(u, {"_top": gather("_top_row"), "_inflow": gather("_inflow_row"),
+                                  "_trend": gather("_trend_row"), "_metrics": gather("_metric_row")})
+    return base.selectExpr(*payload_sql(month, segment, region))
+
+
+def _r4s(x: str) -> str:
+    return f"cast(round({x}, 4) as double)"
+
+
+def _pct_sql(n: str, d: str, op: str = ">") -> str:
+    return f"CASE WHEN {d} {op} 0 THEN round(cast({n} as double) / cast({d} as double) * 100, 2) ELSE 0.0 END"
+
+
+def payload_sql(month=None, segment=None, region=None) -> list[str]:
+    """The nested payload built from the measures row, as SQL text."""
+    over = "(_tidak + _bermasalah)"
     filters = active_filters(month, segment, region)
-    as_of = F.lit(month) if active(month) else latest
-    summary = F.struct(
-        _r4(tot).alias("total_ar_m"), _r4(layak).alias("total_layak_tagih_m"),
-        _r4(tidak).alias("total_tidak_layak_m"), _r4(bermasalah).alias("total_bermasalah_m"),
-        _r4(over).alias("over_due_m"), _pct(over, tot).alias("overdue_pct"),
-        F.coalesce(best["k"], F.lit("-")).alias("largest_segment"),
-        F.lit(vocab.DSO_CONSTANT).alias("dso"), as_of.alias("as_of_date"), count.alias("total_records"),
-        F.struct(*[F.lit(v).alias(k) for k, v in filters.items()]).alias("active_filters"))
-
-    age_vals = [_sum_if(fl, (lambda x, c=col, v=val: x[c] == F.lit(v))) for _, _, col, val in vocab.AGE_ANALYSIS]
-    age_map = F.map_from_arrays(F.array(*[F.lit(lbl) for _, lbl, _, _ in vocab.AGE_ANALYSIS]),
-                                F.array(*[_r4(v) for v in age_vals]))
-
-    reg = _entries(g, "reg")
-    reg_tot = _sum_if(reg)
-    region_breakup = F.transform(F.filter(reg, lambda x: x["t"] > 0), lambda x: F.struct(
-        x["key"].alias("region"), _r4(x["t"]).alias("value"),
-        _pct(x["t"], reg_tot, positive_only=False).alias("percentage")))
-    history_trend = F.transform(F.array_sort(months), lambda m: F.struct(
-        m.alias("report_month"),
-        _r4(_sum_if(mon, lambda x: x["key"] == m)).alias("total_m"),
-        _r4(_sum_if(mon, lambda x: (x["key"] == m) & st(vocab.LAYAK)(x))).alias("layak_m"),
-        _r4(_sum_if(mon, lambda x: (x["key"] == m) & st(vocab.TIDAK_LAYAK)(x))).alias("tidak_layak_m"),
-        _r4(_sum_if(mon, lambda x: (x["key"] == m) & st(vocab.BERMASALAH)(x))).alias("bermasalah_m")))
-
-    home_sum = _sum_if(fl, keep_home)
-    regional_sum = _sum_if(fl, lambda x: x["_keep"] & ~x["_is_home"])
-    cat_vals = [(c, _sum_if(fl, (lambda x, c=c: keep_home(x) & (x["invoice_status"] == F.lit(c)))))
-                for c in vocab.CATEGORIES]
-    cat_entries = F.array(*[F.struct(F.lit(c).alias("k"), v.alias("s")) for c, v in cat_vals])
-    home_cats = F.map_from_entries(F.transform(F.filter(cat_entries, lambda x: x["s"] > 0),
-                                               lambda x: F.struct(x["k"], _r4(x["s"]))))
-    ar_flow = F.struct(
-        _r4(tot).alias("total_m"), _r4(tidak).alias("tidak_layak_m"), _r4(layak).alias("layak_tagih_m"),
-        _r4(bermasalah).alias("bermasalah_m"), _r4(home_sum).alias("home_total_m"),
-        _r4(regional_sum).alias("regional_total_m"),
-        _r4(_sum_if(fl, lambda x: keep_home(x) & x["invoice_status"].isin(*vocab.SUDAH_CATS))).alias("sudah_invoice_m"),
-        _r4(_sum_if(fl, lambda x: keep_home(x) & x["invoice_status"].isin(*vocab.BELUM_CATS))).alias("belum_invoice_m"),
-        home_cats.alias("home_categories"),
-        _as_map(F.filter(_entries(g, "rgf"), lambda x: x["t"] > 0), lambda x: _r4(x["t"])).alias("regional_breakdown"))
-
-    amounts = {vocab.TIDAK_LAYAK: tidak, "REGIONAL": F.round(regional_sum, 4)}
-    amounts.update({c: F.when(v > 0, F.round(v, 4)).otherwise(F.lit(0)) for c, v in cat_vals})
-    plan = F.array(*[F.struct(F.lit(ord_).alias("ord"), F.lit(k).alias("kategori"),
-                              amounts.get(k, F.lit(0)).cast("decimal(38,6)").alias("_v"), F.lit(u).alias("uic"),
-                              F.lit(t).alias("tindak_lanjut"), F.lit(d).alias("due_date"))
-                     for ord_, k, u, t, d in vocab.ACTION_PLAN])
-    action_plan = F.transform(F.filter(plan, lambda x: x["_v"] > 0), lambda x: F.struct(
-        x["ord"].alias("ord"), x["kategori"].alias("kategori"), _r4(x["_v"]).alias("nilai_m"), x["uic"].alias("uic"),
-        x["tindak_lanjut"].alias("tindak_lanjut"), x["due_date"].alias("due_date")))
-
-    charts = F.struct(
-        age_map.alias("age_analysis"),
-        _as_map(seg, lambda x: _r4(x["t"])).alias("segment_breakdown"),
-        _as_map(_entries(g, "cat"), lambda x: _r4(x["t"])).alias("category_breakdown"),
-        region_breakup.alias("region_breakup"), ar_flow.alias("ar_flow"), history_trend.alias("history_trend"),
-        F.col("inflow").alias("cash_inflow"), F.col("trend").alias("trend_t13m"), F.col("spark").alias("sparklines"))
-    return base.select(summary.alias("summary"), charts.alias("charts"), action_plan.alias("action_plan"),
-                       F.col("top").alias("top_customers"))
+    as_of = _q(month) if active(month) else "_latest.m"
+    summary = (
+        f"named_struct('total_ar_m', {_r4s('_total')}, 'total_layak_tagih_m', {_r4s('_layak')}, "
+        f"'total_tidak_layak_m', {_r4s('_tidak')}, 'total_bermasalah_m', {_r4s('_bermasalah')}, "
+        f"'over_due_m', {_r4s(over)}, 'overdue_pct', {_pct_sql(over, '_total')}, "
+        f"'largest_segment', coalesce(_best.k, '-'), 'dso', {vocab.DSO_CONSTANT}, 'as_of_date', {as_of}, "
+        f"'total_records', _count, 'active_filters', named_struct("
+        + ", ".join(f"{_q(k)}, {_q(v)}" for k, v in filters.items()) + ")) AS summary")
+    status_col = {vocab.LAYAK: "_layak", vocab.BERMASALAH: "_bermasalah", vocab.TIDAK_LAYAK: "_tidak"}
+    age = ", ".join(f"{_q(lbl)}, {_r4s(status_col[val] if col == 'status_tagih' else '_g%d' % vocab.AGING_BUCKETS.index(val))}"
+                    for _, lbl, col, val in vocab.AGE_ANALYSIS)
+    cats = ", ".join(f"named_struct('k', {_q(c)}, 's', _c{i})" for i, c in enumerate(vocab.CATEGORIES))
+    home_cats = f"map_from_entries(transform(filter(array({cats}), x -> x.s > 0), x -> struct(x.k, {_r4s('x.s')})))"
+    ar_flow = (f"named_struct('total_m', {_r4s('_total')}, 'tidak_layak_m', {_r4s('_tidak')}, "
+               f"'layak_tagih_m', {_r4s('_layak')}, 'bermasalah_m', {_r4s('_bermasalah')}, "
+               f"'home_total_m', {_r4s('_home')}, 'regional_total_m', {_r4s('_regional')}, "
+               f"'sudah_invoice_m', {_r4s('_sudah')}, 'belum_invoice_m', {_r4s('_belum')}, "
+               f"'home_categories', {home_cats}, 'regional_breakdown', map_from_entries(_rgf))")
+    region_breakup = (f"transform(_reg, x -> named_struct('region', x.k, 'value', {_r4s('x.t')}, "
+                      f"'percentage', {_pct_sql('x.t', '_reg_total', '<>')}))")
+    z = "cast(0 as decimal(38,6))"
+    history_trend = (f"transform(_mon, x -> named_struct('report_month', x.m, 'total_m', {_r4s('x.t')}, "
+                     f"'layak_m', {_r4s(f'coalesce(x.l, {z})')}, 'tidak_layak_m', {_r4s(f'coalesce(x.tl, {z})')}, "
+                     f"'bermasalah_m', {_r4s(f'coalesce(x.b, {z})')}))")
+    sparklines = ("named_struct('overdue_pct', transform(_metrics, x -> x.overdue_pct), "
+                  "'dso', transform(_metrics, x -> x.dso), 'months', transform(_metrics, x -> x.month_label))")
+    charts = (f"named_struct('age_analysis', map({age}), 'segment_breakdown', map_from_entries(_seg), "
+              f"'category_breakdown', map_from_entries(_cat), 'region_breakup', {region_breakup}, "
+              f"'ar_flow', {ar_flow}, 'history_trend', {history_trend}, 'cash_inflow', _inflow, "
+              f"'trend_t13m', _trend, 'sparklines', {sparklines}) AS charts")
+    # Action plan: uncollectible compares its raw sum, the others the rounded
+    # values the flow exposes (a category exists only when its raw sum is > 0).
+    amounts = {vocab.TIDAK_LAYAK: "_tidak", "REGIONAL": "round(_regional, 4)"}
+    amounts.update({c: f"CASE WHEN _c{i} > 0 THEN round(_c{i}, 4) ELSE 0 END" for i, c in enumerate(vocab.CATEGORIES)})
+    plan = ", ".join(f"named_struct('ord', {o}, 'kategori', {_q(k)}, '_v', cast({amounts.get(k, '0')} as decimal(38,6)), "
+                     f"'uic', {_q(u)}, 'tindak_lanjut', {_q(t)}, 'due_date', {_q(dd)})"
+                     for o, k, u, t, dd in vocab.ACTION_PLAN)
+    action_plan = (f"transform(filter(array({plan}), x -> x._v > 0), x -> named_struct('ord', x.ord, "
+                   f"'kategori', x.kategori, 'nilai_m', {_r4s('x._v')}, 'uic', x.uic, 'tindak_lanjut', x.tindak_lanjut, "
+                   f"'due_date', x.due_date)) AS action_plan")
+    return [summary, charts, action_plan, "_top AS top_customers"]
 
 
 def payload_json(payload: DataFrame) -> DataFrame:
