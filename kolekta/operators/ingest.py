@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import safe_str, strip
+from kolekta.functions import safe_str, strip, to_amount
 
 FACT_COLUMNS = ("invoice_id", "customer_name", "aging_category", "status_tagih", "region", "invoice_status",
                 "nilai_m", "uic", "due_date", "action_plan", "above_credit_limit", "report_month", "pengelolaan",
@@ -91,21 +91,20 @@ AMOUNT_TYPE = "decimal(38,18)"
 
 
 def parse_amount(raw: str = "raw") -> F.Column:
-    """Cell text -> exact decimal; null for text, blanks, NaN and infinities
-    (none of them is a decimal), so one parse both validates and reads."""
+    """Cell text -> exact decimal; null for text, blanks, NaN and infinities."""
     return strip(raw).try_cast(AMOUNT_TYPE)
 
 
 def coerce_amount(cells: DataFrame) -> DataFrame:
     """Numeric cells only: text, NaN, infinities and exact zeros are dropped,
-    negatives kept. Adds ``amount`` (exact decimal) and ``v`` (double)."""
-    c = cells.withColumn("amount", parse_amount("raw")).where(F.col("amount") != 0)
-    return c.withColumn("v", F.col("amount").cast("double"))
+    negatives kept. Adds ``v`` (double). The filter uses the fast double
+    parse; the exact decimal parse runs later, only on the cells kept."""
+    return cells.withColumn("v", to_amount("raw")).where(F.col("v") != 0)
 
 
-def scale_to_billions(amount: str = "amount") -> F.Column:
-    """Rupiah -> billions, ``round(v / 1e9, 6)``, on the exact decimal."""
-    return F.round(F.col(amount) / F.lit(1000000000), 6).cast("decimal(18,6)")
+def scale_to_billions(raw: str = "raw") -> F.Column:
+    """Rupiah text -> billions, ``round(v / 1e9, 6)``, on the exact decimal."""
+    return F.round(parse_amount(raw) / F.lit(1000000000), 6).cast("decimal(18,6)")
 
 
 # --- ING-7/8 -----------------------------------------------------------------
@@ -161,7 +160,7 @@ def import_open_items(wide: DataFrame, header: DataFrame, sheets: DataFrame | No
     ident = [c for c, _, _ in vocab.IDENTITY_COLUMNS] + ["UNLOCK"]
     keep = tuple(["report_month", "sheet"] + [c for c in ident if c in wide.columns])
     cells = coerce_amount(unpivot_cells(rows, column_map(header, valid), keep))
-    cells = cells.withColumn("nilai_m", scale_to_billions("amount"))
+    cells = cells.withColumn("nilai_m", scale_to_billions("raw"))
     facts = identity_columns(classify_invoice(classify_aging(cells)))
     facts = with_invoice_key(facts)
     return facts.select(
