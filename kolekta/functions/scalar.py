@@ -29,6 +29,38 @@ def total(c: ColLike, cond: Column | None = None) -> Column:
     return F.coalesce(F.sum(amt if cond is None else F.when(cond, amt)), F.lit(0))
 
 
+def sql_str(v: str) -> str:
+    """A SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sum_if(cond: str | None = None, amount: str = "nilai_m") -> Column:
+    """``S(p)`` as one SQL expression (one call into the JVM, however long the
+    condition): exact decimal sum of the amount where ``cond`` holds, 0 when
+    nothing matches. Widened to decimal(38,6) so huge tables cannot overflow."""
+    a = f"cast({amount} as decimal(38,6))"
+    inner = a if cond is None else f"CASE WHEN {cond} THEN {a} END"
+    return F.expr(f"coalesce(sum({inner}), cast(0 as decimal(38,6)))")
+
+
+def values_frame(spark, rows, columns: tuple[str, ...]):
+    """A small fixed dimension (a vocabulary) as a SQL VALUES relation."""
+    def lit(v):
+        return "NULL" if v is None else (sql_str(v) if isinstance(v, str) else repr(v))
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
+
+
+def money_sql(x: str, scale: int = 4) -> str:
+    return f"cast(round({x}, {scale}) as double)"
+
+
+def pct_sql(num: str, den: str, positive_only: bool = True) -> str:
+    op = ">" if positive_only else "<>"
+    return (f"CASE WHEN cast({den} as double) {op} 0 THEN round(cast({num} as double) / cast({den} as double) * 100, 2) "
+            f"ELSE 0.0 END")
+
+
 def safe_pct(num: ColLike, den: ColLike, scale: int = 2, positive_only: bool = True) -> Column:
     """``num / den * 100`` rounded; 0.0 unless the denominator is > 0 (or != 0)."""
     n, d = _c(num).cast("double"), _c(den).cast("double")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import is_home, money, not_equal_ns, safe_pct, total
+from kolekta.functions import is_home, money, money_sql, not_equal_ns, safe_pct, sql_str, sum_if, values_frame
 from kolekta.operators.filters import filter_invoices
 from kolekta.operators.summary import AMT, long_rows, status_sums
 
@@ -34,15 +34,14 @@ def flow_flags(df: DataFrame, home: str = vocab.HOME_REGION) -> DataFrame:
 
 def flow_sums(categories: tuple[str, ...] = vocab.CATEGORIES,
               sudah: tuple[str, ...] = vocab.SUDAH_CATS, belum: tuple[str, ...] = vocab.BELUM_CATS) -> list[Column]:
-    """Conditional sums over ``flow_flags`` rows."""
-    a = F.col(AMT)
-    keep, home_c, cat = F.col("_keep"), F.col("_is_home"), F.col("invoice_status")
+    """Conditional sums over ``flow_flags`` rows (SQL text: one JVM call each)."""
+    home = "_keep AND _is_home"
+    in_list = lambda vs: "(" + ", ".join(sql_str(v) for v in vs) + ")"
     return status_sums() + [
-        total(a, keep & home_c).alias("_home"),
-        total(a, keep & ~home_c).alias("_regional"),
-        total(a, keep & home_c & cat.isin(*sudah)).alias("_sudah"),
-        total(a, keep & home_c & cat.isin(*belum)).alias("_belum"),
-        *[total(a, keep & home_c & (cat == F.lit(c))).alias(f"_c{i}") for i, c in enumerate(categories)],
+        sum_if(home).alias("_home"), sum_if("_keep AND NOT _is_home").alias("_regional"),
+        sum_if(f"{home} AND invoice_status IN {in_list(sudah)}").alias("_sudah"),
+        sum_if(f"{home} AND invoice_status IN {in_list(belum)}").alias("_belum"),
+        *[sum_if(f"{home} AND invoice_status = {sql_str(c)}").alias(f"_c{i}") for i, c in enumerate(categories)],
     ]
 
 
@@ -52,11 +51,10 @@ def _flow_agg(inv, home, categories, month, segment, region) -> DataFrame:
 
 def flow_levels(inv: DataFrame, home: str = vocab.HOME_REGION, month=None, segment=None, region=None) -> DataFrame:
     g = _flow_agg(inv, home, vocab.CATEGORIES, month, segment, region)
-    return g.select(
-        money("_total").alias("total_m"), money("_tidak").alias("tidak_layak_m"),
-        money("_layak").alias("layak_tagih_m"), money("_bermasalah").alias("bermasalah_m"),
-        money("_home").alias("home_total_m"), money("_regional").alias("regional_total_m"),
-        money("_sudah").alias("sudah_invoice_m"), money("_belum").alias("belum_invoice_m"))
+    names = (("_total", "total_m"), ("_tidak", "tidak_layak_m"), ("_layak", "layak_tagih_m"),
+             ("_bermasalah", "bermasalah_m"), ("_home", "home_total_m"), ("_regional", "regional_total_m"),
+             ("_sudah", "sudah_invoice_m"), ("_belum", "belum_invoice_m"))
+    return g.selectExpr(*[f"{money_sql(src)} AS {dst}" for src, dst in names])
 
 
 def flow_categories(inv: DataFrame, home: str = vocab.HOME_REGION,
@@ -95,7 +93,7 @@ def flow_long(inv: DataFrame, home: str = vocab.HOME_REGION, month=None, segment
 
 
 def action_plan_dim(spark, plan: tuple = vocab.ACTION_PLAN) -> DataFrame:
-    return spark.createDataFrame(list(plan), "ord int, kategori string, uic string, tindak_lanjut string, due_date string")
+    return values_frame(spark, plan, ("ord", "kategori", "uic", "tindak_lanjut", "due_date"))
 
 
 def action_plan(inv: DataFrame, dim: DataFrame | None = None, home: str = vocab.HOME_REGION,
@@ -108,9 +106,10 @@ def action_plan(inv: DataFrame, dim: DataFrame | None = None, home: str = vocab.
     g = _flow_agg(inv, home, categories, month, segment, region)
     # Uncollectible compares its raw sum; the others compare the rounded
     # values the flow exposes (a category exists only when its raw sum is > 0).
-    rows = [(vocab.TIDAK_LAYAK, F.col("_tidak")), ("REGIONAL", F.round("_regional", 4))]
-    rows += [(c, F.when(F.col(f"_c{i}") > 0, F.round(f"_c{i}", 4)).otherwise(F.lit(0))) for i, c in enumerate(categories)]
-    amounts = long_rows(g, rows, ("kategori", "_v")).where(F.col("_v") > 0)
-    return (amounts.join(F.broadcast(dim), "kategori")
-            .select("ord", "kategori", money("_v").alias("nilai_m"), "uic", "tindak_lanjut", "due_date")
+    amounts = [(vocab.TIDAK_LAYAK, "_tidak"), ("REGIONAL", "round(_regional, 4)")]
+    amounts += [(c, f"CASE WHEN _c{i} > 0 THEN round(_c{i}, 4) ELSE 0 END") for i, c in enumerate(categories)]
+    rows = ", ".join(f"named_struct('kategori', {sql_str(k)}, '_v', cast({v} as decimal(38,6)))" for k, v in amounts)
+    long = g.selectExpr(f"inline(array({rows}))").where("_v > 0")
+    return (long.join(F.broadcast(dim), "kategori")
+            .selectExpr("ord", "kategori", f"{money_sql('_v')} AS nilai_m", "uic", "tindak_lanjut", "due_date")
             .coalesce(1).sortWithinPartitions("ord"))   # at most len(dim) rows: no range-partition sampling job

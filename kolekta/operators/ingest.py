@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import safe_str, strip, to_amount
+from kolekta.functions import safe_str, strip, to_amount, values_frame
 
 FACT_COLUMNS = ("invoice_id", "customer_name", "aging_category", "status_tagih", "region", "invoice_status",
                 "nilai_m", "uic", "due_date", "action_plan", "above_credit_limit", "report_month", "pengelolaan",
@@ -51,7 +51,7 @@ def column_map(header: DataFrame, valid: tuple[str, ...] = vocab.CATEGORIES,
 # --- SRC-7, ING-1, WIN-8 ------------------------------------------------------
 
 def sheet_dim(spark, sheets: tuple = vocab.SHEET_MONTHS) -> DataFrame:
-    return spark.createDataFrame(list(sheets), "sheet string, report_month string")
+    return values_frame(spark, sheets, ("sheet", "report_month"))
 
 
 def select_sheets(wide: DataFrame, dim: DataFrame | None = None) -> DataFrame:
@@ -110,8 +110,7 @@ def scale_to_billions(raw: str = "raw") -> F.Column:
 # --- ING-7/8 -----------------------------------------------------------------
 
 def bracket_dim(spark, brackets: tuple = vocab.BRACKETS) -> DataFrame:
-    return spark.createDataFrame([(b, a, s) for b, _, a, s in brackets],
-                                 "bracket int, aging_category string, status_tagih string")
+    return values_frame(spark, [(b, a, s) for b, _, a, s in brackets], ("bracket", "aging_category", "status_tagih"))
 
 
 def classify_aging(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import money, month_ord, not_equal_ns, safe_pct, total
+from kolekta.functions import money, money_sql, month_ord, not_equal_ns, pct_sql, safe_pct, sql_str, sum_if, total
 from kolekta.operators.filters import active, filter_invoices
 
 AMT = "nilai_m"
@@ -24,6 +24,10 @@ def _status(v: str) -> Column:
     return F.col("status_tagih") == F.lit(v)
 
 
+def _is(col: str, v: str) -> str:
+    return f"{col} = {sql_str(v)}"
+
+
 def long_rows(df: DataFrame, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
     """Turn one wide row into a few long rows (``inline`` of an array of
     structs -- a Generate in the same stage, no shuffle). ``rows`` holds tuples
@@ -35,11 +39,9 @@ def long_rows(df: DataFrame, rows: list[tuple], names: tuple[str, ...]) -> DataF
 
 
 def status_sums() -> list[Column]:
-    a = F.col(AMT)
-    return [total(a).alias("_total"),
-            total(a, _status(vocab.LAYAK)).alias("_layak"),
-            total(a, _status(vocab.TIDAK_LAYAK)).alias("_tidak"),
-            total(a, _status(vocab.BERMASALAH)).alias("_bermasalah")]
+    return [sum_if().alias("_total"), sum_if(_is("status_tagih", vocab.LAYAK)).alias("_layak"),
+            sum_if(_is("status_tagih", vocab.TIDAK_LAYAK)).alias("_tidak"),
+            sum_if(_is("status_tagih", vocab.BERMASALAH)).alias("_bermasalah")]
 
 
 # --- AGG-1..3, AGG-22 -------------------------------------------------------
@@ -48,17 +50,12 @@ def kpi_summary(inv: DataFrame, month=None, segment=None, region=None) -> DataFr
     """Headline KPIs: status totals (round 4), over-due, its share, the constant
     DSO and the row count (null amounts included)."""
     g = filter_invoices(inv, month, segment, region).agg(*status_sums(), F.count(F.lit(1)).alias("total_records"))
-    over = F.col("_tidak") + F.col("_bermasalah")
-    return g.select(
-        money("_total").alias("total_ar_m"),
-        money("_layak").alias("total_layak_tagih_m"),
-        money("_tidak").alias("total_tidak_layak_m"),
-        money("_bermasalah").alias("total_bermasalah_m"),
-        money(over).alias("over_due_m"),
-        safe_pct(over, "_total").alias("overdue_pct"),
-        F.lit(vocab.DSO_CONSTANT).cast("int").alias("dso"),
-        F.col("total_records").cast("bigint").alias("total_records"),
-    )
+    over = "(_tidak + _bermasalah)"
+    return g.selectExpr(
+        f"{money_sql('_total')} AS total_ar_m", f"{money_sql('_layak')} AS total_layak_tagih_m",
+        f"{money_sql('_tidak')} AS total_tidak_layak_m", f"{money_sql('_bermasalah')} AS total_bermasalah_m",
+        f"{money_sql(over)} AS over_due_m", f"{pct_sql(over, '_total')} AS overdue_pct",
+        f"cast({vocab.DSO_CONSTANT} as int) AS dso", "cast(total_records as bigint) AS total_records")
 
 
 def minimal_summary(inv: DataFrame, month=None, segment=None, region=None) -> DataFrame:
@@ -152,9 +149,8 @@ def segment_rank(inv: DataFrame, month=None, segment=None, region=None) -> DataF
 def age_analysis(inv: DataFrame, month=None, segment=None, region=None,
                  layout: tuple = vocab.AGE_ANALYSIS) -> DataFrame:
     """Eight fixed labels (3 status sums, 5 aging sums), always present."""
-    a = F.col(AMT)
     g = filter_invoices(inv, month, segment, region).agg(
-        *[total(a, F.col(col) == F.lit(val)).alias(f"_a{o}") for o, _, col, val in layout])
+        *[sum_if(_is(col, val)).alias(f"_a{o}") for o, _, col, val in layout])
     return long_rows(g, [(o, lbl, money(f"_a{o}")) for o, lbl, _, _ in layout], ("ord", "label", "v"))
 
 
