@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import is_home, money, money_sql, not_equal_ns, safe_pct, sql_str, sum_if, values_frame
+from kolekta.functions import is_home, money, money_sql, not_equal_ns, safe_pct, sql_str, sum_if, total, values_frame
 from kolekta.operators.filters import filter_invoices
 from kolekta.operators.summary import AMT, long_rows, status_sums
 
