@@ -113,7 +113,10 @@ def main() -> None:
                  "top_customers": lambda: customers.top_customers(cust),
                  "detail_page": lambda: paging.detail_page(filters.drilldown(inv, "status_tagih", "AR BERMASALAH"), 3),
                  "table_upsert": lambda: mutations.upsert_rows(inv, upd, "invoice_id"),
-                 "import_open_items": lambda: ingest.import_open_items(wide, header)}
+                 "import_open_items": lambda: ingest.import_open_items(wide, header),
+                 "dashboard_payload": lambda: dashboard_payload(
+                     inv, cust, cat.read_table("ar_cash_inflow_forecast_tbl"), cat.read_table("ar_trend_t13m_tbl"),
+                     cat.read_table("ar_metrics_history_tbl"))}
         for name, fn in plans.items():
             print(f"\n## {name}\n\n```")
             fn().explain()
