@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from kolekta.operators.ingest import import_report
-from kolekta.operators.mutations import upsert_rows
+from kolekta.operators.mutations import delete_rows, update_rows, upsert_rows
 from kolekta.session import ensure_checkpoint_dir
 
 VERSION_PREFIX = "v="
@@ -96,42 +96,70 @@ def apply_upsert(spark: SparkSession, table_dir: str, source: DataFrame, pk: str
     return write_version(merged, table_dir, partition_by)
 
 
-def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, pk: str = "invoice_id",
-                      part: str = "report_month", schema=None) -> DataFrame:
-    """Upsert that rewrites only the touched partitions of a partitioned
-    Parquet table at ``path`` (created on first use).
+def mutate_partitions(spark: SparkSession, path: str, changes: DataFrame, mutate, pk: str = "invoice_id",
+                      part: str = "report_month", schema=None, source_has_partition: bool = True) -> DataFrame:
+    """Apply a keyed change to a partitioned Parquet table at ``path``,
+    rewriting only the partitions it touches.
 
-    Touched partitions are the source's own plus those where one of the
-    source's keys currently lives (a key may move month). Only the (key,
-    partition) columns of the table are scanned to find them."""
+    Touched partitions are those where one of the change's keys currently
+    lives (only the key and partition columns are scanned to find them), plus
+    the change's own partitions when it carries rows to write. ``mutate(old,
+    changes)`` gets the rows of the touched partitions and returns their new
+    content. Lineage is cut with a reliable checkpoint before the overwrite,
+    so no step re-reads the files being replaced."""
     ensure_checkpoint_dir(spark)
-    fs, p, _ = _fs(spark, path)
-    src = source
-    if not fs.exists(p):
-        src.write.mode("overwrite").partitionBy(part).parquet(path)
-        return spark.read.parquet(path)
+    fs, p, jvm = _fs(spark, path)
     cur = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
-    moved = cur.select(pk, part).join(src.select(pk), pk, "left_semi").select(part)
+    located = cur.select(pk, part).join(changes.select(pk), pk, "left_semi").select(part)
+    if source_has_partition:
+        located = changes.select(part).union(located)
     # The touched partitions are fixed before anything is rewritten (one value
-    # per month partition -- a short list), so no later step re-reads files
-    # that the overwrite replaces.
-    touched = [r[part] for r in src.select(part).union(moved).distinct().collect()]
+    # per month partition -- a short list).
+    touched = [r[part] for r in located.distinct().collect()]
+    if not touched:
+        return cur
     in_touched = F.col(part).isin([v for v in touched if v is not None])
     if None in touched:
         in_touched = in_touched | F.col(part).isNull()
-    merged = upsert_rows(cur.where(in_touched), src.select(*cur.columns), pk).checkpoint(eager=True)
+    merged = mutate(cur.where(in_touched), changes).select(*cur.columns).checkpoint(eager=True)
     (rebalanced(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy(part).parquet(path))
-    # A partition whose last key moved away has no rows to overwrite it with: drop its folder.
+    # A partition left without rows has nothing to overwrite it with: drop its folder.
     kept = {r[part] for r in merged.select(part).distinct().collect()}
-    emptied = [v for v in touched if v not in kept]
-    if emptied:
-        jvm = spark.sparkContext._jvm
-        esc = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for v in emptied:
+    esc = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for v in touched:
+        if v not in kept:
             name = "__HIVE_DEFAULT_PARTITION__" if v is None else esc(str(v))
             fs.delete(jvm.org.apache.hadoop.fs.Path(p, f"{part}={name}"), True)
-    return spark.read.parquet(path)
+    return spark.read.schema(cur.schema).parquet(path)   # known schema: also reads a table left empty
+
+
+def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, pk: str = "invoice_id",
+                      part: str = "report_month", schema=None) -> DataFrame:
+    """Upsert that rewrites only the touched partitions (created on first use);
+    a key may move to another month."""
+    fs, p, _ = _fs(spark, path)
+    if not fs.exists(p):
+        rebalanced(source, part).write.mode("overwrite").partitionBy(part).parquet(path)
+        return spark.read.parquet(path)
+    return mutate_partitions(spark, path, source, lambda old, src: upsert_rows(old, src.select(*old.columns), pk),
+                             pk, part, schema)
+
+
+def update_partitions(spark: SparkSession, path: str, changes: DataFrame, cols: list[str] | None = None,
+                      pk: str = "invoice_id", part: str = "report_month", schema=None) -> DataFrame:
+    """Update by key, rewriting only the partitions holding those keys."""
+    if cols and part in cols:
+        raise ValueError("moving a key to another partition is an upsert, not an update")
+    return mutate_partitions(spark, path, changes, lambda old, ch: update_rows(old, ch, pk, cols), pk, part, schema,
+                             source_has_partition=False)
+
+
+def delete_partitions(spark: SparkSession, path: str, keys: DataFrame, pk: str = "invoice_id",
+                      part: str = "report_month", schema=None) -> DataFrame:
+    """Delete by key, rewriting only the partitions holding those keys."""
+    return mutate_partitions(spark, path, keys, lambda old, k: delete_rows(old, k, pk), pk, part, schema,
+                             source_has_partition=False)
 
 
 def export_csv(df: DataFrame, out_dir: str, month: str | None = None, segment: str | None = None,

@@ -97,6 +97,11 @@ def test_versions_and_partition_upsert(spark, scratch):
     out = tables.upsert_partitions(spark, path, moved)
     got = sorted((r.invoice_id, r.report_month) for r in out.collect())
     assert got == [("K1", "Juli 2026"), ("K2", "Juli 2026")]        # the emptied month is gone
+    ch = spark.createDataFrame([("K2", "Z")], "invoice_id string, region string")
+    upd = tables.update_partitions(spark, path, ch, ["region"])
+    assert sorted((r.invoice_id, r.region) for r in upd.collect()) == [("K1", "A"), ("K2", "Z")]
+    left = tables.delete_partitions(spark, path, spark.createDataFrame([("K1",), ("K2",)], "invoice_id string"))
+    assert left.count() == 0
 
 
 def test_export_csv_round_trip(spark, scratch):
