@@ -97,6 +97,14 @@ def norm(c: ColLike) -> Column:
     return F.lower(strip(c))
 
 
+_WHITESPACE_SQL = r" \t\n\r\u000B\u000C"   # the same set, as Spark SQL escapes
+
+
+def is_home_sql(region: str = "region", home: str = vocab.HOME_REGION) -> str:
+    """``is_home`` as Spark SQL text."""
+    return f"coalesce(lower(btrim({region}, '{_WHITESPACE_SQL}')) = {sql_str(home.lower().strip())}, false)"
+
+
 def is_home(region: ColLike = "region", home: str = vocab.HOME_REGION) -> Column:
     """Home-region test; a null region is never home."""
     return F.coalesce(norm(region) == F.lit(home.lower().strip()), F.lit(False))
@@ -140,10 +148,12 @@ def month_ord(c: ColLike = "report_month") -> Column:
     return (year * 12 + month).cast("int")
 
 
-def month_ord_sql(c: str = "report_month") -> str:
-    """The same rule as SQL text (used by the DuckDB oracle)."""
-    name = f"lower(regexp_extract({c}, '{_MONTH_LABEL}', 1))"
-    year = f"regexp_extract({c}, '{_MONTH_LABEL}', 2)"
+def month_ord_sql(c: str = "report_month", dialect: str = "duckdb") -> str:
+    """The same rule as SQL text. DuckDB keeps backslashes in string literals;
+    Spark SQL treats them as escapes, so they are doubled for it."""
+    pattern = _MONTH_LABEL.replace("\\", "\\\\") if dialect == "spark" else _MONTH_LABEL
+    name = f"lower(regexp_extract({c}, '{pattern}', 1))"
+    year = f"regexp_extract({c}, '{pattern}', 2)"
     cases = " ".join(f"when '{k}' then {v}" for k, v in vocab.MONTH_NAMES)
     yr = f"(case when length({year}) = 2 then cast({year} as integer) + 2000 when length({year}) = 4 then cast({year} as integer) end)"
     return f"cast({yr} * 12 + (case {name} {cases} end) as integer)"

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import is_home, month_ord, not_equal_ns
+from kolekta.functions import is_home_sql, month_ord_sql
 from kolekta.operators import customers, history
 from kolekta.operators.filters import active, active_filters, filter_invoices
 
@@ -56,28 +56,28 @@ def _pct(n: Column, d: Column, positive_only: bool = True) -> Column:
 
 def dashboard_rows(f: DataFrame, home: str = vocab.HOME_REGION) -> DataFrame:
     """Rows (dim, key, status, aging, category, keep, is_home, t, l, tl, b, n):
-    amount, status sums and row count per group of each grouping set."""
-    s = F.col("_s")
-    pre = f.groupBy(*KEYS).agg(F.sum(F.col(AMT).cast("decimal(38,6)")).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    pre = pre.select(*KEYS, "_s", "_n", not_equal_ns("status_tagih", vocab.TIDAK_LAYAK).alias("_keep"),
-                     is_home("region", home).alias("_is_home"))
-    pre = pre.withColumn("_regional_region", F.when(F.col("_keep") & ~F.col("_is_home"), F.col("region")))
+    amount, status sums and row count per group of each grouping set. One SQL
+    statement over the filtered fact rows."""
+    keys = ", ".join(KEYS)
     cols = list(dict.fromkeys(c for _, cs in SETS for c in cs))
-    st = F.col("status_tagih")
-    g = pre.groupingSets([list(cs) for _, cs in SETS], *cols).agg(
-        F.sum(s).alias("t"), F.sum(F.when(st == F.lit(vocab.LAYAK), s)).alias("l"),
-        F.sum(F.when(st == F.lit(vocab.TIDAK_LAYAK), s)).alias("tl"),
-        F.sum(F.when(st == F.lit(vocab.BERMASALAH), s)).alias("b"), F.sum("_n").alias("n"),
-        *[F.grouping(c).alias(f"_g_{c}") for c in cols])
-    name = F.lit("cat")   # the only set whose marker column is shared with another set
-    for set_name, mark in _MARK.items():
-        name = F.when(F.col(f"_g_{mark}") == 0, F.lit(set_name)).otherwise(name)
-    key = (F.when(name == "seg", F.col("pengelolaan")).when(name == "cat", F.col("invoice_status"))
-           .when(name == "reg", F.col("region")).when(name == "mon", F.col("report_month"))
-           .when(name == "rgf", F.col("_regional_region")))
-    rows = g.select(name.alias("dim"), key.alias("key"), "status_tagih", "aging_category", "invoice_status",
-                    "_keep", "_is_home", "t", "l", "tl", "b", "n")
-    return rows.where((F.col("dim") == "flow") | F.col("key").isNotNull())
+    sets = ", ".join("(" + ", ".join(cs) + ")" for _, cs in SETS)
+    st = lambda v: f"sum(CASE WHEN status_tagih = {_q(v)} THEN _s END)"
+    name = "CASE " + " ".join(f"WHEN grouping({mark}) = 0 THEN '{n}'" for n, mark in _MARK.items()) + " ELSE 'cat' END"
+    key = ("CASE WHEN dim = 'seg' THEN pengelolaan WHEN dim = 'cat' THEN invoice_status WHEN dim = 'reg' THEN region "
+           "WHEN dim = 'mon' THEN report_month WHEN dim = 'rgf' THEN _regional_region END")
+    return f.sparkSession.sql(f"""
+        WITH pre AS (
+          SELECT {keys}, sum(cast({AMT} AS decimal(38,6))) AS _s, count(1) AS _n FROM {{f}} GROUP BY {keys}),
+        flagged AS (
+          SELECT *, NOT (status_tagih <=> {_q(vocab.TIDAK_LAYAK)}) AS _keep, {is_home_sql("region", home)} AS _is_home
+          FROM pre),
+        g AS (
+          SELECT {", ".join(cols)}, {name} AS dim, sum(_s) AS t, {st(vocab.LAYAK)} AS l, {st(vocab.TIDAK_LAYAK)} AS tl,
+                 {st(vocab.BERMASALAH)} AS b, sum(_n) AS n
+          FROM (SELECT *, CASE WHEN _keep AND NOT _is_home THEN region END AS _regional_region FROM flagged)
+          GROUP BY GROUPING SETS ({sets}))
+        SELECT dim, {key} AS key, status_tagih, aging_category, invoice_status, _keep, _is_home, t, l, tl, b, n
+        FROM g WHERE dim = 'flow' OR ({key}) IS NOT NULL""", f=f)
 
 
 def _q(v: str) -> str:
@@ -125,9 +125,10 @@ def dashboard_measures(rows: DataFrame, extra: dict[str, str] | None = None) ->
     is taken over the month rows, parsing each label once."""
     m = measure_sql()
     m.update(extra or {})
-    latest = F.max(F.when((F.col("dim") == "mon") & month_ord("key").isNotNull(),
-                          F.struct(month_ord("key").alias("o"), F.col("key").alias("m")))).alias("_latest")
-    return rows.agg(*[F.expr(f"{v} AS {k}") for k, v in m.items()], latest)
+    o = month_ord_sql("key", "spark")
+    m["_latest"] = f"max(CASE WHEN dim = 'mon' AND {o} IS NOT NULL THEN named_struct('o', {o}, 'm', key) END)"
+    select = ", ".join(f"{v} AS {k}" for k, v in m.items()).replace("{", "{{").replace("}", "}}")
+    return rows.sparkSession.sql("SELECT " + select + " FROM {rows}", rows=rows)   # braces escaped for the template
 
 
 def _tagged(df: DataFrame, name: str, order: str) -> DataFrame:
