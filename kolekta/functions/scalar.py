@@ -100,6 +100,16 @@ def norm(c: ColLike) -> Column:
 _WHITESPACE_SQL = r" \t\n\r\u000B\u000C"   # the same set, as Spark SQL escapes
 
 
+def strip_sql(x: str) -> str:
+    return f"btrim(cast({x} as string), '{_WHITESPACE_SQL}')"
+
+
+def safe_str_sql(x: str, max_len: int, default: str | None = None) -> str:
+    """``safe_str`` as Spark SQL text."""
+    v = f"nullif(substring({strip_sql(x)}, 1, {max_len}), '')"
+    return v if default is None else f"coalesce({v}, {sql_str(default)})"
+
+
 def is_home_sql(region: str = "region", home: str = vocab.HOME_REGION) -> str:
     """``is_home`` as Spark SQL text."""
     return f"coalesce(lower(btrim({region}, '{_WHITESPACE_SQL}')) = {sql_str(home.lower().strip())}, false)"

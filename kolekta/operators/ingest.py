@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import safe_str, strip, to_amount, values_frame
+from kolekta.functions import safe_str_sql, sql_str, strip, strip_sql, to_amount, values_frame
 
 FACT_COLUMNS = ("invoice_id", "customer_name", "aging_category", "status_tagih", "region", "invoice_status",
                 "nilai_m", "uic", "due_date", "action_plan", "above_credit_limit", "report_month", "pengelolaan",
@@ -79,7 +79,8 @@ def unpivot_cells(wide: DataFrame, colmap: DataFrame, keep: tuple[str, ...] = ()
     filtered in the same stage, and the cell's (position, category, bracket)
     comes from a broadcast join with the column map (one row per sheet column)."""
     names = [r["name"] for r in colmap.select("name").collect()]   # metadata: the amount columns
-    long = (wide.select("row_idx", *keep, *[F.col(f"`{n}`").cast("string").alias(n) for n in names])
+    q = lambda c: "`" + c.replace("`", "``") + "`"
+    long = (wide.selectExpr("row_idx", *[q(k) for k in keep], *[f"cast({q(n)} as string) AS {q(n)}" for n in names])
                 .unpivot(["row_idx", *keep], names, "_cell", "raw")
                 .where(F.col("raw").isNotNull()))
     cm = colmap.select(F.col("name").alias("_cell"), F.col("position").alias("pos"), "category",
@@ -92,7 +93,7 @@ AMOUNT_TYPE = "decimal(38,18)"
 
 def parse_amount(raw: str = "raw") -> F.Column:
     """Cell text -> exact decimal; null for text, blanks, NaN and infinities."""
-    return strip(raw).try_cast(AMOUNT_TYPE)
+    return F.expr(f"try_cast({strip_sql(raw)} as {AMOUNT_TYPE})")
 
 
 def coerce_amount(cells: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def coerce_amount(cells: DataFrame) -> DataFrame:
 
 def scale_to_billions(raw: str = "raw") -> F.Column:
     """Rupiah text -> billions, ``round(v / 1e9, 6)``, on the exact decimal."""
-    return F.round(parse_amount(raw) / F.lit(1000000000), 6).cast("decimal(18,6)")
+    return F.expr(f"cast(round(try_cast({strip_sql(raw)} as {AMOUNT_TYPE}) / 1000000000, 6) as decimal(18,6))")
 
 
 # --- ING-7/8 -----------------------------------------------------------------
@@ -122,8 +123,9 @@ def classify_aging(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:
 
 
 def classify_invoice(df: DataFrame, sudah: tuple[str, ...] = vocab.SUDAH_CATS) -> DataFrame:
-    return df.withColumn("status_invoice", F.when(F.col("category").isin(*sudah), F.lit(vocab.SUDAH_INVOICE))
-                         .otherwise(F.lit(vocab.BELUM_INVOICE)))
+    in_list = ", ".join(sql_str(c) for c in sudah)
+    return df.withColumn("status_invoice", F.expr(
+        f"CASE WHEN category IN ({in_list}) THEN {sql_str(vocab.SUDAH_INVOICE)} ELSE {sql_str(vocab.BELUM_INVOICE)} END"))
 
 
 # --- ING-9/10/11 -------------------------------------------------------------
@@ -131,24 +133,23 @@ def classify_invoice(df: DataFrame, sudah: tuple[str, ...] = vocab.SUDAH_CATS) -
 def identity_columns(df: DataFrame, spec: tuple = vocab.IDENTITY_COLUMNS) -> DataFrame:
     """Sheet identity columns -> fact columns: trimmed, cut to their maximum
     length, blank as null; ``uic`` falls back to ERS and ``action_plan`` to
-    normal collection. One projection (no per-column plan rebuilds)."""
+    normal collection. One projection, written as SQL text."""
     def src(name):
-        return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
-    made = {fact: safe_str(src(sheet), n) for sheet, fact, n in spec}
-    made["uic"] = safe_str(src("PENGELOLAAN"), vocab.UIC_MAX, vocab.UIC_DEFAULT)
-    made["action_plan"] = safe_str(src("UNLOCK"), vocab.ACTION_MAX, vocab.ACTION_DEFAULT)
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in made]   # names are case-insensitive
-    return df.select(*kept, *[v.alias(k) for k, v in made.items()])
+        return "`" + name + "`" if name in df.columns else "cast(NULL as string)"
+    made = {fact: safe_str_sql(src(sheet), n) for sheet, fact, n in spec}
+    made["uic"] = safe_str_sql(src("PENGELOLAAN"), vocab.UIC_MAX, vocab.UIC_DEFAULT)
+    made["action_plan"] = safe_str_sql(src("UNLOCK"), vocab.ACTION_MAX, vocab.ACTION_DEFAULT)
+    kept = ["`" + c + "`" for c in df.columns if c.lower() not in made]   # names are case-insensitive
+    return df.selectExpr(*kept, *[f"{v} AS {k}" for k, v in made.items()])
 
 
 def with_invoice_key(df: DataFrame, month: str = "report_month") -> DataFrame:
     """``upper(left(month,3)) || left(ca,8) || '-' || left(category,4) || '-' ||
     bracket || '-' || row_idx``, cut to 50. ``row_idx`` is the persisted source
     row number, so ids are stable across reruns and upserts stay idempotent."""
-    key = F.concat(F.upper(F.substring(F.col(month), 1, 3)), F.substring(F.coalesce(F.col("ca"), F.lit("")), 1, 8),
-                   F.lit("-"), F.substring("category", 1, 4), F.lit("-"), F.col("bracket").cast("string"),
-                   F.lit("-"), F.col("row_idx").cast("string"))
-    return df.withColumn("invoice_id", F.substring(key, 1, 50))
+    return df.withColumn("invoice_id", F.expr(
+        f"substring(concat(upper(substring({month}, 1, 3)), substring(coalesce(ca, ''), 1, 8), '-', "
+        f"substring(category, 1, 4), '-', cast(bracket as string), '-', cast(row_idx as string)), 1, 50)"))
 
 
 def import_open_items(wide: DataFrame, header: DataFrame, sheets: DataFrame | None = None,
@@ -162,13 +163,12 @@ def import_open_items(wide: DataFrame, header: DataFrame, sheets: DataFrame | No
     cells = cells.withColumn("nilai_m", scale_to_billions("raw"))
     facts = identity_columns(classify_invoice(classify_aging(cells)))
     facts = with_invoice_key(facts)
-    return facts.select(
+    return facts.selectExpr(
         "invoice_id", "customer_name", "aging_category", "status_tagih", "region",
-        F.substring("category", 1, 50).alias("invoice_status"), "nilai_m", "uic",
-        F.substring("report_month", 1, 30).alias("due_date"), "action_plan",
-        F.lit(0).cast("int").alias("above_credit_limit"),
-        F.substring("report_month", 1, 20).alias("report_month"),
-        "pengelolaan", "bp_num", "nipnas", "witel", "satker", "reg", "status_invoice")
+        "substring(category, 1, 50) AS invoice_status", "nilai_m", "uic",
+        "substring(report_month, 1, 30) AS due_date", "action_plan", "cast(0 as int) AS above_credit_limit",
+        "substring(report_month, 1, 20) AS report_month", "pengelolaan", "bp_num", "nipnas", "witel", "satker", "reg",
+        "status_invoice")
 
 
 def import_report(inv: DataFrame) -> DataFrame:
