@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import is_home, money, money_sql, not_equal_ns, safe_pct, sql_str, sum_if, total, values_frame
+from kolekta.functions import (is_home, money, money_sql, not_equal_ns, pct_sql, sql_str, sum_if, total,
+                               values_frame)
 from kolekta.operators.filters import filter_invoices
-from kolekta.operators.summary import AMT, long_rows, status_sums
+from kolekta.operators.summary import AMT, long_rows_sql, status_sums
 
 
 def _layak_set() -> Column:
@@ -61,9 +62,9 @@ def flow_categories(inv: DataFrame, home: str = vocab.HOME_REGION,
                     categories: tuple[str, ...] = vocab.CATEGORIES, month=None, segment=None, region=None) -> DataFrame:
     """Home-region amount per known category, positive ones only, in category order."""
     g = _flow_agg(inv, home, categories, month, segment, region)
-    rows = [(i + 1, c, F.col(f"_c{i}")) for i, c in enumerate(categories)]
-    return (long_rows(g, rows, ("ord", "category", "_s"))
-            .where(F.col("_s") > 0).select("ord", "category", money("_s").alias("v")))
+    rows = [(str(i + 1), sql_str(c), f"_c{i}") for i, c in enumerate(categories)]
+    return (long_rows_sql(g, rows, ("ord", "category", "_s"))
+            .where("_s > 0").selectExpr("ord", "category", f"{money_sql('_s')} AS v"))
 
 
 def flow_regional(inv: DataFrame, home: str = vocab.HOME_REGION, month=None, segment=None, region=None) -> DataFrame:
@@ -80,16 +81,14 @@ def flow_long(inv: DataFrame, home: str = vocab.HOME_REGION, month=None, segment
     """Every flow node as (level, node, v, pct_of_total); category nodes only
     when positive. Percent of the rounded total, 0 unless the total is > 0."""
     g = _flow_agg(inv, home, categories, month, segment, region)
-    r = lambda c: F.round(F.col(c), 4)
-    rows = [(1, "TOTAL", r("_total")), (2, vocab.TIDAK_LAYAK, r("_tidak")), (2, vocab.LAYAK, r("_layak")),
-            (2, vocab.BERMASALAH, r("_bermasalah")), (3, home.strip().upper(), r("_home")),
-            (3, "REGIONAL", r("_regional")), (4, vocab.SUDAH_INVOICE, r("_sudah")),
-            (4, vocab.BELUM_INVOICE, r("_belum"))]
-    rows += [(5, c, F.when(F.col(f"_c{i}") > 0, r(f"_c{i}"))) for i, c in enumerate(categories)]
-    rows = [(lvl, node, v, r("_total")) for lvl, node, v in rows]
-    long = long_rows(g, rows, ("level", "node", "_v", "_t")).where(F.col("_v").isNotNull())
-    return long.select("level", "node", F.col("_v").cast("double").alias("v"),
-                       safe_pct("_v", "_t").alias("pct_of_total"))
+    nodes = [(1, "TOTAL", "_total"), (2, vocab.TIDAK_LAYAK, "_tidak"), (2, vocab.LAYAK, "_layak"),
+             (2, vocab.BERMASALAH, "_bermasalah"), (3, home.strip().upper(), "_home"), (3, "REGIONAL", "_regional"),
+             (4, vocab.SUDAH_INVOICE, "_sudah"), (4, vocab.BELUM_INVOICE, "_belum")]
+    rows = [(str(lvl), sql_str(node), f"round({c}, 4)", "round(_total, 4)") for lvl, node, c in nodes]
+    rows += [("5", sql_str(c), f"CASE WHEN _c{i} > 0 THEN round(_c{i}, 4) END", "round(_total, 4)")
+             for i, c in enumerate(categories)]
+    long = long_rows_sql(g, rows, ("level", "node", "_v", "_t")).where("_v IS NOT NULL")
+    return long.selectExpr("level", "node", "cast(_v as double) AS v", f"{pct_sql('_v', '_t')} AS pct_of_total")
 
 
 def action_plan_dim(spark, plan: tuple = vocab.ACTION_PLAN) -> DataFrame:

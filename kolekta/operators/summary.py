@@ -38,6 +38,12 @@ def long_rows(df: DataFrame, rows: list[tuple], names: tuple[str, ...]) -> DataF
     return df.select(F.inline(F.array(*structs)))
 
 
+def long_rows_sql(df: DataFrame, rows: list[tuple[str, ...]], names: tuple[str, ...]) -> DataFrame:
+    """``long_rows`` with each value given as SQL text (one JVM call in all)."""
+    structs = ", ".join("named_struct(" + ", ".join(f"'{n}', {v}" for v, n in zip(r, names)) + ")" for r in rows)
+    return df.selectExpr(f"inline(array({structs}))")
+
+
 def status_sums() -> list[Column]:
     return [sum_if().alias("_total"), sum_if(_is("status_tagih", vocab.LAYAK)).alias("_layak"),
             sum_if(_is("status_tagih", vocab.TIDAK_LAYAK)).alias("_tidak"),
@@ -84,8 +90,8 @@ def kpi_shares(inv: DataFrame, month=None, segment=None, region=None,
     a = F.col(AMT)
     g = filter_invoices(inv, month, segment, region).agg(
         total(a).alias("_t"), *[total(a, _status(s)).alias(f"_s{i}") for i, s in enumerate(statuses)])
-    rows = [(s, money(f"_s{i}"), safe_pct(f"_s{i}", "_t")) for i, s in enumerate(statuses)]
-    return long_rows(g, rows, ("status_tagih", "v", "pct_of_total"))
+    rows = [(sql_str(s), money_sql(f"_s{i}"), pct_sql(f"_s{i}", "_t")) for i, s in enumerate(statuses)]
+    return long_rows_sql(g, rows, ("status_tagih", "v", "pct_of_total"))
 
 
 def critical_aging(inv: DataFrame, month=None, segment=None, region=None,
@@ -151,7 +157,8 @@ def age_analysis(inv: DataFrame, month=None, segment=None, region=None,
     """Eight fixed labels (3 status sums, 5 aging sums), always present."""
     g = filter_invoices(inv, month, segment, region).agg(
         *[sum_if(_is(col, val)).alias(f"_a{o}") for o, _, col, val in layout])
-    return long_rows(g, [(o, lbl, money(f"_a{o}")) for o, lbl, _, _ in layout], ("ord", "label", "v"))
+    return long_rows_sql(g, [(str(o), sql_str(lbl), money_sql(f"_a{o}")) for o, lbl, _, _ in layout],
+                         ("ord", "label", "v"))
 
 
 # --- AGG-9 ------------------------------------------------------------------
@@ -167,9 +174,8 @@ def _region_share(f: DataFrame) -> DataFrame:
     g = f.where(F.col("region").isNotNull()).groupBy("region").agg(total(F.col(AMT)).alias("_s"))
     # Share of all non-null regions, negatives included, taken before the v > 0 filter.
     g = g.withColumn("_tot", F.sum("_s").over(Window.partitionBy()))
-    return g.where(F.col("_s") > 0).select(
-        "region", money("_s").alias("value"),
-        safe_pct("_s", "_tot", positive_only=False).alias("percentage"))
+    return g.where(F.col("_s") > 0).selectExpr(
+        "region", f"{money_sql('_s')} AS value", f"{pct_sql('_s', '_tot', positive_only=False)} AS percentage")
 
 
 def region_breakup(inv: DataFrame, month=None, segment=None, region=None) -> DataFrame:
