@@ -1,9 +1,11 @@
 """Pre-aggregated marts: the filter cube and the drill roll-up.
 
 The dashboard cached one result per (month, segment, region) filter triple.
-Here every triple, "ALL" included, is computed in one pass with ``cube``
-(Expand + one partially aggregated shuffle); ``grouping()`` tells a rolled-up
-"ALL" from a real null value.
+Here every triple, "ALL" included, is computed in one pass over the fact
+table: the rows are first summed per (month, segment, region, status) --
+partial aggregation, one shuffle -- and only those sums are expanded by
+``cube`` and aggregated again (a second, small shuffle). ``grouping()`` tells
+a rolled-up "ALL" from a real null value.
 """
 
 from __future__ import annotations

@@ -2,9 +2,10 @@
 
 Design: every KPI is a conditional sum inside ONE global ``agg`` (partial
 aggregation per task, one tiny exchange of a single row per task), so the
-whole summary costs one scan however many measures it has. Group-bys are on
-low-cardinality dimension columns (segment, region, category, month) and
-combine map-side before the shuffle, which also neutralises a hot key.
+whole summary costs one scan however many measures it has. The breakdowns
+group on low-cardinality dimension columns (segment, region, category,
+month) and the account pivot on (account, customer, month); all combine
+map-side before the shuffle, which also neutralises a hot key.
 Amounts stay ``decimal`` until the final ``round``, then leave as ``double``.
 """
 

@@ -1,14 +1,15 @@
-"""Writing tables: atomic full refresh, partition-scoped upsert, CSV export,
-load log.
+"""Writing tables: atomic full refresh, partition-scoped upsert / update /
+delete, CSV export, load log.
 
 * Full refresh writes a new version folder ``v=NNNNNN`` next to the old ones;
   readers take the newest version whose ``_SUCCESS`` marker exists, so a
   failed or half-written job is never visible (Spark's commit protocol
   writes the marker last).
-* ``upsert_partitions`` rewrites only the ``report_month`` partitions a change
-  set touches (dynamic partition overwrite), after cutting lineage with a
-  reliable ``checkpoint()`` into the session's shared checkpoint folder: the
-  rewrite never reads the files it replaces and survives lost executors.
+* ``upsert_partitions`` / ``update_partitions`` / ``delete_partitions``
+  rewrite only the ``report_month`` partitions a change touches (dynamic
+  partition overwrite), after cutting lineage with a reliable
+  ``checkpoint()`` into the session's shared checkpoint folder: the rewrite
+  never reads the files it replaces and survives lost executors.
 """
 
 from __future__ import annotations
