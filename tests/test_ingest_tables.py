@@ -190,3 +190,9 @@ def test_payload_matches_operators(spark):
         [(r.ord, r.kategori, r.nilai_m) for r in flow.action_plan(inv).collect()]
     assert dict(p.charts.ar_flow.regional_breakdown) == {r.region: r.v for r in flow.flow_regional(inv).collect()}
     assert len(p.top_customers) == 20 and len(p.charts.sparklines.months) == 12
+    import json
+    from kolekta.plans.payload import payload_json
+    doc = json.loads(payload_json(dashboard_payload(inv, fx.top_customers(), fx.cash_inflow(), fx.trend_t13m(),
+                                                    fx.metrics_history())).first().json)
+    assert set(doc) == {"summary", "charts", "action_plan", "top_customers"}
+    assert doc["summary"]["active_filters"] == {"month": "ALL", "segment": "ALL", "region": "ALL"}
