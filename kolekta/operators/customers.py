@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import clamp, not_equal_ns, strip, total
+from kolekta.functions import sql_str, strip_sql, sum_if
 from kolekta.operators.filters import active
 
 AMT = "nilai_m"
@@ -22,24 +22,18 @@ def customer_rollup(inv: DataFrame) -> DataFrame:
     """Per (customer, month): balance, within-due, over-due (any aging other
     than ``Within Due``) in millions (x1000, round 2), the count of over-due
     rows and the clamped over-due percent. Blank customer names are dropped."""
-    a = F.col(AMT)
-    over = not_equal_ns("aging_category", vocab.WITHIN_DUE)
-    f = inv.where(F.coalesce(strip("customer_name"), F.lit("")) != F.lit(""))
+    within = f"aging_category = {sql_str(vocab.WITHIN_DUE)}"
+    over = f"NOT (aging_category <=> {sql_str(vocab.WITHIN_DUE)})"
+    f = inv.where(F.expr(f"coalesce({strip_sql('customer_name')}, '') <> ''"))
     g = f.groupBy("customer_name", "report_month").agg(
-        total(a).alias("_b"),
-        total(a, F.col("aging_category") == F.lit(vocab.WITHIN_DUE)).alias("_w"),
-        total(a, over).alias("_o"),
-        F.count(F.when(over, F.lit(1))).alias("due_invoices"))
-    pct = F.when(F.col("_b") > 0, F.col("_o").cast("double") / F.col("_b").cast("double") * 100).otherwise(F.lit(0.0))
-    return g.select(
-        F.substring("customer_name", 1, 100).alias("customer_name"),
-        F.substring("report_month", 1, 20).alias("report_month"),
-        F.round(F.col("_b") * 1000, 2).cast("double").alias("balance"),
-        F.round(F.col("_w") * 1000, 2).cast("double").alias("within_due"),
-        F.round(F.col("_o") * 1000, 2).cast("double").alias("over_due"),
-        F.round(clamp(pct, 0.0, 100.0), 2).alias("overdue_pct"),
-        F.col("due_invoices").cast("bigint").alias("due_invoices"),
-        F.lit(0).cast("int").alias("above_credit_limit"))
+        sum_if().alias("_b"), sum_if(within).alias("_w"), sum_if(over).alias("_o"),
+        F.expr(f"count(CASE WHEN {over} THEN 1 END)").alias("due_invoices"))
+    pct = "CASE WHEN _b > 0 THEN cast(_o as double) / cast(_b as double) * 100 ELSE 0.0 END"
+    return g.selectExpr(
+        "substring(customer_name, 1, 100) AS customer_name", "substring(report_month, 1, 20) AS report_month",
+        "cast(round(_b * 1000, 2) as double) AS balance", "cast(round(_w * 1000, 2) as double) AS within_due",
+        "cast(round(_o * 1000, 2) as double) AS over_due", f"round(greatest(0.0, least(100.0, {pct})), 2) AS overdue_pct",
+        "cast(due_invoices as bigint) AS due_invoices", "cast(0 as int) AS above_credit_limit")
 
 
 def top_customers(cust: DataFrame, month: str | None = None, n: int = vocab.TOP_CUSTOMERS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import money, month_ord, total
+from kolekta.functions import money_sql, month_ord, total
 from kolekta.operators.filters import filter_invoices
 from kolekta.operators.summary import AMT, long_rows, status_sums
 
@@ -22,8 +22,9 @@ def history_trend(inv: DataFrame, month=None, segment=None, region=None) -> Data
     f = filter_invoices(inv, month, segment, region).where(F.col("report_month").isNotNull())
     g = f.groupBy("report_month").agg(*status_sums())
     return g.select("report_month", month_ord("report_month").alias("month_ord"),
-                    money("_total").alias("total_m"), money("_layak").alias("layak_m"),
-                    money("_tidak").alias("tidak_layak_m"), money("_bermasalah").alias("bermasalah_m"))
+                    *[F.expr(f"{money_sql(src)} AS {dst}") for src, dst in
+                      (("_total", "total_m"), ("_layak", "layak_m"), ("_tidak", "tidak_layak_m"),
+                       ("_bermasalah", "bermasalah_m"))])
 
 
 STACK_SERIES = ((1, "layak_m", vocab.LAYAK), (2, "bermasalah_m", vocab.BERMASALAH), (3, "tidak_layak_m", vocab.TIDAK_LAYAK))

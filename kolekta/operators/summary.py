@@ -126,7 +126,7 @@ def group_sums(inv: DataFrame, key: str, value: str = "v", cond: Column | None =
     f = inv.where(F.col(key).isNotNull())
     if cond is not None:
         f = f.where(cond)
-    return f.groupBy(key).agg(money(total(F.col(AMT))).alias(value))
+    return f.groupBy(key).agg(F.expr(f"{money_sql('coalesce(sum(cast(nilai_m as decimal(38,6))), 0)')} AS {value}"))
 
 
 def segment_breakdown(inv: DataFrame, month=None, segment=None, region=None) -> DataFrame:
