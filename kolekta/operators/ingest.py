@@ -78,13 +78,15 @@ def unpivot_cells(wide: DataFrame, colmap: DataFrame, keep: tuple[str, ...] = ()
     ``unpivot`` plans an Expand inside whole-stage codegen; empty cells are
     filtered in the same stage, and the cell's (position, category, bracket)
     comes from a broadcast join with the column map (one row per sheet column)."""
-    names = [r["name"] for r in colmap.select("name").collect()]   # metadata: the amount columns
+    # Metadata: one row per amount column, read once; the lookup joined below
+    # is built from these rows, so the column-map plan is not evaluated again.
+    cm_rows = [(r["name"], r["position"], r["category"], r["offset"]) for r in colmap.collect()]
+    names = [name for name, _, _, _ in cm_rows]
     q = lambda c: "`" + c.replace("`", "``") + "`"
     long = (wide.selectExpr("row_idx", *[q(k) for k in keep], *[f"cast({q(n)} as string) AS {q(n)}" for n in names])
                 .unpivot(["row_idx", *keep], names, "_cell", "raw")
                 .where(F.col("raw").isNotNull()))
-    cm = colmap.select(F.col("name").alias("_cell"), F.col("position").alias("pos"), "category",
-                       F.col("offset").alias("bracket"))
+    cm = values_frame(wide.sparkSession, cm_rows, ("_cell", "pos", "category", "bracket"))
     return long.join(F.broadcast(cm), "_cell").drop("_cell")
 
 
