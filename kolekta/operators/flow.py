@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import (is_home, money, money_sql, not_equal_ns, pct_sql, sql_str, sum_if, total,
-                               values_frame)
+from kolekta.functions import (is_home, is_home_sql, money, money_sql, not_equal_ns, pct_sql, sql_str, sum_if,
+                               total, values_frame)
 from kolekta.operators.filters import filter_invoices
 from kolekta.operators.summary import AMT, long_rows_sql, status_sums
 
@@ -29,8 +29,9 @@ def _layak_set() -> Column:
 def flow_flags(df: DataFrame, home: str = vocab.HOME_REGION) -> DataFrame:
     """Project the columns the flow needs plus its two row flags, computed once
     per row (the conditional sums then only test booleans)."""
-    return df.select(AMT, "status_tagih", "invoice_status", _layak_set().alias("_keep"),
-                     is_home("region", home).alias("_is_home"))
+    return df.selectExpr(AMT, "status_tagih", "invoice_status",
+                         f"NOT (status_tagih <=> {sql_str(vocab.TIDAK_LAYAK)}) AS _keep",
+                         f"{is_home_sql('region', home)} AS _is_home")
 
 
 def flow_sums(categories: tuple[str, ...] = vocab.CATEGORIES,
