@@ -7,13 +7,11 @@ partitions when the fact table is stored partitioned by month).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import contains_ci, is_home
+from kolekta.functions import is_home, sql_str
 
 FILTER_COLUMNS = (("month", "report_month"), ("segment", "pengelolaan"), ("region", "region"))
 
@@ -81,7 +79,8 @@ def search_invoices(inv: DataFrame, q: str | None, columns: tuple[str, ...] = vo
     an empty query returns every row."""
     if not q:
         return inv
-    return inv.where(reduce(lambda a, b: a | b, [contains_ci(c, q) for c in columns]))
+    needle = sql_str(q.lower())
+    return inv.where(F.expr(" OR ".join(f"contains(lower(coalesce({c}, '')), {needle})" for c in columns)))
 
 
 def distinct_values(inv: DataFrame, col: str, drop_blank: bool = False) -> DataFrame:
