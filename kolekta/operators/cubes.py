@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import money, total
+from kolekta.functions import money, money_sql, sql_str, total
 from kolekta.operators.filters import filter_invoices
 from kolekta.operators.summary import AMT
 
@@ -32,12 +32,12 @@ def pre_aggregate(inv: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _measures() -> list[F.Column]:
-    s, st = F.col("_s"), F.col("status_tagih")
-    return [money(total(s)).alias("total_ar_m"),
-            money(total(s, st == F.lit(vocab.LAYAK))).alias("layak_m"),
-            money(total(s, st == F.lit(vocab.TIDAK_LAYAK))).alias("tidak_layak_m"),
-            money(total(s, st == F.lit(vocab.BERMASALAH))).alias("bermasalah_m"),
-            F.sum("_n").cast("bigint").alias("n")]
+    st = lambda v: f"status_tagih = {sql_str(v)}"
+    return [F.expr(f"{money_sql(f'coalesce(sum({c}), 0)')} AS {name}") for c, name in (
+            ("_s", "total_ar_m"), (f"CASE WHEN {st(vocab.LAYAK)} THEN _s END", "layak_m"),
+            (f"CASE WHEN {st(vocab.TIDAK_LAYAK)} THEN _s END", "tidak_layak_m"),
+            (f"CASE WHEN {st(vocab.BERMASALAH)} THEN _s END", "bermasalah_m"))] + [
+            F.expr("cast(sum(_n) as bigint) AS n")]
 
 
 def kpi_cube(inv: DataFrame) -> DataFrame:
