@@ -15,9 +15,11 @@ BITS = 20
 TRAIN_DOCS = 16384
 HELD_OUT_MODULUS, HELD_OUT_FOLD = 4, 2
 THRESHOLD = 0.3
-EPOCHS = 4
+EPOCHS = 8
 #: FTRL-proximal: rate, its smoothing, L1 and L2 strength.
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
+#: Documents of the sample that a feature must occur in.
+LEAST_DOCS = 3
 
 
 @dataclass(frozen=True)
@@ -82,7 +84,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, bits: int
     """Fit on at most ``limit`` labelled documents outside the held-out fold.
 
     The sample is that of the smallest id hashes. Tasks hash its documents;
-    the indices (bounded by the sample) meet in one task that runs FTRL. Rows
+    the indices (bounded by the sample) meet in one task that drops rare
+    ones and runs FTRL. Rows
     with a null id or label take no part; of several labels of an id the
     largest counts, of several texts of an id any one. Without training rows
     the weights are empty and every score is 0.
@@ -109,6 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, bits: int
         got = [(y, np.frombuffer(i, "<i4")) for b in batches
                for y, i in zip(b.column("y").to_pylist(), b.column("hashed").to_pylist())]
         if got:
+            often = np.bincount(np.concatenate([i for _, i in got]), minlength=1 << bits) >= LEAST_DOCS
+            got = [(y, i[often[i]]) for y, i in got]
             bias, index, value = ftrl(got, bits)
             yield pa.RecordBatch.from_pylist([{"bias": bias, "i": index.astype("<i4").tobytes(),
                                                "v": value.astype("<f8").tobytes()}])
