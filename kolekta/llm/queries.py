@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from kolekta.llm import decontaminate, pieces, quality, simhash, toxicity
+from kolekta.llm import decontaminate, lengths, pieces, quality, sequences, simhash, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
+    "op5_sequences": sequences.query,
     "op6_quality": quality.query,
     "op7_decontamination": decontaminate.query,
     "op8_simhash": simhash.query,
+    "op9_lengths": lengths.query,
     "op10_toxicity": toxicity.query,
 }
 
