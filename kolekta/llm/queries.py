@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kolekta.llm import decontaminate, langmodel, lengths, pieces, quality, sequences, simhash, toxicity
+from kolekta.llm import decontaminate, langmodel, lengths, neighbours, pieces, quality, sequences, simhash, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
     "op3_language_model": langmodel.query,
+    "op4_neighbours": neighbours.query,
     "op5_sequences": sequences.query,
     "op6_quality": quality.query,
     "op7_decontamination": decontaminate.query,
