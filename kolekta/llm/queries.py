@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kolekta.llm import decontaminate, langmodel, lengths, neighbours, pieces, quality, sequences, simhash, toxicity
+from kolekta.llm import decontaminate, langmodel, lengths, licences, neighbours, pieces, quality, sequences, simhash, toxicity
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
+    "op2_licences": licences.query,
     "op3_language_model": langmodel.query,
     "op4_neighbours": neighbours.query,
     "op5_sequences": sequences.query,
