@@ -68,10 +68,6 @@ def safe_pct(num: ColLike, den: ColLike, scale: int = 2, positive_only: bool = T
     return F.when(guard, F.round(n / d * 100, scale)).otherwise(F.lit(0.0))
 
 
-def clamp(c: ColLike, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(c)))
-
-
 _WHITESPACE = " \t\n\r\x0b\x0c"
 
 
@@ -88,10 +84,6 @@ def safe_str(c: ColLike, max_len: int, default: str | None = None) -> Column:
     return v if default is None else F.coalesce(v, F.lit(default))
 
 
-def or_default(c: ColLike, default: str) -> Column:
-    return F.coalesce(F.nullif(_c(c), F.lit("")), F.lit(default))
-
-
 def norm(c: ColLike) -> Column:
     """Normalised text for comparisons: lower(trim())."""
     return F.lower(strip(c))
@@ -125,16 +117,24 @@ def not_equal_ns(c: ColLike, value: str) -> Column:
     return ~_c(c).eqNullSafe(F.lit(value))
 
 
-def contains_ci(c: ColLike, q: str) -> Column:
-    """Literal, case-insensitive substring test; null treated as ''."""
-    return F.contains(F.lower(F.coalesce(_c(c), F.lit(""))), F.lit(q.lower()))
+# A decimal number as text: sign, digits with an optional point, exponent. Type
+# suffixes (12d), hexadecimal, NaN and infinities are no numbers here.
+_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _digits_sql(x: str) -> str:
+    """Trimmed text without underscores between digits."""
+    return f"regexp_replace({strip_sql(x)}, '(?<=[0-9])_(?=[0-9])', '')"
+
+
+def is_number_sql(x: str) -> str:
+    """Whether text is a decimal number (null for null)."""
+    return f"{_digits_sql(x)} rlike '{_NUMBER}'"
 
 
-def to_amount(c: ColLike) -> Column:
-    """Tolerant numeric parse: null for text, blanks, NaN and infinities."""
-    v = _c(c).try_cast("double")
-    # NaN sorts above +inf in Spark, so one comparison rejects NaN and both infinities.
-    return F.when(F.abs(v) < F.lit(float("inf")), v)
+def amount_sql(x: str, kind: str = "decimal(38,18)") -> str:
+    """Text -> exact decimal; null for what is no number, and for numbers out of range."""
+    return f"CASE WHEN {is_number_sql(x)} THEN try_cast({_digits_sql(x)} AS {kind}) END"
 
 
 def ora_date(c: ColLike) -> Column:

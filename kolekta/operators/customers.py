@@ -25,12 +25,14 @@ def customer_rollup(inv: DataFrame) -> DataFrame:
     within = f"aging_category = {sql_str(vocab.WITHIN_DUE)}"
     over = f"NOT (aging_category <=> {sql_str(vocab.WITHIN_DUE)})"
     f = inv.where(F.expr(f"coalesce({strip_sql('customer_name')}, '') <> ''"))
+    # The names are cut to the table's width first: two that are equal then are one customer.
+    f = f.withColumns({"customer_name": F.substring("customer_name", 1, 100), "report_month": F.substring("report_month", 1, 20)})
     g = f.groupBy("customer_name", "report_month").agg(
         sum_if().alias("_b"), sum_if(within).alias("_w"), sum_if(over).alias("_o"),
         F.expr(f"count(CASE WHEN {over} THEN 1 END)").alias("due_invoices"))
     pct = "CASE WHEN _b > 0 THEN cast(_o as double) / cast(_b as double) * 100 ELSE 0.0 END"
     return g.selectExpr(
-        "substring(customer_name, 1, 100) AS customer_name", "substring(report_month, 1, 20) AS report_month",
+        "customer_name", "report_month",
         "cast(round(_b * 1000, 2) as double) AS balance", "cast(round(_w * 1000, 2) as double) AS within_due",
         "cast(round(_o * 1000, 2) as double) AS over_due", f"round(greatest(0.0, least(100.0, {pct})), 2) AS overdue_pct",
         "cast(due_invoices as bigint) AS due_invoices", "cast(0 as int) AS above_credit_limit")

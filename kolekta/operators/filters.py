@@ -7,6 +7,9 @@ partitions when the fact table is stored partitioned by month).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,30 +45,45 @@ def active_filters(month: str | None = None, segment: str | None = None,
 
 # --- drill-down -------------------------------------------------------------
 
-DRILL_TYPES = ("status_tagih", "region_jakarta", "region_not_jakarta", "jakarta_status_invoice",
-               "invoice_status", "regional_name", "aging_category")
+def _equals(column: str):
+    """Equality is plain: null never matches."""
+    return lambda value, home: F.col(column) == F.lit(value)
+
+
+def _layak(value=None, home=None) -> Column:
+    return F.col("status_tagih") == F.lit(vocab.LAYAK)
+
+
+def _at_home(value, home) -> Column:
+    """``lower(trim(region)) == home``; a null region is not home."""
+    return is_home("region", home)
+
+
+def _all(*tests):
+    return lambda value, home: reduce(and_, (t(value, home) for t in tests))
+
+
+def _not(test):
+    return lambda value, home: ~test(value, home)
+
+
+# Node of the flow chart -> predicate of (value, home).
+DRILLS = {
+    "status": _equals("status_tagih"),
+    "home": _all(_layak, _at_home),
+    "regional": _all(_layak, _not(_at_home)),
+    "home_invoice": _all(_layak, _at_home, _equals("status_invoice")),
+    "category": _equals("invoice_status"),
+    "region": _all(_layak, _not(_at_home), _equals("region")),
+    "aging": _equals("aging_category"),
+}
 
 
 def drill_predicate(kind: str, value: str | None = None, home: str = vocab.HOME_REGION) -> Column:
-    """Predicate of one flow-chart node. Equality is plain (null never matches);
-    the home test is ``lower(trim(region)) == home`` with a null region not home."""
-    layak = F.col("status_tagih") == F.lit(vocab.LAYAK)
-    home_c = is_home("region", home)
-    if kind == "status_tagih":
-        return F.col("status_tagih") == F.lit(value)
-    if kind == "region_jakarta":
-        return layak & home_c
-    if kind == "region_not_jakarta":
-        return layak & ~home_c
-    if kind == "jakarta_status_invoice":
-        return layak & home_c & (F.col("status_invoice") == F.lit(value))
-    if kind == "invoice_status":
-        return F.col("invoice_status") == F.lit(value)
-    if kind == "regional_name":
-        return layak & ~home_c & (F.col("region") == F.lit(value))
-    if kind == "aging_category":
-        return F.col("aging_category") == F.lit(value)
-    raise ValueError(f"unknown drill-down type: {kind!r}")
+    """Predicate of one flow-chart node."""
+    if kind not in DRILLS:
+        raise ValueError(f"unknown drill-down type: {kind!r}")
+    return DRILLS[kind](value, home)
 
 
 def drilldown(inv: DataFrame, kind: str, value: str | None = None, home: str = vocab.HOME_REGION) -> DataFrame:
@@ -84,11 +102,10 @@ def search_invoices(inv: DataFrame, q: str | None, columns: tuple[str, ...] = vo
 
 
 def distinct_values(inv: DataFrame, col: str, drop_blank: bool = False) -> DataFrame:
-    """Distinct non-null values of one column, ascending (a dropdown list of a
-    dimension column: few values, sorted in one partition after the distinct)."""
+    """Distinct non-null values of one column, ascending (a dropdown list)."""
     v = F.col(col)
     cond = v.isNotNull() & (v != F.lit("")) if drop_blank else v.isNotNull()
-    return inv.select(v.alias("value")).where(cond).distinct().coalesce(1).sortWithinPartitions("value")
+    return inv.select(v.alias("value")).where(cond).distinct().orderBy("value")
 
 
 BASE_COLUMNS = ("invoice_id", "aging_category", "status_tagih", "region", "invoice_status", "nilai_m", "uic",

@@ -99,8 +99,8 @@ def action_plan_dim(spark, plan: tuple = vocab.ACTION_PLAN) -> DataFrame:
 def action_plan(inv: DataFrame, dim: DataFrame | None = None, home: str = vocab.HOME_REGION,
                 month=None, segment=None, region=None, categories: tuple[str, ...] = vocab.CATEGORIES) -> DataFrame:
     """Action-plan rows whose amount is positive: the uncollectible total, the
-    regional total and the home categories, joined to the (broadcast, fixed
-    size) plan dimension and kept in its order."""
+    regional total and the home categories, joined to the
+    plan dimension and kept in its order."""
     if dim is None:
         dim = action_plan_dim(inv.sparkSession)
     g = _flow_agg(inv, home, categories, month, segment, region)
@@ -110,6 +110,6 @@ def action_plan(inv: DataFrame, dim: DataFrame | None = None, home: str = vocab.
     amounts += [(c, f"CASE WHEN _c{i} > 0 THEN round(_c{i}, 4) ELSE 0 END") for i, c in enumerate(categories)]
     rows = ", ".join(f"named_struct('kategori', {sql_str(k)}, '_v', cast({v} as decimal(38,6)))" for k, v in amounts)
     long = g.selectExpr(f"inline(array({rows}))").where("_v > 0")
-    return (long.join(F.broadcast(dim), "kategori")
+    return (long.join(dim, "kategori")
             .selectExpr("ord", "kategori", f"{money_sql('_v')} AS nilai_m", "uic", "tindak_lanjut", "due_date")
-            .coalesce(1).sortWithinPartitions("ord"))   # at most len(dim) rows: no range-partition sampling job
+            .orderBy("ord"))

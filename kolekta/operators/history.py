@@ -58,9 +58,8 @@ def distinct_months(inv: DataFrame, chronological: bool = False) -> DataFrame:
 
 
 def ordered(series: DataFrame, key: str = "sort_order") -> DataFrame:
-    """A pre-computed series table (a dozen display months) in its display
-    order, sorted inside one partition -- no range-partition sampling job."""
-    return series.coalesce(1).sortWithinPartitions(key)
+    """A pre-computed series table (a dozen display months) in its display order."""
+    return series.orderBy(key)
 
 
 def sparkline(metrics: DataFrame) -> DataFrame:

@@ -3,14 +3,16 @@
 A landed sheet is a wide DataFrame: identity columns named as on the sheet
 (NAME, CA, BP NUM, ...), then per invoice category up to six amount columns
 (one per aging bracket) kept as text, plus the persisted source row number
-``row_idx`` and the ``sheet`` it came from. Row 0 of the sheet (category
+``row_idx`` and the ``sheet`` it came from. Row 0 of a sheet (category
 labels over the amount columns) is metadata, given as a small
-(idx, name, label) DataFrame.
-
-Only the names of the amount columns are read on the driver, to build the
-unpivot's column list; data rows never leave the executors. The unpivot is
-an Expand in the scan stage, filtered right away, so the 48-fold expansion
-never reaches a shuffle.
+(sheet, idx, name, label) DataFrame: columns shift between periods, so each
+sheet has its own. A header without ``sheet`` holds for all sheets.
+
+Only the column map is read on the driver (at most 48 rows a sheet), to build
+the unpivot's expression; data rows never leave the executors. Identity
+columns are worked out once a wide row; then an array of the row's cells,
+without the empty ones, is inlined, so no row is copied for an empty cell and
+positions need no join.
 """
 
 from __future__ import annotations
@@ -19,33 +21,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kolekta import vocab
-from kolekta.functions import safe_str_sql, sql_str, strip, strip_sql, to_amount, values_frame
-
-FACT_COLUMNS = ("invoice_id", "customer_name", "aging_category", "status_tagih", "region", "invoice_status",
-                "nilai_m", "uic", "due_date", "action_plan", "above_credit_limit", "report_month", "pengelolaan",
-                "bp_num", "nipnas", "witel", "satker", "reg", "status_invoice")
-
+from kolekta.functions import amount_sql, is_number_sql, safe_str_sql, sql_str, strip, values_frame
 
 # --- ING-2/3 ------------------------------------------------------------------
 
 def column_map(header: DataFrame, valid: tuple[str, ...] = vocab.CATEGORIES,
                per_category: int = vocab.BRACKETS_PER_CATEGORY) -> DataFrame:
-    """(position, name, category, offset) of every amount column.
+    """([sheet,] position, name, category, offset) of every amount column.
 
     A non-null row-0 label opens a range that runs to the next label or the
     end of the sheet; the first ``per_category`` columns of a range are aging
     brackets 0..5, the rest are ignored. Unknown labels are skipped; when a
-    label repeats, its last range wins. Runs on the header rows only."""
-    w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    label repeats, its last range wins. Runs on the header rows only, each
+    sheet's by themselves."""
+    by = ["sheet"] if "sheet" in header.columns else []
+    w = Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     h = header.select(
-        "idx", "name",
+        *by, "idx", "name",
         F.last(F.when(F.col("label").isNotNull(), F.col("idx")), ignorenulls=True).over(w).alias("_start"),
         F.last(F.when(F.col("label").isNotNull(), strip("label")), ignorenulls=True).over(w).alias("category"))
     h = h.where(F.col("category").isin(*valid))
-    h = h.withColumn("_last", F.max("_start").over(Window.partitionBy("category")))
+    h = h.withColumn("_last", F.max("_start").over(Window.partitionBy(*by, "category")))
     off = (F.col("idx") - F.col("_start")).cast("int")
     return (h.where((F.col("_start") == F.col("_last")) & (off < per_category))
-             .select(F.col("idx").alias("position"), "name", "category", off.alias("offset")))
+             .select(*by, F.col("idx").alias("position"), "name", "category", off.alias("offset")))
 
 
 # --- SRC-7, ING-1, WIN-8 ------------------------------------------------------
@@ -54,60 +53,83 @@ def sheet_dim(spark, sheets: tuple = vocab.SHEET_MONTHS) -> DataFrame:
     return values_frame(spark, sheets, ("sheet", "report_month"))
 
 
-def select_sheets(wide: DataFrame, dim: DataFrame | None = None) -> DataFrame:
+def chosen_sheets(present: DataFrame, dim: DataFrame | None = None) -> DataFrame:
+    """(sheet, sheet_pos, report_month): of the known sheets in ``present(sheet,
+    sheet_pos)``, the first in workbook order for each report month."""
+    if dim is None:
+        dim = sheet_dim(present.sparkSession)
+    known = present.select("sheet", "sheet_pos").distinct().join(dim, "sheet")
+    first = Window.partitionBy("report_month").orderBy("sheet_pos", "sheet")
+    return (known.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1)
+                 .select("sheet", "sheet_pos", "report_month"))
+
+
+def select_sheets(wide: DataFrame, dim: DataFrame | None = None, present: DataFrame | None = None) -> DataFrame:
     """Keep rows of known sheets only, and per report month only the first
     sheet in workbook order (``sheet_pos``); adds ``report_month``.
 
-    The choice is made at sheet grain (distinct sheets present -- a sheet that
-    failed to land has no rows and claims nothing), then applied to the rows
-    with a broadcast join of at most ``len(dim)`` rows."""
-    if dim is None:
-        dim = sheet_dim(wide.sparkSession)
-    present = wide.select("sheet", "sheet_pos").distinct()
-    known = present.join(F.broadcast(dim), "sheet")
-    first = Window.partitionBy("report_month").orderBy("sheet_pos", "sheet")
-    chosen = known.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") == 1).select("sheet", "report_month")
-    return wide.join(F.broadcast(chosen), "sheet")
+    The choice is made at sheet grain: from ``present`` (a manifest of the
+    landed sheets), or from the distinct sheets of the rows -- a sheet that
+    failed to land has no rows and claims nothing."""
+    chosen = chosen_sheets(wide if present is None else present, dim)
+    return wide.join(chosen.select("sheet", "report_month"), "sheet")
 
 
 # --- ING-4/5 -----------------------------------------------------------------
 
-def unpivot_cells(wide: DataFrame, colmap: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per non-null amount cell: (row_idx, *keep, pos, category, bracket, raw).
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-    ``unpivot`` plans an Expand inside whole-stage codegen; empty cells are
-    filtered in the same stage, and the cell's (position, category, bracket)
-    comes from a broadcast join with the column map (one row per sheet column)."""
-    # Metadata: one row per amount column, read once; the lookup joined below
-    # is built from these rows, so the column-map plan is not evaluated again.
-    cm_rows = [(r["name"], r["position"], r["category"], r["offset"]) for r in colmap.collect()]
-    names = [name for name, _, _, _ in cm_rows]
-    q = lambda c: "`" + c.replace("`", "``") + "`"
-    long = (wide.selectExpr("row_idx", *[q(k) for k in keep], *[f"cast({q(n)} as string) AS {q(n)}" for n in names])
-                .unpivot(["row_idx", *keep], names, "_cell", "raw")
-                .where(F.col("raw").isNotNull()))
-    cm = values_frame(wide.sparkSession, cm_rows, ("_cell", "pos", "category", "bracket"))
-    return long.join(F.broadcast(cm), "_cell").drop("_cell")
 
+def _cells_sql(layout: list[tuple]) -> str:
+    """Array of a row's amount cells for one sheet layout."""
+    return "array(" + ", ".join(
+        f"named_struct('pos', {pos}, 'category', {sql_str(cat)}, 'bracket', {off}, 'raw', cast({_quoted(name)} as string))"
+        for pos, name, cat, off in layout) + ")"
 
-AMOUNT_TYPE = "decimal(38,18)"
 
+def unpivot_cells(wide: DataFrame, colmap: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per non-null amount cell: (row_idx, *keep, pos, category, bracket, raw).
 
-def parse_amount(raw: str = "raw") -> F.Column:
-    """Cell text -> exact decimal; null for text, blanks, NaN and infinities."""
-    return F.expr(f"try_cast({strip_sql(raw)} as {AMOUNT_TYPE})")
+    Sheets of one layout share an expression; rows of sheets without a
+    layout, and columns that the frame lacks, give no cells."""
+    layouts: dict[str | None, list] = {}
+    for r in colmap.collect():   # metadata: at most 48 rows a sheet
+        if r["name"] in wide.columns:
+            layouts.setdefault(r["sheet"] if "sheet" in colmap.columns else None, []).append(
+                (r["position"], r["name"], r["category"], r["offset"]))
+    shared: dict[tuple, list] = {}
+    for sheet, layout in layouts.items():
+        shared.setdefault(tuple(sorted(layout)), []).append(sheet)
+    if not shared:
+        cells = "cast(array() as array<struct<pos:int,category:string,bracket:int,raw:string>>)"
+    elif "sheet" in colmap.columns:
+        cells = "CASE " + " ".join(
+            f"WHEN sheet IN ({', '.join(map(sql_str, sorted(sheets)))}) THEN {_cells_sql(list(layout))}"
+            for layout, sheets in shared.items()) + " END"
+    else:
+        cells = _cells_sql(list(next(iter(shared))))
+    return wide.selectExpr("row_idx", *map(_quoted, keep),
+                           f"inline(filter({cells}, c -> c.raw IS NOT NULL)) AS (pos, category, bracket, raw)")
 
 
 def coerce_amount(cells: DataFrame) -> DataFrame:
-    """Numeric cells only: text, NaN, infinities and exact zeros are dropped,
-    negatives kept. Adds ``v`` (double). The filter uses the fast double
-    parse; the exact decimal parse runs later, only on the cells kept."""
-    return cells.withColumn("v", to_amount("raw")).where(F.col("v") != 0)
+    """Numeric cells only: text (also with type suffixes or hexadecimal), blanks,
+    NaN, infinities and exact zeros are dropped, negatives kept. Adds ``v``,
+    the exact decimal that all later figures come from. Numbers too large for
+    it are left out here; ``overflowing_cells`` lists them."""
+    return cells.withColumn("v", F.expr(amount_sql("raw"))).where(F.col("v") != 0)
+
+
+def overflowing_cells(cells: DataFrame) -> DataFrame:
+    """Cells that hold a number too large to store, with the reason."""
+    return (cells.where(F.expr(f"{is_number_sql('raw')} AND {amount_sql('raw')} IS NULL"))
+                 .withColumn("reasons", F.lit("amount_overflow")))
 
 
-def scale_to_billions(raw: str = "raw") -> F.Column:
-    """Rupiah text -> billions, ``round(v / 1e9, 6)``, on the exact decimal."""
-    return F.expr(f"cast(round(try_cast({strip_sql(raw)} as {AMOUNT_TYPE}) / 1000000000, 6) as decimal(18,6))")
+def scale_to_billions(amount: str = "v") -> F.Column:
+    """Rupiah -> billions, ``round(v / 1e9, 6)``, on the exact decimal."""
+    return F.expr(f"cast(round({amount} / 1000000000, 6) as decimal(18,6))")
 
 
 # --- ING-7/8 -----------------------------------------------------------------
@@ -119,9 +141,9 @@ def bracket_dim(spark, brackets: tuple = vocab.BRACKETS) -> DataFrame:
 def classify_aging(df: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """Aging bracket -> (aging bucket, collection status), a broadcast lookup
     of the fixed six-row bracket table."""
-    if dim is None:
+    if dim is None:   # six rows of the program: a local relation, which Spark broadcasts
         dim = bracket_dim(df.sparkSession)
-    return df.join(F.broadcast(dim), "bracket", "left")
+    return df.join(dim, "bracket", "left")
 
 
 def classify_invoice(df: DataFrame, sudah: tuple[str, ...] = vocab.SUDAH_CATS) -> DataFrame:
@@ -154,17 +176,20 @@ def with_invoice_key(df: DataFrame, month: str = "report_month") -> DataFrame:
         f"substring(category, 1, 4), '-', cast(bracket as string), '-', cast(row_idx as string)), 1, 50)"))
 
 
+def _sheet_cells(wide: DataFrame, header: DataFrame, sheets: DataFrame | None, valid: tuple[str, ...],
+                 present: DataFrame | None) -> DataFrame:
+    """Cells of the chosen sheets with the row's identity columns."""
+    rows = identity_columns(select_sheets(wide, sheets, present))
+    made = tuple(fact for _, fact, _ in vocab.IDENTITY_COLUMNS) + ("uic", "action_plan")
+    return unpivot_cells(rows, column_map(header, valid), ("report_month", "sheet") + made)
+
+
 def import_open_items(wide: DataFrame, header: DataFrame, sheets: DataFrame | None = None,
-                      valid: tuple[str, ...] = vocab.CATEGORIES) -> DataFrame:
-    """The whole sheet import: pick sheets, unpivot amount cells, coerce and
-    scale amounts, classify, derive identity columns and the key."""
-    rows = select_sheets(wide, sheets)
-    ident = [c for c, _, _ in vocab.IDENTITY_COLUMNS] + ["UNLOCK"]
-    keep = tuple(["report_month", "sheet"] + [c for c in ident if c in wide.columns])
-    cells = coerce_amount(unpivot_cells(rows, column_map(header, valid), keep))
-    cells = cells.withColumn("nilai_m", scale_to_billions("raw"))
-    facts = identity_columns(classify_invoice(classify_aging(cells)))
-    facts = with_invoice_key(facts)
+                      valid: tuple[str, ...] = vocab.CATEGORIES, present: DataFrame | None = None) -> DataFrame:
+    """The whole sheet import: pick sheets, derive identity columns, unpivot
+    amount cells, coerce and scale amounts, classify, and add the key."""
+    cells = coerce_amount(_sheet_cells(wide, header, sheets, valid, present)).withColumn("nilai_m", scale_to_billions())
+    facts = with_invoice_key(classify_invoice(classify_aging(cells)))
     return facts.selectExpr(
         "invoice_id", "customer_name", "aging_category", "status_tagih", "region",
         "substring(category, 1, 50) AS invoice_status", "nilai_m", "uic",
@@ -173,6 +198,14 @@ def import_open_items(wide: DataFrame, header: DataFrame, sheets: DataFrame | No
         "status_invoice")
 
 
+def import_rejects(wide: DataFrame, header: DataFrame, sheets: DataFrame | None = None,
+                   valid: tuple[str, ...] = vocab.CATEGORIES, present: DataFrame | None = None) -> DataFrame:
+    """(sheet, report_month, row_idx, pos, category, bracket, raw, reasons) of
+    the cells that the import leaves out though they hold a number."""
+    cells = overflowing_cells(_sheet_cells(wide, header, sheets, valid, present))
+    return cells.select("sheet", "report_month", "row_idx", "pos", "category", "bracket", "raw", "reasons")
+
+
 def import_report(inv: DataFrame) -> DataFrame:
     """Records per report month."""
     return inv.groupBy("report_month").agg(F.count(F.lit(1)).cast("bigint").alias("records"))

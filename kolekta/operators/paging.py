@@ -21,12 +21,13 @@ def page_count(df: DataFrame, size: int = vocab.PAGE_SIZE) -> F.Column:
 
 
 def detail_page(df: DataFrame, page: int = 1, size: int = vocab.PAGE_SIZE, key: str = "invoice_id",
-                columns: tuple[str, ...] = vocab.DETAIL_COLUMNS) -> DataFrame:
+                columns: tuple[str, ...] = vocab.DETAIL_COLUMNS, records: int | None = None) -> DataFrame:
     """Page ``page`` (1-based) of the display columns, in key order, with the
-    page number and the page count."""
+    page number and the page count. ``records``: the number of rows if it is
+    known (the mart has it), so that the table is not counted for it."""
     rows = df.orderBy(key).offset((page - 1) * size).limit(size)
-    return rows.select(key, *columns, F.lit(page).cast("bigint").alias("page"),
-                       page_count(df, size).alias("pages"))
+    pages = page_count(df, size) if records is None else F.lit(max(1, -(-records // size))).cast("bigint")
+    return rows.select(key, *columns, F.lit(page).cast("bigint").alias("page"), pages.alias("pages"))
 
 
 def page_after(df: DataFrame, last_key: str | None, size: int = vocab.PAGE_SIZE, key: str = "invoice_id",

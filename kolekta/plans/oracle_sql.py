@@ -8,12 +8,10 @@ Spark plans. Vocabulary lists are spliced in from ``kolekta.vocab``.
 from __future__ import annotations
 
 from kolekta import vocab
-from kolekta.functions import month_ord_sql
+from kolekta.schemas import INVOICE
 from kolekta.sources.fixtures import INFLOW_SQL, INVOICE_SQL, METRICS_SQL, TOP_CUSTOMERS_SQL, TREND_SQL, sql_for_duckdb
 
-FACT_COLS = ("invoice_id", "customer_name", "aging_category", "status_tagih", "region", "invoice_status",
-             "nilai_m", "uic", "due_date", "action_plan", "above_credit_limit", "report_month", "pengelolaan",
-             "bp_num", "nipnas", "witel", "satker", "reg", "status_invoice")
+FACT_COLS = tuple(INVOICE.names)
 
 
 def q(s: str) -> str:
@@ -43,7 +41,11 @@ def ST(v: str) -> str:
 
 HOME = f"coalesce(lower(trim(region)) = {q(vocab.HOME_REGION)}, false)"
 KEEP = f"status_tagih is distinct from {q(vocab.TIDAK_LAYAK)}"
-MONTH_ORD = month_ord_sql("report_month")
+# The stand-in labels are a month's name and a year; written out here, apart from the library's rule.
+_MONTHS = ("Januari", "Februari", "Maret", "April", "Mei", "Juni", "Juli", "Agustus", "September", "Oktober", "November",
+           "Desember")
+MONTH_ORD = ("cast(cast(split_part(report_month, ' ', 2) as integer) * 12 + list_position(["
+             + ", ".join(f"'{m}'" for m in _MONTHS) + "], split_part(report_month, ' ', 1)) as integer)")
 
 WITH_INV = "with ar_invoice as (" + sql_for_duckdb(INVOICE_SQL) + ")"
 TREND = sql_for_duckdb(TREND_SQL)

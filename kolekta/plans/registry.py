@@ -398,14 +398,14 @@ def _customer_band(spark, sf):
 
 _LAYAK = ST(vocab.LAYAK)
 DRILLS = {
-    "drill_status": ("status_tagih", vocab.BERMASALAH, ST(vocab.BERMASALAH)),
-    "drill_home": ("region_jakarta", None, f"{_LAYAK} and {HOME}"),
-    "drill_regional": ("region_not_jakarta", None, f"{_LAYAK} and not {HOME}"),
-    "drill_home_invoice": ("jakarta_status_invoice", vocab.BELUM_INVOICE,
+    "drill_status": ("status", vocab.BERMASALAH, ST(vocab.BERMASALAH)),
+    "drill_home": ("home", None, f"{_LAYAK} and {HOME}"),
+    "drill_regional": ("regional", None, f"{_LAYAK} and not {HOME}"),
+    "drill_home_invoice": ("home_invoice", vocab.BELUM_INVOICE,
                            f"{_LAYAK} and {HOME} and status_invoice = {q(vocab.BELUM_INVOICE)}"),
-    "drill_category": ("invoice_status", "KONTRAK", "invoice_status = 'KONTRAK'"),
-    "drill_region_name": ("regional_name", REGION, f"{_LAYAK} and not {HOME} and region = {q(REGION)}"),
-    "drill_aging": ("aging_category", "31-60 Days", "aging_category = '31-60 Days'"),
+    "drill_category": ("category", "KONTRAK", "invoice_status = 'KONTRAK'"),
+    "drill_region_name": ("region", REGION, f"{_LAYAK} and not {HOME} and region = {q(REGION)}"),
+    "drill_aging": ("aging", "31-60 Days", "aging_category = '31-60 Days'"),
 }
 
 
@@ -437,6 +437,15 @@ def _detail_page(spark, sf):
     return out(paging.detail_page(inv(spark, sf), PAGE))
 
 
+AFTER = "INV-2"
+
+
+@register("page_after", f"{WITH_INV} select invoice_id, {_DETAIL} from ar_invoice where invoice_id > {q(AFTER)} "
+                        f"order by invoice_id limit {vocab.PAGE_SIZE}")
+def _page_after(spark, sf):
+    return out(paging.page_after(inv(spark, sf), AFTER))
+
+
 @register("table_head", f"{WITH_INV} select * from ({fact_select()}) t order by invoice_id limit {vocab.TABLE_HEAD}")
 def _table_head(spark, sf):
     return out(paging.table_head(inv(spark, sf), vocab.TABLE_HEAD, ("invoice_id",)))

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kolekta import vocab
-from kolekta.operators import ingest, mutations, quality
-from kolekta.plans.oracle_sql import FACT_COLS, TOP_CUST, WITH_INV, fact_select, in_list, q
-from kolekta.plans.registry import inv, out, register
+from kolekta import schemas, vocab
+from kolekta.operators import ingest, mutations, quality, summary
+from kolekta.plans import marts, tables
+from kolekta.plans.oracle_sql import FACT_COLS, M, S, ST, TOP_CUST, WITH_INV, fact_select, in_list, q
+from kolekta.plans.payload import dashboard_payload, payload_values
+from kolekta.plans.registry import ORACLE, inv, out, register
 from kolekta.session import scratch_path
 from kolekta.sources.catalog import TableCatalog
 from kolekta.sources.fixtures import Fixtures
@@ -18,7 +20,8 @@ from kolekta.sources.fixtures import Fixtures
 _SHEETS = [s for s, _ in vocab.SHEET_MONTHS] + ["Rekap"]   # stand-in: sheet of a row = its key mod 7
 _SHEET_VALUES = ", ".join(f"({q(s)}, {i})" for i, s in enumerate(_SHEETS))
 _DIM_VALUES = ", ".join(f"({q(s)}, {q(m)})" for s, m in vocab.SHEET_MONTHS)
-_CAT_NAME = "case o_orderkey % 8 " + " ".join(f"when {i} then {q(c)}" for i, c in enumerate(vocab.CATEGORIES)) + " end"
+# On odd sheets the categories stand three places further on.
+_CAT_NAME = f"case (o_orderkey % 8 + 3 * ((o_orderkey % {len(_SHEETS)}) % 2)) % 8 " + " ".join(f"when {i} then {q(c)}" for i, c in enumerate(vocab.CATEGORIES)) + " end"
 _AGING = "case bracket " + " ".join(f"when {b} then {q(a)}" for b, _, a, _ in vocab.BRACKETS) + " end"
 _STATUS = "case bracket " + " ".join(f"when {b} then {q(s)}" for b, _, _, s in vocab.BRACKETS) + " end"
 _TXT = ("concat(case when o_orderkey % 89 = 0 then '-' else '' end, "
@@ -28,7 +31,7 @@ _TXT = ("concat(case when o_orderkey % 89 = 0 then '-' else '' end, "
 _BASE = f"""with b as (
  select o_orderkey as row_idx, o_orderkey % {len(_SHEETS)} as sheet_pos, {_CAT_NAME} as category,
   o_custkey % 6 as bracket, 10 + (o_orderkey % 8) * 6 + (o_custkey % 6) as pos,
-  cast({_TXT} as double) as v,
+  case when o_orderkey % 97 between 1 and 6 then null else cast({_TXT} as decimal(24,2)) end as v,
   round(cast({_TXT} as decimal(24,2)) * cast('0.000000001' as decimal(10,9)), 6) as amt,
   nullif(substr(trim(c_name), 1, 100), '') as customer_name,
   nullif(substr(trim(cast(o_custkey as varchar)), 1, 30), '') as ca,
@@ -77,9 +80,9 @@ def _sheet_select(spark, sf):
     return ingest.select_sheets(_fx(spark, sf).open_item_wide()).select("row_idx", "sheet", "report_month")
 
 
-@register("coerce_amount", f"{_BASE} select row_idx, cast(pos as integer) as pos, v from b where v is not null and v <> 0")
+@register("coerce_amount", f"{_BASE} select row_idx, cast(pos as integer) as pos, cast(v as double) as v from b where v is not null and v <> 0")
 def _coerce_amount(spark, sf):
-    return _cells(spark, sf).select("row_idx", F.col("pos").cast("int").alias("pos"), "v")
+    return _cells(spark, sf).select("row_idx", F.col("pos").cast("int").alias("pos"), F.col("v").cast("double").alias("v"))
 
 
 @register("classify_aging", f"""{_BASE} select row_idx, cast(bracket as integer) as bracket, {_AGING} as aging_category,
@@ -151,15 +154,15 @@ def _dirty_file(spark, sf):
              .unionByName(i.where(F.col("nilai_m").isNull()).withColumn("invoice_id", F.lit(None).cast("string"))))
 
 
-@register("validate_invoices", f"""{WITH_INV}, f as (select invoice_id, status_tagih from ar_invoice
- union all select invoice_id, status_tagih from ar_invoice where nilai_m < 0
- union all select cast(null as varchar), status_tagih from ar_invoice where nilai_m is null),
-d as (select invoice_id from f where invoice_id is not null group by invoice_id having count(*) > 1),
+@register("validate_invoices", f"""{WITH_INV}, f as (select invoice_id, status_tagih, report_month from ar_invoice
+ union all select invoice_id, status_tagih, report_month from ar_invoice where nilai_m < 0
+ union all select cast(null as varchar), status_tagih, report_month from ar_invoice where nilai_m is null),
+d as (select invoice_id, report_month from f where invoice_id is not null group by invoice_id, report_month having count(*) > 1),
 r as (select f.invoice_id, concat_ws(',',
   case when f.invoice_id is null or trim(f.invoice_id) = '' then 'missing_id' end,
   case when d.invoice_id is not null then 'duplicate_id' end,
   case when coalesce(f.status_tagih in {in_list(vocab.STATUSES)}, false) then null else 'bad_status' end) as reasons
- from f left join d on f.invoice_id = d.invoice_id)
+ from f left join d on f.invoice_id = d.invoice_id and f.report_month is not distinct from d.report_month)
 select invoice_id, reasons, reasons = '' as is_valid from r""")
 def _validate_invoices(spark, sf):
     return quality.validate(_dirty_file(spark, sf))
@@ -180,67 +183,219 @@ def _table_read(spark, sf):
 
 
 _K = "cast(substr(invoice_id, 5) as bigint)"
-_NEW_SQL = "select " + ", ".join("invoice_id || '-N' as invoice_id" if c == "invoice_id" else c for c in FACT_COLS) \
-    + f" from ar_invoice where {_K} % 100 = 0"
-_UPD_SQL = "select " + ", ".join(f"case when {_K} % 10 = 0 then nilai_m + 1 else nilai_m end as nilai_m"
-                                 if c == "nilai_m" else c for c in FACT_COLS) + " from ar_invoice"
+_KEY = ("invoice_id", "report_month")
+_SUPPLIED = _KEY + ("nilai_m", "action_plan")
+
+
+def _sql_rows(given: dict[str, str], rest: str | None = None) -> str:
+    """Fact columns by name: as given, else as ``rest`` says (null by default)."""
+    types = {"above_credit_limit": "integer", "nilai_m": "decimal(18,6)"}
+    return ", ".join(f"{given[c]} as {c}" if c in given else c if rest == "own" else
+                     f"cast(null as {types.get(c, 'varchar')}) as {c}" for c in FACT_COLS)
+
+
+# New rows supply four columns; the others are null, but for the credit-limit flag, which defaults to 0.
+_NEW_SQL = "select " + _sql_rows({"invoice_id": "invoice_id || '-N'", "report_month": "report_month", "nilai_m": "nilai_m",
+                                  "action_plan": "'New'", "above_credit_limit": "0"}) + f" from ar_invoice where {_K} % 100 = 0"
+# Changes supply the same four; a matched row keeps the rest.
+_UPD_SQL = "select " + _sql_rows({"nilai_m": f"case when {_K} % 10 = 0 then nilai_m + 1 else nilai_m end",
+                                  "action_plan": f"case when {_K} % 10 = 0 then 'Revised' else action_plan end"},
+                                 "own") + " from ar_invoice"
 
 
 def _key():
-    return F.substring("invoice_id", 5, 100).cast("bigint")
+    return F.substring("invoice_id", 5, 100).try_cast("bigint")
 
 
 def _new_rows(i):
-    return i.where(_key() % 100 == 0).withColumn("invoice_id", F.concat("invoice_id", F.lit("-N")))
+    return (i.where(_key() % 100 == 0).withColumns({"invoice_id": F.concat("invoice_id", F.lit("-N")), "action_plan": F.lit("New")})
+            .select(*_SUPPLIED))
 
 
 def _updates(i):
-    return i.where(_key() % 10 == 0).withColumn("nilai_m", F.col("nilai_m") + 1)
+    return (i.where(_key() % 10 == 0).withColumns({"nilai_m": F.col("nilai_m") + 1, "action_plan": F.lit("Revised")})
+            .select(*_SUPPLIED))
 
 
-@register("table_append", f"{WITH_INV}, t as (select * from ar_invoice union all {_NEW_SQL}) {fact_select('t')}")
+_DEFAULTS = schemas.DEFAULTS["ar_segmen_ers_tbl"]
+_APPENDED = f"{WITH_INV}, t as (select * from ar_invoice union all {_NEW_SQL}) {fact_select('t')}"
+_UPDATED = f"{WITH_INV}, t as ({_UPD_SQL}) {fact_select('t')}"
+_DELETED = f"{WITH_INV} {fact_select()} where not ({_K} % 7 = 0)"
+_UPSERTED = f"{WITH_INV}, t as ({_UPD_SQL} union all {_NEW_SQL}) {fact_select('t')}"
+
+
+@register("table_append", _APPENDED)
 def _table_append(spark, sf):
     i = inv(spark, sf)
-    return out(mutations.append_rows(i, _new_rows(i), "invoice_id"))
+    return out(mutations.append_rows(i, _new_rows(i), _KEY, defaults=_DEFAULTS))
 
 
-@register("table_update", f"{WITH_INV}, t as ({_UPD_SQL}) {fact_select('t')}")
+@register("table_update", _UPDATED)
 def _table_update(spark, sf):
     i = inv(spark, sf)
-    return out(mutations.update_rows(i, _updates(i).select("invoice_id", "nilai_m"), "invoice_id", ["nilai_m"]))
+    return out(mutations.update_rows(i, _updates(i), _KEY))
 
 
-@register("table_delete", f"{WITH_INV} {fact_select()} where not ({_K} % 7 = 0)")
+@register("table_delete", _DELETED)
 def _table_delete(spark, sf):
     i = inv(spark, sf)
-    return out(mutations.delete_rows(i, i.where(_key() % 7 == 0).select("invoice_id"), "invoice_id"))
+    return out(mutations.delete_rows(i, i.where(_key() % 7 == 0).select(*_KEY), _KEY))
 
 
-@register("table_upsert", f"{WITH_INV}, t as ({_UPD_SQL} union all {_NEW_SQL}) {fact_select('t')}")
+@register("table_upsert", _UPSERTED)
 def _table_upsert(spark, sf):
     i = inv(spark, sf)
-    return out(mutations.upsert_rows(i, _updates(i).unionByName(_new_rows(i)), "invoice_id"))
+    return out(mutations.upsert_rows(i, _updates(i).unionByName(_new_rows(i)), _KEY, defaults=_DEFAULTS))
+
+
+# --- stored tables: the same changes, written and read again ---------------------
+
+_FACTS = "AR_SEGMEN_ERS_TBL"
+
+
+def _stored(spark, sf) -> tables.StoredTables:
+    store = tables.StoredTables(spark, scratch_path(spark, "stored"))
+    store.refresh(_FACTS, inv(spark, sf))
+    return store
+
+
+@register("stored_refresh", f"{WITH_INV} {fact_select()}")
+def _stored_refresh(spark, sf):
+    """Written twice: readers see the second version alone."""
+    store = _stored(spark, sf)
+    return out(store.refresh(_FACTS, store.read(_FACTS)))
 
 
-# --- payload and stream (rows-only checks) -----------------------------------
+@register("stored_append", _APPENDED)
+def _stored_append(spark, sf):
+    store = _stored(spark, sf)
+    return out(store.append(_FACTS, _new_rows(inv(spark, sf))))
 
-@register("dashboard_payload")
+
+@register("stored_update", _UPDATED)
+def _stored_update(spark, sf):
+    store = _stored(spark, sf)
+    return out(store.update(_FACTS, _updates(inv(spark, sf))))
+
+
+@register("stored_delete", _DELETED)
+def _stored_delete(spark, sf):
+    store = _stored(spark, sf)
+    return out(store.delete(_FACTS, inv(spark, sf).where(_key() % 7 == 0).select(*_KEY)))
+
+
+@register("stored_upsert", _UPSERTED)
+def _stored_upsert(spark, sf):
+    """Twice the same MERGE equals once."""
+    store, i = _stored(spark, sf), inv(spark, sf)
+    changes = _updates(i).unionByName(_new_rows(i))
+    store.upsert(_FACTS, changes)
+    return out(store.upsert(_FACTS, changes))
+
+
+@register("csv_round_trip", f"{WITH_INV} {fact_select()}")
+def _csv_round_trip(spark, sf):
+    i = schemas.conform(inv(spark, sf))
+    path = tables.export_csv(i, scratch_path(spark, "csv"))
+    return out(spark.read.schema(i.schema).options(**tables.CSV_OPTIONS).csv(path))
+
+
+@register("load_log", f"{_BASE} select report_month, cast(count(*) as bigint) as records from imp group by report_month")
+def _load_log(spark, sf):
+    log = tables.load_log(_imported(spark, sf), scratch_path(spark, "log"))
+    return log.select("report_month", "records")
+
+
+# --- the six-dimension mart ------------------------------------------------------
+
+def _moved_mart(spark, sf):
+    """The mart after a change of the stored table, refreshed for the touched months only."""
+    store = _stored(spark, sf)
+    path = scratch_path(spark, "mart")
+    marts.refresh_mart(spark, store.read(_FACTS), path)
+    i = inv(spark, sf)
+    changes = _updates(i).unionByName(_new_rows(i)).where(F.col("report_month").contains("Ju"))
+    months = [r[0] for r in changes.select("report_month").distinct().collect()]
+    marts.refresh_mart(spark, store.upsert(_FACTS, changes), path, months)
+    return marts.read_mart(spark, path)
+
+
+_MOVED = f"""{WITH_INV}, ch as (select {_sql_rows({
+    "nilai_m": f"case when {_K} % 10 = 0 and contains(report_month, 'Ju') then nilai_m + 1 else nilai_m end",
+    "action_plan": "action_plan"}, "own")} from ar_invoice
+ union all select * from ({_NEW_SQL}) n where contains(report_month, 'Ju'))"""
+
+
+@register("mart_kpi", f"""{_MOVED} select {M(S())} as total_ar_m, {M(S(ST(vocab.LAYAK)))} as layak_m,
+ {M(S(ST(vocab.TIDAK_LAYAK)))} as tidak_layak_m, {M(S(ST(vocab.BERMASALAH)))} as bermasalah_m, cast(count(*) as bigint) as n
+ from ch""")
+def _mart_kpi(spark, sf):
+    return marts.mart_kpi(_moved_mart(spark, sf))
+
+
+@register("mart_segments", f"""{_MOVED} select pengelolaan, {M(S())} as v from ch
+ where pengelolaan is not null group by pengelolaan""")
+def _mart_segments(spark, sf):
+    """A fact-table operator over the mart."""
+    return summary.segment_breakdown(_moved_mart(spark, sf))
+
+
+# --- payload and stream ------------------------------------------------------------
+
+def _leaves(name: str, path: str, numbers: tuple = (), texts: tuple = ()) -> list[str]:
+    """(path, num, txt) rows of the columns of a registered query's SQL; ``path`` is an SQL expression."""
+    return ([f"select {path} || '{c}' as path, cast({c} as double) as num, cast(null as varchar) as txt from ({ORACLE[name]}) t" for c in numbers]
+            + [f"select {path} || '{c}' as path, null as num, cast({c} as varchar) as txt from ({ORACLE[name]}) t" for c in texts])
+
+
+def _keyed(name: str, path: str, key: str, value: str) -> str:
+    return f"select '{path}.' || {key} as path, cast({value} as double) as num, cast(null as varchar) as txt from ({ORACLE[name]}) t"
+
+
+def _payload_sql() -> str:
+    flow = "charts.ar_flow"
+    parts = _leaves("kpi_summary", "'summary.'", ("total_ar_m", "total_layak_tagih_m", "total_tidak_layak_m", "total_bermasalah_m",
+                                                  "over_due_m", "overdue_pct", "dso", "total_records"))
+    parts += _leaves("largest_segment", "'summary.'", (), ("largest_segment",)) + _leaves("as_of", "'summary.'", (), ("as_of_date",))
+    parts += [f"select 'summary.active_filters.{n}' as path, null as num, 'ALL' as txt" for n in ("month", "segment", "region")]
+    parts += _leaves("flow_levels", f"'{flow}.'", ("total_m", "tidak_layak_m", "layak_tagih_m", "bermasalah_m"))
+    parts += [f"select '{flow}.{p}' as path, {c} as num, null as txt from ({ORACLE['flow_levels']}) t" for p, c in (
+        ("jakarta.total_m", "home_total_m"), ("jakarta.sudah_invoice_m", "sudah_invoice_m"),
+        ("jakarta.belum_invoice_m", "belum_invoice_m"), ("regional.total_m", "regional_total_m"))]
+    parts += [_keyed("age_analysis", "charts.age_analysis", "label", "v"), _keyed("segment_breakdown", "charts.segment_breakdown", "pengelolaan", "v"),
+              _keyed("category_breakdown", "charts.category_breakdown", "invoice_status", "v"),
+              _keyed("flow_categories", f"{flow}.jakarta.categories", "category", "v"),
+              _keyed("flow_regional", f"{flow}.regional.breakdown", "region", "v")]
+    parts += _leaves("region_breakup", "'charts.region_breakup.' || region || '.'", ("value", "percentage"))
+    parts += _leaves("history_trend", "'charts.history_trend.' || report_month || '.'", ("total_m", "layak_m", "tidak_layak_m", "bermasalah_m"))
+    parts += _leaves("cash_inflow", "'charts.cash_inflow.' || sort_order || '.'",
+                     ("actual_receipts", "estimated_receipts", "forecasted_receipts"), ("month_label",))
+    parts += _leaves("trend_t13m", "'charts.trend_t13m.' || sort_order || '.'", ("within_due", "over_due", "credit_sales"), ("month_label",))
+    parts += [f"select 'charts.sparkline_{n}.' || ord as path, {num} as num, {txt} as txt from ({ORACLE['sparkline']}) t"
+              for n, num, txt in (("overdue_pct", "overdue_pct", "null"), ("dso", "dso", "null"), ("months", "null", "month_label"))]
+    parts += _leaves("action_plan", "'action_plan.' || kategori || '.'", ("ord", "nilai_m"), ("uic", "tindak_lanjut", "due_date"))
+    parts += _leaves("top_customers", "'top_customers.' || rank || '.'",
+                     ("balance", "within_due", "over_due", "overdue_pct", "due_invoices", "above_credit_limit"), ("customer_name", "report_month"))
+    return "\nunion all\n".join(parts)
+
+
+@register("dashboard_payload", _payload_sql())
 def _dashboard_payload(spark, sf):
-    from kolekta.plans.payload import dashboard_payload
+    """The nested payload, flattened to one row for each leaf."""
     fx = _fx(spark, sf)
-    return dashboard_payload(fx.invoices(), fx.top_customers(), fx.cash_inflow(), fx.trend_t13m(),
-                             fx.metrics_history())
+    return payload_values(dashboard_payload(fx.invoices(), fx.top_customers(), fx.cash_inflow(), fx.trend_t13m(),
+                                            fx.metrics_history()))
 
 
-@register("stream_ingest")
+@register("stream_ingest", f"{_BASE} " + fact_select("imp"))
 def _stream_ingest(spark, sf):
     """Land the wide sheet rows as several files, then run the folder stream
-    over them into a fresh invoice table; returns the table."""
+    over them, a file a batch, into a fresh invoice table; returns the table."""
     from kolekta.streaming.folder_ingest import stream_ingest
     fx = _fx(spark, sf)
     wide = fx.open_item_wide()
     root = scratch_path(spark, "stream_ingest")
     landing = f"{root}/landing"
-    wide.repartition(4, "sheet").write.parquet(landing)
+    wide.repartition(3, "sheet").write.parquet(landing)
     return out(stream_ingest(spark, landing, f"{root}/table", f"{root}/_checkpoint", fx.open_item_header(),
-                             spark.read.parquet(landing).schema))
+                             spark.read.parquet(landing).schema, files_per_batch=1))

@@ -1,30 +1,42 @@
-"""Writing tables: atomic full refresh, partition-scoped upsert / update /
-delete, CSV export, load log.
-
-* Full refresh writes a new version folder ``v=NNNNNN`` next to the old ones;
-  readers take the newest version whose ``_SUCCESS`` marker exists, so a
-  failed or half-written job is never visible (Spark's commit protocol
-  writes the marker last).
-* ``upsert_partitions`` / ``update_partitions`` / ``delete_partitions``
-  rewrite only the ``report_month`` partitions a change touches (dynamic
-  partition overwrite), after cutting lineage with a reliable
-  ``checkpoint()`` into the session's shared checkpoint folder: the rewrite
-  never reads the files it replaces and survives lost executors.
+"""Stored tables: versions behind a pointer, keyed changes, CSV export, load log.
+
+One layout serves every table and every kind of write:
+
+* ``<table>/v=NNNNNN/[part=value/]*.parquet``: the rows that one write produced;
+* ``<table>/_pointers/NNNNNN.json``: a version of the table, as the list of
+  folders that make it up (one for each partition value, or a single one).
+
+A write puts its rows into a new folder and then commits by renaming a new
+pointer into place; readers take the newest pointer. Nothing that a reader
+can see is ever changed, so there is no moment in between, a failed job
+leaves no trace that is read, and a job may read the table that it rewrites.
+If another writer commits first, the rename fails and the write raises.
+
+A keyed change on a partitioned table whose key holds the partition column
+reads and writes only the partitions of the change. The partition column
+must have few distinct values (months): their list is kept in the pointer.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
+from kolekta import schemas
 from kolekta.operators.ingest import import_report
-from kolekta.operators.mutations import delete_rows, update_rows, upsert_rows
-from kolekta.session import ensure_checkpoint_dir
+from kolekta.operators.mutations import append_rows, delete_rows, keys_of, update_rows, upsert_rows
 
 VERSION_PREFIX = "v="
+_POINTERS = "_pointers"
+_NULL = "__HIVE_DEFAULT_PARTITION__"
+
+
+class ConcurrentWriteError(RuntimeError):
+    pass
 
 
 def _fs(spark: SparkSession, path: str):
@@ -33,41 +45,47 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def versions(spark: SparkSession, table_dir: str) -> list[int]:
-    """Committed versions of a table folder (driver-side listing of a few folders)."""
-    fs, p, jvm = _fs(spark, table_dir)
+def _numbers(spark: SparkSession, path: str, prefix: str = "", suffix: str = "") -> list[int]:
+    """Numbers in the names of a folder's entries (a driver-side listing of a few names)."""
+    fs, p, _ = _fs(spark, path)
     if not fs.exists(p):
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(VERSION_PREFIX):
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[len(VERSION_PREFIX):]))
-    return sorted(out)
-
-
-def current_path(spark: SparkSession, table_dir: str) -> str:
-    v = versions(spark, table_dir)
-    return f"{table_dir.rstrip('/')}/{VERSION_PREFIX}{v[-1]:06d}" if v else table_dir
-
-
-def write_version(df: DataFrame, table_dir: str, partition_by: str | None = None) -> str:
-    """Write ``df`` as the next version of the table; returns its path."""
-    spark = df.sparkSession
-    fs, p, jvm = _fs(spark, table_dir)
-    existing = []
-    if fs.exists(p):
-        existing = [int(s.getPath().getName()[len(VERSION_PREFIX):]) for s in fs.listStatus(p)
-                    if s.isDirectory() and s.getPath().getName().startswith(VERSION_PREFIX)]
-    path = f"{table_dir.rstrip('/')}/{VERSION_PREFIX}{(max(existing) + 1 if existing else 1):06d}"
-    if partition_by:
-        df = rebalanced(df, partition_by)
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
-    return path
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    found = [n[len(prefix):len(n) - len(suffix)] for n in names if n.startswith(prefix) and n.endswith(suffix)]
+    return sorted(int(n) for n in found if n.isdigit())
+
+
+def versions(spark: SparkSession, table_dir: str) -> list[int]:
+    """Committed versions, oldest first."""
+    return _numbers(spark, f"{table_dir.rstrip('/')}/{_POINTERS}", suffix=".json")
+
+
+def read_pointer(spark: SparkSession, table_dir: str, version: int | None = None) -> dict | None:
+    """{"version", "partition_by", "folders": [[value, folder], ...], "whole"}; None if
+    nothing is committed. whole: the one folder that holds all of the version, if one does."""
+    found = versions(spark, table_dir)
+    if not found:
+        return None
+    version = found[-1] if version is None else version
+    fs, p, jvm = _fs(spark, f"{table_dir.rstrip('/')}/{_POINTERS}/{version:06d}.json")
+    stream = fs.open(p)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text)
+
+
+def _commit(spark: SparkSession, table_dir: str, version: int, partition_by: str | None, folders: list,
+            whole: str | None = None) -> None:
+    root = f"{table_dir.rstrip('/')}/{_POINTERS}"
+    fs, temporary, jvm = _fs(spark, f"{root}/.{version:06d}.tmp")
+    final = jvm.org.apache.hadoop.fs.Path(f"{root}/{version:06d}.json")
+    out = fs.create(temporary, True)
+    out.write(bytearray(json.dumps({"version": version, "partition_by": partition_by, "folders": folders, "whole": whole}).encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(temporary, final):
+        raise ConcurrentWriteError(f"version {version} of {table_dir} was committed by another writer")
 
 
 def rebalanced(df: DataFrame, partition_by: str) -> DataFrame:
@@ -76,11 +94,49 @@ def rebalanced(df: DataFrame, partition_by: str) -> DataFrame:
     return df.hint("rebalance", partition_by)
 
 
-def read_current(spark: SparkSession, table_dir: str, schema=None) -> DataFrame:
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(current_path(spark, table_dir))
+def write_version(df: DataFrame, table_dir: str, partition_by: str | None = None, replace: list | None = None) -> str:
+    """Write ``df`` and commit it as the next version; returns the folder written.
+
+    ``replace`` lists the partition values whose content ``df`` is; all other
+    partitions stay. Without it ``df`` is the whole table."""
+    spark, root = df.sparkSession, table_dir.rstrip("/")
+    now = read_pointer(spark, root)
+    version = max([0, *versions(spark, root), *_numbers(spark, root, VERSION_PREFIX)]) + 1
+    path = f"{root}/{VERSION_PREFIX}{version:06d}"
+    writer = (rebalanced(df, partition_by) if partition_by else df).write.mode("errorifexists")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    folders, whole = [[None, f"{VERSION_PREFIX}{version:06d}"]], f"{VERSION_PREFIX}{version:06d}"
+    if partition_by:
+        fs, p, jvm = _fs(spark, path)
+        unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+        made = [n for n in names if n.startswith(f"{partition_by}=")]
+        folders = [[None if n.endswith(f"={_NULL}") else unescape(n.split("=", 1)[1]),
+                    f"{VERSION_PREFIX}{version:06d}/{n}"] for n in made]
+        if replace is not None and now:
+            gone = set(replace) | {v for v, _ in folders}
+            kept = [x for x in now["folders"] if x[0] not in gone]
+            folders, whole = folders + kept, None if kept else whole
+    _commit(spark, root, (now["version"] if now else 0) + 1, partition_by, sorted(folders, key=str), whole)
+    return path
+
+
+def read_current(spark: SparkSession, table_dir: str, schema: StructType | None = None, only: list | None = None) -> DataFrame:
+    """The newest version (of partitioned tables, ``only`` some partition values).
+
+    With ``schema`` a table without rows, or not yet written, is empty; without
+    it such a table raises."""
+    root, now = table_dir.rstrip("/"), read_pointer(spark, table_dir)
+    paths = [f"{root}/{f}" for v, f in (now or {"folders": []})["folders"] if only is None or v in only]
+    if paths and only is None and now["whole"]:   # one folder to list, not one for each value
+        paths = [f"{root}/{now['whole']}"]
+    if not paths:
+        if schema is None:
+            raise ValueError(f"no rows at {table_dir}, and no schema given")
+        return spark.createDataFrame([], schema)
+    reader = spark.read.option("basePath", root)
+    df = (reader.schema(schema) if schema is not None else reader).parquet(*paths).drop("v")
+    return df.select(*schema.names) if schema is not None else df
 
 
 def refresh(df: DataFrame, table_dir: str, partition_by: str | None = None) -> str:
@@ -88,94 +144,138 @@ def refresh(df: DataFrame, table_dir: str, partition_by: str | None = None) -> s
     return write_version(df, table_dir, partition_by)
 
 
-def apply_upsert(spark: SparkSession, table_dir: str, source: DataFrame, pk: str = "invoice_id",
-                 partition_by: str | None = "report_month", schema=None) -> str:
-    """Upsert into the table as a new version (whole-table rewrite; for small
-    tables, or when the key may move between partitions freely)."""
-    cur = read_current(spark, table_dir, schema)
-    merged = upsert_rows(cur, source, pk).checkpoint(eager=True)
-    return write_version(merged, table_dir, partition_by)
-
-
-def mutate_partitions(spark: SparkSession, path: str, changes: DataFrame, mutate, pk: str = "invoice_id",
-                      part: str = "report_month", schema=None, source_has_partition: bool = True) -> DataFrame:
-    """Apply a keyed change to a partitioned Parquet table at ``path``,
-    rewriting only the partitions it touches.
-
-    Touched partitions are those where one of the change's keys currently
-    lives (only the key and partition columns are scanned to find them), plus
-    the change's own partitions when it carries rows to write. ``mutate(old,
-    changes)`` gets the rows of the touched partitions and returns their new
-    content. Lineage is cut with a reliable checkpoint before the overwrite,
-    so no step re-reads the files being replaced."""
-    ensure_checkpoint_dir(spark)
-    fs, p, jvm = _fs(spark, path)
-    cur = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
-    located = cur.select(pk, part).join(changes.select(pk), pk, "left_semi").select(part)
-    if source_has_partition:
-        located = changes.select(part).union(located)
-    # The touched partitions are fixed before anything is rewritten (one value
-    # per month partition -- a short list).
-    touched = [r[part] for r in located.distinct().collect()]
-    if not touched:
-        return cur
-    in_touched = F.col(part).isin([v for v in touched if v is not None])
-    if None in touched:
-        in_touched = in_touched | F.col(part).isNull()
-    merged = mutate(cur.where(in_touched), changes).select(*cur.columns).checkpoint(eager=True)
-    (rebalanced(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy(part).parquet(path))
-    # A partition left without rows has nothing to overwrite it with: drop its folder.
-    kept = {r[part] for r in merged.select(part).distinct().collect()}
-    esc = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for v in touched:
-        if v not in kept:
-            name = "__HIVE_DEFAULT_PARTITION__" if v is None else esc(str(v))
-            fs.delete(jvm.org.apache.hadoop.fs.Path(p, f"{part}={name}"), True)
-    return spark.read.schema(cur.schema).parquet(path)   # known schema: also reads a table left empty
-
-
-def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, pk: str = "invoice_id",
-                      part: str = "report_month", schema=None) -> DataFrame:
-    """Upsert that rewrites only the touched partitions (created on first use);
-    a key may move to another month."""
-    fs, p, _ = _fs(spark, path)
-    if not fs.exists(p):
-        rebalanced(source, part).write.mode("overwrite").partitionBy(part).parquet(path)
-        return spark.read.parquet(path)
-    return mutate_partitions(spark, path, source, lambda old, src: upsert_rows(old, src.select(*old.columns), pk),
-                             pk, part, schema)
+def expire(spark: SparkSession, table_dir: str, keep: int = 2) -> None:
+    """Delete pointers but the newest ``keep``, and folders that no kept pointer names.
+
+    Run it when no write is under way: a folder is written before its pointer."""
+    root = table_dir.rstrip("/")
+    found = versions(spark, root)
+    kept, old = found[-keep:], found[:-keep]
+    used = {f for v in kept for _, f in read_pointer(spark, root, v)["folders"]}
+    fs, p, jvm = _fs(spark, root)
+    for v in old:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{_POINTERS}/{v:06d}.json"), False)
+    for n in _numbers(spark, root, VERSION_PREFIX):
+        name = f"{VERSION_PREFIX}{n:06d}"
+        here = {u for u in used if u.split("/")[0] == name}
+        if not here:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
+        elif name not in here:
+            for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")):
+                if s.isDirectory() and f"{name}/{s.getPath().getName()}" not in here:
+                    fs.delete(s.getPath(), True)
+
+
+def _touched(changes: DataFrame, part: str) -> list:
+    """Partition values of a change set (a few months)."""
+    return [r[0] for r in changes.select(part).distinct().collect()]
+
 
+def _change(spark: SparkSession, path: str, changes: DataFrame, mutate, pk, part: str | None, schema) -> DataFrame:
+    """Apply ``mutate(rows, changes)`` to the partitions of the change set, or
+    to the whole table if it has none, and commit the result."""
+    pk = keys_of(pk)
+    changes = changes.toDF(*[c.lower() for c in changes.columns])
+    if part is None:
+        old = read_current(spark, path, schema)
+        write_version(mutate(old, changes).select(*old.columns), path)
+    else:
+        if part not in pk:
+            raise ValueError(f"the key of a partitioned table holds its partition column {part!r}")
+        months = _touched(changes, part)
+        if months:
+            old = read_current(spark, path, schema, only=months)
+            write_version(mutate(old, changes).select(*old.columns), path, part, replace=months)
+    return read_current(spark, path, schema)
 
-def update_partitions(spark: SparkSession, path: str, changes: DataFrame, cols: list[str] | None = None,
-                      pk: str = "invoice_id", part: str = "report_month", schema=None) -> DataFrame:
-    """Update by key, rewriting only the partitions holding those keys."""
-    if cols and part in cols:
-        raise ValueError("moving a key to another partition is an upsert, not an update")
-    return mutate_partitions(spark, path, changes, lambda old, ch: update_rows(old, ch, pk, cols), pk, part, schema,
-                             source_has_partition=False)
 
+INVOICE_KEY = schemas.TABLES["ar_segmen_ers_tbl"][1]
 
-def delete_partitions(spark: SparkSession, path: str, keys: DataFrame, pk: str = "invoice_id",
-                      part: str = "report_month", schema=None) -> DataFrame:
-    """Delete by key, rewriting only the partitions holding those keys."""
-    return mutate_partitions(spark, path, keys, lambda old, k: delete_rows(old, k, pk), pk, part, schema,
-                             source_has_partition=False)
+
+def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, pk=INVOICE_KEY, part: str | None = "report_month",
+                      schema: StructType = schemas.INVOICE, defaults: dict | None = None) -> DataFrame:
+    """MERGE into a stored table (created on first use, also by no rows)."""
+    if read_pointer(spark, path) is None:
+        write_version(spark.createDataFrame([], schema), path, part)
+    return _change(spark, path, source, lambda old, s: upsert_rows(old, s, pk, defaults=defaults), pk, part, schema)
+
+
+def append_partitions(spark: SparkSession, path: str, new: DataFrame, pk=INVOICE_KEY, part: str | None = "report_month",
+                      schema: StructType = schemas.INVOICE, defaults: dict | None = None) -> DataFrame:
+    """Insert rows of new keys into a stored table."""
+    return _change(spark, path, new, lambda old, n: append_rows(old, n, pk, defaults=defaults), pk, part, schema)
+
+
+def update_partitions(spark: SparkSession, path: str, changes: DataFrame, cols: list[str] | None = None, pk=INVOICE_KEY,
+                      part: str | None = "report_month", schema: StructType = schemas.INVOICE) -> DataFrame:
+    """Update by key in a stored table."""
+    return _change(spark, path, changes, lambda old, ch: update_rows(old, ch, pk, cols), pk, part, schema)
+
+
+def delete_partitions(spark: SparkSession, path: str, keys: DataFrame, pk=INVOICE_KEY, part: str | None = "report_month",
+                      schema: StructType = schemas.INVOICE) -> DataFrame:
+    """Delete by key from a stored table."""
+    return _change(spark, path, keys, lambda old, k: delete_rows(old, k, pk), pk, part, schema)
+
+
+class StoredTables:
+    """The allow-listed tables under a root folder, read and changed by name."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _spec(self, name: str):
+        schema, pk, part = schemas.table_spec(name)
+        return f"{self.root}/{name.lower()}", schema, pk, part
+
+    def read(self, name: str) -> DataFrame:
+        path, schema, _, _ = self._spec(name)
+        return read_current(self.spark, path, schema)
+
+    def refresh(self, name: str, rows: DataFrame) -> DataFrame:
+        path, schema, _, part = self._spec(name)
+        write_version(schemas.conform(rows, schema), path, part)
+        return self.read(name)
+
+    def append(self, name: str, rows: DataFrame) -> DataFrame:
+        path, schema, pk, part = self._spec(name)
+        return append_partitions(self.spark, path, rows, pk, part, schema, schemas.DEFAULTS.get(name.lower()))
+
+    def upsert(self, name: str, rows: DataFrame) -> DataFrame:
+        path, schema, pk, part = self._spec(name)
+        return upsert_partitions(self.spark, path, rows, pk, part, schema, schemas.DEFAULTS.get(name.lower()))
+
+    def update(self, name: str, rows: DataFrame, cols: list[str] | None = None) -> DataFrame:
+        path, schema, pk, part = self._spec(name)
+        return update_partitions(self.spark, path, rows, cols, pk, part, schema)
+
+    def delete(self, name: str, keys: DataFrame) -> DataFrame:
+        path, schema, pk, part = self._spec(name)
+        return delete_partitions(self.spark, path, keys, pk, part, schema)
+
+
+def create_tables(spark: SparkSession, root: str) -> dict[str, str]:
+    """Create the five tables empty (version 1) with their explicit schemas."""
+    return {name: write_version(spark.createDataFrame([], schema), f"{root.rstrip('/')}/{name}", part)
+            for name, (schema, _, part) in schemas.TABLES.items()}
+
+
+CSV_OPTIONS = {"header": True, "escape": "\\", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def export_csv(df: DataFrame, out_dir: str, month: str | None = None, segment: str | None = None,
                date: str | None = None) -> str | None:
-    """CSV export with a header; nulls in text columns are written as empty
-    quoted strings, inner quotes escaped with a backslash. The folder is named
-    ``AR_Data_{month}_{segment}_{date}``. Empty input writes nothing."""
+    """CSV export with a header; values keep their white space, nulls in text
+    columns are written as empty quoted strings, inner quotes escaped with a
+    backslash. The folder is named ``AR_Data_{month}_{segment}_{date}``. Empty
+    input writes nothing."""
     if df.isEmpty():
         return None
     date = date or _dt.date.today().isoformat()
     name = f"AR_Data_{month or 'ALL'}_{segment or 'ALL'}_{date}".replace("/", "-").replace(" ", "_")
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     out = f"{out_dir.rstrip('/')}/{name}"
-    (df.fillna("", subset=strings).write.mode("overwrite").option("header", True).option("escape", "\\")
-       .csv(out))
+    df.fillna("", subset=strings).write.mode("overwrite").options(**CSV_OPTIONS).csv(out)
     return out
 
 
@@ -184,12 +284,3 @@ def load_log(inv: DataFrame, log_dir: str) -> DataFrame:
     log = import_report(inv).withColumn("loaded_at", F.current_timestamp())
     log.write.mode("append").parquet(log_dir)
     return inv.sparkSession.read.parquet(log_dir)
-
-
-def create_tables(spark: SparkSession, root: str) -> dict[str, str]:
-    """Create the five tables empty (version 1) with their explicit schemas."""
-    from kolekta import schemas
-    out = {}
-    for name, (schema, _, part) in schemas.TABLES.items():
-        out[name] = write_version(spark.createDataFrame([], schema), f"{root.rstrip('/')}/{name}", part)
-    return out

@@ -43,13 +43,17 @@ METRICS_HISTORY = StructType([
 
 # Allow-listed tables: name -> (schema, primary key, partition column).
 TABLES = {
-    "ar_segmen_ers_tbl": (INVOICE, ("invoice_id",), "report_month"),
+    # The invoice id carries no year, so the month is part of the key.
+    "ar_segmen_ers_tbl": (INVOICE, ("invoice_id", "report_month"), "report_month"),
     "ar_cash_inflow_forecast_tbl": (CASH_INFLOW, ("month_label",), None),
     "ar_trend_t13m_tbl": (TREND_T13M, ("month_label",), None),
     "ar_metrics_history_tbl": (METRICS_HISTORY, ("month_label",), None),
     "ar_top_customers_tbl": (TOP_CUSTOMERS, ("customer_name", "report_month"), "report_month"),
 }
 
+# Values of columns that an inserted row does not supply.
+DEFAULTS = {"ar_segmen_ers_tbl": {"above_credit_limit": 0}, "ar_top_customers_tbl": {"above_credit_limit": 0}}
+
 
 def table_spec(name: str):
     key = name.lower()

@@ -61,12 +61,3 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh path under the shared checkpoint root (never a machine-local tmp on a cluster)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([root, "kolekta", *parts, uuid.uuid4().hex])
-
-
-def local_path(uri: str) -> str:
-    """Strip a ``file:`` scheme for local-filesystem helpers used in tests."""
-    if uri.startswith("file:"):
-        uri = uri[len("file:"):]
-        while uri.startswith("//"):
-            uri = uri[1:]
-    return os.path.abspath(uri)

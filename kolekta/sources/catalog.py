@@ -23,26 +23,25 @@ class TableCatalog:
 
     @classmethod
     def at(cls, spark: SparkSession, root: str) -> "TableCatalog":
-        from kolekta.plans.tables import current_path  # local import: plans depend on sources
+        from kolekta.plans.tables import read_current  # local import: plans depend on sources
 
         def loader(name):
             schema = schemas.TABLES[name][0]
-            return lambda: spark.read.schema(schema).parquet(current_path(spark, f"{root.rstrip('/')}/{name}"))
+            return lambda: read_current(spark, f"{root.rstrip('/')}/{name}", schema)
         return cls({name: loader(name) for name in schemas.TABLES})
 
     @classmethod
-    def jdbc(cls, spark: SparkSession, url: str, properties: dict, month_predicates: list[str] | None = None
-             ) -> "TableCatalog":
+    def jdbc(cls, spark: SparkSession, url: str, properties: dict, months: list[str] | None = None) -> "TableCatalog":
         """Tables read over JDBC (the dashboard's original store). Filters on the
         returned DataFrames are pushed into the database's WHERE clause. For the
-        fact table, ``month_predicates`` (one WHERE fragment per month, e.g.
-        ``["REPORT_MONTH = 'Juni 2026'", ...]``) splits the read into parallel
-        partitions, one connection each."""
+        fact table, ``months`` splits the read into parallel partitions, one
+        connection each; a last one reads every other row."""
         def loader(name):
             def load():
                 table = name.upper()
-                if name == "ar_segmen_ers_tbl" and month_predicates:
-                    return spark.read.jdbc(url, table, predicates=month_predicates, properties=properties)
+                if name == "ar_segmen_ers_tbl" and months:
+                    return spark.read.jdbc(url, table, predicates=covering_predicates("REPORT_MONTH", months),
+                                           properties=properties)
                 return spark.read.jdbc(url, table, properties=properties)
             return load
         return cls({name: loader(name) for name in schemas.TABLES})
@@ -73,9 +72,58 @@ def read_wide(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return schemas.normalise_headers(df)
 
 
-def with_source_file(df: DataFrame) -> DataFrame:
-    """Tag each row with the file it came from (used to derive sheet names)."""
-    return df.withColumn("source_file", F.input_file_name())
+def covering_predicates(column: str, values: list[str]) -> list[str]:
+    """WHERE fragments that take every row exactly once: one for each value,
+    and one for null and all other values."""
+    values = sorted({v for v in values if v is not None})
+    quoted = ["'" + v.replace("'", "''") + "'" for v in values]
+    if not quoted:
+        return ["1 = 1"]
+    return [f"{column} = {q}" for q in quoted] + [f"({column} IS NULL OR {column} NOT IN ({', '.join(quoted)}))"]
+
+
+LABEL_ROW, NAME_ROW = 0, 2
+
+
+def _numbered(names: list) -> list[str]:
+    """Trimmed column names; one that repeats gets ".1", ".2", ...; an empty one its position."""
+    seen: dict[str, int] = {}
+    out = []
+    for k, n in enumerate(names):
+        n = str(n).strip() if n is not None and str(n).strip() else f"Unnamed: {k}"
+        out.append(n if n not in seen else f"{n}.{seen[n]}")
+        seen[n] = seen.get(n, 0) + 1
+    return out
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str, sheet_pos: int) -> tuple[DataFrame, DataFrame]:
+    """(wide, header) of one landed sheet: a CSV file of the cells as they stand.
+
+    The first row holds the category labels, the third the column names, all
+    rows below it the data. ``wide`` has them as text with ``row_idx`` (from 0,
+    the row's place below the names), ``sheet`` and ``sheet_pos``; ``header`` is
+    (sheet, idx, name, label). A sheet is one file and is read in one split, so
+    a row's number is its place in the file (a sheet holds at most about a
+    million rows); only the three top rows reach the driver."""
+    cells = (spark.read.option("header", False).option("inferSchema", False).option("multiLine", True).csv(path)
+             .withColumn("_row", F.monotonically_increasing_id()))
+    top = {r["_row"]: list(r)[:-1] for r in cells.where(F.col("_row") <= NAME_ROW).collect()}
+    names = _numbered(top[NAME_ROW])
+    labels = [None if v is None or not str(v).strip() else str(v) for v in top[LABEL_ROW]]
+    header = spark.createDataFrame([(sheet, k, n, lab) for k, (n, lab) in enumerate(zip(names, labels))],
+                                   "sheet string, idx int, name string, label string")
+    rows = cells.toDF(*names, "row_idx").where(F.col("row_idx") > NAME_ROW)
+    return (rows.withColumn("row_idx", F.col("row_idx") - (NAME_ROW + 1))
+                .withColumns({"sheet": F.lit(sheet), "sheet_pos": F.lit(sheet_pos)}), header)
+
+
+def read_workbook(spark: SparkSession, sheets: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """(wide, header) of the landed sheets [(name, path)] in workbook order; a column that a sheet lacks is null."""
+    found = [read_sheet(spark, path, name, pos) for pos, (name, path) in enumerate(sheets)]
+    wide, header = found[0]
+    for w, h in found[1:]:
+        wide, header = wide.unionByName(w, allowMissingColumns=True), header.unionByName(h)
+    return wide, header
 
 
 def read_snapshots(spark: SparkSession, sheets: list[tuple[str, str]], fmt: str = "parquet") -> DataFrame:

@@ -9,8 +9,6 @@ substitutes the plain table names.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 
 from kolekta import vocab
@@ -83,7 +81,15 @@ from ({invoice}) ar_invoice group by customer_name, report_month
 
 # Sheet columns in sheet order (the landed file also carries row_idx, sheet, sheet_pos).
 OPEN_ITEM_IDENTITY = ("NAME", "CA", "BP NUM", "NIPNAS", "PENGELOLAAN", "AREA", "WITEL", "SATKER", "REG", "UNLOCK")
-OPEN_ITEM_CELLS = tuple(f"k_{i}_{j}" for i in range(8) for j in range(6))
+# The bracket headers repeat under every category, so the sheet's reader numbers them (".1", ".2", ...).
+_BRACKET_NAMES = tuple(f"Aging {label}" for label in ("0-3 Bln", "4-6 Bln", "7-12 Bln", "13-18 Bln", "19-24 Bln", ">24 Bln"))
+
+
+def cell_name(i: int, j: int) -> str:
+    return _BRACKET_NAMES[j] + (f".{i}" if i else "")
+
+
+OPEN_ITEM_CELLS = tuple(cell_name(i, j) for i in range(8) for j in range(6))
 OPEN_ITEM_COLUMNS = OPEN_ITEM_IDENTITY + OPEN_ITEM_CELLS + ("GRAND TOTAL",)
 _SHEETS = tuple(s for s, _ in vocab.SHEET_MONTHS) + ("Rekap",)
 
@@ -91,7 +97,17 @@ _SHEETS = tuple(s for s, _ in vocab.SHEET_MONTHS) + ("Rekap",)
 def _cell_sql(i: int, j: int) -> str:
     extra = {0: (1, "n/a"), 1: (2, "0"), 2: (3, "NaN")}.get(j)
     other = f" when _ki = {(i + extra[0]) % 8} then '{extra[1]}'" if extra else ""
-    return f"case when _ki = {i} and _cj = {j} then _amt{other} end as k_{i}_{j}"
+    return f"case when _ki = {i} and _cj = {j} then _amt{other} end as `{cell_name(i, j)}`"
+
+
+def category_shift(sheet_pos: int) -> int:
+    """Categories stand in another order on every other sheet."""
+    return 3 * (sheet_pos % 2)
+
+
+# Cells that hold no number a float reader takes, and one too large to store.
+AMOUNT_ODDITIES = {1: "12d", 2: "3f", 3: "0x1p3", 4: "1e25", 5: "  ", 6: "NaN"}
+_ODD = " ".join(f"when o_orderkey % 97 = {k} then '{v}'" for k, v in AMOUNT_ODDITIES.items())
 
 
 OPEN_ITEM_WIDE_SQL = f"""
@@ -105,7 +121,7 @@ select row_idx, element_at(array({', '.join(repr(s) for s in _SHEETS)}), sheet_p
  cast(o_totalprice as string) as `GRAND TOTAL`
 from (select *, o_orderkey as row_idx, cast(o_orderkey % {len(_SHEETS)} as int) as sheet_pos,
   o_orderkey % 8 as _ki, o_custkey % 6 as _cj,
-  concat(case when o_orderkey % 89 = 0 then '-' else '' end, cast(cast(o_totalprice * 1000000 as decimal(20,2)) as string)) as _amt
+  case {_ODD} else concat(case when o_orderkey % 89 = 0 then '-' else '' end, cast(cast(o_totalprice * 1000000 as decimal(20,2)) as string)) end as _amt
  from {{orders}} join {{customer}} on o_custkey = c_custkey join {{nation}} on c_nationkey = n_nationkey
  join {{region}} on n_regionkey = r_regionkey) b
 """
@@ -153,23 +169,20 @@ class Fixtures:
     # --- FIXTURES 3.2: wide open-item sheet rows ------------------------
     def open_item_wide(self) -> DataFrame:
         """Wide sheet rows: identity columns named as on the sheet, 48 amount
-        columns ``k_{cat}_{bracket}`` held as text, a trailing non-category
+        columns (one for each category and bracket) held as text, a trailing non-category
         column, and the sheet each row was landed from."""
         return self._sql(OPEN_ITEM_WIDE_SQL)
 
     def open_item_header(self) -> DataFrame:
-        """Row 0 of the sheet: category labels over the amount columns, as
-        (idx, name, label) -- metadata, one row per sheet column."""
+        """Row 0 of each sheet: category labels over the amount columns, as
+        (sheet, idx, name, label) -- metadata, one row per sheet column."""
         rows = []
-        for idx, name in enumerate(OPEN_ITEM_COLUMNS):
-            label = None
-            if name.startswith("k_") and name.endswith("_0"):
-                label = vocab.CATEGORIES[int(name.split("_")[1])]
-            elif name == "GRAND TOTAL":
-                label = "GRAND TOTAL"
-            rows.append((idx, name, label))
-        return self.spark.createDataFrame(rows, "idx int, name string, label string")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+        for pos, sheet in enumerate(_SHEETS):
+            for idx, name in enumerate(OPEN_ITEM_COLUMNS):
+                label = None
+                if name in OPEN_ITEM_CELLS and OPEN_ITEM_CELLS.index(name) % 6 == 0:
+                    label = vocab.CATEGORIES[(OPEN_ITEM_CELLS.index(name) // 6 + category_shift(pos)) % 8]
+                elif name == "GRAND TOTAL":
+                    label = "GRAND TOTAL"
+                rows.append((sheet, idx, name, label))
+        return self.spark.createDataFrame(rows, "sheet string, idx int, name string, label string")

@@ -1,94 +1,94 @@
-"""Drop-folder ingest with Structured Streaming, and the incremental KPI mart.
+"""Drop-folder ingest with Structured Streaming.
 
-``stream_ingest`` watches a folder of landed sheet files (Parquet), and for
-each micro-batch runs the import (sheet pick, unpivot, classify, key),
-validation, and a partition-scoped upsert into the invoice table. The
-streaming checkpoint makes every file count once; the keyed upsert makes a
-replayed batch harmless (same ids, same rows).
+``stream_ingest`` watches a folder of landed sheet files (Parquet). For each
+micro-batch it imports the sheets, validates, and merges the facts into the
+stored invoice table, month by month.
 
-The mart keeps KPI measures per (month, segment-or-ALL, region-or-ALL); all
-measures are sums and counts, so "ALL months" is a sum over the month
-partitions at read time and a batch only recomputes the months it touched.
+The result does not depend on how the files fall into batches. A ledger keeps
+which sheet holds each month; the first sheet in workbook order wins it. If an
+earlier sheet of the month arrives in a later batch, its rows replace the
+month; rows of a later sheet are left out. Files of the same sheet add up, by
+key. A batch that runs again after a failure does the same again: rejects and
+the load log are written under the batch's number, facts are merged by key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from kolekta.functions import money
-from kolekta.operators.cubes import ALL, pre_aggregate
-from kolekta.operators.ingest import import_open_items
+from kolekta import schemas
+from kolekta.operators.ingest import chosen_sheets, import_open_items, import_rejects, import_report
 from kolekta.operators.quality import split_valid
-from kolekta.plans.tables import _fs, upsert_partitions
-from kolekta import vocab
+from kolekta.plans.marts import refresh_mart
+from kolekta.plans.tables import read_current, upsert_partitions, write_version
+from kolekta.session import scratch_path
+
+LEDGER = StructType([StructField("report_month", StringType()), StructField("sheet", StringType()),
+                     StructField("sheet_pos", IntegerType())])
+
+
+def merge_batch(spark: SparkSession, batch: DataFrame, header: DataFrame, table_path: str, epoch_id: int,
+                sheets: DataFrame | None = None, mart_path: str | None = None) -> None:
+    """Import one batch of wide sheet rows into the stored table.
+
+    Beside the table: ``_claims`` (the ledger), ``_rejects/epoch=N`` (rows that
+    failed validation, cells too large to store) and ``_log/epoch=N`` (rows
+    loaded per month)."""
+    base = table_path.rstrip("/")
+    held = {r["report_month"]: (r["sheet_pos"], r["sheet"]) for r in read_current(spark, f"{base}_claims", LEDGER).collect()}
+    # One row for each month: the first of the batch's sheets.
+    coming = {r["report_month"]: (r["sheet_pos"], r["sheet"]) for r in chosen_sheets(batch, sheets).collect()}
+    won = {m: c for m, c in coming.items() if m not in held or c <= held[m]}
+    replaced = sorted(m for m, c in won.items() if m in held and c < held[m])
+    present = spark.createDataFrame([(s, p) for p, s in won.values()], "sheet string, sheet_pos int")
+    rows = batch.join(present.select("sheet"), "sheet", "left_semi")
+    facts, bad = split_valid(import_open_items(rows, header, sheets, present=present), amount="nilai_m")
+    # The import runs once a batch: its facts are kept in the shared folder until they are merged.
+    kept = scratch_path(spark, "batch")
+    facts.write.parquet(kept)
+    facts = spark.read.schema(schemas.conform(facts).schema).parquet(kept)
+    months = sorted(r[0] for r in facts.select("report_month").distinct().collect())
+    new = [m for m in months if m not in replaced]
+    upsert_partitions(spark, base, facts.where(F.col("report_month").isin(new)))
+    gone = [m for m in replaced if m is not None]
+    if gone:   # an earlier sheet took these months over
+        write_version(schemas.conform(facts.where(F.col("report_month").isin(gone))), base, "report_month", replace=gone)
+    if won:
+        ledger = [(m, s, p) for m, (p, s) in sorted({**held, **won}.items())]
+        write_version(spark.createDataFrame(ledger, LEDGER), f"{base}_claims")
+    cells = import_rejects(rows, header, sheets, present=present)
+    out = bad.select("report_month", F.col("invoice_id").alias("source"), "reasons").unionByName(
+        cells.select("report_month", F.concat_ws(":", "sheet", "row_idx", "pos", "raw").alias("source"), "reasons"))
+    out.write.mode("overwrite").parquet(f"{base}_rejects/epoch={epoch_id}")
+    (import_report(facts).withColumn("loaded_at", F.current_timestamp())
+     .write.mode("overwrite").parquet(f"{base}_log/epoch={epoch_id}"))
+    if mart_path:
+        refresh_mart(spark, read_current(spark, base, schemas.INVOICE), mart_path, sorted({*months, *gone}))
+    _remove(spark, kept)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stream_ingest(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_dir: str,
                   header: DataFrame, wide_schema: StructType, sheets: DataFrame | None = None,
-                  mart_path: str | None = None, processing_time: str | None = None):
+                  mart_path: str | None = None, processing_time: str | None = None, files_per_batch: int | None = None):
     """Run the folder ingest. By default it processes what is there now and
-    stops (``availableNow``); with ``processing_time`` (e.g. "15 seconds") it
-    keeps running and the query handle is returned."""
-    header = header.cache()
-
+    stops (``availableNow``), returning the table; with ``processing_time``
+    (e.g. "15 seconds") it keeps running and the query handle is returned."""
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        facts = import_open_items(batch, header, sheets)
-        good, bad = split_valid(facts)
-        good = good.checkpoint(eager=True)   # one evaluation of the import per batch
-        upsert_partitions(spark, table_path, good)
-        bad.write.mode("append").parquet(table_path.rstrip("/") + "_rejects")
-        if mart_path:
-            months = good.select("report_month").distinct()
-            refresh_mart(spark, spark.read.parquet(table_path), mart_path, months)
+        merge_batch(spark, batch, header, table_path, epoch_id, sheets, mart_path)
 
-    w = (spark.readStream.schema(wide_schema).parquet(landing_dir).writeStream
-         .foreachBatch(on_batch).option("checkpointLocation", checkpoint_dir))
+    reader = spark.readStream.schema(wide_schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    w = reader.parquet(landing_dir).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_dir)
     if processing_time:
         return w.trigger(processingTime=processing_time).start()
     q = w.trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(table_path)
-
-
-def mart_rows(inv: DataFrame) -> DataFrame:
-    """Per month: KPI sums for every (segment, region) combination incl. ALL.
-    The fact rows are first summed per (month, segment, region, status), and
-    only those rows are expanded by the grouping sets."""
-    # The month is always a grouping column, segment and region form a cube:
-    # four grouping sets instead of a full three-way cube.
-    s = lambda v: f"coalesce(sum(case when status_tagih = '{v}' then _s end), 0)"
-    return inv.sparkSession.sql(f"""
-        select report_month,
-               case when grouping(pengelolaan) = 1 then '{ALL}' else pengelolaan end as segment,
-               case when grouping(region) = 1 then '{ALL}' else region end as region,
-               coalesce(sum(_s), 0) as total_ar, {s(vocab.LAYAK)} as layak,
-               {s(vocab.TIDAK_LAYAK)} as tidak_layak, {s(vocab.BERMASALAH)} as bermasalah, sum(_n) as n
-        from {{pre}} group by report_month, cube(pengelolaan, region)""",
-        pre=pre_aggregate(inv, ["report_month", "pengelolaan", "region"]))
-
-
-def refresh_mart(spark: SparkSession, inv: DataFrame, mart_path: str, months: DataFrame | None = None) -> None:
-    """Recompute the mart for ``months`` only (all months when None) and
-    overwrite just those month partitions."""
-    if months is not None:
-        inv = inv.join(F.broadcast(months), "report_month", "left_semi")   # months: a short list
-    fs, p, _ = _fs(spark, mart_path)
-    rows = mart_rows(inv)
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if fs.exists(p) else "static")
-         .partitionBy("report_month").parquet(mart_path))
-
-
-def read_mart(spark: SparkSession, mart_path: str, month: str | None = None, segment: str | None = None,
-              region: str | None = None) -> DataFrame:
-    """KPI row for one filter triple from the mart (month ALL sums the months)."""
-    m = spark.read.parquet(mart_path)
-    m = m.where((F.col("segment") == F.lit(segment or ALL)) & (F.col("region") == F.lit(region or ALL)))
-    if month and month != ALL:
-        m = m.where(F.col("report_month") == F.lit(month))
-    g = m.agg(F.coalesce(F.sum("total_ar"), F.lit(0)).alias("t"), F.coalesce(F.sum("layak"), F.lit(0)).alias("l"),
-              F.coalesce(F.sum("tidak_layak"), F.lit(0)).alias("tl"),
-              F.coalesce(F.sum("bermasalah"), F.lit(0)).alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return g.select(money("t").alias("total_ar_m"), money("l").alias("layak_m"), money("tl").alias("tidak_layak_m"),
-                    money("b").alias("bermasalah_m"), F.col("n").cast("bigint").alias("n"))
+    return read_current(spark, table_path, schemas.INVOICE)

@@ -1,6 +1,6 @@
 """Controlled vocabularies of the receivables domain.
 
-Everything below the FIXED VALUES marker must equal the business rules the
+What stands between the FIXED VALUES marks must equal the business rules the
 dashboard was specified with (status words, aging labels, invoice categories,
 aging brackets, sheet names, action-plan rows). They are plain data: every
 operator takes them as parameters with these as defaults, so a user can swap a
@@ -90,7 +90,6 @@ IDENTITY_COLUMNS = (
 UIC_MAX, UIC_DEFAULT = 50, "ERS"
 ACTION_MAX, ACTION_DEFAULT = 200, "Normal collection"
 DSO_CONSTANT = 60
-AS_OF_FALLBACK = "Agustus 2026"
 
 # Defaults of the file-cleaning step.
 CLEAN_AGING_DEFAULT = "Within Due"
@@ -99,6 +98,10 @@ CLEAN_STATUS_DEFAULT = "AR LAYAK TAGIH"
 # Home region of the flow split, compared after lower(trim()).
 HOME_REGION = "jakarta"
 
+# ---------------------------------------------------------------------------
+# END OF FIXED VALUES
+# ---------------------------------------------------------------------------
+
 # Dashboard paging / display sizes.
 PAGE_SIZE = 25
 TOP_CUSTOMERS = 20

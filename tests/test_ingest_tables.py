@@ -43,14 +43,46 @@ def test_unpivot_counts_nonzero_numeric_cells(spark):
     fx = Fixtures(spark, SF)
     wide, header = fx.open_item_wide(), fx.open_item_header()
     cells = ingest.coerce_amount(ingest.unpivot_cells(wide, ingest.column_map(header)))
-    numeric = wide.select(F.explode(F.array(*[F.col(f"k_{i}_{j}") for i in range(8) for j in range(6)])).alias("x"))
-    expected = numeric.where((F.col("x").try_cast("double") != 0) & (F.abs(F.col("x").try_cast("double")) < float("inf")))
-    assert cells.count() == expected.count() == wide.count()   # exactly one real cell per order
+    kept = wide.where("row_idx % 97 not between 1 and 6")      # one real cell per row, but for the oddities
+    assert cells.count() == kept.count()
+    joins = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Join")
+    assert "+- Expand" not in cells._jdf.queryExecution().executedPlan().toString()   # no copy for empty cells
+    assert joins(cells) == joins(wide)                                                # no lookup of positions
     imported = ingest.import_open_items(wide, header)
-    assert imported.select("invoice_id").distinct().count() == imported.count()
+    assert imported.select("invoice_id", "report_month").distinct().count() == imported.count()
+    assert imported.where("nilai_m is null").count() == 0
     assert set(imported.columns) == {f.name for f in schemas.INVOICE.fields}
 
 
+def test_each_sheet_has_its_own_header(spark):
+    wide = spark.createDataFrame([(0, "OI 202606", 1, "5000000", "7000000"), (0, "OI 202607", 0, "1000000", None)],
+                                 "row_idx long, sheet string, sheet_pos int, `Aging.1` string, `b` string")
+    header = spark.createDataFrame([("OI 202606", 0, "Aging.1", "KONTRAK"), ("OI 202606", 1, "b", None),
+                                    ("OI 202607", 0, "Aging.1", "TERMYN"), ("OI 202607", 1, "b", "CHECKER")],
+                                   "sheet string, idx int, name string, label string")
+    got = {(r.report_month, r.invoice_status, r.aging_category, float(r.nilai_m))
+           for r in ingest.import_open_items(wide, header).collect()}
+    b = {k: a for k, _, a, _ in __import__("kolekta.vocab").vocab.BRACKETS}
+    assert got == {("Juni 2026", "KONTRAK", b[0], 0.005), ("Juni 2026", "KONTRAK", b[1], 0.007), ("Juli 2026", "TERMYN", b[0], 0.001)}
+
+
+def test_too_large_amounts_are_rejected_with_a_reason(spark):
+    wide = spark.createDataFrame([(0, "OI 202606", 1, "1e25"), (1, "OI 202606", 1, "12d"), (2, "OI 202606", 1, " 2e9 ")],
+                                 "row_idx long, sheet string, sheet_pos int, a string")
+    header = spark.createDataFrame([(0, "a", "KONTRAK")], "idx int, name string, label string")
+    assert [float(r.nilai_m) for r in ingest.import_open_items(wide, header).collect()] == [2.0]
+    assert [(r.row_idx, r.raw, r.reasons) for r in ingest.import_rejects(wide, header).collect()] == [(0, "1e25", "amount_overflow")]
+
+
+def test_clean_file_keeps_large_amounts(spark):
+    raw = spark.createDataFrame([("1", "1e13"), ("2", "abc"), ("3", None), ("4", " 1.5 "), ("5", "9" * 40), ("6", "12d")],
+                                "invoice_id string, nilai_m string")
+    got = {r.invoice_id: r.nilai_m for r in quality.clean_file(raw).collect()}
+    assert {k: None if v is None else float(v) for k, v in got.items()} == {"1": 1e13, "2": 0, "3": 0, "4": 1.5, "5": None, "6": 0}
+    checked = quality.clean_file(raw).withColumn("status_tagih", F.lit("AR LAYAK TAGIH"))
+    assert {r.invoice_id: r.reasons for r in quality.validate(checked, amount="nilai_m").collect()}["5"] == "bad_amount"
+
+
 def test_validate_reasons(spark):
     df = invoices(spark, [("X1", None, "AR LAYAK TAGIH", None, None, 1.0), ("X1", None, "AR LAYAK TAGIH", None, None, 2.0),
                           (None, None, "AR BERMASALAH", None, None, 1.0), ("X2", None, "WRONG", None, None, 1.0),
@@ -60,6 +92,8 @@ def test_validate_reasons(spark):
                    ("X2", "bad_status", False), ("X3", "", True)]
     good, bad = quality.split_valid(df)
     assert good.count() == 1 and bad.count() == 4
+    two_years = df.where("invoice_id = 'X3'").withColumn("report_month", F.explode(F.array(F.lit("Juni 2026"), F.lit("Juni 2027"))))
+    assert quality.validate(two_years).where("is_valid").count() == 2
 
 
 def test_mutations(spark):
@@ -73,43 +107,101 @@ def test_mutations(spark):
         mutations.update_rows(t, ch.withColumn("bogus", F.lit(1)), "invoice_id")
     assert mutations.delete_rows(t, ch.select("INVOICE_ID"), "invoice_id").count() == 1
     new = spark.createDataFrame([("K2",)], "invoice_id string")
+    for bad in (new, new.union(new).withColumn("invoice_id", F.lit("K7")), new.withColumn("invoice_id", F.lit(None).cast("string"))):
+        with pytest.raises(mutations.DuplicateKeyError):
+            mutations.append_rows(t, bad, "invoice_id")
+    twin = ch.union(ch)
+    with pytest.raises(mutations.DuplicateKeyError):
+        mutations.update_rows(t, twin, "invoice_id")
     with pytest.raises(mutations.DuplicateKeyError):
-        mutations.append_rows(t, new, "invoice_id", check=True)
+        mutations.upsert_rows(t, twin, "invoice_id")
     src = invoices(spark, [("K2", None, None, "C", None, 5.0), ("K3", None, None, "D", None, 6.0)])
     once = mutations.upsert_rows(t, src, "invoice_id")
     twice = mutations.upsert_rows(once, src, "invoice_id")
     key = lambda d: sorted((r.invoice_id, r.region, float(r.nilai_m)) for r in d.collect())
     assert key(once) == key(twice) == [("K1", "A", 1.0), ("K2", "C", 5.0), ("K3", "D", 6.0)]
+    part = spark.createDataFrame([("K2", 9.0), ("K4", 4.0)], "invoice_id string, nilai_m double")
+    merged = {r.invoice_id: (r.region, float(r.nilai_m), r.above_credit_limit)
+              for r in mutations.upsert_rows(t, part, "invoice_id", defaults={"above_credit_limit": 0}).collect()}
+    assert merged == {"K1": ("A", 1.0, None), "K2": ("B", 9.0, None), "K4": (None, 4.0, 0)}   # columns not supplied stay
+
+
+def _facts(spark, rows):
+    """(id, month, region, amount) rows in the fact schema."""
+    return schemas.conform(spark.createDataFrame(rows, "invoice_id string, report_month string, region string, nilai_m double"))
+
+
+def _got(df):
+    return sorted((r.invoice_id, r.report_month, r.region, float(r.nilai_m)) for r in df.collect())
+
+
+def test_refresh_then_changes_in_one_layout(spark, scratch):
+    store, name = tables.StoredTables(spark, scratch), "AR_SEGMEN_ERS_TBL"
+    tables.create_tables(spark, scratch)
+    assert store.read(name).count() == 0
+    store.upsert(name, _facts(spark, [("K1", "Juni 2026", "A", 1.0)]))                       # create, then upsert
+    out = store.upsert(name, _facts(spark, [("K1", "Juni 2027", "B", 2.0)]))                 # the same id a year later
+    assert _got(out) == [("K1", "Juni 2026", "A", 1.0), ("K1", "Juni 2027", "B", 2.0)]
+    store.refresh(name, _facts(spark, [("K1", "Juni 2026", "A", 1.0), ("K2", "Juli 2026", "B", 2.0), ("K3", None, "C", 3.0)]))
+    store.upsert(name, _facts(spark, [("K2", "Juli 2026", "Z", 5.0)]))                       # refresh, then upsert
+    store.update(name, spark.createDataFrame([("K1", "Juni 2026", "Y")], "INVOICE_ID string, REPORT_MONTH string, REGION string"))
+    assert sorted((r.invoice_id, r.region) for r in store.read(name).collect()) == [("K1", "Y"), ("K2", "Z"), ("K3", "C")]
+    left = store.delete(name, spark.createDataFrame([("K2", "Juli 2026"), ("K9", "Mei 2026")], "invoice_id string, report_month string"))
+    assert sorted(r.invoice_id for r in left.collect()) == ["K1", "K3"]
+    with pytest.raises(mutations.DuplicateKeyError):
+        store.append(name, _facts(spark, [("K1", "Juni 2026", "A", 1.0)]))
+    store.append(name, spark.createDataFrame([("K4", "Juni 2026")], "invoice_id string, report_month string"))
+    assert store.read(name).where("invoice_id = 'K4'").first().above_credit_limit == 0
+    with pytest.raises(ValueError):
+        store.read("USERS")
 
 
-def test_versions_and_partition_upsert(spark, scratch):
-    t = invoices(spark, [("K1", None, None, "A", None, 1.0), ("K2", None, None, "B", None, 2.0)])
-    t = t.withColumn("report_month", F.when(F.col("invoice_id") == "K1", "Juni 2026").otherwise("Juli 2026"))
-    d = os.path.join(scratch, "tbl")
-    p1 = tables.refresh(t, d, "report_month")
-    p2 = tables.refresh(t.limit(1), d, "report_month")
-    assert tables.current_path(spark, d) == p2 and p1 != p2
-    assert tables.read_current(spark, d, schemas.INVOICE).count() == 1
-
-    path = os.path.join(scratch, "part")
-    tables.upsert_partitions(spark, path, t)
-    moved = t.where("invoice_id = 'K1'").withColumn("report_month", F.lit("Juli 2026"))
-    out = tables.upsert_partitions(spark, path, moved)
-    got = sorted((r.invoice_id, r.report_month) for r in out.collect())
-    assert got == [("K1", "Juli 2026"), ("K2", "Juli 2026")]        # the emptied month is gone
-    ch = spark.createDataFrame([("K2", "Z")], "invoice_id string, region string")
-    upd = tables.update_partitions(spark, path, ch, ["region"])
-    assert sorted((r.invoice_id, r.region) for r in upd.collect()) == [("K1", "A"), ("K2", "Z")]
-    left = tables.delete_partitions(spark, path, spark.createDataFrame([("K1",), ("K2",)], "invoice_id string"))
-    assert left.count() == 0
+def test_table_of_two_key_columns_and_without_partitions(spark, scratch):
+    store = tables.StoredTables(spark, scratch)
+    cust = spark.createDataFrame([("X", "Juni 2026", 1.0), ("X", "Juli 2026", 2.0)], "customer_name string, report_month string, balance double")
+    store.upsert("AR_TOP_CUSTOMERS_TBL", cust)
+    store.delete("AR_TOP_CUSTOMERS_TBL", cust.where("balance = 1"))
+    assert [r.report_month for r in store.read("AR_TOP_CUSTOMERS_TBL").collect()] == ["Juli 2026"]
+    months = spark.createDataFrame([("a", 1), ("b", 2)], "month_label string, sort_order int")
+    store.upsert("AR_TREND_T13M_TBL", months)
+    store.update("AR_TREND_T13M_TBL", months.where("sort_order = 2").withColumn("sort_order", F.lit(9)))
+    store.delete("AR_TREND_T13M_TBL", months.where("sort_order = 1"))
+    assert [(r.month_label, r.sort_order) for r in store.read("AR_TREND_T13M_TBL").collect()] == [("b", 9)]
+
+
+def test_readers_keep_their_version_and_old_ones_expire(spark, scratch):
+    path = os.path.join(scratch, "t")
+    tables.upsert_partitions(spark, path, _facts(spark, [("K1", "Juni 2026", "A", 1.0), ("K2", "Juli 2026", "B", 2.0)]))
+    before = tables.read_current(spark, path, schemas.INVOICE)
+    for k in range(3):
+        tables.upsert_partitions(spark, path, _facts(spark, [("K1", "Juni 2026", "A", float(k))]))
+    assert _got(before)[0][3] == 1.0                                          # the files of its version still stand
+    folders = lambda: sum("part-" in f for _, _, fs in os.walk(path) for f in fs if f.endswith(".parquet"))
+    many = folders()
+    tables.expire(spark, path, keep=1)
+    assert folders() < many and len(tables.versions(spark, path)) == 1
+    assert _got(tables.read_current(spark, path, schemas.INVOICE)) == [("K1", "Juni 2026", "A", 2.0), ("K2", "Juli 2026", "B", 2.0)]
+
+
+def test_a_second_writer_of_a_version_is_refused(spark, scratch):
+    path = os.path.join(scratch, "t")
+    tables.write_version(_facts(spark, [("K1", "Juni 2026", "A", 1.0)]), path, "report_month")
+    with pytest.raises(tables.ConcurrentWriteError):
+        tables._commit(spark, path, 1, "report_month", [])
+
+
+def test_first_batch_without_rows(spark, scratch):
+    path = os.path.join(scratch, "t")
+    assert tables.upsert_partitions(spark, path, _facts(spark, []).limit(0)).count() == 0
+    assert tables.upsert_partitions(spark, path, _facts(spark, [("K1", "Juni 2026", "A", 1.0)])).count() == 1
 
 
 def test_export_csv_round_trip(spark, scratch):
-    df = spark.createDataFrame([("a\"b", None, 1.5), ("c", "d", None)], "x string, y string, z double")
+    df = spark.createDataFrame([("a\"b", None, 1.5), (" c ", "d", None)], "x string, y string, z double")
     out = tables.export_csv(df, scratch, "Juni 2026", "ALL", "2026-12-02")
     assert out.endswith("AR_Data_Juni_2026_ALL_2026-12-02")
-    back = spark.read.option("header", True).option("escape", "\\").csv(out)
-    assert sorted((r.x, r.y) for r in back.collect()) == [("a\"b", None), ("c", "d")]
+    back = spark.read.options(**tables.CSV_OPTIONS).csv(out)
+    assert sorted((r.x, r.y) for r in back.collect()) == [(" c ", "d"), ("a\"b", None)]
     assert tables.export_csv(df.limit(0), scratch) is None
 
 
@@ -128,49 +220,113 @@ def test_cube_all_equals_kpi(spark):
     assert (c.total_ar_m, c.layak_m, c.n) == (k.total_ar_m, k.total_layak_tagih_m, k.total_records)
 
 
-def test_mart_matches_kpi(spark, scratch):
-    from kolekta.streaming.folder_ingest import read_mart, refresh_mart
-    inv = Fixtures(spark, SF).invoices()
-    mart = os.path.join(scratch, "mart")
-    refresh_mart(spark, inv, mart)
-    k = summary.kpi_summary(inv).first()
-    m = read_mart(spark, mart).first()
-    assert (m.total_ar_m, m.n) == (k.total_ar_m, k.total_records)
+def test_mart_answers_like_the_fact_table(spark, scratch):
+    from kolekta.operators import flow
+    from kolekta.plans.marts import mart_kpi, read_mart, refresh_mart
+    from kolekta.plans.payload import dashboard_payload, payload_values
+    fx = Fixtures(spark, SF)
+    inv = fx.invoices()
+    path = os.path.join(scratch, "mart")
+    refresh_mart(spark, inv, path)
+    mart = read_mart(spark, path)
     month = inv.select("report_month").first()[0]
-    km = summary.kpi_summary(inv, month=month, segment="BUILDING").first()
-    mm = read_mart(spark, mart, month, "BUILDING").first()
-    assert (mm.total_ar_m, mm.n) == (km.total_ar_m, km.total_records)
-
-
-def test_stream_ingest_once_per_file(spark, scratch):
+    for args in ({}, {"month": month, "segment": "BUILDING"}):
+        k, m = summary.kpi_summary(inv, **args).first(), mart_kpi(mart, **args).first()
+        assert (m.total_ar_m, m.layak_m, m.n) == (k.total_ar_m, k.total_layak_tagih_m, k.total_records)
+    assert flow.flow_levels(mart).first() == flow.flow_levels(inv).first()
+    rest = (fx.top_customers(), fx.cash_inflow(), fx.trend_t13m(), fx.metrics_history())
+    rows = lambda facts: sorted(map(tuple, payload_values(dashboard_payload(facts, *rest)).collect()), key=str)
+    assert rows(mart) == rows(inv)
+    plan = flow.flow_levels(mart)._jdf.queryExecution().executedPlan().toString()
+    assert "mart" in plan and "orders" not in plan                      # the fact table is not read
+
+
+def test_mart_follows_moves_between_months(spark, scratch):
+    from kolekta.plans.marts import mart_kpi, read_mart, refresh_mart
+    path, mart = os.path.join(scratch, "t"), os.path.join(scratch, "mart")
+    one = _facts(spark, [("K1", "Juni 2026", "A", 2.0)])
+    refresh_mart(spark, tables.upsert_partitions(spark, path, one), mart)
+    tables.upsert_partitions(spark, path, one.withColumn("report_month", F.lit("Juli 2026")))
+    table = tables.delete_partitions(spark, path, one)
+    refresh_mart(spark, table, mart, ["Juni 2026", "Juli 2026"])
+    row = mart_kpi(read_mart(spark, mart)).first()
+    assert (row.total_ar_m, row.n) == (2.0, 1)
+
+
+def _stream(spark, scratch, name, batches, header, mart=None):
+    """Run the folder stream over frames that land one after the other; the table and its folder."""
     from kolekta.streaming.folder_ingest import stream_ingest
+    root = os.path.join(scratch, name)
+    for b in batches:
+        b.coalesce(1).write.mode("append").parquet(f"{root}/landing")
+        t = stream_ingest(spark, f"{root}/landing", f"{root}/table", f"{root}/ckpt", header, b.schema, mart_path=mart, files_per_batch=1)
+    return t, f"{root}/table"
+
+
+def test_stream_does_not_depend_on_batches(spark, scratch):
+    schema = "row_idx long, sheet string, sheet_pos int, CA string, a string"
+    header = spark.createDataFrame([(0, "CA", None), (1, "a", "KONTRAK")], "idx int, name string, label string")
+    early = spark.createDataFrame([(0, "Update Nilai AR (Tio Juli)", 1, "1", "1e9"), (1, "Update Nilai AR (Tio Juli)", 1, "2", "2e9")], schema)
+    late = spark.createDataFrame([(0, "OI 202607", 3, "1", "7e9"), (9, "OI 202607", 3, "3", "8e9"), (2, "OI 202607", 3, "3", "1e25")], schema)
+    june = spark.createDataFrame([(0, "OI 202606", 4, "1", "3e9"), (1, "Rekap", 0, "1", "5e9")], schema)
+    want = _got(_stream(spark, scratch, "one", [early.union(late).union(june)], header)[0])
+    assert [round(r[3], 3) for r in want] == [1.0, 2.0, 3.0] or len(want) == 3
+    for k, order in enumerate(([early, late, june], [late, june, early], [june, late, early.limit(1), early])):
+        mart = os.path.join(scratch, f"mart{k}")
+        table, path = _stream(spark, scratch, f"many{k}", order, header, mart)
+        assert _got(table) == want
+        from kolekta.plans.marts import mart_kpi, read_mart
+        assert mart_kpi(read_mart(spark, mart)).first().n == 3
+    rejects = spark.read.parquet(f"{path}_rejects")
+    assert {r.reasons for r in rejects.collect()} <= {"amount_overflow"}
+    assert spark.read.parquet(f"{path}_log").agg(F.sum("records")).first()[0] >= 3
+
+
+def test_stream_replays_harmlessly(spark, scratch):
+    from kolekta.streaming.folder_ingest import merge_batch
     fx = Fixtures(spark, SF)
-    landing = os.path.join(scratch, "landing")
-    fx.open_item_wide().repartition(3).write.parquet(landing)
-    schema = spark.read.parquet(landing).schema
-    table, ckpt = os.path.join(scratch, "table"), os.path.join(scratch, "ckpt")
-    first = stream_ingest(spark, landing, table, ckpt, fx.open_item_header(), schema).count()
-    again = stream_ingest(spark, landing, table, ckpt, fx.open_item_header(), schema).count()
-    replay = stream_ingest(spark, landing, table, os.path.join(scratch, "ckpt2"), fx.open_item_header(), schema).count()
-    expected = ingest.import_open_items(fx.open_item_wide(), fx.open_item_header()).count()
-    assert first == again == replay == expected
-
-
-def test_stream_refreshes_mart_for_touched_months(spark, scratch):
-    from kolekta.streaming.folder_ingest import read_mart, stream_ingest
-    fx = Fixtures(spark, SF)
-    wide = fx.open_item_wide()
-    landing = os.path.join(scratch, "landing")
-    wide.where("sheet_pos = 5").write.parquet(landing)            # first drop: one sheet (one month)
-    schema = spark.read.parquet(landing).schema
-    table, ckpt, mart = (os.path.join(scratch, x) for x in ("table", "ckpt", "mart"))
-    stream_ingest(spark, landing, table, ckpt, fx.open_item_header(), schema, mart_path=mart)
-    wide.where("sheet_pos = 3").write.mode("append").parquet(landing)   # second drop: another month
-    t = stream_ingest(spark, landing, table, ckpt, fx.open_item_header(), schema, mart_path=mart)
-    k = summary.kpi_summary(t).first()
-    m = read_mart(spark, mart).first()
-    assert (m.total_ar_m, m.n) == (k.total_ar_m, k.total_records)
-    assert t.select("report_month").distinct().count() == 2
+    wide, header = fx.open_item_wide(), fx.open_item_header()
+    path = os.path.join(scratch, "table")
+    for _ in range(2):
+        merge_batch(spark, wide, header, path, 7)
+    table = tables.read_current(spark, path, schemas.INVOICE)
+    assert table.count() == ingest.import_open_items(wide, header).count()
+    over = ingest.import_rejects(wide, header).count()
+    assert spark.read.parquet(f"{path}_rejects").count() == over > 0
+    nothing = os.path.join(scratch, "none")
+    merge_batch(spark, wide.limit(0), header, nothing, 0)                  # a first batch without rows
+    assert tables.read_current(spark, nothing, schemas.INVOICE).count() == 0
+
+
+def test_predicates_cover_every_row_once(spark):
+    from kolekta.sources.catalog import covering_predicates
+    df = spark.createDataFrame([("Juni 2026",), ("Juli 2026",), ("O'x",), ("Mei 2020",), (None,)], "report_month string")
+    for months in ([], ["Juni 2026", "O'x", "Juni 2026"], ["nothing"]):
+        parts = [df.where(p) for p in covering_predicates("report_month", months)]
+        assert sum(p.count() for p in parts) == 5
+        assert sorted(str(r[0]) for p in parts for r in p.collect()) == sorted(str(r[0]) for r in df.collect())
+
+
+def test_landed_sheet_to_facts(spark, scratch):
+    from kolekta.sources.catalog import read_workbook
+    paths = []
+    for k, (labels, cells) in enumerate(((",,KONTRAK,,TERMYN,", "1000000,,5e9,"), (",,TERMYN,,KONTRAK,", "1000000,,5e9,x"))):
+        paths.append((("OI 202606", "OI 202607")[k], os.path.join(scratch, f"s{k}.csv")))
+        with open(paths[-1][1], "w") as f:
+            f.write(f"{labels}\nskip,me,,,,\n NAME ,CA,Aging,Aging2,Aging,\n\"A\nB\",77,{cells}\nC,88,,,,\n")
+    wide, header = read_workbook(spark, paths)
+    assert sorted((r.sheet, r.row_idx, r.NAME) for r in wide.collect()) == [
+        ("OI 202606", 0, "A\nB"), ("OI 202606", 1, "C"), ("OI 202607", 0, "A\nB"), ("OI 202607", 1, "C")]
+    got = {(r.invoice_id, r.report_month, r.invoice_status, float(r.nilai_m)) for r in ingest.import_open_items(wide, header).collect()}
+    assert got == {("JUN77-KONT-0-0", "Juni 2026", "KONTRAK", 0.001), ("JUN77-TERM-0-0", "Juni 2026", "TERMYN", 5.0),
+                   ("JUL77-TERM-0-0", "Juli 2026", "TERMYN", 0.001), ("JUL77-KONT-0-0", "Juli 2026", "KONTRAK", 5.0)}
+
+
+def test_customers_of_one_cut_name_are_one(spark):
+    from kolekta.operators.customers import customer_rollup
+    df = invoices(spark, [("K1", "Within Due", None, None, None, 1.0), ("K2", "Within Due", None, None, None, 2.0)])
+    df = df.withColumn("customer_name", F.concat(F.lit("x" * 100), "invoice_id")).withColumn("report_month", F.lit("Juni 2026"))
+    assert [(r.customer_name, r.balance) for r in customer_rollup(df).collect()] == [("x" * 100, 3000.0)]
 
 
 def test_payload_matches_operators(spark):
@@ -188,8 +344,10 @@ def test_payload_matches_operators(spark):
         sorted((r.region, r.value, r.percentage) for r in summary.region_breakup(inv).collect())
     assert [(r.ord, r.kategori, r.nilai_m) for r in p.action_plan] == \
         [(r.ord, r.kategori, r.nilai_m) for r in flow.action_plan(inv).collect()]
-    assert dict(p.charts.ar_flow.regional_breakdown) == {r.region: r.v for r in flow.flow_regional(inv).collect()}
-    assert len(p.top_customers) == 20 and len(p.charts.sparklines.months) == 12
+    assert p.charts.ar_flow.jakarta.total_m == flow.flow_levels(inv).first().home_total_m
+    assert set(p.charts.history_trend) == {r[0] for r in inv.select("report_month").distinct().collect()}
+    assert dict(p.charts.ar_flow.regional.breakdown) == {r.region: r.v for r in flow.flow_regional(inv).collect()}
+    assert len(p.top_customers) == 20 and len(p.charts.sparkline_months) == 12
     import json
     from kolekta.plans.payload import payload_json
     doc = json.loads(payload_json(dashboard_payload(inv, fx.top_customers(), fx.cash_inflow(), fx.trend_t13m(),
