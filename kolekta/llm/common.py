@@ -124,6 +124,17 @@ def with_text_columns(docs: DataFrame, added: dict[str, str], compute, text: str
     return docs.mapInArrow(run, schema)
 
 
+def worker_state(key: str, make):
+    """``make()``, kept under ``key`` for as long as this Python worker lives,
+    so that later tasks of the worker start with it."""
+    import sys
+    import types
+    held = sys.modules.setdefault("kolekta_worker_state", types.ModuleType("kolekta_worker_state"))
+    if not hasattr(held, key):
+        setattr(held, key, make())
+    return getattr(held, key)
+
+
 #: ASCII bytes that are no letter or digit become spaces; A-Z become lower case.
 PLAIN = bytes((c | 32) if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 

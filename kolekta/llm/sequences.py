@@ -12,16 +12,18 @@ so token k of a shard is element k % length of row k / length.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kolekta.llm.common import blocks, byte_texts, read_table, shared_folder, stored
+from kolekta.llm.common import blocks, byte_texts, read_table, shared_folder, stored, worker_state
 
 LENGTH = 2048
 ROWS = 128
 END = 1
-#: Words whose ids a task remembers; beyond that it starts anew.
+#: Words whose ids a Python worker remembers; beyond that it keeps the half used most.
 REMEMBERED = 400_000
 
 
@@ -29,42 +31,63 @@ class WordCodec:
     """Ids of whole texts under a tokenizer that drops white space.
 
     For such a tokenizer the ids of a text are those of its words one after
-    the other, so each word is encoded by the library once and remembered.
+    the other, so a word is encoded by the library once and remembered. When
+    REMEMBERED words are, those that came up most often stay.
     """
 
     def __init__(self, tokenizer_json: str, add_special_tokens: bool = False):
+        import numpy as np
         from tokenizers import Tokenizer
         self.tokenizer, self.special = Tokenizer.from_str(tokenizer_json), add_special_tokens
-        self._forget()
-
-    def _forget(self) -> None:
-        import numpy as np
         self.place: dict[bytes, int] = {}
-        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.size, self.used = (np.zeros(0, np.int32) for _ in range(3))
+        self.ids = np.zeros(0, np.int32)
 
     def _learn(self, words: list[bytes]) -> None:
         import numpy as np
-        if not words:
-            return
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=self.special)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.int64, int(size.sum()))
+        flat, sizes = [], []
+        for a in range(0, len(words), 10_000):
+            part = words[a:a + 10_000]
+            got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=self.special)
+            flat.append(np.array(got.ids, np.int32))
+            sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)).astype(np.int32))
+        size = np.concatenate(sizes)
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, flat])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size, dtype=np.int32) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, *flat])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int32)])
+
+    def _forget(self) -> None:
+        """Keep the more often used half of what may be remembered."""
+        import numpy as np
+        kept = np.sort(np.argsort(-self.used, kind="stable")[:REMEMBERED // 2])
+        words = list(self.place)
+        self.place = {words[k]: n for n, k in enumerate(kept.tolist())}
+        size = self.size[kept]
+        ends = np.cumsum(size, dtype=np.int32)
+        self.ids = self.ids[np.repeat(self.start[kept] - (ends - size), size) + np.arange(int(size.sum()), dtype=np.int32)]
+        self.start, self.size, self.used = ends - size, size, self.used[kept]
 
     def encode(self, texts: list[bytes]):
         """(ids of all texts one after the other, number of each)."""
+        import itertools
+
         import numpy as np
         words = [t.split() for t in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        flat = list(itertools.chain.from_iterable(words))
         if len(self.place) > REMEMBERED:
             self._forget()
-        self._learn(list({w for ws in words for w in ws} - self.place.keys()))
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((self.place[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.place.get, flat, itertools.repeat(-1)), np.int32, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(flat[k] for k in missing)))
+            at[missing] = [self.place[flat[k]] for k in missing]
+        self.used += np.bincount(at, minlength=len(self.used)).astype(np.int32)
         size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(size, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(bounds)
 
@@ -196,6 +219,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_json: str | None = N
     """
     tokenizer_json = tokenizer_json or default_tokenizer()
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    key = "words_" + hashlib.sha256(tokenizer_json.encode()).hexdigest()
     rows = (docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")
             .sortWithinPartitions("doc_id", "text"))
 
@@ -208,7 +232,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_json: str | None = N
             texts = byte_texts(b.column(1))
             for i, k in blocks(texts):
                 if writer is None:
-                    codec = WordCodec(held.value)
+                    codec = worker_state(key, lambda: WordCodec(held.value))
                     writer = ShardWriter(folder, task.partitionId(), task.taskAttemptId(), length,
                                          codec.tokenizer.get_vocab_size())
                 ids, sizes = codec.encode(texts[i:k])
