@@ -25,6 +25,8 @@ ROUNDS, SETTLED = 10, 0.01
 #: Best nodes that a search keeps open, and its steps at most.
 BEAM, STEPS = 128, 8
 GRAPH = "id long, nbr array<long>, sim array<float>, new array<boolean>"
+#: Entries of many nodes of one block in a row.
+PACKED = "p int, ids array<long>, nbr array<long>, sim array<float>, new array<boolean>"
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
@@ -47,12 +49,9 @@ def _matrix(column):
     return np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in column])
 
 
-def _flat(table, names):
-    """id of each list element, and the elements of the list columns."""
-    import numpy as np
-    lists = [table.column(n).combine_chunks() for n in names]
-    size = np.diff(lists[0].offsets.to_numpy())
-    return np.repeat(table.column(0).to_numpy(), size), [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+def _flat(column):
+    """Elements of all lists of an Arrow column."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
 def _best(ids, nbr, sim, most, flag=None):
@@ -82,6 +81,24 @@ def _lists(name, ids, columns):
         k: pa.ListArray.from_arrays(offsets, pa.array(v)) for k, v in columns.items()})
 
 
+def _packed(home, ids, nbr, sim):
+    """An Arrow table of one row for each block in ``home``, with its entries."""
+    import numpy as np
+    import pyarrow as pa
+    order = np.argsort(home, kind="stable")
+    home = home[order]
+    first = np.flatnonzero(np.r_[True, home[1:] != home[:-1]][:len(home)])
+    offsets = pa.array(np.r_[first, len(home)].astype(np.int32))
+    return pa.table({"p": pa.array(home[first].astype(np.int32))} | {
+        k: pa.ListArray.from_arrays(offsets, pa.array(v[order])) for k, v in
+        (("ids", ids), ("nbr", nbr), ("sim", sim.astype(np.float32)), ("new", np.ones(len(ids), bool)))})
+
+
+def _entries(lists: DataFrame, blocks: int) -> DataFrame:
+    """Rows of GRAPH as rows of PACKED."""
+    return lists.select(_block("id", blocks).alias("p"), F.expr("array_repeat(id, size(nbr))").alias("ids"), "nbr", "sim", "new")
+
+
 def _block(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
@@ -138,33 +155,52 @@ def _forest(nodes: DataFrame, blocks: int, k: int) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, trees)
 
 
-def _merged(rows: DataFrame, blocks: int, k: int) -> DataFrame:
-    """The best ``k`` of the lists of each id; an entry known before stays not new."""
+def _merged(entries: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` entries of each id, as rows of GRAPH; an entry known before stays not new."""
     def merge(table):
-        ids, (nbr, sim, new) = _flat(table.select(["id", "nbr", "sim", "new"]), ["nbr", "sim", "new"])
-        ids, nbr, sim, new = _best(ids, nbr, sim, k, new)
+        ids, nbr, sim, new = _best(*(_flat(table.column(c)) for c in ("ids", "nbr", "sim")), k, _flat(table.column("new")))
         return _lists("id", ids, {"nbr": nbr, "sim": sim, "new": new})
 
-    return rows.withColumn("p", _block("id", blocks)).groupBy("p").applyInArrow(merge, GRAPH)
+    return entries.groupBy("p").applyInArrow(merge, GRAPH)
 
 
 def _compared(graph: DataFrame, nodes: DataFrame, blocks: int, k: int) -> DataFrame:
-    """Lists of nodes met as neighbours of a neighbour, better than the worst of their list."""
+    """Entries (rows of PACKED) of nodes met as neighbours of a neighbour, better than the worst of their list."""
     links = graph.select("id", F.explode(F.arrays_zip("nbr", "new")).alias("l")).select("id", F.col("l.nbr").alias("nbr"), F.col("l.new").alias("new"))
     back = Window.partitionBy("nbr", "new").orderBy(F.xxhash64("id"), "id")  # Spark cuts each task's rows before the shuffle
     back = links.withColumn("r", F.row_number().over(back)).where(F.col("r") <= SAMPLE)
     edges = (links.select(F.col("id").alias("v"), F.col("nbr").alias("w"), "new")
              .unionByName(back.select(F.col("nbr").alias("v"), F.col("id").alias("w"), "new"))
              .withColumn("p", _block("v", blocks)))
-    worst = graph.select(F.col("id").alias("w"), F.when(F.size("sim") < k, F.lit(-2.0)).otherwise(F.array_min("sim")).cast("float").alias("worst"))
-    need = edges.select("p", "w").distinct().join(nodes.select(F.col("id").alias("w"), "x"), "w").join(worst, "w")
+    worst = graph.select("id", F.when(F.size("sim") < k, F.lit(-2.0)).otherwise(F.array_min("sim")).cast("float").alias("least"))
+    held = nodes.join(worst, "id").select(_block("id", blocks).alias("home"), F.col("id").alias("node"), "x", "least")
+    asked = edges.select("p", F.col("w").alias("node_id")).distinct().withColumn("s", _block("node_id", blocks))
+
+    def send(left, right):
+        """What one block sends to each that asks: its nodes' ids, vectors and worst similarities in one row."""
+        import numpy as np
+        import pyarrow as pa
+        ids = right.column("node").to_numpy()
+        by_id = np.argsort(ids)
+        ids, x, least = ids[by_id], _matrix(right.column("x"))[by_id], right.column("least").to_numpy()[by_id]
+        to, want = left.column("p").to_numpy(), np.searchsorted(ids, left.column("node_id").to_numpy())
+        rows = []
+        for p in np.unique(to):
+            at = want[to == p]
+            rows.append({"p": int(p), "home": right.column("home")[0].as_py(), "ids": ids[at], "xs": x[at].tobytes(), "least": least[at]})
+        return pa.Table.from_pylist(rows, pa.schema([("p", pa.int32()), ("home", pa.int32()), ("ids", pa.list_(pa.int64())),
+                                                     ("xs", pa.binary()), ("least", pa.list_(pa.float32()))]))
+
+    sent = asked.groupBy("s").cogroup(held.groupBy("home")).applyInArrow(
+        send, "p int, home int, ids array<long>, xs binary, least array<float>").withColumnRenamed("p", "block")
 
     def meet(left, right):
         import numpy as np
-        known = right.column("id").to_numpy()
-        order = np.argsort(known)
-        known, x = known[order], _matrix(right.column("x"))[order]
-        worst = right.column("least").to_numpy()[order]
+        known, worst = _flat(right.column("ids")), _flat(right.column("least"))
+        home = np.repeat(right.column("home").to_numpy(), np.diff(right.column("ids").combine_chunks().offsets.to_numpy()))
+        x = np.concatenate([np.frombuffer(b.as_buffer(), np.float32) for b in right.column("xs")]).reshape(len(known), -1)
+        by_id = np.argsort(known)
+        known, worst, home, x = known[by_id], worst[by_id], home[by_id], x[by_id]
         v, new = left.column("v").to_numpy(), left.column("new").to_numpy(zero_copy_only=False)
         w = np.searchsorted(known, left.column("w").to_numpy())
         order = np.lexsort((w, ~new, v))
@@ -188,10 +224,9 @@ def _compared(graph: DataFrame, nodes: DataFrame, blocks: int, k: int) -> DataFr
                 waiting = len(found[0][0])
         ids, nbr, sim = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.float32),)
         ids, nbr, sim, _ = _best(ids, nbr, sim, k)
-        return _lists("id", known[ids], {"nbr": known[nbr], "sim": sim.astype(np.float32), "new": np.ones(len(ids), bool)})
+        return _packed(home[ids], known[ids], known[nbr], sim)
 
-    need = need.select(F.col("p").alias("block"), F.col("w").alias("id"), "x", F.col("worst").alias("least"))
-    return edges.groupBy("p").cogroup(need.groupBy("block")).applyInArrow(meet, GRAPH)
+    return edges.groupBy("p").cogroup(sent.groupBy("block")).applyInArrow(meet, PACKED)
 
 
 def nn_descent(nodes: DataFrame, count: int, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
@@ -200,10 +235,10 @@ def nn_descent(nodes: DataFrame, count: int, k: int = NEIGHBOURS, rounds: int =
     x: unit vectors as packed 32-bit floats; sim: their cosine.
     """
     blocks = max(1, -(-count // BLOCK))
-    graph = Stored(_merged(_forest(nodes, blocks, k), blocks, k), "graph")
+    graph = Stored(_merged(_entries(_forest(nodes, blocks, k), blocks), k), "graph")
     for _ in range(rounds):
         old = graph.df.withColumn("new", F.transform("new", lambda x: F.lit(False)))
-        after = Stored(_merged(old.unionByName(_compared(graph.df, nodes, blocks, k)), blocks, k), "graph")
+        after = Stored(_merged(_entries(old, blocks).unionByName(_compared(graph.df, nodes, blocks, k)), k), "graph")
         graph.drop()
         graph = after
         changed = graph.df.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0
@@ -225,7 +260,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, count: int, b
     vectors = nodes.join(queries, "id", "left_semi").select(F.col("id").alias("q"), F.col("x").alias("qx"))
     vectors = stored(vectors, "queries")
     start = lists.join(queries, "id", "left_semi").withColumn("new", F.transform("nbr", lambda x: F.lit(True)))
-    state = Stored(_merged(start, blocks, beam), "search")
+    state = Stored(_merged(_entries(start, blocks), beam), "search")
     own = nodes.select(_block("id", blocks).alias("block"), F.col("id").alias("member"), F.col("x").alias("mx"))
 
     def meet(left, right):
@@ -241,18 +276,20 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, count: int, b
         sim = np.concatenate([np.einsum("ij,ij->i", qx[q[a:a + 65536]], x[n[a:a + 65536]])
                               for a in range(0, len(q), 65536)] or [np.zeros(0, np.float32)])
         i, m, s, _ = _best(q_ids[q], ids[n], sim, beam)
-        return _lists("id", i, {"nbr": m, "sim": s.astype(np.float32), "new": np.ones(len(i), bool)})
+        home = posed.column("home").to_numpy()[q_order][np.searchsorted(q_ids, i, sorter=q_order)] if len(i) else i
+        return _packed(home, i, m, s)
 
     for _ in range(steps):
         opened = state.df.select(F.col("id").alias("q"), F.explode(F.filter(F.arrays_zip("nbr", "new"), lambda x: x["new"])).alias("c"))
         asked = (opened.select("q", F.col("c.nbr").alias("id")).join(lists, "id")
                  .select("q", F.explode("nbr").alias("nbr")).where("nbr <> q").distinct().withColumn("p", _block("nbr", blocks)))
         posed = asked.select("p", "q").distinct().join(vectors, "q")
-        left = (asked.select("p", "q", "nbr", F.lit(None).cast("binary").alias("x"))
-                .unionByName(posed.select("p", "q", F.lit(None).cast("long").alias("nbr"), F.col("qx").alias("x"))))
-        met = left.groupBy("p").cogroup(own.groupBy("block")).applyInArrow(meet, GRAPH)
+        left = (asked.select("p", "q", "nbr", F.lit(None).cast("binary").alias("x"), F.lit(None).cast("int").alias("home"))
+                .unionByName(posed.select("p", "q", F.lit(None).cast("long").alias("nbr"), F.col("qx").alias("x"),
+                                          _block("q", blocks).alias("home"))))
+        met = left.groupBy("p").cogroup(own.groupBy("block")).applyInArrow(meet, PACKED)
         old = state.df.withColumn("new", F.transform("new", lambda x: F.lit(False)))
-        after = Stored(_merged(old.unionByName(met), blocks, beam), "search")
+        after = Stored(_merged(_entries(old, blocks).unionByName(met), beam), "search")
         state.drop()
         state = after
         if not state.df.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0]:
