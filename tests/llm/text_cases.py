@@ -8,7 +8,7 @@ ODD = [
     (7, "Ünïcode ÀÉ 日本語 👩‍👩‍👧 ▁ <|endoftext|> don't   x　y"),
     (8, "long " * 30000), (9, "x" * 20000),
     (1, "The quick brown fox jumps over the lazy dog. And then it rests for a while."),
-    (None, "no id here, but a text of some words"), (-5, "negative id"),
+    (None, "no id here, but a text of some words"), (-5, "X<|ENDOFTEXT|>Y <|startoftext|> \u0130X E\u0301LAN CAN'T can't \u212a WORD. word"),
 ]
 
 
