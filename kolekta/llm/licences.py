@@ -6,7 +6,8 @@ regression (Spark ML) learns the families from variants of TEMPLATES and the
 unknown class from paragraphs of the corpus. A part of the training rows is
 kept back to fit the temperature that calibrates the probabilities; what no
 family claims with PROBABILITY is unknown. A family counts only if one of its
-templates stands in the paragraph, to CONTAINED of the template's word pairs.
+templates stands in the paragraph, to CONTAINED of the template's word pairs,
+or one of its short CORES does, as a run of words.
 """
 
 from __future__ import annotations
@@ -83,6 +84,25 @@ TEMPLATES: dict[str, list[str]] = {
         "All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited.",
     ],
 }
+
+# The shortest wordings that name a family by themselves.
+CORES: dict[str, list[str]] = {
+    "Apache-2.0": ["Apache License", "Apache-2.0 License", "SPDX-License-Identifier: Apache-2.0"],
+    "MIT": ["MIT License", "MIT-licensed", "SPDX-License-Identifier: MIT"],
+    "BSD": ["BSD License", "BSD-style license", "BSD 2-Clause License", "BSD 3-Clause License",
+            "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause"],
+    "GPL": ["GNU General Public License", "GNU GPL", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-3.0"],
+    "LGPL": ["GNU Lesser General Public License", "GNU LGPL", "SPDX-License-Identifier: LGPL-2.1", "SPDX-License-Identifier: LGPL-3.0"],
+    "AGPL": ["GNU Affero General Public License", "GNU AGPL", "SPDX-License-Identifier: AGPL-3.0"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "ISC": ["ISC License", "SPDX-License-Identifier: ISC"],
+    "CC-BY": ["CC BY 4.0", "Creative Commons Attribution 4.0", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC0": ["CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
+    "Unlicense": ["the Unlicense", "SPDX-License-Identifier: Unlicense"],
+    "All-rights-reserved": ["All rights reserved"],
+}
 # END OF FIXED VALUES
 
 UNKNOWN = "unknown"
@@ -130,12 +150,12 @@ def grams(words: list[list[bytes]], bits: int = BITS):
 
 
 def variants(seed: int = 7):
-    """(family, text) of altered templates: words dropped, notices before, other words after."""
+    """(family, text) of altered templates and cores: words dropped, notices before, other words after."""
     import random
     draw = random.Random(seed)
     filler = "project module work file data text source author page value version name part list".split()
     for family, templates in TEMPLATES.items():
-        for t in templates:
+        for t in [*templates, *CORES[family]]:
             yield family, t
             for k in range(VARIANTS):
                 words = [w for w in t.split() if len(t.split()) < 8 or draw.random() > 0.04]
@@ -144,12 +164,18 @@ def variants(seed: int = 7):
                 yield family, " ".join([*before, *words, *after])
 
 
+def spaced(words: list[bytes]) -> bytes:
+    """Words with a space around each: a run of words stands in others if its form does."""
+    return b" " + b" ".join(words) + b" "
+
+
 class Classifier:
-    """Weights (features by classes), biases, the temperature, and the templates' word pairs."""
+    """Weights (features by classes), biases, the temperature, the templates' word pairs and the cores."""
 
     def __init__(self, names, weights, bias, temperature):
         self.names, self.weights, self.bias, self.temperature = names, weights, bias, temperature
         self.pairs = {f: [set(zip(w, w[1:])) for w in (plain_words(t.encode()) for t in ts)] for f, ts in TEMPLATES.items()}
+        self.cores = {f: [spaced(plain_words(t.encode())) for t in ts] for f, ts in CORES.items()}
 
     def logits(self, words):
         import numpy as np
@@ -164,7 +190,10 @@ class Classifier:
         return x / x.sum(1, keepdims=True)
 
     def contained(self, family: str, words: list[bytes]) -> float:
-        """Largest share of a template's word pairs that the paragraph holds."""
+        """Largest share of a template's word pairs that the paragraph holds; 1 if it holds a core."""
+        whole = spaced(words)
+        if any(core in whole for core in self.cores[family]):
+            return 1.0
         own = set(zip(words, words[1:]))
         return max((len(t & own) / len(t) for t in self.pairs[family]), default=0.0)
 
@@ -191,13 +220,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Fit on variants of the templates and at most ``sample`` corpus paragraphs.
 
     The sample takes paragraphs of at most SAMPLE_BYTES and the smallest
-    hashes that hold no template; each task passes on its own smallest.
+    hashes that hold no template and no core; each task passes on its own smallest.
     """
     import numpy as np
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors
     spark = docs.sparkSession
     templates = [set(zip(w, w[1:])) for ts in TEMPLATES.values() for w in (plain_words(t.encode()) for t in ts)]
+    cores = [spaced(plain_words(t.encode())) for ts in CORES.values() for t in ts]
 
     def pick(batches):
         import heapq
@@ -212,8 +242,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
                     if len(p) > SAMPLE_BYTES or (len(least) >= sample and key <= least[0][0]):
                         continue
                     words = plain_words(p)
-                    own = set(zip(words, words[1:]))
-                    if any(len(t & own) >= CONTAINED * len(t) for t in templates):
+                    own, whole = set(zip(words, words[1:])), spaced(words)
+                    if any(core in whole for core in cores) or any(len(t & own) >= CONTAINED * len(t) for t in templates):
                         continue
                     (heapq.heappushpop if len(least) >= sample else heapq.heappush)(least, (key, p))
         yield pa.RecordBatch.from_arrays([pa.array([-k for k, _ in least], pa.int64()),

@@ -43,3 +43,22 @@ def test_odd_rows(spark):
     assert len(rows) == 12 and all(r.families == [] and r.licence is None for r in rows)
     assert licences.scan(docs.limit(0), c).count() == 0
     assert licences.train(docs.limit(0)).names[0] == licences.UNKNOWN
+
+
+def test_short_wordings_are_confirmed(spark):
+    cases = {"All rights reserved.": ["All-rights-reserved"], "Copyright (c) 2019 Example Ltd. All rights reserved.": ["All-rights-reserved"],
+             "Distributed under the MIT License.": ["MIT"], "SPDX-License-Identifier: MIT": ["MIT"],
+             "Available under the Apache License.": ["Apache-2.0"], "// SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"],
+             "SPDX-License-Identifier: GPL-3.0-or-later": ["GPL"], "Covered by the GNU Lesser General Public License.": ["LGPL"],
+             "SPDX-License-Identifier: CC-BY-SA-4.0": ["CC-BY-SA"], "Distributed under the BSD 3-Clause License.": ["BSD"],
+             "All seats are reserved, and all rights of way end here.": [], "The permit is a license of the city.": []}
+    corpus = table(spark, SF, "documents")
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found = {r.doc_id: r.families for r in licences.scan(docs, licences.train(corpus)).collect()}
+    assert {t: found[i] for i, t in enumerate(cases)} == cases
+
+
+def test_query_finds_the_bare_reservation_in_the_documents(spark):
+    got = {r.doc_id: r.families for r in licences.query(spark, SF).collect()}
+    rows = [r for r in table(spark, SF, "documents").collect() if "All rights reserved." in r.text]
+    assert rows and all("All-rights-reserved" in got[r.doc_id] for r in rows)
