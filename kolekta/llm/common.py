@@ -147,3 +147,27 @@ def plain_words(text: bytes) -> list[bytes]:
 def sample_ids(ids: DataFrame, most: int) -> DataFrame:
     """At most ``most`` rows of ``ids(doc_id, ...)``, those of the smallest hash of doc_id; fit to broadcast."""
     return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+
+
+def key_runs(batches, keys: int):
+    """(key, [record batches]) for each run of rows with equal first ``keys``
+    columns (integers, never null), across batch borders; rows come sorted by them."""
+    import numpy as np
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(b.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            key = tuple(int(c[a]) for c in cols)
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(b.slice(a, z - a))
+    if held:
+        yield now, held

@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from kolekta.llm import decontaminate, langmodel, lengths, licences, neighbours, pieces, quality, sequences, simhash, toxicity
+from kolekta.llm import (
+    decontaminate,
+    langmodel,
+    lengths,
+    licences,
+    minhash,
+    neighbours,
+    pieces,
+    quality,
+    sequences,
+    simhash,
+    toxicity,
+)
 
 QUERIES = {
     "op1_sentencepiece": pieces.query,
@@ -15,6 +27,9 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_lengths": lengths.query,
     "op10_toxicity": toxicity.query,
+    "op11_minhash": minhash.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_minhash": minhash.SQL,
+}
