@@ -149,11 +149,11 @@ def sample_ids(ids: DataFrame, most: int) -> DataFrame:
     return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
 
 
-def key_runs(batches, keys: int):
-    """(key, [record batches]) for each run of rows with equal first ``keys``
-    columns (integers, never null), across batch borders; rows come sorted by them."""
+def key_slices(batches, keys: int):
+    """(key, record batch) for the rows of one key within one batch, in order.
+
+    The key is the first ``keys`` columns (integers, never null); rows come sorted by them."""
     import numpy as np
-    now, held = None, []
     for b in batches:
         if not b.num_rows:
             continue
@@ -163,11 +163,11 @@ def key_runs(batches, keys: int):
             change |= c[1:] != c[:-1]
         cuts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
         for a, z in zip(cuts, cuts[1:]):
-            key = tuple(int(c[a]) for c in cols)
-            if key != now:
-                if held:
-                    yield now, held
-                now, held = key, []
-            held.append(b.slice(a, z - a))
-    if held:
-        yield now, held
+            yield tuple(int(c[a]) for c in cols), b.slice(a, z - a)
+
+
+def key_runs(batches, keys: int):
+    """(key, [record batches]) for all rows of each key; what ``key_slices`` gives, put together."""
+    import itertools
+    for key, parts in itertools.groupby(key_slices(batches, keys), lambda x: x[0]):
+        yield key, [p for _, p in parts]

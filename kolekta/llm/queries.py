@@ -10,6 +10,7 @@ from kolekta.llm import (
     minhash,
     neighbours,
     pieces,
+    prefixtrie,
     quality,
     sequences,
     simhash,
@@ -28,8 +29,10 @@ QUERIES = {
     "op9_lengths": lengths.query,
     "op10_toxicity": toxicity.query,
     "op11_minhash": minhash.query,
+    "op13_prefix_trie": prefixtrie.query,
 }
 
 ORACLE: dict[str, str] = {
     "op11_minhash": minhash.SQL,
+    "op13_prefix_trie": prefixtrie.SQL,
 }
