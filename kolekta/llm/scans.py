@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolekta.llm.common import Stored, stored
+from kolekta.llm.common import Stored, fresh, stored
 
 #: Elements of a linked list that one task contracts at once.
 BLOCK = 1 << 20
@@ -31,7 +31,8 @@ def running(df: DataFrame, key: str | None, order: list[str], sums=(), xors=(),
     lanes, columns = [*sums, *xors], df.columns
     made = [f"run_{c}" for c in lanes] + ([f"lag_{lag}"] if lag else [])
     by = ([key] if key else []) + order
-    schema = df.selectExpr("*", *(f"0L as {c}" for c in made), "0 as part", "0L as at").schema
+    part_, at_ = fresh(columns, "part"), fresh(columns, "at")
+    schema = df.selectExpr("*", *(f"0L as {c}" for c in made), f"0 as {part_}", f"0L as {at_}").schema
     for f in schema.fields[len(columns):]:
         f.nullable = True
     n_sums, key_at = len(sums), columns.index(key) if key else None
@@ -71,9 +72,9 @@ def running(df: DataFrame, key: str | None, order: list[str], sums=(), xors=(),
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], schema.names)
 
     local = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema), "runs")
-    ends = local.groupBy("part").agg(
+    ends = local.groupBy(F.col(part_).alias("part")).agg(
         *([F.min(key).alias("first"), F.max(key).alias("last")] if key else [F.lit(0).alias("first"), F.lit(0).alias("last")]),
-        *(F.max_by(f"run_{c}", "at").alias(c) for c in lanes), *([F.max_by(lag, "at").alias("before")] if lag else []))
+        *(F.max_by(f"run_{c}", at_).alias(c) for c in lanes), *([F.max_by(lag, at_).alias("before")] if lag else []))
     carried, now = [], None
     for r in sorted(ends.collect(), key=lambda r: r["part"]):  # one row a task
         values = [r[c] for c in lanes]
@@ -82,16 +83,17 @@ def running(df: DataFrame, key: str | None, order: list[str], sums=(), xors=(),
             if r["first"] == r["last"]:
                 values = [v + w if i < n_sums else v ^ w for i, (v, w) in enumerate(zip(values, now[1]))]
         now = (r["last"], values, r["before"] if lag else None)
-    names = [f"c{i}" for i in range(len(lanes))]
+    names = [fresh(schema.names, f"carried_{i}") for i in range(len(lanes))]
+    p, k, before = (fresh(schema.names, f"carried_{c}") for c in ("part", "key", "before"))
     table = df.sparkSession.createDataFrame(
-        carried, "p int, k long, " + "".join(f"{c} long, " for c in names) + "before long")
-    same = (F.col("part") == F.col("p")) & ((F.col(key) == F.col("k")) if key else F.lit(True))
+        carried, f"{p} int, {k} long, " + "".join(f"{c} long, " for c in names) + f"{before} long")
+    same = (F.col(part_) == F.col(p)) & ((F.col(key) == F.col(k)) if key else F.lit(True))
     joined = local.join(F.broadcast(table), same, "left")  # bounded by the number of tasks
     none = F.lit(0).cast("long")
     fixed = [(F.col(f"run_{c}") + F.coalesce(x, none) if i < n_sums else F.col(f"run_{c}").bitwiseXOR(F.coalesce(x, none)))
              .alias(f"run_{c}") for i, (c, x) in enumerate(zip(lanes, names))]
     if lag:
-        fixed.append(F.when(F.col("at") == 0, F.col("before")).otherwise(F.col(f"lag_{lag}")).alias(f"lag_{lag}"))
+        fixed.append(F.when(F.col(at_) == 0, F.col(before)).otherwise(F.col(f"lag_{lag}")).alias(f"lag_{lag}"))
     return joined.select(*columns, *fixed)
 
 
