@@ -9,6 +9,7 @@ from kolekta.llm import (
     licences,
     minhash,
     neighbours,
+    phrases,
     pieces,
     prefixtrie,
     quality,
@@ -29,10 +30,12 @@ QUERIES = {
     "op9_lengths": lengths.query,
     "op10_toxicity": toxicity.query,
     "op11_minhash": minhash.query,
+    "op12_phrases": phrases.query,
     "op13_prefix_trie": prefixtrie.query,
 }
 
 ORACLE: dict[str, str] = {
     "op11_minhash": minhash.SQL,
+    "op12_phrases": phrases.SQL,
     "op13_prefix_trie": prefixtrie.SQL,
 }
