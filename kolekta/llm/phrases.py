@@ -31,15 +31,16 @@ TOP = 2000
 TILE = 1 << 10
 DENSE = TILE * TILE // 32
 #: A block ends at so many tokens or distinct words.
-BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 400_000
+BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 400_000
 #: Codes that a task counts at once, and distinct codes that it holds before it passes them on.
-COUNT_CODES, HELD_CODES = 8_000_000, 4_000_000
+COUNT_CODES, HELD_CODES = 1_500_000, 1_500_000
 #: Partial counts of a tile that one task merges.
 FAN_IN = 64
 #: Codes of a bucket, about.
 BUCKET_CODES = 1_000_000
 
 SKIP, BREAK = 0, 1
+TOO_MANY = "more than 2**31 frequent words or phrases of one length"
 #: A-Z in lower case, ends of pieces as line feeds, tabs as spaces.
 PLAIN = bytes(c | 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
@@ -112,7 +113,7 @@ def ranked(table: DataFrame, order: list[str]) -> DataFrame:
 
 
 def word_streams(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(block, words, grams): the ids of a block's tokens as 64-bit numbers, -1 for ends of pieces and rarer words."""
+    """(block, words, grams): the ids of a block's tokens as 32-bit numbers, -1 for ends of pieces and rarer words."""
     numbers = (blocks.select("block", F.posexplode("keys").alias("at", "key"))
                .join(vocabulary.select("key", "id"), "key").select(F.col("block").alias("of"), "at", "id"))
 
@@ -121,7 +122,9 @@ def word_streams(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
         import pyarrow as pa
         tokens = np.frombuffer(left.column("tokens")[0].as_py(), np.int32)
         at, ids = right.column("at").to_numpy(), right.column("id").to_numpy()
-        table = np.full(max(int(tokens.max()), BREAK) + 1, -1, np.int64)
+        if len(ids) and ids.max() >> 31:
+            raise OverflowError(TOO_MANY)
+        table = np.full(max(int(tokens.max()), BREAK) + 1, -1, np.int32)
         table[at + 2] = ids
         words = pa.array([table[tokens].tobytes()], pa.binary())
         return pa.table({"block": left.column("block"), "words": words, "grams": words})
@@ -138,9 +141,7 @@ def _codes(words, grams, size: int):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     left, right = grams[:n], words[size - 1:]
     at = np.flatnonzero((left >= 0) & (right >= 0))
-    if len(at) and max(left.max(), right.max()) >> 31:
-        raise OverflowError("more than 2**31 frequent words or phrases of one length")
-    return left[at] << 32 | right[at], at
+    return left[at].astype(np.int64) << 32 | right[at], at
 
 
 def merge_codes(codes, counts=None):
@@ -218,8 +219,8 @@ def count_phrases(streams: DataFrame, size: int, least: int, buckets: int) -> Da
             return merge_codes(np.concatenate([held[0], codes]), np.concatenate([held[1], counts]))
 
         for b in batches:
-            for words, grams in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                raw.append(_codes(np.frombuffer(words, np.int64), np.frombuffer(grams, np.int64), size)[0])
+            for row in zip(b.column(1), b.column(2)):
+                raw.append(_codes(*(np.frombuffer(x.as_buffer(), np.int32) for x in row), size)[0])
                 n_raw += len(raw[-1])
                 if n_raw >= COUNT_CODES:
                     held, raw, n_raw = merged(), [], 0
@@ -275,14 +276,14 @@ def phrase_streams(streams: DataFrame, phrases: DataFrame, size: int, buckets: i
         import numpy as np
         import pyarrow as pa
         for b in batches:
-            for block, words, grams in zip(*(b.column(i).to_pylist() for i in range(3))):
-                codes = np.unique(_codes(np.frombuffer(words, np.int64), np.frombuffer(grams, np.int64), size)[0])
+            for block, *row in zip(*b.columns):
+                codes = np.unique(_codes(*(np.frombuffer(x.as_buffer(), np.int32) for x in row), size)[0])
                 bucket = (_mixed(codes) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 bucket, codes = bucket[order], codes[order]
                 cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(codes) else [0]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cuts[:-1]] if len(codes) else [], pa.int64()), pa.array([block] * (len(cuts) - 1), pa.int64()),
+                    [pa.array(bucket[cuts[:-1]] if len(codes) else [], pa.int64()), pa.array([block.as_py()] * (len(cuts) - 1), pa.int64()),
                      pa.array([codes[a:z].tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "block", "codes"])
 
     def name(batches):
@@ -301,8 +302,8 @@ def phrase_streams(streams: DataFrame, phrases: DataFrame, size: int, buckets: i
         order = np.argsort(code)
         code, ids = code[order], ids[order]
         out = []
-        for block, codes in zip(asks.column("block").to_pylist(), asks.column("codes").to_pylist()):
-            c = np.frombuffer(codes, np.int64)
+        for block, codes in zip(asks.column("block").to_pylist(), asks.column("codes")):
+            c = np.frombuffer(codes.as_buffer(), np.int64)
             at = np.minimum(np.searchsorted(code, c), len(code) - 1) if len(code) else np.zeros(len(c), np.int64)
             hit = code[at] == c if len(code) else np.zeros(len(c), bool)
             if hit.any():
@@ -314,13 +315,15 @@ def phrase_streams(streams: DataFrame, phrases: DataFrame, size: int, buckets: i
     def place(key, stream, names):
         import numpy as np
         import pyarrow as pa
-        words, grams = (np.frombuffer(stream.column(c)[0].as_py(), np.int64) for c in ("words", "grams"))
+        words, grams = (np.frombuffer(stream.column(c)[0].as_buffer(), np.int32) for c in ("words", "grams"))
         pairs = [np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in names.column(c).to_pylist())])
                  for c in ("codes", "ids")]
         order = np.argsort(pairs[0])
         code, ids = pairs[0][order], pairs[1][order]
         codes, at = _codes(words, grams, size)
-        new = np.full(len(words), -1, np.int64)
+        if len(ids) and ids.max() >> 31:
+            raise OverflowError(TOO_MANY)
+        new = np.full(len(words), -1, np.int32)
         if len(code):
             found = np.minimum(np.searchsorted(code, codes), len(code) - 1)
             hit = code[found] == codes
