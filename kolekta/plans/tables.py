@@ -1,16 +1,9 @@
-"""Stored tables: versions behind a pointer, keyed changes, CSV export, load log.
+"""Stored tables: keyed changes on versioned tables, CSV export, load log.
 
-One layout serves every table and every kind of write:
-
-* ``<table>/v=NNNNNN/[part=value/]*.parquet``: the rows that one write produced;
-* ``<table>/_pointers/NNNNNN.json``: a version of the table, as the list of
-  folders that make it up (one for each partition value, or a single one).
-
-A write puts its rows into a new folder and then commits by renaming a new
-pointer into place; readers take the newest pointer. Nothing that a reader
-can see is ever changed, so there is no moment in between, a failed job
-leaves no trace that is read, and a job may read the table that it rewrites.
-If another writer commits first, the rename fails and the write raises.
+``kolekta.plans.versions`` keeps the versions; here each keyed change pins the
+version it reads, rewrites the partitions of its change set and commits. If
+another writer changed one of them meanwhile, it runs again from their version;
+otherwise both changes stand.
 
 A keyed change on a partitioned table whose key holds the partition column
 reads and writes only the partitions of the change. The partition column
@@ -20,7 +13,6 @@ must have few distinct values (months): their list is kept in the pointer.
 from __future__ import annotations
 
 import datetime as _dt
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,114 +21,12 @@ from pyspark.sql.types import StringType, StructType
 from kolekta import schemas
 from kolekta.operators.ingest import import_report
 from kolekta.operators.mutations import append_rows, delete_rows, keys_of, update_rows, upsert_rows
+from kolekta.plans.versions import (ConcurrentWriteError, Conflict, difference, expire, history, keep_feed, publish, read_current,  # noqa: F401
+                                    read_pointer, read_version, rebalanced, remove, stage, table_changes, versions,
+                                    write_version)
 
-VERSION_PREFIX = "v="
-_POINTERS = "_pointers"
-_NULL = "__HIVE_DEFAULT_PARTITION__"
-
-
-class ConcurrentWriteError(RuntimeError):
-    pass
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _numbers(spark: SparkSession, path: str, prefix: str = "", suffix: str = "") -> list[int]:
-    """Numbers in the names of a folder's entries (a driver-side listing of a few names)."""
-    fs, p, _ = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    found = [n[len(prefix):len(n) - len(suffix)] for n in names if n.startswith(prefix) and n.endswith(suffix)]
-    return sorted(int(n) for n in found if n.isdigit())
-
-
-def versions(spark: SparkSession, table_dir: str) -> list[int]:
-    """Committed versions, oldest first."""
-    return _numbers(spark, f"{table_dir.rstrip('/')}/{_POINTERS}", suffix=".json")
-
-
-def read_pointer(spark: SparkSession, table_dir: str, version: int | None = None) -> dict | None:
-    """{"version", "partition_by", "folders": [[value, folder], ...], "whole"}; None if
-    nothing is committed. whole: the one folder that holds all of the version, if one does."""
-    found = versions(spark, table_dir)
-    if not found:
-        return None
-    version = found[-1] if version is None else version
-    fs, p, jvm = _fs(spark, f"{table_dir.rstrip('/')}/{_POINTERS}/{version:06d}.json")
-    stream = fs.open(p)
-    try:
-        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return json.loads(text)
-
-
-def _commit(spark: SparkSession, table_dir: str, version: int, partition_by: str | None, folders: list,
-            whole: str | None = None) -> None:
-    root = f"{table_dir.rstrip('/')}/{_POINTERS}"
-    fs, temporary, jvm = _fs(spark, f"{root}/.{version:06d}.tmp")
-    final = jvm.org.apache.hadoop.fs.Path(f"{root}/{version:06d}.json")
-    out = fs.create(temporary, True)
-    out.write(bytearray(json.dumps({"version": version, "partition_by": partition_by, "folders": folders, "whole": whole}).encode()))
-    out.close()
-    if fs.exists(final) or not fs.rename(temporary, final):
-        raise ConcurrentWriteError(f"version {version} of {table_dir} was committed by another writer")
-
-
-def rebalanced(df: DataFrame, partition_by: str) -> DataFrame:
-    """Cluster rows by the partition column before a partitioned write, so each
-    task writes few folders; AQE sizes the tasks and splits a hot month."""
-    return df.hint("rebalance", partition_by)
-
-
-def write_version(df: DataFrame, table_dir: str, partition_by: str | None = None, replace: list | None = None) -> str:
-    """Write ``df`` and commit it as the next version; returns the folder written.
-
-    ``replace`` lists the partition values whose content ``df`` is; all other
-    partitions stay. Without it ``df`` is the whole table."""
-    spark, root = df.sparkSession, table_dir.rstrip("/")
-    now = read_pointer(spark, root)
-    version = max([0, *versions(spark, root), *_numbers(spark, root, VERSION_PREFIX)]) + 1
-    path = f"{root}/{VERSION_PREFIX}{version:06d}"
-    writer = (rebalanced(df, partition_by) if partition_by else df).write.mode("errorifexists")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    folders, whole = [[None, f"{VERSION_PREFIX}{version:06d}"]], f"{VERSION_PREFIX}{version:06d}"
-    if partition_by:
-        fs, p, jvm = _fs(spark, path)
-        unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-        names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-        made = [n for n in names if n.startswith(f"{partition_by}=")]
-        folders = [[None if n.endswith(f"={_NULL}") else unescape(n.split("=", 1)[1]),
-                    f"{VERSION_PREFIX}{version:06d}/{n}"] for n in made]
-        if replace is not None and now:
-            gone = set(replace) | {v for v, _ in folders}
-            kept = [x for x in now["folders"] if x[0] not in gone]
-            folders, whole = folders + kept, None if kept else whole
-    _commit(spark, root, (now["version"] if now else 0) + 1, partition_by, sorted(folders, key=str), whole)
-    return path
-
-
-def read_current(spark: SparkSession, table_dir: str, schema: StructType | None = None, only: list | None = None) -> DataFrame:
-    """The newest version (of partitioned tables, ``only`` some partition values).
-
-    With ``schema`` a table without rows, or not yet written, is empty; without
-    it such a table raises."""
-    root, now = table_dir.rstrip("/"), read_pointer(spark, table_dir)
-    paths = [f"{root}/{f}" for v, f in (now or {"folders": []})["folders"] if only is None or v in only]
-    if paths and only is None and now["whole"]:   # one folder to list, not one for each value
-        paths = [f"{root}/{now['whole']}"]
-    if not paths:
-        if schema is None:
-            raise ValueError(f"no rows at {table_dir}, and no schema given")
-        return spark.createDataFrame([], schema)
-    reader = spark.read.option("basePath", root)
-    df = (reader.schema(schema) if schema is not None else reader).parquet(*paths).drop("v")
-    return df.select(*schema.names) if schema is not None else df
+#: Runs of a change against other writers of the same partitions before it gives up.
+ATTEMPTS = 20
 
 
 def refresh(df: DataFrame, table_dir: str, partition_by: str | None = None) -> str:
@@ -144,114 +34,144 @@ def refresh(df: DataFrame, table_dir: str, partition_by: str | None = None) -> s
     return write_version(df, table_dir, partition_by)
 
 
-def expire(spark: SparkSession, table_dir: str, keep: int = 2) -> None:
-    """Delete pointers but the newest ``keep``, and folders that no kept pointer names.
-
-    Run it when no write is under way: a folder is written before its pointer."""
-    root = table_dir.rstrip("/")
-    found = versions(spark, root)
-    kept, old = found[-keep:], found[:-keep]
-    used = {f for v in kept for _, f in read_pointer(spark, root, v)["folders"]}
-    fs, p, jvm = _fs(spark, root)
-    for v in old:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{_POINTERS}/{v:06d}.json"), False)
-    for n in _numbers(spark, root, VERSION_PREFIX):
-        name = f"{VERSION_PREFIX}{n:06d}"
-        here = {u for u in used if u.split("/")[0] == name}
-        if not here:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
-        elif name not in here:
-            for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")):
-                if s.isDirectory() and f"{name}/{s.getPath().getName()}" not in here:
-                    fs.delete(s.getPath(), True)
-
-
 def _touched(changes: DataFrame, part: str) -> list:
     """Partition values of a change set (a few months)."""
     return [r[0] for r in changes.select(part).distinct().collect()]
 
 
-def _change(spark: SparkSession, path: str, changes: DataFrame, mutate, pk, part: str | None, schema) -> DataFrame:
-    """Apply ``mutate(rows, changes)`` to the partitions of the change set, or
-    to the whole table if it has none, and commit the result."""
+def _images(old: DataFrame, new: DataFrame, changes: DataFrame, pk: list[str]) -> DataFrame:
+    """The rows of the change set's keys before and after, as ``table_changes`` gives them."""
+    keys = changes.select(*pk)
+    return difference(old.join(keys, pk, "left_semi"), new.join(keys, pk, "left_semi"), pk)
+
+
+def change(spark: SparkSession, path: str, changes: DataFrame, mutate, pk, part: str | None, schema: StructType,
+           operation: str = "change", facts: dict | None = None, feed: bool = False, replace: list | None = None) -> dict | None:
+    """Apply ``mutate(rows, changes)`` to the partitions of the change set
+    (and of ``replace``), or to the whole table if it has none, and commit the
+    result; the new pointer, or the old one where nothing is touched.
+
+    ``facts`` (a dict, or a function of the pinned pointer) go into the
+    pointer; ``feed`` keeps the rows taken out and put in."""
     pk = keys_of(pk)
     changes = changes.toDF(*[c.lower() for c in changes.columns])
-    if part is None:
-        old = read_current(spark, path, schema)
-        write_version(mutate(old, changes).select(*old.columns), path)
-    else:
-        if part not in pk:
-            raise ValueError(f"the key of a partitioned table holds its partition column {part!r}")
-        months = _touched(changes, part)
-        if months:
-            old = read_current(spark, path, schema, only=months)
-            write_version(mutate(old, changes).select(*old.columns), path, part, replace=months)
-    return read_current(spark, path, schema)
+    if part is not None and part not in pk:
+        raise ValueError(f"the key of a partitioned table holds its partition column {part!r}")
+    touched = None if part is None else list({*_touched(changes, part), *(replace or ())})
+    pinned = read_pointer(spark, path)
+    if touched == []:
+        return pinned
+    for _ in range(ATTEMPTS):
+        old = read_version(spark, path, pinned, schema, touched)
+        made = stage(mutate(old, changes).select(*old.columns), path, pinned, part)
+        new_pointer = {"folders": made["folders"], "whole": made["name"]}
+        kept = keep_feed(_images(old, read_version(spark, path, new_pointer, schema), changes, pk), path) if feed else None
+        try:
+            return publish(spark, path, pinned, made, part, touched if part else [None], operation,
+                           facts(pinned) if callable(facts) else facts, kept)
+        except Conflict as lost:
+            remove(spark, f"{path.rstrip('/')}/{made['name']}")
+            if kept:
+                remove(spark, f"{path.rstrip('/')}/{kept}")
+            pinned = lost.now
+    raise ConcurrentWriteError(f"{path}: {ATTEMPTS} runs lost against other writers")
 
 
 INVOICE_KEY = schemas.TABLES["ar_segmen_ers_tbl"][1]
 
 
+def _created(spark: SparkSession, path: str, schema: StructType, part: str | None) -> None:
+    """The table empty, unless it is there; of two that create it, one does."""
+    if read_pointer(spark, path) is None:
+        try:
+            write_version(spark.createDataFrame([], schema), path, part, operation="create", expected=0)
+        except ConcurrentWriteError:
+            pass
+
+
 def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, pk=INVOICE_KEY, part: str | None = "report_month",
-                      schema: StructType = schemas.INVOICE, defaults: dict | None = None) -> DataFrame:
+                      schema: StructType = schemas.INVOICE, defaults: dict | None = None, **how) -> DataFrame:
     """MERGE into a stored table (created on first use, also by no rows)."""
-    if read_pointer(spark, path) is None:
-        write_version(spark.createDataFrame([], schema), path, part)
-    return _change(spark, path, source, lambda old, s: upsert_rows(old, s, pk, defaults=defaults), pk, part, schema)
+    _created(spark, path, schema, part)
+    change(spark, path, source, lambda old, s: upsert_rows(old, s, pk, defaults=defaults), pk, part, schema, "upsert", **how)
+    return read_current(spark, path, schema)
 
 
 def append_partitions(spark: SparkSession, path: str, new: DataFrame, pk=INVOICE_KEY, part: str | None = "report_month",
-                      schema: StructType = schemas.INVOICE, defaults: dict | None = None) -> DataFrame:
+                      schema: StructType = schemas.INVOICE, defaults: dict | None = None, **how) -> DataFrame:
     """Insert rows of new keys into a stored table."""
-    return _change(spark, path, new, lambda old, n: append_rows(old, n, pk, defaults=defaults), pk, part, schema)
+    change(spark, path, new, lambda old, n: append_rows(old, n, pk, defaults=defaults), pk, part, schema, "append", **how)
+    return read_current(spark, path, schema)
 
 
 def update_partitions(spark: SparkSession, path: str, changes: DataFrame, cols: list[str] | None = None, pk=INVOICE_KEY,
-                      part: str | None = "report_month", schema: StructType = schemas.INVOICE) -> DataFrame:
+                      part: str | None = "report_month", schema: StructType = schemas.INVOICE, **how) -> DataFrame:
     """Update by key in a stored table."""
-    return _change(spark, path, changes, lambda old, ch: update_rows(old, ch, pk, cols), pk, part, schema)
+    change(spark, path, changes, lambda old, ch: update_rows(old, ch, pk, cols), pk, part, schema, "update", **how)
+    return read_current(spark, path, schema)
 
 
 def delete_partitions(spark: SparkSession, path: str, keys: DataFrame, pk=INVOICE_KEY, part: str | None = "report_month",
-                      schema: StructType = schemas.INVOICE) -> DataFrame:
+                      schema: StructType = schemas.INVOICE, **how) -> DataFrame:
     """Delete by key from a stored table."""
-    return _change(spark, path, keys, lambda old, k: delete_rows(old, k, pk), pk, part, schema)
+    change(spark, path, keys, lambda old, k: delete_rows(old, k, pk), pk, part, schema, "delete", **how)
+    return read_current(spark, path, schema)
 
 
 class StoredTables:
-    """The allow-listed tables under a root folder, read and changed by name."""
+    """The allow-listed tables under a root folder, read and changed by name.
+
+    ``feed``: every keyed change keeps the rows it took out and put in, for
+    tables that are maintained from them."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, feed: bool = False):
+        self.spark, self.root, self.feed = spark, root.rstrip("/"), feed
 
     def _spec(self, name: str):
         schema, pk, part = schemas.table_spec(name)
         return f"{self.root}/{name.lower()}", schema, pk, part
 
-    def read(self, name: str) -> DataFrame:
+    def path(self, name: str) -> str:
+        return self._spec(name)[0]
+
+    def read(self, name: str, version: int | None = None, as_of: _dt.datetime | int | None = None) -> DataFrame:
+        """The table now, at a version, or at a moment."""
         path, schema, _, _ = self._spec(name)
-        return read_current(self.spark, path, schema)
+        return read_current(self.spark, path, schema, version=version, as_of=as_of)
+
+    def version(self, name: str) -> int:
+        """The newest version; 0 before the first."""
+        now = read_pointer(self.spark, self.path(name))
+        return now["version"] if now else 0
+
+    def changes(self, name: str, start: int, end: int | None = None) -> DataFrame:
+        """What turns version ``start`` into ``end`` (see ``table_changes``)."""
+        path, schema, pk, _ = self._spec(name)
+        return table_changes(self.spark, path, start, end, keys_of(pk), schema)
+
+    def history(self, name: str) -> DataFrame:
+        return history(self.spark, self.path(name))
 
-    def refresh(self, name: str, rows: DataFrame) -> DataFrame:
+    def refresh(self, name: str, rows: DataFrame, facts: dict | None = None, expected: int | None = None) -> DataFrame:
         path, schema, _, part = self._spec(name)
-        write_version(schemas.conform(rows, schema), path, part)
+        write_version(schemas.conform(rows, schema), path, part, facts=facts, expected=expected)
         return self.read(name)
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
         path, schema, pk, part = self._spec(name)
-        return append_partitions(self.spark, path, rows, pk, part, schema, schemas.DEFAULTS.get(name.lower()))
+        return append_partitions(self.spark, path, rows, pk, part, schema, schemas.DEFAULTS.get(name.lower()), feed=self.feed)
 
     def upsert(self, name: str, rows: DataFrame) -> DataFrame:
         path, schema, pk, part = self._spec(name)
-        return upsert_partitions(self.spark, path, rows, pk, part, schema, schemas.DEFAULTS.get(name.lower()))
+        return upsert_partitions(self.spark, path, rows, pk, part, schema, schemas.DEFAULTS.get(name.lower()), feed=self.feed)
 
     def update(self, name: str, rows: DataFrame, cols: list[str] | None = None) -> DataFrame:
         path, schema, pk, part = self._spec(name)
-        return update_partitions(self.spark, path, rows, cols, pk, part, schema)
+        return update_partitions(self.spark, path, rows, cols, pk, part, schema, feed=self.feed)
 
     def delete(self, name: str, keys: DataFrame) -> DataFrame:
         path, schema, pk, part = self._spec(name)
-        return delete_partitions(self.spark, path, keys, pk, part, schema)
+        return delete_partitions(self.spark, path, keys, pk, part, schema, feed=self.feed)
 
 
 def create_tables(spark: SparkSession, root: str) -> dict[str, str]:

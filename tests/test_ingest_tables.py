@@ -187,7 +187,7 @@ def test_a_second_writer_of_a_version_is_refused(spark, scratch):
     path = os.path.join(scratch, "t")
     tables.write_version(_facts(spark, [("K1", "Juni 2026", "A", 1.0)]), path, "report_month")
     with pytest.raises(tables.ConcurrentWriteError):
-        tables._commit(spark, path, 1, "report_month", [])
+        tables.write_version(_facts(spark, [("K2", "Juni 2026", "A", 1.0)]), path, "report_month", expected=0)
 
 
 def test_first_batch_without_rows(spark, scratch):
