@@ -19,6 +19,8 @@ from kolekta.operators.filters import filter_invoices
 from kolekta.operators.summary import AMT
 
 ALL = "ALL"
+#: Column of a mart that holds the fact rows of a combination; a fact table lacks it.
+RECORDS = "records"
 
 
 def pre_aggregate(inv: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,29 +29,41 @@ def pre_aggregate(inv: DataFrame, keys: list[str]) -> DataFrame:
     than every fact row: Spark expands before it aggregates, so a cube over
     three columns would otherwise multiply the input eightfold."""
     cols = list(dict.fromkeys(keys + ["status_tagih"]))
-    return inv.groupBy(*cols).agg(F.sum(F.col(AMT).cast("decimal(38,6)")).alias("_s"),
-                                  F.count(F.lit(1)).alias("_n"))
+    rows = F.sum("records") if RECORDS in inv.columns else F.count(F.lit(1))
+    return inv.groupBy(*cols).agg(F.sum(F.col(AMT).cast("decimal(38,6)")).alias("_s"), rows.alias("_n"))
 
 
-def _measures() -> list[F.Column]:
-    st = lambda v: f"status_tagih = {sql_str(v)}"
-    return [F.expr(f"{money_sql(f'coalesce(sum({c}), 0)')} AS {name}") for c, name in (
-            ("_s", "total_ar_m"), (f"CASE WHEN {st(vocab.LAYAK)} THEN _s END", "layak_m"),
-            (f"CASE WHEN {st(vocab.TIDAK_LAYAK)} THEN _s END", "tidak_layak_m"),
-            (f"CASE WHEN {st(vocab.BERMASALAH)} THEN _s END", "bermasalah_m"))] + [
-            F.expr("cast(sum(_n) as bigint) AS n")]
+DIMS = ("report_month", "pengelolaan", "region")
+#: Exact sums of a cube row, and the status that each takes (None: all).
+SUMS = (("total", None), ("layak", vocab.LAYAK), ("tidak_layak", vocab.TIDAK_LAYAK), ("bermasalah", vocab.BERMASALAH))
+
+
+def cube_sums(rows: DataFrame) -> DataFrame:
+    """(level, report_month, pengelolaan, region, exact sums, n) for every
+    combination of the three dimensions; a bit of ``level`` is set where a
+    dimension is rolled up. ``rows`` is a fact table, a mart, or signed
+    changes of a mart: all columns but the first four add up."""
+    sums = [F.expr("coalesce(sum(_s), cast(0 as decimal(38,6)))" if v is None else
+                   f"coalesce(sum(CASE WHEN status_tagih = {sql_str(v)} THEN _s END), cast(0 as decimal(38,6)))")
+            .cast("decimal(38,6)").alias(name) for name, v in SUMS]
+    g = pre_aggregate(rows, list(DIMS)).cube(*DIMS).agg(F.grouping_id().cast("int").alias("level"), *sums,
+                                                        F.expr("cast(sum(_n) as bigint) AS n"))
+    return g.select("level", *DIMS, *[n for n, _ in SUMS], "n")
+
+
+def cube_rows(sums: DataFrame) -> DataFrame:
+    """The cube as the dashboard reads it, from its exact sums."""
+    names = ("month", "segment", "region")
+    return sums.selectExpr(
+        *[f"if((level & {1 << (2 - i)}) <> 0, '{ALL}', {c}) AS {a}" for i, (c, a) in enumerate(zip(DIMS, names))],
+        *[f"{money_sql(n)} AS {n}{'_ar_m' if n == 'total' else '_m'}" for n, _ in SUMS], "n")
 
 
 def kpi_cube(inv: DataFrame) -> DataFrame:
     """KPI measures for every (month, segment, region) combination, each
-    dimension either a value or ``ALL``; ``ALL/ALL/ALL`` equals the KPI row."""
-    dims = ["report_month", "pengelolaan", "region"]
-    g = pre_aggregate(inv, dims).cube(*dims).agg(
-        *_measures(), F.grouping("report_month").alias("_gm"), F.grouping("pengelolaan").alias("_gs"),
-        F.grouping("region").alias("_gr"))
-    lab = lambda c, g_, a: F.when(F.col(g_) == 1, F.lit(ALL)).otherwise(F.col(c)).alias(a)
-    return g.select(lab("report_month", "_gm", "month"), lab("pengelolaan", "_gs", "segment"),
-                    lab("region", "_gr", "region"), "total_ar_m", "layak_m", "tidak_layak_m", "bermasalah_m", "n")
+    dimension either a value or ``ALL``; ``ALL/ALL/ALL`` equals the KPI row.
+    ``inv`` is the fact table or its mart."""
+    return cube_rows(cube_sums(inv))
 
 
 def drill_rollup(inv: DataFrame, month=None, segment=None, region=None,
