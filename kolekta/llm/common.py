@@ -82,17 +82,18 @@ class Stored:
     """A DataFrame written once to the shared folder and read back, so that
     what follows neither recomputes it nor depends on an executor's disk."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, row_group: int | None = None):
+        """``row_group``: bytes that a reader takes at once, for tables of large values."""
         self.spark, self.path = df.sparkSession, shared_folder(df.sparkSession, name)
-        df.write.parquet(self.path)
+        (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         drop_folder(self.spark, self.path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return Stored(df, name).df
+def stored(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    return Stored(df, name, row_group).df
 
 
 def fresh(columns: list[str], name: str) -> str:

@@ -30,10 +30,13 @@ TOP = 2000
 #: Side of a tile (a power of two), and the entries from which it is dense.
 TILE = 1 << 10
 DENSE = TILE * TILE // 32
-#: A block ends at so many tokens or distinct words.
-BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 400_000
+#: A block, whose words are numbered together, ends at so many tokens or distinct words; its tokens
+#: come in chunks, which end with a text.
+BLOCK_TOKENS, BLOCK_WORDS, CHUNK_TOKENS = 4_000_000, 400_000, 500_000
 #: Codes that a task counts at once, and distinct codes that it holds before it passes them on.
-COUNT_CODES, HELD_CODES = 1_500_000, 1_500_000
+COUNT_CODES, HELD_CODES = 1_000_000, 1_000_000
+#: Bytes of a row group of chunks and of packed codes.
+ROW_GROUP = 16 << 20
 #: Partial counts of a tile that one task merges.
 FAN_IN = 64
 #: Codes of a bucket, about.
@@ -48,8 +51,8 @@ PLAIN = bytes(c | 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else
 def number_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of ``docs(lang, text)``: (block, n_tokens, tokens, keys, counts, langs, lang_counts).
 
-    tokens (32-bit) are 1 at the end of a piece, else 2 and more for the place
-    in keys ("word lang"); counts and lang_counts are of words."""
+    tokens are chunks of 32-bit numbers: 1 at the end of a piece, else 2 and
+    more for the place in keys ("word lang"); counts and lang_counts are of words."""
     def run(batches):
         import itertools
         from collections import defaultdict
@@ -57,13 +60,13 @@ def number_blocks(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 24
 
         def fresh_numbers():
-            return itertools.count(2).__next__, {}, [], 0, defaultdict(int)
+            return itertools.count(2).__next__, {}, [[]], 0, 0, defaultdict(int)
 
         def out():
-            tokens = np.concatenate(held)
+            chunks = [np.concatenate(c) for c in held if c]
             n = sum(len(d) for d in words.values()) - 2 * len(words)
             keys = [b""] * n
             for lang, d in words.items():
@@ -71,16 +74,16 @@ def number_blocks(docs: DataFrame) -> DataFrame:
                 for w, i in d.items():
                     if i > BREAK:
                         keys[i - 2] = w + tail
-            counts = np.bincount(tokens, minlength=n + 2)[2:]
+            counts = sum(np.bincount(c, minlength=n + 2) for c in chunks)[2:]
             one = lambda x, t: pa.array([x], pa.list_(t))
             return pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([len(tokens)]), pa.array([tokens.tobytes()], pa.binary()),
+                [pa.array([block]), pa.array([size]), one([c.tobytes() for c in chunks], pa.binary()),
                  pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(keys, pa.binary()).cast(pa.string())),
                  pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(counts.astype(np.int64))),
                  one([k.decode() for k in per_lang], pa.string()), one(list(per_lang.values()), pa.int64())],
                 ["block", "n_tokens", "tokens", "keys", "counts", "langs", "lang_counts"])
 
-        number, words, held, size, per_lang = fresh_numbers()
+        number, words, held, size, filled, per_lang = fresh_numbers()
         end = np.array([BREAK], np.int32)
         for b in batches:
             langs = byte_texts(b.column(0).fill_null("und"))
@@ -91,17 +94,21 @@ def number_blocks(docs: DataFrame) -> DataFrame:
                 ids = np.fromiter(map(words[lang].__getitem__, parts), np.int32, len(parts))
                 ids = ids[ids != SKIP]
                 per_lang[lang] += int((ids > BREAK).sum())
-                held += [ids, end]
+                if filled >= CHUNK_TOKENS:
+                    held.append([])
+                    filled = 0
+                held[-1] += [ids, end]
                 size += len(ids) + 1
+                filled += len(ids) + 1
                 if size >= BLOCK_TOKENS or sum(map(len, words.values())) >= BLOCK_WORDS:
                     yield out()
-                    number, words, held, size, per_lang = fresh_numbers()
+                    number, words, held, size, filled, per_lang = fresh_numbers()
                     block += 1
-        if held:
+        if size:
             yield out()
 
     return docs.select(F.col("lang").cast("string"), "text").mapInArrow(
-        run, "block long, n_tokens long, tokens binary, keys array<string>, counts array<long>, langs array<string>, "
+        run, "block long, n_tokens long, tokens array<binary>, keys array<string>, counts array<long>, langs array<string>, "
              "lang_counts array<long>")
 
 
@@ -113,23 +120,25 @@ def ranked(table: DataFrame, order: list[str]) -> DataFrame:
 
 
 def word_streams(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(block, words, grams): the ids of a block's tokens as 32-bit numbers, -1 for ends of pieces and rarer words."""
+    """(block, words, grams): for each chunk, now a block by itself, the ids of
+    its tokens as 32-bit numbers, -1 for ends of pieces and rarer words."""
     numbers = (blocks.select("block", F.posexplode("keys").alias("at", "key"))
                .join(vocabulary.select("key", "id"), "key").select(F.col("block").alias("of"), "at", "id"))
 
     def run(key, left, right):
         import numpy as np
         import pyarrow as pa
-        tokens = np.frombuffer(left.column("tokens")[0].as_py(), np.int32)
+        chunks = [np.frombuffer(c.as_buffer(), np.int32) for c in left.column("tokens")]
         at, ids = right.column("at").to_numpy(), right.column("id").to_numpy()
         if len(ids) and ids.max() >> 31:
             raise OverflowError(TOO_MANY)
-        table = np.full(max(int(tokens.max()), BREAK) + 1, -1, np.int32)
+        table = np.full(max(BREAK, *(int(c.max()) for c in chunks)) + 1, -1, np.int32)
         table[at + 2] = ids
-        words = pa.array([table[tokens].tobytes()], pa.binary())
-        return pa.table({"block": left.column("block"), "words": words, "grams": words})
+        words = pa.array([table[c].tobytes() for c in chunks], pa.binary())
+        names = pa.array([(b << 16) + k for b, k in zip(left.column("block").to_pylist(), left.column("chunk").to_pylist())], pa.int64())
+        return pa.table({"block": names, "words": words, "grams": words})
 
-    return (blocks.select("block", "tokens").groupBy("block").cogroup(numbers.groupBy("of"))
+    return (blocks.select("block", F.posexplode("tokens").alias("chunk", "tokens")).groupBy("block").cogroup(numbers.groupBy("of"))
             .applyInArrow(run, "block long, words binary, grams binary"))
 
 
@@ -149,9 +158,7 @@ def merge_codes(codes, counts=None):
     import numpy as np
     left, right = codes >> 32, codes & 0xFFFFFFFF
     side, bits = 64, TILE.bit_length() - 1
-    row, column = left >> bits, right >> bits
-    near = (row < side) & (column < side)
-    tiles = np.where(near, row * side + column, side * side)
+    tiles = np.where((left >> bits < side) & (right >> bits < side), (left >> bits) * side + (right >> bits), side * side)
     many = np.flatnonzero(np.bincount(tiles, minlength=side * side + 1)[:-1] >= DENSE)
     found, sparse = [], np.ones(len(codes), bool)
     for t in many:  # dense tiles: the cell is the address
@@ -257,7 +264,7 @@ def count_phrases(streams: DataFrame, size: int, least: int, buckets: int) -> Da
                          pa.array([counts.tobytes()], pa.binary())], ["bucket", "part", "codes", "counts"])
         return run
 
-    packed = stored(streams.select("block", "words", "grams").mapInArrow(count, PACKED), "partial")
+    packed = stored(streams.select("block", "words", "grams").mapInArrow(count, PACKED), "partial", ROW_GROUP)
     parts = packed.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
     while True:
         last = parts <= FAN_IN
@@ -266,7 +273,7 @@ def count_phrases(streams: DataFrame, size: int, least: int, buckets: int) -> Da
         dealt = rows.repartition("part", "bucket").sortWithinPartitions("part", "bucket")
         if last:
             return dealt.mapInArrow(merge(True), "left long, right long, f long")
-        packed = stored(dealt.mapInArrow(merge(False), PACKED), "partial")
+        packed = stored(dealt.mapInArrow(merge(False), PACKED), "partial", ROW_GROUP)
         parts = -(-parts // FAN_IN)
 
 
@@ -344,7 +351,7 @@ def count_table(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST)
     """(phrases, vocabulary, totals): phrases(words, f) has every phrase of 1 to
     ``max_words`` words that occurs ``least`` times or more in a language, as
     the ids of its words; vocabulary(id, word, lang, f); totals(lang, n)."""
-    blocks = stored(number_blocks(docs), "blocks")
+    blocks = stored(number_blocks(docs), "blocks", ROW_GROUP)
     totals = blocks.select(F.explode(F.arrays_zip("langs", "lang_counts")).alias("x")).groupBy(
         F.col("x.langs").alias("lang")).agg(F.sum("x.lang_counts").alias("n"))
     counted = blocks.select(F.explode(F.arrays_zip("keys", "counts")).alias("x")).groupBy(
@@ -354,7 +361,7 @@ def count_table(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST)
     named = vocabulary.selectExpr("id", "substring_index(key, ' ', 1) as word", "substr(key, instr(key, ' ') + 1) as lang", "f")
     tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     buckets = max(64, -(-tokens // BUCKET_CODES))
-    streams = stored(word_streams(blocks, vocabulary), "streams")
+    streams = stored(word_streams(blocks, vocabulary), "streams", ROW_GROUP)
     tables = [vocabulary.select(F.array("id").alias("words"), "id", "f")]
     for size in range(2, max_words + 1):
         phrases = stored(ranked(count_phrases(streams, size, least, buckets), ["left", "right"]), "phrases")
@@ -362,7 +369,7 @@ def count_table(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST)
         tables.append(stored(phrases.join(before, "left").select(
             F.concat("head", F.array("right")).alias("words"), "id", "f"), "phrases"))
         if size < max_words:
-            streams = stored(phrase_streams(streams, phrases, size, buckets), "streams")
+            streams = stored(phrase_streams(streams, phrases, size, buckets), "streams", ROW_GROUP)
     return union([t.select("words", "f") for t in tables]), named, totals
 
 

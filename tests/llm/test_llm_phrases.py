@@ -62,7 +62,7 @@ def test_query_equals_sql(spark):
 def test_awkward_texts(spark, monkeypatch, small):
     """With small tiles, blocks and buckets every path runs: dense and sparse tiles, several rounds of merging."""
     if small:
-        for name, value in (("TILE", 4), ("DENSE", 3), ("FAN_IN", 2), ("BUCKET_CODES", 50), ("BLOCK_TOKENS", 60),
+        for name, value in (("TILE", 4), ("DENSE", 3), ("FAN_IN", 2), ("BUCKET_CODES", 50), ("BLOCK_TOKENS", 160), ("CHUNK_TOKENS", 50),
                             ("COUNT_CODES", 100), ("HELD_CODES", 40)):
             monkeypatch.setattr(phrases, name, value)
     rows = texts(1, 150) + [("en", None), (None, ""), ("en", " .\t"), ("en", "long run " * 400)]
