@@ -4,7 +4,7 @@ that readers map into memory and address directly.
 The documents' token ids, in ascending doc_id order, are cut into shards (one
 for each Spark partition) and each shard into rows of ``length`` tokens. A
 shard is two Arrow IPC files: ``tokens-N.arrow`` holds record batches of
-fixed-size lists (``tokens``, and ``mask``, true where a token stands; the
+fixed-size lists (``tokens``, and ``mask``, 1 where a token stands; the
 last row of a shard is filled up), ``docs-N.arrow`` the doc_id, the shard
 position and the number of tokens of each document. Batches are of ROWS rows,
 so token k of a shard is element k % length of row k / length.
@@ -32,7 +32,10 @@ class WordCodec:
 
     For such a tokenizer the ids of a text are those of its words one after
     the other, so a word is encoded by the library once and remembered. When
-    REMEMBERED words are, those that came up most often stay.
+    REMEMBERED words are, those that came up most often stay. Where the
+    tokenizer lowers letters, and splits a mark off the letters before it, a
+    word of ASCII letters is encoded in lower case and without its last mark.
+    Raises for a tokenizer that keeps white space.
     """
 
     def __init__(self, tokenizer_json: str, add_special_tokens: bool = False):
@@ -42,8 +45,47 @@ class WordCodec:
         self.place: dict[bytes, int] = {}
         self.start, self.size, self.used = (np.zeros(0, np.int32) for _ in range(3))
         self.ids = np.zeros(0, np.int32)
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=self.special).ids
+        if ids("ab c") != ids("ab") + ids("c") or ids(" \t\n") != []:
+            raise ValueError("the tokenizer does not drop white space")
+        marks, pre, norm = ".,;:!?", self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        self.lower = norm is not None and norm.normalize_str("ABXZ") == "abxz"
+        self.tails = {c.encode(): ids(c)[0] for c in marks if len(ids(c)) == 1 and pre is not None and all(
+            [at for _, at in pre.pre_tokenize_str(w + c)] == [(0, len(w)), (len(w), len(w) + 1)] for w in ("ab", "s", "the"))}
+
+    def _core(self, word: bytes) -> tuple[bytes, int]:
+        """(word to encode, id that follows or -1) with the same ids as ``word``."""
+        tail = self.tails.get(word[-1:], -1)
+        core = word if tail < 0 else word[:-1]
+        if not core.isalpha():   # ASCII letters only
+            return word, -1
+        return (core.lower() if self.lower else core), tail
 
     def _learn(self, words: list[bytes]) -> None:
+        import numpy as np
+        split = [self._core(w) for w in words]
+        cores = list(dict.fromkeys(c for c, _ in split if c not in self.place))
+        if cores:
+            self._encode(cores)
+        rest = [(w, c, t) for w, (c, t) in zip(words, split) if w != c]
+        if not rest:
+            return
+        at = np.array([self.place[c] for _, c, _ in rest])
+        tail = np.array([t for _, _, t in rest], np.int32)
+        size = self.size[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]))]
+        self._add([w for w, _, _ in rest], np.insert(ids, ends[tail >= 0], tail[tail >= 0]), size + (tail >= 0))
+
+    def _add(self, words: list[bytes], ids, size) -> None:
+        import numpy as np
+        size = size.astype(np.int32)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size, dtype=np.int32) - size])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids.astype(np.int32)])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int32)])
+
+    def _encode(self, words: list[bytes]) -> None:
         import numpy as np
         flat, sizes = [], []
         for a in range(0, len(words), 10_000):
@@ -51,11 +93,7 @@ class WordCodec:
             got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=self.special)
             flat.append(np.array(got.ids, np.int32))
             sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)).astype(np.int32))
-        size = np.concatenate(sizes)
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size, dtype=np.int32) - size])
-        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, *flat])
-        self.used = np.concatenate([self.used, np.zeros(len(words), np.int32)])
+        self._add(words, np.concatenate(flat), np.concatenate(sizes))
 
     def _forget(self) -> None:
         """Keep the more often used half of what may be remembered."""
@@ -118,7 +156,7 @@ class ShardWriter:
         self.paths = [(f"{root}/.{n}-{shard}-{attempt}", f"{root}/{n}-{shard}.arrow") for n in ("tokens", "docs")]
         self.kind = np.uint16 if vocabulary <= 1 << 16 else np.int32
         self.length, self.pending, self.waiting, self.position = length, [], 0, 0
-        self.schemas = [pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.bool_(), length))]),
+        self.schemas = [pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.uint8(), length))]),
                         pa.schema([("doc_id", pa.int64()), ("position", pa.int64()), ("n_tokens", pa.int64())])]
         self.sinks = [self.fs.open_output_stream(t) for t, _ in self.paths]
         self.files = [pa.ipc.new_file(sink, s) for sink, s in zip(self.sinks, self.schemas)]
@@ -127,8 +165,8 @@ class ShardWriter:
         import numpy as np
         import pyarrow as pa
         fill = -len(ids) % self.length
-        mask = np.ones(len(ids) + fill, bool)
-        mask[len(ids):] = False
+        mask = np.ones(len(ids) + fill, np.uint8)
+        mask[len(ids):] = 0
         ids = np.concatenate([ids, np.zeros(fill, self.kind)])
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
         self.files[0].write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schemas[0]))
@@ -179,15 +217,14 @@ class ShardReader:
     def _batch(self, k: int):
         if self.batch[0] != k:
             b = self.tokens_file.get_batch(k)
-            self.batch = (k, b.column(0).values.to_numpy(zero_copy_only=True), b.column(1))
+            self.batch = (k, *(b.column(i).values.to_numpy(zero_copy_only=True) for i in (0, 1)))
         return self.batch
 
     def sequence(self, row: int):
-        """(tokens, mask) of one row; the tokens are a view of the file."""
-        import numpy as np
+        """(tokens, mask) of one row, both views of the file; the mask as booleans."""
         _, flat, mask = self._batch(row // ROWS)
-        at = row % ROWS
-        return flat[at * self.length:(at + 1) * self.length], np.array(mask[at].as_py())
+        at = row % ROWS * self.length
+        return flat[at:at + self.length], mask[at:at + self.length].view(bool)
 
     def tokens(self, start: int, count: int):
         """``count`` tokens from position ``start`` of the shard."""
@@ -212,16 +249,16 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_json: str | None = N
     """Encode ``docs(doc_id, text)`` into shards under ``folder``; returns the
     manifest (shard, n_docs, n_tokens, start), start being the tokens of all shards before.
 
-    Rows are dealt by doc_id range and sorted, nulls first, repeated ids by
-    text; null text counts as empty; each document gets the id ``end`` at its
-    end. A task that runs again writes the same files anew under the same
+    Rows are dealt by ranges of doc_id and text hash and sorted, nulls first,
+    repeated ids by text hash; null text counts as empty; each document gets
+    the id ``end`` at its end. A task that runs again writes the same files anew under the same
     names. An empty table gives an empty manifest.
     """
     tokenizer_json = tokenizer_json or default_tokenizer()
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     key = "words_" + hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    rows = (docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id")
-            .sortWithinPartitions("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
+    rows = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
     def write(batches):
         import numpy as np

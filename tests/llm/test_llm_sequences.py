@@ -41,7 +41,7 @@ def test_odd_rows_and_random_access(spark, scratch, monkeypatch):
             tokens, mask = shard.sequence(min(row, (r.n_tokens - 1) // 16))
             at = min(row, (r.n_tokens - 1) // 16) * 16
             assert len(tokens) == len(mask) == 16 and tokens[mask].tolist() == own[at:at + 16]
-            assert not tokens.flags.owndata  # a view of the file
+            assert not tokens.flags.owndata and not mask.flags.owndata  # views of the file
     again = sequences.write_sequences(docs, folder, length=16)  # a second run puts the same files there
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest.collect()))
 
@@ -49,3 +49,18 @@ def test_odd_rows_and_random_access(spark, scratch, monkeypatch):
 def test_empty_table(spark, scratch):
     manifest = sequences.write_sequences(odd_documents(spark).limit(0), f"{scratch}/none")
     assert manifest.count() == 0 and sequences.read_documents(manifest, f"{scratch}/none").count() == 0
+
+
+def test_words_with_capitals_and_marks_have_the_ids_of_the_library():
+    tokenizer, codec = Tokenizer.from_str(sequences.default_tokenizer()), sequences.WordCodec(sequences.default_tokenizer())
+    texts = ["Word word, WORD. word. wOrD! don't DON'T. a,b c; <|ENDOFTEXT|> X<|endoftext|>. 's 'S, J\u030cx Stra\u00dfe. 12. 1, .. , A.", "", "word;"]
+    ids, sizes = codec.encode([t.encode() for t in texts])
+    assert ids.tolist() == [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
+    assert sizes.sum() == len(ids) and sizes[1] == 0 and b"word" in codec.place and codec.tails
+
+
+def test_tokenizers_that_keep_white_space_are_refused():
+    import public_tokenizers
+    import pytest
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="white space"):
+        sequences.WordCodec(f.read())
