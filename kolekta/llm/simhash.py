@@ -3,10 +3,10 @@ exactly by tiles of equal population counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kolekta.llm.common import byte_texts, lower_words, read_table, stored
+from kolekta.llm.common import byte_texts, fresh, lower_words, read_table, stored, with_text_columns
 from kolekta.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -44,14 +44,19 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS, seed: int = SEE
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def signed(fps: list[int]):
+    """Unsigned 64-bit numbers as Spark's longs."""
+    import numpy as np
+    return np.array(fps, np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp) of every row; fp holds the 64 bits as a signed long. Null text counts as empty."""
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         for b in batches:
             ids, texts = b.column(0), byte_texts(b.column(1))
-            fp = np.array([fingerprint(t, shingle_words, seed) for t in texts], np.uint64).view(np.int64)
+            fp = signed([fingerprint(t, shingle_words, seed) for t in texts])
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -165,6 +170,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, fields: int = FIELDS) -> Dat
     return ordered.mapInArrow(run, "u long, v long")
 
 
+def _roots(docs: DataFrame, shingle_words: int, max_bits: int, seed: int) -> DataFrame:
+    """(doc_id, fp, root) of every row: the least fingerprint of its component."""
+    rows = stored(fingerprints(docs, shingle_words, seed), "fingerprints")
+    nodes = stored(rows.select("fp").distinct(), "nodes")
+    roots = components(links(nodes, max_bits))
+    named = nodes.join(roots, nodes.fp == roots.u, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return rows.join(stored(named, "named"), "fp").select("doc_id", "fp", "root")
+
+
 def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                    seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs(doc_id, text)``.
@@ -176,24 +190,35 @@ def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits
     null). Repeated rows come back repeated; other columns are ignored; an
     empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, shingle_words, seed), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("fp"), max_bits))
-    named = nodes.join(roots, nodes.fp == roots.u, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = stored(named, "named")
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    rows = stored(_roots(docs, shingle_words, max_bits, seed), "rooted")
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(names, "root").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of ``docs`` for each SimHash component, with the columns of ``docs``:
-    that of the smallest doc_id (of its repeats, any one). Rows of null
-    doc_id, which cannot be named, all stay."""
-    keep = (simhash_groups(docs, shingle_words, max_bits).where("doc_id = component_id")
-            .select(F.col("doc_id").alias("kept_id")).distinct())
-    kept = docs.join(stored(keep, "kept"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` for each SimHash component, with the columns of ``docs``.
+
+    It is the row of the smallest doc_id; if that id is repeated within the
+    component, the one of the least fingerprint, then of the least text. An id with
+    unlike texts stands for each of their components. Rows of null doc_id,
+    which cannot be named, all stay; an empty table gives no rows.
+    """
+    rows = stored(_roots(docs, shingle_words, max_bits, SEED), "rooted").where("doc_id is not null")
+    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp")
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    kept = stored(kept.join(repeated.withColumn("twice", F.lit(True)), "doc_id", "left"), "kept")
+    key, fp = fresh(docs.columns, "kept_id"), fresh(docs.columns, "fp")
+    same_id = F.col("doc_id").cast("long") == F.col(key)
+    once = kept.where("twice is null").select(F.col("doc_id").alias(key))
+    twice = kept.where("twice").select(F.col("doc_id").alias(key), F.col("fp").alias(fp))
+    # Only rows of repeated ids are told apart by their texts, whose fingerprints are computed again.
+    again = with_text_columns(docs.join(twice.select(key).distinct(), same_id, "left_semi"), {fp: "long"},
+                              lambda texts: [signed([fingerprint(t, shingle_words) for t in texts])])
+    place = fresh([*docs.columns, fp], "place")
+    one = Window.partitionBy("doc_id", fp).orderBy("text")   # each task passes on one row of a group
+    again = (again.join(twice.select(F.col(key), F.col(fp).alias(f"{fp}_")), same_id & (F.col(fp) == F.col(f"{fp}_")), "left_semi")
+             .withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*docs.columns))
+    return (docs.join(once, same_id, "left_semi").unionByName(again).unionByName(docs.where("doc_id is null")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -106,3 +106,20 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     ids = [r.doc_id for r in kept.collect()]
     firsts = {c for i, _, c in plain_groups(ODD) if i is not None}
     assert sorted(i for i in ids if i is not None) == sorted(firsts) and ids.count(None) == 1
+
+
+def test_repeated_ids_of_unlike_texts_lose_nothing(spark):
+    t, u, v, w = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white pink",
+                  "up down left right in out")
+    near = t.replace("alpha beta", "Alpha Beta")
+    cases = [
+        ([(1, t), (5, t), (5, u), (7, v)], [(1, t), (5, u), (7, v)]),
+        ([(5, t), (5, u), (5, u), (9, u), (9, w)], [(5, t), (5, u), (9, w)]),
+        ([(3, near), (3, t), (2, v), (2, v), (None, t), (None, t)], [(2, v), (3, near), (None, t), (None, t)]),
+    ]
+    for rows, want in cases:
+        docs = spark.createDataFrame([(i, x, "a", "b", "c") for i, x in rows],
+                                     "doc_id long, text string, fp string, kept_id string, place string").repartition(3)
+        got = simhash.deduplicate(docs)
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
