@@ -329,7 +329,12 @@ def nearest(rows: DataFrame, query_rows, k: int = 5) -> DataFrame:
     copies = Window.partitionBy("embedding").orderBy("vec_id")  # Spark keeps k + 1 rows of each task's copies
     first = good.withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k + 1)
     first = stored(first, "copies")
-    heads = first.where("r = 1").select(F.col("vec_id").alias("id"), "embedding")
+    # A node is named by the smallest id of its vector; where two vectors share that id, by a number below all ids.
+    heads = stored(first.where("r = 1").select("vec_id", "embedding").withColumn("spare", F.monotonically_increasing_id()), "heads")
+    shared = heads.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id", F.lit(True).alias("shared"))
+    least = heads.agg(F.min("vec_id")).first()[0] or 0
+    heads = heads.join(shared, "vec_id", "left").select(
+        F.when(F.col("shared"), F.lit(least - 1) - F.col("spare")).otherwise(F.col("vec_id")).alias("id"), "embedding")
 
     def unit(batches):
         import numpy as np
@@ -342,7 +347,7 @@ def nearest(rows: DataFrame, query_rows, k: int = 5) -> DataFrame:
             x = (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "x"])
 
-    numbered = heads.where("id is not null").groupBy("id").agg(F.first("embedding").alias("embedding"))
+    numbered = heads
     nodes = stored(numbered.mapInArrow(unit, "id long, x binary"), "nodes")
     count = nodes.count()
     member = first.join(heads.select("id", "embedding"), "embedding").select("id", "vec_id")
