@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kolekta.llm.common import blocks, byte_texts, read_table
+from kolekta.llm.common import blocks, byte_texts, read_table, stored
 
 #: Lengths of one part of the histogram; suffix sums run within parts, then over them.
 PART = 1024
@@ -96,4 +96,5 @@ def quantile(table: DataFrame, share: float) -> int | None:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: the histogram of all documents and its figures for every limit."""
-    return limits(histogram(read_table(spark, sf_dir, "documents")))
+    # Stored, since its figures are used twice: the texts are encoded once.
+    return limits(stored(histogram(read_table(spark, sf_dir, "documents")), "lengths"))
