@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolekta.llm.common import blocks, byte_texts, plain_words, read_table
+from kolekta.llm.common import blocks, byte_texts, plain_words, read_table, stored
 
 # FIXED VALUES: notices as the licences or their stewards word them.
 TEMPLATES: dict[str, list[str]] = {
@@ -249,7 +249,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
         yield pa.RecordBatch.from_arrays([pa.array([-k for k, _ in least], pa.int64()),
                                           pa.array([p.decode(errors="replace") for _, p in least], pa.string())], ["h", "p"])
 
-    picked = docs.select("text").mapInArrow(pick, "h long, p string").distinct().orderBy("h", "p").limit(sample).collect()
+    # Written first: a collected limit would send the first rows of every task to the driver.
+    picked = stored(docs.select("text").mapInArrow(pick, "h long, p string").distinct().orderBy("h", "p").limit(sample),
+                    "paragraphs").collect()
     rows = [(f, t) for f, t in variants()] + [(UNKNOWN, r.p) for r in picked] + [(UNKNOWN, "")]
     names = [UNKNOWN, *TEMPLATES]
     words = [plain_words(t.encode()) for _, t in rows]

@@ -7,7 +7,7 @@ from kolekta.llm import licences
 
 NOTICES = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Released under the MIT License.": "MIT",
            "This work is licensed under the GNU General Public License, version 3.": "GPL",
-           "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+           "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "All-rights-reserved"}
 
 
 def test_query_finds_the_notices_of_the_documents(spark):
