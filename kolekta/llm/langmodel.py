@@ -44,6 +44,8 @@ PIECE = 1 << 12
 STEP_TOKENS, RATE = 4096, 0.5
 #: Tokens scored at once, few enough for a core's cache.
 SCORE_TOKENS = 1024
+#: Bytes of text whose words are numbered at once, in training and scoring.
+TEXT_BYTES = 1 << 20
 MODULUS, HELD_OUT = 7, 2
 #: Distinct words that a counting task holds before it passes them on.
 COUNTED = 400_000
@@ -261,7 +263,7 @@ def _round(spark, texts: DataFrame, tasks: int, frequent: list[bytes], weights):
         bits = len(w).bit_length() - 1
         for b in batches:
             all_texts = byte_texts(b.column(0))
-            for i, k in blocks(all_texts):
+            for i, k in blocks(all_texts, TEXT_BYTES):
                 numbers, sizes = words.numbers([lower_words(t) for t in all_texts[i:k]])
                 rows, classes = history(words.past[numbers], sizes, bits), words.classes[numbers]
                 for a in range(0, len(numbers), STEP_TOKENS):
@@ -328,7 +330,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                             ("rare", pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))])
         for b in batches:
             texts = byte_texts(b.column(2))
-            for i, k in blocks(texts):
+            for i, k in blocks(texts, TEXT_BYTES):
                 tokens = [lower_words(t) for t in texts[i:k]]
                 numbers, sizes = words.numbers(tokens)
                 rows, classes = history(words.past[numbers], sizes, bits), words.classes[numbers]
