@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import astuple, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kolekta.llm.common import fold, fresh, plain_words, read_table, sample_ids, with_text_columns
@@ -87,14 +87,16 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, bits: int
     the indices (bounded by the sample) meet in one task that drops rare
     ones and runs FTRL. Rows
     with a null id or label take no part; of several labels of an id the
-    largest counts, of several texts of an id any one. Without training rows
+    largest counts, of several texts of an id that of the smallest hash. Without training rows
     the weights are empty and every score is 0.
     """
     known = (labels.where("doc_id is not null and toxic is not null")
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
              .where(fold(F.col("doc_id"), HELD_OUT_MODULUS) != HELD_OUT_FOLD))
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .join(sample_ids(known, limit), "doc_id").dropDuplicates(["doc_id"]))
+            .join(sample_ids(known, limit), "doc_id"))
+    one_text = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")   # each task passes on one row of an id
+    rows = rows.withColumn("r", F.row_number().over(one_text)).where("r = 1").drop("r")
 
     def hashed(texts):
         import numpy as np
