@@ -4,6 +4,7 @@ intermediate tables in the cluster's shared folder."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,6 +137,33 @@ def worker_state(key: str, make):
     return getattr(held, key)
 
 
+@contextlib.contextmanager
+def arrow_bytes(spark: SparkSession, most: int):
+    """Within it, jobs pass ``most`` bytes at a time to Python (a row at least): for rows of some
+    megabytes, several of which a worker would else hold at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Return this Python worker's freed memory to the system: workers live on
+    between tasks, and an executor's memory is shared by all of them."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc has it
+    if trim:
+        trim(0)
+
+
 #: ASCII bytes that are no letter or digit become spaces; A-Z become lower case.
 PLAIN = bytes((c | 32) if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolekta.llm.common import byte_texts, key_runs, read_table, stored
+from kolekta.llm.common import arrow_bytes, byte_texts, give_back, key_runs, read_table, stored
 from kolekta.llm.scans import running, union
 
 MAX_WORDS = 3
@@ -32,11 +32,11 @@ TILE = 1 << 10
 DENSE = TILE * TILE // 32
 #: A block, whose words are numbered together, ends at so many tokens or distinct words; its tokens
 #: come in chunks, which end with a text.
-BLOCK_TOKENS, BLOCK_WORDS, CHUNK_TOKENS = 4_000_000, 400_000, 500_000
+BLOCK_TOKENS, BLOCK_WORDS, CHUNK_TOKENS = 4_000_000, 250_000, 250_000
 #: Codes that a task counts at once, and distinct codes that it holds before it passes them on.
-COUNT_CODES, HELD_CODES = 1_000_000, 1_000_000
-#: Bytes of a row group of chunks and of packed codes.
-ROW_GROUP = 16 << 20
+COUNT_CODES, HELD_CODES = 500_000, 1_000_000
+#: Bytes of a row group of chunks and of packed codes, and of what a worker gets at once of them.
+ROW_GROUP, BATCH = 16 << 20, 8 << 20
 #: Partial counts of a tile that one task merges.
 FAN_IN = 64
 #: Codes of a bucket, about.
@@ -106,6 +106,8 @@ def number_blocks(docs: DataFrame) -> DataFrame:
                     block += 1
         if size:
             yield out()
+        del words, held
+        give_back()
 
     return docs.select(F.col("lang").cast("string"), "text").mapInArrow(
         run, "block long, n_tokens long, tokens array<binary>, keys array<string>, counts array<long>, langs array<string>, "
@@ -121,7 +123,8 @@ def ranked(table: DataFrame, order: list[str]) -> DataFrame:
 
 def word_streams(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(block, words, grams): for each chunk, now a block by itself, the ids of
-    its tokens as 32-bit numbers, -1 for ends of pieces and rarer words."""
+    its tokens as 32-bit numbers, -1 for ends of pieces and rarer words; null
+    grams are the words themselves."""
     numbers = (blocks.select("block", F.posexplode("keys").alias("at", "key"))
                .join(vocabulary.select("key", "id"), "key").select(F.col("block").alias("of"), "at", "id"))
 
@@ -136,15 +139,17 @@ def word_streams(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
         table[at + 2] = ids
         words = pa.array([table[c].tobytes() for c in chunks], pa.binary())
         names = pa.array([(b << 16) + k for b, k in zip(left.column("block").to_pylist(), left.column("chunk").to_pylist())], pa.int64())
-        return pa.table({"block": names, "words": words, "grams": words})
+        return pa.table({"block": names, "words": words, "grams": pa.nulls(len(words), pa.binary())})
 
     return (blocks.select("block", F.posexplode("tokens").alias("chunk", "tokens")).groupBy("block").cogroup(numbers.groupBy("of"))
             .applyInArrow(run, "block long, words binary, grams binary"))
 
 
 def _codes(words, grams, size: int):
-    """(left << 32 | right) for every phrase of ``size`` words of a stream whose parts have ids, and their places."""
+    """(left << 32 | right) for every phrase of ``size`` words of a stream
+    (Arrow binaries) whose parts have ids, and their places."""
     import numpy as np
+    words, grams = (np.frombuffer((x if x.is_valid else words).as_buffer(), np.int32) for x in (words, grams))
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -227,7 +232,7 @@ def count_phrases(streams: DataFrame, size: int, least: int, buckets: int) -> Da
 
         for b in batches:
             for row in zip(b.column(1), b.column(2)):
-                raw.append(_codes(*(np.frombuffer(x.as_buffer(), np.int32) for x in row), size)[0])
+                raw.append(_codes(*row, size)[0])
                 n_raw += len(raw[-1])
                 if n_raw >= COUNT_CODES:
                     held, raw, n_raw = merged(), [], 0
@@ -238,6 +243,8 @@ def count_phrases(streams: DataFrame, size: int, least: int, buckets: int) -> Da
             held = merged()
         if held is not None:
             yield from _packed(*held, part, buckets)
+        held = None
+        give_back()
 
     def merge(last: bool):
         def run(batches):
@@ -284,7 +291,7 @@ def phrase_streams(streams: DataFrame, phrases: DataFrame, size: int, buckets: i
         import pyarrow as pa
         for b in batches:
             for block, *row in zip(*b.columns):
-                codes = np.unique(_codes(*(np.frombuffer(x.as_buffer(), np.int32) for x in row), size)[0])
+                codes = np.unique(_codes(*row, size)[0])
                 bucket = (_mixed(codes) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 bucket, codes = bucket[order], codes[order]
@@ -322,15 +329,14 @@ def phrase_streams(streams: DataFrame, phrases: DataFrame, size: int, buckets: i
     def place(key, stream, names):
         import numpy as np
         import pyarrow as pa
-        words, grams = (np.frombuffer(stream.column(c)[0].as_buffer(), np.int32) for c in ("words", "grams"))
         pairs = [np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in names.column(c).to_pylist())])
                  for c in ("codes", "ids")]
         order = np.argsort(pairs[0])
         code, ids = pairs[0][order], pairs[1][order]
-        codes, at = _codes(words, grams, size)
+        codes, at = _codes(stream.column("words")[0], stream.column("grams")[0], size)
         if len(ids) and ids.max() >> 31:
             raise OverflowError(TOO_MANY)
-        new = np.full(len(words), -1, np.int32)
+        new = np.full(len(stream.column("words")[0].as_buffer()) // 4, -1, np.int32)
         if len(code):
             found = np.minimum(np.searchsorted(code, codes), len(code) - 1)
             hit = code[found] == codes
@@ -351,6 +357,11 @@ def count_table(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST)
     """(phrases, vocabulary, totals): phrases(words, f) has every phrase of 1 to
     ``max_words`` words that occurs ``least`` times or more in a language, as
     the ids of its words; vocabulary(id, word, lang, f); totals(lang, n)."""
+    with arrow_bytes(docs.sparkSession, BATCH):
+        return _count_table(docs, max_words, least)
+
+
+def _count_table(docs: DataFrame, max_words: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     blocks = stored(number_blocks(docs), "blocks", ROW_GROUP)
     totals = blocks.select(F.explode(F.arrays_zip("langs", "lang_counts")).alias("x")).groupBy(
         F.col("x.langs").alias("lang")).agg(F.sum("x.lang_counts").alias("n"))
