@@ -70,9 +70,11 @@ def select_sheets(wide: DataFrame, dim: DataFrame | None = None, present: DataFr
 
     The choice is made at sheet grain: from ``present`` (a manifest of the
     landed sheets), or from the distinct sheets of the rows -- a sheet that
-    failed to land has no rows and claims nothing."""
+    failed to land has no rows and claims nothing. The list has at most one
+    sheet for each month of the sheet dimension, so it is what is broadcast;
+    the wide rows stay where they are."""
     chosen = chosen_sheets(wide if present is None else present, dim)
-    return wide.join(chosen.select("sheet", "report_month"), "sheet")
+    return wide.join(F.broadcast(chosen.select("sheet", "report_month")), "sheet")
 
 
 # --- ING-4/5 -----------------------------------------------------------------
@@ -88,11 +90,14 @@ def _cells_sql(layout: list[tuple]) -> str:
         for pos, name, cat, off in layout) + ")"
 
 
-def unpivot_cells(wide: DataFrame, colmap: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def unpivot_cells(wide: DataFrame, colmap: DataFrame, keep: tuple[str, ...] = (), parse: bool = False) -> DataFrame:
     """One row per non-null amount cell: (row_idx, *keep, pos, category, bracket, raw).
 
     Sheets of one layout share an expression; rows of sheets without a
-    layout, and columns that the frame lacks, give no cells."""
+    layout, and columns that the frame lacks, give no cells. With ``parse``
+    there is ``v`` too, the cell's amount, and only cells that hold a number
+    but zero come (``v`` is null where it is too large to store); each cell
+    is parsed once, before the rows are made."""
     layouts: dict[str | None, list] = {}
     for r in colmap.collect():   # metadata: at most 48 rows a sheet
         if r["name"] in wide.columns:
@@ -109,8 +114,14 @@ def unpivot_cells(wide: DataFrame, colmap: DataFrame, keep: tuple[str, ...] = ()
             for layout, sheets in shared.items()) + " END"
     else:
         cells = _cells_sql(list(next(iter(shared))))
-    return wide.selectExpr("row_idx", *map(_quoted, keep),
-                           f"inline(filter({cells}, c -> c.raw IS NOT NULL)) AS (pos, category, bracket, raw)")
+    names = "pos, category, bracket, raw"
+    cells = f"filter({cells}, c -> c.raw IS NOT NULL)"
+    if parse:
+        names += ", v"
+        fields = ", ".join(f"'{n}', c.{n}" for n in names.split(", ")[:4])
+        cells = (f"filter(transform({cells}, c -> named_struct({fields}, 'v', {amount_sql('c.raw')})), "
+                 f"c -> coalesce(c.v <> 0, {is_number_sql('c.raw')}))")
+    return wide.selectExpr("row_idx", *map(_quoted, keep), f"inline({cells}) AS ({names})")
 
 
 def coerce_amount(cells: DataFrame) -> DataFrame:
@@ -176,34 +187,46 @@ def with_invoice_key(df: DataFrame, month: str = "report_month") -> DataFrame:
         f"substring(category, 1, 4), '-', cast(bracket as string), '-', cast(row_idx as string)), 1, 50)"))
 
 
-def _sheet_cells(wide: DataFrame, header: DataFrame, sheets: DataFrame | None, valid: tuple[str, ...],
-                 present: DataFrame | None) -> DataFrame:
-    """Cells of the chosen sheets with the row's identity columns."""
+def import_cells(wide: DataFrame, header: DataFrame, sheets: DataFrame | None = None,
+                 valid: tuple[str, ...] = vocab.CATEGORIES, present: DataFrame | None = None,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """The number cells of the chosen sheets with their amounts and the row's
+    identity columns (and ``keep``); ``import_facts`` and ``import_oversized``
+    divide them."""
     rows = identity_columns(select_sheets(wide, sheets, present))
     made = tuple(fact for _, fact, _ in vocab.IDENTITY_COLUMNS) + ("uic", "action_plan")
-    return unpivot_cells(rows, column_map(header, valid), ("report_month", "sheet") + made)
+    return unpivot_cells(rows, column_map(header, valid), ("report_month", "sheet") + made + keep, parse=True)
 
 
-def import_open_items(wide: DataFrame, header: DataFrame, sheets: DataFrame | None = None,
-                      valid: tuple[str, ...] = vocab.CATEGORIES, present: DataFrame | None = None) -> DataFrame:
-    """The whole sheet import: pick sheets, derive identity columns, unpivot
-    amount cells, coerce and scale amounts, classify, and add the key."""
-    cells = coerce_amount(_sheet_cells(wide, header, sheets, valid, present)).withColumn("nilai_m", scale_to_billions())
+def import_facts(cells: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scale and classify the amounts of ``import_cells`` and add the key."""
+    cells = cells.where("v IS NOT NULL").withColumn("nilai_m", scale_to_billions())
     facts = with_invoice_key(classify_invoice(classify_aging(cells)))
     return facts.selectExpr(
         "invoice_id", "customer_name", "aging_category", "status_tagih", "region",
         "substring(category, 1, 50) AS invoice_status", "nilai_m", "uic",
         "substring(report_month, 1, 30) AS due_date", "action_plan", "cast(0 as int) AS above_credit_limit",
         "substring(report_month, 1, 20) AS report_month", "pengelolaan", "bp_num", "nipnas", "witel", "satker", "reg",
-        "status_invoice")
+        "status_invoice", *keep)
+
+
+def import_oversized(cells: DataFrame) -> DataFrame:
+    """(sheet, report_month, row_idx, pos, category, bracket, raw, reasons) of the numbers too large to store."""
+    return cells.where("v IS NULL").select("sheet", "report_month", "row_idx", "pos", "category", "bracket", "raw",
+                                           F.lit("amount_overflow").alias("reasons"))
+
+
+def import_open_items(wide: DataFrame, header: DataFrame, sheets: DataFrame | None = None,
+                      valid: tuple[str, ...] = vocab.CATEGORIES, present: DataFrame | None = None) -> DataFrame:
+    """The whole sheet import: pick sheets, derive identity columns, unpivot
+    amount cells, coerce and scale amounts, classify, and add the key."""
+    return import_facts(import_cells(wide, header, sheets, valid, present))
 
 
 def import_rejects(wide: DataFrame, header: DataFrame, sheets: DataFrame | None = None,
                    valid: tuple[str, ...] = vocab.CATEGORIES, present: DataFrame | None = None) -> DataFrame:
-    """(sheet, report_month, row_idx, pos, category, bracket, raw, reasons) of
-    the cells that the import leaves out though they hold a number."""
-    cells = overflowing_cells(_sheet_cells(wide, header, sheets, valid, present))
-    return cells.select("sheet", "report_month", "row_idx", "pos", "category", "bracket", "raw", "reasons")
+    """The cells that the import leaves out though they hold a number (see ``import_oversized``)."""
+    return import_oversized(import_cells(wide, header, sheets, valid, present))
 
 
 def import_report(inv: DataFrame) -> DataFrame:

@@ -42,30 +42,30 @@ REASONS = ("missing_id", "duplicate_id", "bad_status", "bad_amount")
 
 
 def with_reasons(df: DataFrame, statuses: tuple[str, ...] = vocab.STATUSES, key: str = "invoice_id",
-                 month: str = "report_month", amount: str | None = None) -> DataFrame:
+                 month: str = "report_month", amount: str | None = None, unit: str | None = None) -> DataFrame:
     """Input rows plus ``reasons`` (comma list of failed checks) and ``is_valid``.
 
-    Checks: id present, id unique within its report month, status in the
-    allowed set, and, if ``amount`` names a column, that it is not null.
+    Checks: id present, id unique within its report month (and within its
+    ``unit``, say a file, if that names a column), status in the allowed set, and, if ``amount`` names a column, that it is not null.
     Duplicates are found with a partially aggregated count per id and joined
     back (AQE splits a hot id on the large side) -- never a window that would
     put all copies of one id in one task."""
     ids = F.col(key)
     present = ids.isNotNull() & (F.coalesce(strip(key), F.lit("")) != F.lit(""))
-    within = [month] if month in df.columns else []
+    within = ([month] if month in df.columns else []) + ([unit] if unit else [])
     dups = (df.where(ids.isNotNull()).groupBy(key, *within).agg(F.count(F.lit(1)).alias("_n"))
-              .where(F.col("_n") > 1).select(F.col(key).alias("_id"), *[F.col(c).alias("_month") for c in within],
+              .where(F.col("_n") > 1).select(F.col(key).alias("_id"), *[F.col(c).alias(f"_in_{c}") for c in within],
                                              F.lit(True).alias("_dup")))
     same = (df[key] == dups["_id"])
     for c in within:
-        same = same & df[c].eqNullSafe(dups["_month"])
+        same = same & df[c].eqNullSafe(dups[f"_in_{c}"])
     reasons = F.array_compact(F.array(
         F.when(~present, F.lit(REASONS[0])),
         F.when(F.coalesce(F.col("_dup"), F.lit(False)), F.lit(REASONS[1])),
         F.when(~F.coalesce(F.col("status_tagih").isin(*statuses), F.lit(False)), F.lit(REASONS[2])),
         F.when(F.col(amount).isNull() if amount else F.lit(False), F.lit(REASONS[3]))))
     return (df.join(dups, same, "left").withColumn("reasons", F.concat_ws(",", reasons))
-              .withColumn("is_valid", F.size(reasons) == 0).drop("_dup", "_id", "_month"))
+              .withColumn("is_valid", F.size(reasons) == 0).drop("_dup", "_id", *[f"_in_{c}" for c in within]))
 
 
 def validate(df: DataFrame, statuses: tuple[str, ...] = vocab.STATUSES, key: str = "invoice_id",
@@ -75,7 +75,7 @@ def validate(df: DataFrame, statuses: tuple[str, ...] = vocab.STATUSES, key: str
 
 
 def split_valid(df: DataFrame, statuses: tuple[str, ...] = vocab.STATUSES, key: str = "invoice_id",
-                amount: str | None = None):
+                amount: str | None = None, unit: str | None = None):
     """(good rows, rejected rows with reasons) -- both lazy."""
-    v = with_reasons(df, statuses, key, amount=amount)
+    v = with_reasons(df, statuses, key, amount=amount, unit=unit)
     return v.where("is_valid").drop("reasons", "is_valid"), v.where(~F.col("is_valid"))

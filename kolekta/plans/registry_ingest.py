@@ -3,6 +3,7 @@ the table catalog, the payload and the folder stream."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kolekta import schemas, vocab
@@ -12,7 +13,7 @@ from kolekta.plans.oracle_sql import FACT_COLS, M, S, ST, TOP_CUST, WITH_INV, fa
 from kolekta.plans.payload import dashboard_payload, payload_values
 from kolekta.plans.registry import ORACLE, inv, out, register
 from kolekta.session import scratch_path
-from kolekta.sources.catalog import TableCatalog
+from kolekta.sources.catalog import CSV_CELLS, TableCatalog, read_workbook
 from kolekta.sources.fixtures import Fixtures
 
 # --- sheet import -------------------------------------------------------------
@@ -122,6 +123,39 @@ def _import_report(spark, sf):
     return ingest.import_report(_imported(spark, sf))
 
 
+#: An empty line follows so many rows of a landed sheet.
+_EMPTY_AFTER = 40
+_PLACE = f"row_number() over (partition by o_orderkey % {len(_SHEETS)} order by o_orderkey) - 1"
+_LANDED = _BASE.replace("o_orderkey as row_idx", f"({_PLACE}) + ({_PLACE}) // {_EMPTY_AFTER} as row_idx")
+
+
+def land_sheets(fx, root: str, sheets: list[str]) -> list[tuple[str, str]]:
+    """Write the stand-in sheets as CSV files, cells as they stand: labels, a title, untidy names, the rows
+    in order, an empty line now and then; [(sheet, path)] in workbook order."""
+    header = {(r["sheet"], r["idx"]): (r["name"], r["label"]) for r in fx.open_item_header().collect()}
+    names = [header[sheets[0], k][0] for k in range(len(header) // len(sheets))]
+    place = Window.partitionBy("sheet").orderBy("row_idx")
+    rows = fx.open_item_wide().withColumn("place", F.row_number().over(place)).select(
+        "sheet", "place", F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]), CSV_CELLS).alias("line"))
+    empty = F.when(F.col("place") % _EMPTY_AFTER == 0, F.array(F.col("line"), F.lit(""))).otherwise(F.array("line"))
+    rows = rows.select("sheet", "place", F.posexplode(empty).alias("k", "value"))
+    for sheet in sheets:
+        labels = ",".join(header[sheet, k][1] or "" for k in range(len(names)))
+        top = [(-3, labels), (-2, "Open items,,"), (-1, ",".join(f" {n} " for n in names))]
+        top = fx.spark.createDataFrame([(p, 0, v) for p, v in top], "place int, k int, value string")
+        (top.unionByName(rows.where(F.col("sheet") == sheet).select("place", "k", "value")).orderBy("place", "k")
+         .coalesce(1).select("value").write.text(f"{root}/{sheets.index(sheet)}"))
+    return [(sheet, f"{root}/{k}") for k, sheet in enumerate(sheets)]
+
+
+@register("landed_import", f"{_LANDED} " + fact_select("imp"))
+def _landed_import(spark, sf):
+    """Landed CSV sheets to facts: rows are numbered as they stand in the file, empty lines included."""
+    sheets = land_sheets(_fx(spark, sf), scratch_path(spark, "landed"), _SHEETS)
+    wide, header = read_workbook(spark, sheets)
+    return out(ingest.import_open_items(wide, header))
+
+
 # --- data quality -------------------------------------------------------------
 
 @register("clean_invoices", f"{WITH_INV} select " + ", ".join(
@@ -293,11 +327,19 @@ def _stored_upsert(spark, sf):
     return out(store.upsert(_FACTS, changes))
 
 
-@register("csv_round_trip", f"{WITH_INV} {fact_select()}")
+_PLAN_TEXT = 'call "A"\\B,\n then\r\n\twrite'
+_PLAN_SQL = "'" + _PLAN_TEXT.replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '").replace("\t", "' || chr(9) || '") + "'"
+
+
+@register("csv_round_trip", f"""{WITH_INV}, t as (select {_sql_rows({
+    "action_plan": f"case when {_K} % 50 = 0 then {_PLAN_SQL} else action_plan end",
+    "region": "coalesce(region, '')", "status_tagih": "coalesce(status_tagih, '')"}, "own")} from ar_invoice) {fact_select('t')}""")
 def _csv_round_trip(spark, sf):
+    """Texts with quotes, backslashes and line ends among them; null texts come back empty."""
     i = schemas.conform(inv(spark, sf))
+    i = i.withColumn("action_plan", F.when(_key() % 50 == 0, F.lit(_PLAN_TEXT)).otherwise(F.col("action_plan")))
     path = tables.export_csv(i, scratch_path(spark, "csv"))
-    return out(spark.read.schema(i.schema).options(**tables.CSV_OPTIONS).csv(path))
+    return out(tables.read_export(spark, path, i.schema))
 
 
 @register("load_log", f"{_BASE} select report_month, cast(count(*) as bigint) as records from imp group by report_month")

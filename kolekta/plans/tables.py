@@ -16,7 +16,7 @@ import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType, StructType
 
 from kolekta import schemas
 from kolekta.operators.ingest import import_report
@@ -46,18 +46,17 @@ def _images(old: DataFrame, new: DataFrame, changes: DataFrame, pk: list[str]) -
 
 
 def change(spark: SparkSession, path: str, changes: DataFrame, mutate, pk, part: str | None, schema: StructType,
-           operation: str = "change", facts: dict | None = None, feed: bool = False, replace: list | None = None) -> dict | None:
-    """Apply ``mutate(rows, changes)`` to the partitions of the change set
-    (and of ``replace``), or to the whole table if it has none, and commit the
-    result; the new pointer, or the old one where nothing is touched.
+           operation: str = "change", facts: dict | None = None, feed: bool = False) -> dict | None:
+    """Apply ``mutate(rows, changes)`` to the partitions of the change set, or
+    to the whole table if it has none, and commit the result; the new
+    pointer, or the old one where nothing is touched.
 
-    ``facts`` (a dict, or a function of the pinned pointer) go into the
-    pointer; ``feed`` keeps the rows taken out and put in."""
+    ``facts`` go into the pointer; ``feed`` keeps the rows taken out and put in."""
     pk = keys_of(pk)
     changes = changes.toDF(*[c.lower() for c in changes.columns])
     if part is not None and part not in pk:
         raise ValueError(f"the key of a partitioned table holds its partition column {part!r}")
-    touched = None if part is None else list({*_touched(changes, part), *(replace or ())})
+    touched = None if part is None else _touched(changes, part)
     pinned = read_pointer(spark, path)
     if touched == []:
         return pinned
@@ -67,8 +66,7 @@ def change(spark: SparkSession, path: str, changes: DataFrame, mutate, pk, part:
         new_pointer = {"folders": made["folders"], "whole": made["name"]}
         kept = keep_feed(_images(old, read_version(spark, path, new_pointer, schema), changes, pk), path) if feed else None
         try:
-            return publish(spark, path, pinned, made, part, touched if part else [None], operation,
-                           facts(pinned) if callable(facts) else facts, kept)
+            return publish(spark, path, pinned, made, part, touched if part else [None], operation, facts, kept)
         except Conflict as lost:
             remove(spark, f"{path.rstrip('/')}/{made['name']}")
             if kept:
@@ -180,25 +178,71 @@ def create_tables(spark: SparkSession, root: str) -> dict[str, str]:
             for name, (schema, _, part) in schemas.TABLES.items()}
 
 
-CSV_OPTIONS = {"header": True, "escape": "\\", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# --- CSV export ------------------------------------------------------------------
+
+#: Characters that a quoted text escapes, and how: fixed values of the JSON text format.
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def _quoted_text(c: str) -> F.Column:
+    """A text as a quoted JSON string; null as the empty one."""
+    text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+    out = text
+    for raw, escaped in _ESCAPES.items():   # the backslash first
+        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    rare = out
+    for code in range(32):
+        if chr(code) not in _ESCAPES:
+            rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    return F.concat(F.lit('"'), F.when(text.rlike("[\\x00-\\x1f]"), rare).otherwise(out), F.lit('"'))
+
+
+def _plain_number(c: str, kind) -> F.Column:
+    """A number in its shortest plain form; null as the empty quoted text."""
+    value = F.col(c)
+    if isinstance(kind, (DoubleType, FloatType)):
+        value = value.cast("decimal(38,12)")
+    text = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.coalesce(F.when(value == 0, F.lit("0")).otherwise(text), F.lit('""'))
+
+
+def csv_lines(df: DataFrame) -> DataFrame:
+    """(value): a line for each row, every text quoted, no number quoted, null as ``""``."""
+    cells = [_plain_number(f.name, f.dataType) if isinstance(f.dataType, NumericType) else _quoted_text(f.name)
+             for f in df.schema.fields]
+    return df.select(F.concat_ws(",", *cells).alias("value"))
 
 
 def export_csv(df: DataFrame, out_dir: str, month: str | None = None, segment: str | None = None,
-               date: str | None = None) -> str | None:
-    """CSV export with a header; values keep their white space, nulls in text
-    columns are written as empty quoted strings, inner quotes escaped with a
-    backslash. The folder is named ``AR_Data_{month}_{segment}_{date}``. Empty
-    input writes nothing."""
+               date: str | None = None, order: tuple[str, ...] | None = None) -> str | None:
+    """CSV export as the dashboard downloads it, in the folder ``AR_Data_{month}_{segment}_{date}``.
+
+    A header of plain names, then one line for each row in the order of
+    ``order`` (the first column by default): texts are quoted with JSON's
+    escapes, so line ends stay within a line; numbers stand as they are; null
+    is ``""``. The files of the folders ``part=0`` (the header) and ``part=1``, in the order of
+    their names, make up the file; its last line ends with a line feed too. Empty input writes nothing."""
     if df.isEmpty():
         return None
     date = date or _dt.date.today().isoformat()
     name = f"AR_Data_{month or 'ALL'}_{segment or 'ALL'}_{date}".replace("/", "-").replace(" ", "_")
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     out = f"{out_dir.rstrip('/')}/{name}"
-    df.fillna("", subset=strings).write.mode("overwrite").options(**CSV_OPTIONS).csv(out)
+    keys = [F.col(c) for c in (order or df.columns[:1])]
+    header = df.sparkSession.createDataFrame([(",".join(df.columns),)], "value string")
+    header.coalesce(1).write.mode("overwrite").text(f"{out}/part=0")
+    csv_lines(df.orderBy(*keys)).write.mode("overwrite").text(f"{out}/part=1")
     return out
 
 
+def read_export(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of an exported file with ``schema``; texts that were null come back empty, numbers null."""
+    lines = spark.read.text(f"{path}/part=1")
+    cells = lines.select(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>").alias("c"))
+    return cells.select(*[(F.col("c")[k] if isinstance(f.dataType, StringType) else
+                           F.nullif(F.col("c")[k], F.lit(""))).cast(f.dataType).alias(f.name)
+                          for k, f in enumerate(schema.fields)])
+
+
 def load_log(inv: DataFrame, log_dir: str) -> DataFrame:
     """Append one audit row per report month loaded (rows, load time)."""
     log = import_report(inv).withColumn("loaded_at", F.current_timestamp())

@@ -76,7 +76,8 @@ def read_pointer(spark: SparkSession, table_dir: str, version: int | None = None
 
     {"version", "parent", "committed_at" (ms), "operation", "facts", "schema",
     "partition_by", "folders": [[value, folder], ...], "whole": the one folder
-    that holds all of the version, if one does, "feed": its kept changes}"""
+    that holds all of the version, if one does, "feed": its kept changes,
+    "state": entries that every version takes over from the one before, unless it sets them}"""
     if version is None:
         found = versions(spark, table_dir)
         if not found:
@@ -197,7 +198,7 @@ def changed_values(before: dict | None, after: dict | None) -> set:
 
 def publish(spark: SparkSession, table_dir: str, pinned: dict | None, made: dict, partition_by: str | None,
             replace: list | None = None, operation: str = "write", facts: dict | None = None,
-            feed: str | None = None, exact: bool = False) -> dict:
+            feed: str | None = None, exact: bool = False, state: dict | None = None) -> dict:
     """Commit the staged rows ``made`` on top of ``pinned``; the new pointer.
 
     ``replace``: the partition values whose content they are; without it they
@@ -216,7 +217,8 @@ def publish(spark: SparkSession, table_dir: str, pinned: dict | None, made: dict
             "committed_at": max(int(time.time() * 1000), (now["committed_at"] if now else 0) + 1),
             "operation": operation, "facts": facts or {},
             "schema": evolved(schema_of(now) if now else None, made["schema"]).jsonValue(),
-            "partition_by": partition_by, "folders": sorted(folders, key=str), "whole": whole, "feed": feed}
+            "partition_by": partition_by, "folders": sorted(folders, key=str), "whole": whole, "feed": feed,
+            "state": {**(now["state"] if now else {}), **(state or {})}}
         if put_new(spark, f"{root}/{_POINTERS}/{pointer['version']:06d}.json", json.dumps(pointer).encode()):
             return pointer
         latest = read_pointer(spark, root)

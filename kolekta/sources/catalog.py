@@ -8,6 +8,8 @@ registry build one from the fixture views instead.
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +85,8 @@ def covering_predicates(column: str, values: list[str]) -> list[str]:
 
 
 LABEL_ROW, NAME_ROW = 0, 2
+#: How a landed sheet writes its cells: a quotation mark within quotes is doubled, white space stands as it is.
+CSV_CELLS = {"escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _numbered(names: list) -> list[str]:
@@ -96,25 +100,76 @@ def _numbered(names: list) -> list[str]:
     return out
 
 
+def sheet_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record, text): the records of a landed CSV file, numbered from 0.
+
+    A record is a line, or several that a quoted cell joins; empty lines are
+    records too. Lines end with a line feed, or with a return and a line feed.
+    Spark reads the file in splits. Each counts its lines and quotation
+    marks; running totals of the splits, a row each on the driver, tell where a split
+    stands in the file and whether it starts within a quoted cell.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("start"), "value")
+    marks = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd, inside = 0, {}
+    for r in sorted(lines.groupBy("start").agg(F.sum(marks).alias("m")).collect(), key=lambda r: r["start"]):
+        inside[r["start"]] = odd
+        odd = (odd + r["m"]) % 2
+
+    def number(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        seen: dict[int, tuple[int, int]] = {}   # a task may hold several splits
+        for b in batches:
+            starts = b.column(0).to_numpy()
+            found = pc.count_substring(b.column(1), '"').to_numpy(zero_copy_only=False).astype(np.int64)
+            record, line, goes_on = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64), np.empty(len(starts), bool)
+            for s in np.unique(starts).tolist():
+                own = np.flatnonzero(starts == s)
+                records, n, before = seen.get(s, (0, 0, inside[s]))
+                total = before + np.cumsum(found[own])
+                goes_on[own] = (total - found[own]) % 2 == 1
+                record[own] = records + np.cumsum(~goes_on[own]) - 1
+                line[own] = n + np.arange(len(own))
+                seen[s] = (int(record[own[-1]]) + 1, n + len(own), int(total[-1]) % 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(record), pa.array(line), pa.array(goes_on), b.column(1)],
+                                             ["start", "record", "line", "goes_on", "value"])
+
+    numbered = lines.mapInArrow(number, "start long, record long, line long, goes_on boolean, value string")
+    before, table = 0, []
+    for r in sorted(numbered.groupBy("start").agg(F.count(F.when(~F.col("goes_on"), 1)).alias("n")).collect(),
+                    key=lambda r: r["start"]):
+        table.append((r["start"], before))
+        before += r["n"]
+    table = spark.createDataFrame(table, "start long, before long")
+    placed = numbered.join(F.broadcast(table), "start").withColumn("record", F.col("record") + F.col("before"))
+    # Lines that a quoted cell joins to a record, as many as a cell has, in the order of the file.
+    rest = placed.where("goes_on").groupBy("record").agg(F.sort_array(F.collect_list(F.struct("start", "line", "value"))).alias("rest"))
+    text = F.concat_ws("\n", "value", F.transform(F.coalesce("rest", F.array()), lambda x: x["value"]))
+    return (placed.where("not goes_on").join(rest, "record", "left")
+            .select("record", F.regexp_replace(text, r"\r\z", "").alias("text")))
+
+
 def read_sheet(spark: SparkSession, path: str, sheet: str, sheet_pos: int) -> tuple[DataFrame, DataFrame]:
     """(wide, header) of one landed sheet: a CSV file of the cells as they stand.
 
-    The first row holds the category labels, the third the column names, all
-    rows below it the data. ``wide`` has them as text with ``row_idx`` (from 0,
-    the row's place below the names), ``sheet`` and ``sheet_pos``; ``header`` is
-    (sheet, idx, name, label). A sheet is one file and is read in one split, so
-    a row's number is its place in the file (a sheet holds at most about a
-    million rows); only the three top rows reach the driver."""
-    cells = (spark.read.option("header", False).option("inferSchema", False).option("multiLine", True).csv(path)
-             .withColumn("_row", F.monotonically_increasing_id()))
-    top = {r["_row"]: list(r)[:-1] for r in cells.where(F.col("_row") <= NAME_ROW).collect()}
-    names = _numbered(top[NAME_ROW])
-    labels = [None if v is None or not str(v).strip() else str(v) for v in top[LABEL_ROW]]
+    The first record holds the category labels, the third the column names,
+    all below it the data, empty lines included. ``wide`` has them as text
+    with ``row_idx`` (from 0, the record's place below the names), ``sheet``
+    and ``sheet_pos``; ``header`` is (sheet, idx, name, label). Only the three
+    top records reach the driver; a row's number does not depend on the splits."""
+    records = sheet_records(spark, path)
+    top = {r["record"]: next(csv.reader(io.StringIO(r["text"].lstrip("\ufeff"), newline="")), [])
+           for r in records.where(F.col("record") <= NAME_ROW).collect()}
+    labels, names = top.get(LABEL_ROW, []), _numbered(top.get(NAME_ROW, []))
+    labels = [(labels[k] if k < len(labels) and labels[k].strip() else None) for k in range(len(names))]
     header = spark.createDataFrame([(sheet, k, n, lab) for k, (n, lab) in enumerate(zip(names, labels))],
                                    "sheet string, idx int, name string, label string")
-    rows = cells.toDF(*names, "row_idx").where(F.col("row_idx") > NAME_ROW)
-    return (rows.withColumn("row_idx", F.col("row_idx") - (NAME_ROW + 1))
-                .withColumns({"sheet": F.lit(sheet), "sheet_pos": F.lit(sheet_pos)}), header)
+    ddl = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    rows = records.where(F.col("record") > NAME_ROW).select(
+        F.from_csv("text", ddl, CSV_CELLS).alias("cells"), (F.col("record") - (NAME_ROW + 1)).alias("row_idx"))
+    return (rows.select("cells.*", "row_idx", F.lit(sheet).alias("sheet"), F.lit(sheet_pos).alias("sheet_pos")), header)
 
 
 def read_workbook(spark: SparkSession, sheets: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:

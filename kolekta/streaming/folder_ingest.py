@@ -4,74 +4,125 @@
 micro-batch it imports the sheets, validates, and merges the facts into the
 stored invoice table, month by month.
 
-The result does not depend on how the files fall into batches. A ledger keeps
-which sheet holds each month; the first sheet in workbook order wins it. If an
-earlier sheet of the month arrives in a later batch, its rows replace the
-month; rows of a later sheet are left out. Files of the same sheet add up, by
-key. A batch that runs again after a failure does the same again: rejects and
-the load log are written under the batch's number, facts are merged by key.
+The table does not depend on the order of the files or on how they fall into
+batches, since every rule looks at what a row is, not at when it came:
+
+* A month belongs to the first sheet, in workbook order, that has landed for
+  it. The table's pointer keeps these claims. An earlier sheet that lands
+  later replaces the month; rows of a later sheet are left out.
+* A key is checked within its file: a file that holds a key twice loses both rows.
+* Of one key in several files of the sheet, the file of the greatest name
+  wins. Each stored row keeps its file's name (``land_file``).
+
+Facts and claims are one commit. A batch that runs again after a failure does
+the same again: rejects and the load log are written under the batch's number.
+Rejects and log tell what each batch met, so they do follow the batches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from kolekta import schemas
-from kolekta.operators.ingest import chosen_sheets, import_open_items, import_rejects, import_report
+from kolekta.operators.ingest import chosen_sheets, import_cells, import_facts, import_oversized, import_report
 from kolekta.operators.quality import split_valid
 from kolekta.plans.marts import refresh_mart
-from kolekta.plans.tables import read_current, upsert_partitions, write_version
+from kolekta.plans.tables import ATTEMPTS, INVOICE_KEY
+from kolekta.plans.versions import (ConcurrentWriteError, Conflict, publish, read_current, read_pointer, read_version, remove,
+                                    stage, write_version)
 from kolekta.session import scratch_path
 
-LEDGER = StructType([StructField("report_month", StringType()), StructField("sheet", StringType()),
-                     StructField("sheet_pos", IntegerType())])
+FILE = "land_file"
+#: The invoice table as the stream stores it: with the file that each row came from.
+LANDED = StructType([*schemas.INVOICE.fields, StructField(FILE, StringType())])
+_CLAIM = "claim "
+
+
+def merge_latest(table: DataFrame, new: DataFrame, pk=INVOICE_KEY, sequence: str = FILE) -> DataFrame:
+    """MERGE by a sequence: of the rows of one key, in the table or new, that of
+    the greatest ``sequence`` stays (null is least; an equal one is replaced).
+
+    The result is the same for every order and grouping of the new rows."""
+    names = table.columns
+    latest = new.groupBy(*pk).agg(F.max_by(F.struct(*names), F.coalesce(sequence, F.lit(""))).alias("new"))
+    old = table.select(*pk, F.struct(*names).alias("old"))
+    wins = F.col("old").isNull() | (F.coalesce(f"new.{sequence}", F.lit("")) >= F.coalesce(f"old.{sequence}", F.lit("")))
+    row = F.when(F.col("new").isNotNull() & wins, F.col("new")).otherwise(F.col("old"))
+    return old.join(latest, list(pk), "full_outer").select(row.alias("row")).select("row.*")
+
+
+def claims(pointer: dict | None) -> dict[str, tuple]:
+    """{month: (sheet_pos, sheet)} that a table's pointer keeps."""
+    return {k[len(_CLAIM):]: tuple(v) for k, v in (pointer["state"] if pointer else {}).items() if k.startswith(_CLAIM)}
+
+
+def _commit(spark: SparkSession, path: str, facts: DataFrame, coming: dict, pinned: dict) -> tuple[list, dict]:
+    """One attempt to merge the facts of the sheets that win their months; (touched months, new pointer)."""
+    held = claims(pinned)
+    won = {m: c for m, c in coming.items() if m not in held or c <= held[m]}
+    if not won:
+        return [], pinned
+    taken_over = [m for m, c in won.items() if m in held and c < held[m]]
+    mine = F.lit(False)
+    for m, (_, sheet) in won.items():
+        mine = mine | ((F.col("report_month") == m) & (F.col("sheet") == sheet))
+    months = sorted(won)
+    old = read_version(spark, path, pinned, LANDED, months).where(~F.col("report_month").isin(taken_over))
+    rows = merge_latest(old, facts.where(mine).select(*LANDED.names))
+    made = stage(rows, path, pinned, "report_month")
+    try:
+        return months, publish(spark, path, pinned, made, "report_month", months, "stream",
+                               state={_CLAIM + m: list(c) for m, c in won.items()})
+    except Conflict:
+        remove(spark, f"{path}/{made['name']}")
+        raise
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, header: DataFrame, table_path: str, epoch_id: int,
                 sheets: DataFrame | None = None, mart_path: str | None = None) -> None:
-    """Import one batch of wide sheet rows into the stored table.
+    """Import one batch of wide sheet rows (with ``land_file``, if they have one) into the stored table.
 
-    Beside the table: ``_claims`` (the ledger), ``_rejects/epoch=N`` (rows that
-    failed validation, cells too large to store) and ``_log/epoch=N`` (rows
-    loaded per month)."""
+    Beside the table: ``_rejects/epoch=N`` (rows that failed validation, cells
+    too large to store) and ``_log/epoch=N`` (rows loaded per month)."""
     base = table_path.rstrip("/")
-    held = {r["report_month"]: (r["sheet_pos"], r["sheet"]) for r in read_current(spark, f"{base}_claims", LEDGER).collect()}
+    if FILE not in batch.columns:
+        batch = batch.withColumn(FILE, F.lit(""))
+    if read_pointer(spark, base) is None:
+        try:
+            write_version(spark.createDataFrame([], LANDED), base, "report_month", operation="create", expected=0)
+        except ConcurrentWriteError:
+            pass
     # One row for each month: the first of the batch's sheets.
     coming = {r["report_month"]: (r["sheet_pos"], r["sheet"]) for r in chosen_sheets(batch, sheets).collect()}
-    won = {m: c for m, c in coming.items() if m not in held or c <= held[m]}
-    replaced = sorted(m for m, c in won.items() if m in held and c < held[m])
-    present = spark.createDataFrame([(s, p) for p, s in won.values()], "sheet string, sheet_pos int")
-    rows = batch.join(present.select("sheet"), "sheet", "left_semi")
-    facts, bad = split_valid(import_open_items(rows, header, sheets, present=present), amount="nilai_m")
-    # The import runs once a batch: its facts are kept in the shared folder until they are merged.
-    kept = scratch_path(spark, "batch")
-    facts.write.parquet(kept)
-    facts = spark.read.schema(schemas.conform(facts).schema).parquet(kept)
-    months = sorted(r[0] for r in facts.select("report_month").distinct().collect())
-    new = [m for m in months if m not in replaced]
-    upsert_partitions(spark, base, facts.where(F.col("report_month").isin(new)))
-    gone = [m for m in replaced if m is not None]
-    if gone:   # an earlier sheet took these months over
-        write_version(schemas.conform(facts.where(F.col("report_month").isin(gone))), base, "report_month", replace=gone)
-    if won:
-        ledger = [(m, s, p) for m, (p, s) in sorted({**held, **won}.items())]
-        write_version(spark.createDataFrame(ledger, LEDGER), f"{base}_claims")
-    cells = import_rejects(rows, header, sheets, present=present)
+    present = spark.createDataFrame([(s, p) for p, s in coming.values()], "sheet string, sheet_pos int")
+    # The import runs once a batch: its cells are kept in the shared folder until they are merged.
+    cells = import_cells(batch, header, sheets, present=present, keep=(FILE,))
+    kept, checked = scratch_path(spark, "batch"), scratch_path(spark, "batch")
+    cells.write.parquet(kept)
+    cells = spark.read.schema(cells.schema).parquet(kept)
+    good, bad = split_valid(import_facts(cells, keep=(FILE, "sheet")), amount="nilai_m", unit=FILE)
+    schemas.conform(good, StructType([*LANDED.fields, StructField("sheet", StringType())])).write.parquet(checked)
+    good = spark.read.schema(StructType([*LANDED.fields, StructField("sheet", StringType())])).parquet(checked)
+    for _ in range(ATTEMPTS):
+        pinned = read_pointer(spark, base)
+        try:
+            months, now = _commit(spark, base, good, coming, pinned)
+            break
+        except Conflict:
+            continue
+    else:
+        raise ConcurrentWriteError(f"{base}: {ATTEMPTS} runs lost against other writers")
     out = bad.select("report_month", F.col("invoice_id").alias("source"), "reasons").unionByName(
-        cells.select("report_month", F.concat_ws(":", "sheet", "row_idx", "pos", "raw").alias("source"), "reasons"))
+        import_oversized(cells).select("report_month", F.concat_ws(":", "sheet", "row_idx", "pos", "raw").alias("source"), "reasons"))
     out.write.mode("overwrite").parquet(f"{base}_rejects/epoch={epoch_id}")
-    (import_report(facts).withColumn("loaded_at", F.current_timestamp())
+    (import_report(good.where(F.col("report_month").isin(months))).withColumn("loaded_at", F.current_timestamp())
      .write.mode("overwrite").parquet(f"{base}_log/epoch={epoch_id}"))
-    if mart_path:
-        refresh_mart(spark, read_current(spark, base, schemas.INVOICE), mart_path, sorted({*months, *gone}))
-    _remove(spark, kept)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if mart_path and months:
+        refresh_mart(spark, read_version(spark, base, now, schemas.INVOICE), mart_path, months)
+    remove(spark, kept)
+    remove(spark, checked)
 
 
 def stream_ingest(spark: SparkSession, landing_dir: str, table_path: str, checkpoint_dir: str,
@@ -86,7 +137,8 @@ def stream_ingest(spark: SparkSession, landing_dir: str, table_path: str, checkp
     reader = spark.readStream.schema(wide_schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    w = reader.parquet(landing_dir).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_dir)
+    rows = reader.parquet(landing_dir).select("*", F.col("_metadata.file_name").alias(FILE))
+    w = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_dir)
     if processing_time:
         return w.trigger(processingTime=processing_time).start()
     q = w.trigger(availableNow=True).start()

@@ -196,12 +196,23 @@ def test_first_batch_without_rows(spark, scratch):
     assert tables.upsert_partitions(spark, path, _facts(spark, [("K1", "Juni 2026", "A", 1.0)])).count() == 1
 
 
-def test_export_csv_round_trip(spark, scratch):
-    df = spark.createDataFrame([("a\"b", None, 1.5), (" c ", "d", None)], "x string, y string, z double")
-    out = tables.export_csv(df, scratch, "Juni 2026", "ALL", "2026-12-02")
-    assert out.endswith("AR_Data_Juni_2026_ALL_2026-12-02")
-    back = spark.read.options(**tables.CSV_OPTIONS).csv(out)
-    assert sorted((r.x, r.y) for r in back.collect()) == [(" c ", "d"), ("a\"b", None)]
+def test_export_is_byte_for_byte_that_of_the_dashboard(spark, scratch):
+    """Against an independent rendering by the json module."""
+    import glob
+    import json
+    rows = [("c", "x,y\n\"q\" \\n \\", 1.5, 7), ("a", None, None, None), (" b ", "\x0b\x1f\x00é\u2028", -0.25, -3),
+            ("d", "", 100.0, 0), ("e", "\\u000B", 0.0, 12), ("f", "\r\n\t\b\f", 1234567.125, 2 ** 40)]
+    df = spark.createDataFrame(rows, "x string, y string, z double, n long").withColumn("d", F.col("z").cast("decimal(18,6)"))
+    path = tables.export_csv(df.repartition(4), scratch, "Juni 2026", "ALL", "2026-12-02")
+    assert path.endswith("AR_Data_Juni_2026_ALL_2026-12-02")
+    text = lambda v: json.dumps("" if v is None else v, ensure_ascii=False)
+    number = lambda v: '""' if v is None else repr(v)[:-2] if repr(v).endswith(".0") else repr(v)
+    want = "x,y,z,n,d\n" + "".join(
+        ",".join([text(x), text(y), number(z), number(n), number(z)]) + "\n" for x, y, z, n in sorted(rows))
+    got = b"".join(open(f, "rb").read() for k in (0, 1) for f in sorted(glob.glob(f"{path}/part={k}/part-*")))
+    assert got == want.encode()
+    back = tables.read_export(spark, path, df.schema)
+    assert sorted(back.collect()) == sorted(df.fillna("", ["x", "y"]).collect(), key=lambda r: r.x)
     assert tables.export_csv(df.limit(0), scratch) is None
 
 
@@ -282,6 +293,53 @@ def test_stream_does_not_depend_on_batches(spark, scratch):
     assert spark.read.parquet(f"{path}_log").agg(F.sum("records")).first()[0] >= 3
 
 
+def test_stream_of_repeated_keys_in_any_order_and_grouping(spark, scratch):
+    """Files of one sheet that hold the same rows: every order and grouping of them gives one table."""
+    import itertools
+    from kolekta.streaming.folder_ingest import merge_batch
+    schema = "row_idx long, sheet string, sheet_pos int, CA string, a string, land_file string"
+    header = spark.createDataFrame([(0, "CA", None), (1, "a", "KONTRAK")], "idx int, name string, label string")
+    july, first = "OI 202607", "Update Nilai AR (Tio Juli)"
+    files = {
+        "f1": [(0, july, 3, "1", "1e9", "f1"), (1, july, 3, "2", "2e9", "f1")],
+        "f2": [(0, july, 3, "1", "5e9", "f2"), (7, july, 3, "9", "6e9", "f2"), (7, july, 3, "9", "7e9", "f2")],  # a key twice
+        "f3": [(1, july, 3, "2", "8e9", "f3"), (7, july, 3, "9", "9e9", "f3")],
+        "g": [(0, first, 1, "1", "4e9", "g")],
+    }
+    def table(groups, name):
+        path = os.path.join(scratch, name)
+        for k, g in enumerate(groups):
+            merge_batch(spark, spark.createDataFrame([r for f in g for r in files[f]], schema), header, path, k)
+        return _got(tables.read_current(spark, path, schemas.INVOICE))
+    three = table([["f1", "f2", "f3"]], "all")
+    assert [round(r[3], 1) for r in sorted(three)] == [5.0, 8.0, 9.0]
+    for k, order in enumerate(itertools.permutations(["f1", "f2", "f3"])):
+        assert table([[f] for f in order], f"p{k}") == three
+    assert table([["f3", "f1"], ["f2"]], "q") == three and table([["f2"], ["f1", "f3"], ["f1"]], "r") == three
+    taken = table([["f1", "g", "f2", "f3"]], "t")
+    assert len(taken) == 1 and taken == table([["f1"], ["f2", "f3"], ["g"]], "u") == table([["g"], ["f3"], ["f1", "f2"]], "v")
+
+
+def test_stream_keeps_a_change_that_overlaps_a_batch(spark, scratch, monkeypatch):
+    from kolekta.streaming import folder_ingest
+    schema = "row_idx long, sheet string, sheet_pos int, CA string, a string"
+    header = spark.createDataFrame([(0, "CA", None), (1, "a", "KONTRAK")], "idx int, name string, label string")
+    batch = lambda i, v: spark.createDataFrame([(i, "OI 202607", 3, "1", v)], schema)
+    path = os.path.join(scratch, "t")
+    folder_ingest.merge_batch(spark, batch(0, "1e9"), header, path, 0)
+    real, done = folder_ingest.merge_latest, []
+
+    def slow(*a, **k):
+        if not done:
+            done.append(1)
+            tables.upsert_partitions(spark, path, _facts(spark, [("K9", "Juli 2026", "A", 5.0)]))
+        return real(*a, **k)
+    monkeypatch.setattr(folder_ingest, "merge_latest", slow)
+    folder_ingest.merge_batch(spark, batch(4, "3e9"), header, path, 1)
+    assert sorted(r[3] for r in _got(tables.read_current(spark, path, schemas.INVOICE))) == [1.0, 3.0, 5.0]
+    assert folder_ingest.claims(tables.read_pointer(spark, path)) == {"Juli 2026": (3, "OI 202607")}
+
+
 def test_stream_replays_harmlessly(spark, scratch):
     from kolekta.streaming.folder_ingest import merge_batch
     fx = Fixtures(spark, SF)
@@ -322,6 +380,40 @@ def test_landed_sheet_to_facts(spark, scratch):
                    ("JUL77-TERM-0-0", "Juli 2026", "TERMYN", 0.001), ("JUL77-KONT-0-0", "Juli 2026", "KONTRAK", 5.0)}
 
 
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_rows_are_numbered_alike_in_any_splits(spark, scratch, ends):
+    """Empty lines count, quoted cells may hold line ends, and the splits do not matter."""
+    import random
+    from kolekta.sources.catalog import read_sheet
+    draw, lines, want, n = random.Random(8), [",,KONTRAK", "a title", " NAME ,CA, Aging "], [], 0
+    for k in range(400):
+        kind = draw.randrange(8)
+        if kind == 0:
+            lines.append("")
+            want.append((n, None, None, None))
+        elif kind == 1:
+            lines.append(f'"A ""{k}""{ends}second, line{ends}{ends}",{k},"5{k}"')
+            want.append((n, f'A "{k}"{ends}second, line{ends}{ends}', str(k), f"5{k}"))
+        else:
+            lines.append(f"name{k},,{k}" if kind < 5 else f"short{k}")
+            want.append((n, f"name{k}", None, str(k)) if kind < 5 else (n, f"short{k}", None, None))
+        n += 1
+    path = os.path.join(scratch, "sheet.csv")
+    with open(path, "w", newline="") as f:
+        f.write(ends.join(lines) + ends)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("134217728", "700", "64"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            wide, header = read_sheet(spark, path, "OI 202606", 0)
+            assert sorted((r.row_idx, r.NAME, r.CA, r.Aging) for r in wide.collect()) == want
+            assert [(r.name, r.label) for r in header.orderBy("idx").collect()] == [("NAME", None), ("CA", None), ("Aging", "KONTRAK")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_customers_of_one_cut_name_are_one(spark):
     from kolekta.operators.customers import customer_rollup
     df = invoices(spark, [("K1", "Within Due", None, None, None, 1.0), ("K2", "Within Due", None, None, None, 2.0)])
