@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kolekta.llm.common import blocks, byte_texts, read_table, shared_folder, stored, worker_state
+from kolekta.llm.common import blocks, byte_texts, give_back, read_table, shared_folder, stored, worker_state
 
 LENGTH = 2048
 ROWS = 128
 END = 1
+#: Bytes of text encoded at once.
+TEXT_BYTES = 1 << 20
 #: Words whose ids a Python worker remembers; beyond that it keeps the half used most.
 REMEMBERED = 400_000
 
@@ -34,8 +36,8 @@ class WordCodec:
     the other, so a word is encoded by the library once and remembered. When
     REMEMBERED words are, those that came up most often stay. Where the
     tokenizer lowers letters, and splits a mark off the letters before it, a
-    word of ASCII letters is encoded in lower case and without its last mark.
-    Raises for a tokenizer that keeps white space.
+    word of ASCII letters is encoded in lower case and without its last mark,
+    by the library's model alone where nothing else touches it. Raises for a tokenizer that keeps white space.
     """
 
     def __init__(self, tokenizer_json: str, add_special_tokens: bool = False):
@@ -52,6 +54,9 @@ class WordCodec:
         self.lower = norm is not None and norm.normalize_str("ABXZ") == "abxz"
         self.tails = {c.encode(): ids(c)[0] for c in marks if len(ids(c)) == 1 and pre is not None and all(
             [at for _, at in pre.pre_tokenize_str(w + c)] == [(0, len(w)), (len(w), len(w) + 1)] for w in ("ab", "s", "the"))}
+        plain = "abcdefghijklmnopqrstuvwxyz"
+        self.direct = (not self.special and (norm is None or norm.normalize_str(plain) == plain)
+                       and pre is not None and pre.pre_tokenize_str(plain) == [(plain, (0, len(plain)))])
 
     def _core(self, word: bytes) -> tuple[bytes, int]:
         """(word to encode, id that follows or -1) with the same ids as ``word``."""
@@ -65,6 +70,12 @@ class WordCodec:
         import numpy as np
         split = [self._core(w) for w in words]
         cores = list(dict.fromkeys(c for c, _ in split if c not in self.place))
+        plain = [c for c in cores if c.isalpha() and c.islower()] if self.direct else []
+        if plain:   # ASCII letters, which neither the normaliser nor the pre-tokenizer changes
+            model, known = self.tokenizer.model.tokenize, set(plain)
+            pieces = [[t.id for t in model(c.decode())] for c in plain]
+            self._add(plain, np.array([i for p in pieces for i in p], np.int32), np.array([len(p) for p in pieces], np.int32))
+            cores = [c for c in cores if c not in known]
         if cores:
             self._encode(cores)
         rest = [(w, c, t) for w, (c, t) in zip(words, split) if w != c]
@@ -267,7 +278,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_json: str | None = N
         task, writer, codec, n_docs = TaskContext.get(), None, None, 0
         for b in batches:
             texts = byte_texts(b.column(1))
-            for i, k in blocks(texts):
+            for i, k in blocks(texts, TEXT_BYTES):
                 if writer is None:
                     codec = worker_state(key, lambda: WordCodec(held.value))
                     writer = ShardWriter(folder, task.partitionId(), task.taskAttemptId(), length,
@@ -278,6 +289,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_json: str | None = N
                 n_docs += k - i
         if writer is not None:
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "n_docs": n_docs, "n_tokens": writer.close()}])
+        give_back()
 
     manifest = stored(rows.mapInArrow(write, "shard long, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
