@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolekta.llm.common import arrow_bytes, byte_texts, give_back, key_runs, read_table, stored
+from kolekta.llm.common import Stored, arrow_bytes, byte_texts, give_back, key_runs, read_table, stored
 from kolekta.llm.scans import running, union
 
 MAX_WORDS = 3
@@ -271,7 +271,8 @@ def count_phrases(streams: DataFrame, size: int, least: int, buckets: int) -> Da
                          pa.array([counts.tobytes()], pa.binary())], ["bucket", "part", "codes", "counts"])
         return run
 
-    packed = stored(streams.select("block", "words", "grams").mapInArrow(count, PACKED), "partial", ROW_GROUP)
+    held = Stored(streams.select("block", "words", "grams").mapInArrow(count, PACKED), "partial", ROW_GROUP)
+    packed = held.df
     parts = packed.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
     while True:
         last = parts <= FAN_IN
@@ -279,9 +280,12 @@ def count_phrases(streams: DataFrame, size: int, least: int, buckets: int) -> Da
         rows = packed.select(group.alias("part"), "bucket", "codes", "counts")
         dealt = rows.repartition("part", "bucket").sortWithinPartitions("part", "bucket")
         if last:
-            return dealt.mapInArrow(merge(True), "left long, right long, f long")
-        packed = stored(dealt.mapInArrow(merge(False), PACKED), "partial", ROW_GROUP)
-        parts = -(-parts // FAN_IN)
+            found = stored(dealt.mapInArrow(merge(True), "left long, right long, f long"), "counted")
+            held.drop()
+            return found
+        before, held = held, Stored(dealt.mapInArrow(merge(False), PACKED), "partial", ROW_GROUP)
+        before.drop()
+        packed, parts = held.df, -(-parts // FAN_IN)
 
 
 def phrase_streams(streams: DataFrame, phrases: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -362,9 +366,10 @@ def count_table(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST)
 
 
 def _count_table(docs: DataFrame, max_words: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    blocks = stored(number_blocks(docs), "blocks", ROW_GROUP)
-    totals = blocks.select(F.explode(F.arrays_zip("langs", "lang_counts")).alias("x")).groupBy(
-        F.col("x.langs").alias("lang")).agg(F.sum("x.lang_counts").alias("n"))
+    numbered = Stored(number_blocks(docs), "blocks", ROW_GROUP)
+    blocks = numbered.df
+    totals = stored(blocks.select(F.explode(F.arrays_zip("langs", "lang_counts")).alias("x")).groupBy(
+        F.col("x.langs").alias("lang")).agg(F.sum("x.lang_counts").alias("n")), "totals")
     counted = blocks.select(F.explode(F.arrays_zip("keys", "counts")).alias("x")).groupBy(
         F.col("x.keys").alias("key")).agg(F.sum("x.counts").alias("f")).where(F.col("f") >= least)
     vocabulary = stored(ranked(counted, ["key"]), "vocabulary")
@@ -372,15 +377,18 @@ def _count_table(docs: DataFrame, max_words: int, least: int) -> tuple[DataFrame
     named = vocabulary.selectExpr("id", "substring_index(key, ' ', 1) as word", "substr(key, instr(key, ' ') + 1) as lang", "f")
     tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     buckets = max(64, -(-tokens // BUCKET_CODES))
-    streams = stored(word_streams(blocks, vocabulary), "streams", ROW_GROUP)
+    streams = Stored(word_streams(blocks, vocabulary), "streams", ROW_GROUP)
+    numbered.drop()   # tables of the size of the corpus go as soon as the next one is there
     tables = [vocabulary.select(F.array("id").alias("words"), "id", "f")]
     for size in range(2, max_words + 1):
-        phrases = stored(ranked(count_phrases(streams, size, least, buckets), ["left", "right"]), "phrases")
+        phrases = stored(ranked(count_phrases(streams.df, size, least, buckets), ["left", "right"]), "phrases")
         before = tables[-1].select(F.col("id").alias("left"), F.col("words").alias("head"))
         tables.append(stored(phrases.join(before, "left").select(
             F.concat("head", F.array("right")).alias("words"), "id", "f"), "phrases"))
+        old = streams
         if size < max_words:
-            streams = stored(phrase_streams(streams, phrases, size, buckets), "streams", ROW_GROUP)
+            streams = Stored(phrase_streams(old.df, phrases, size, buckets), "streams", ROW_GROUP)
+        old.drop()
     return union([t.select("words", "f") for t in tables]), named, totals
 
 
