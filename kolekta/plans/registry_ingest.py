@@ -7,13 +7,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kolekta import schemas, vocab
+from kolekta.functions.scalar import ora_date
 from kolekta.operators import ingest, mutations, quality, summary
-from kolekta.plans import marts, tables
+from kolekta.plans import indexes, marts, tables
 from kolekta.plans.oracle_sql import FACT_COLS, M, S, ST, TOP_CUST, WITH_INV, fact_select, in_list, q
 from kolekta.plans.payload import dashboard_payload, payload_values
 from kolekta.plans.registry import ORACLE, inv, out, register
 from kolekta.session import scratch_path
-from kolekta.sources.catalog import CSV_CELLS, TableCatalog, read_workbook
+from kolekta.sources.catalog import CSV_CELLS, TableCatalog, read_snapshots, read_workbook
 from kolekta.sources.fixtures import Fixtures
 
 # --- sheet import -------------------------------------------------------------
@@ -348,6 +349,158 @@ def _load_log(spark, sf):
     return log.select("report_month", "records")
 
 
+# --- versions: overlapping writers, changes, history, layouts ------------------------
+
+@register("stored_interleaved", f"""{WITH_INV}, t as (select {_sql_rows({
+    "nilai_m": f"case when {_K} % 10 = 0 then nilai_m + 1 else nilai_m end",
+    "action_plan": f"case when {_K} % 10 = 0 then 'Revised' else action_plan end",
+    "witel": f"case when {_K} % 10 = 3 then 'W' else witel end"}, "own")} from ar_invoice union all {_NEW_SQL}) {fact_select('t')}""")
+def _stored_interleaved(spark, sf):
+    """Another writer commits while an upsert is under way: both changes stand."""
+    store, i, done = _stored(spark, sf), inv(spark, sf), []
+    other = i.where(_key() % 10 == 3).select(*_KEY, F.lit("W").alias("witel"))
+
+    def mutate(old, changes):
+        if not done:
+            done.append(store.update(_FACTS, other))
+        return mutations.upsert_rows(old, changes, _KEY, defaults=_DEFAULTS)
+
+    tables.change(spark, store.path(_FACTS), _updates(i).unionByName(_new_rows(i)), mutate, list(_KEY), "report_month", schemas.INVOICE)
+    return out(store.read(_FACTS))
+
+
+_CHANGED = f"case when {_K} % 10 = 0 then nilai_m + 1 else nilai_m end"
+
+
+@register("table_changes", f"""{WITH_INV}, n as ({_NEW_SQL}), t as (
+ select 'delete' as change_type, * from ar_invoice where {_K} % 7 = 0
+ union all select 'update_before', * from ar_invoice where {_K} % 7 <> 0 and {_K} % 10 = 0
+ union all select 'update_after', * from ({_UPD_SQL}) u where {_K} % 7 <> 0 and {_K} % 10 = 0
+ union all select 'insert', * from n)
+ select change_type, {', '.join("cast(nilai_m as double) as nilai_m" if c == "nilai_m" else c for c in FACT_COLS)} from t""")
+def _table_changes(spark, sf):
+    """The net change between two versions, an upsert and a delete apart."""
+    store, i = _stored(spark, sf), inv(spark, sf)
+    store.upsert(_FACTS, _updates(i).unionByName(_new_rows(i)))
+    store.delete(_FACTS, i.where(_key() % 7 == 0).select(*_KEY))
+    return out(store.changes(_FACTS, 1, 3))
+
+
+@register("changes_applied", f"""{WITH_INV}, t as (select * from ({_UPD_SQL}) u where not ({_K} % 7 = 0)
+ union all select * from ({_NEW_SQL}) n) {fact_select('t')}""")
+def _changes_applied(spark, sf):
+    """The change feed applied to the old version gives the new one."""
+    from kolekta.plans.versions import apply_changes
+    store, i = _stored(spark, sf), inv(spark, sf)
+    store.upsert(_FACTS, _updates(i).unionByName(_new_rows(i)))
+    store.delete(_FACTS, i.where(_key() % 7 == 0).select(*_KEY))
+    return out(apply_changes(store.read(_FACTS, version=1), store.changes(_FACTS, 1), list(_KEY)))
+
+
+@register("kpi_as_of_load", f"""{WITH_INV}, t as ({_UPD_SQL} union all {_NEW_SQL})
+ select cast(1 as integer) as load, {M(S())} as total_ar_m, cast(count(*) as bigint) as n from ar_invoice
+ union all select 2, {M(S())}, cast(count(*) as bigint) from t""")
+def _kpi_as_of_load(spark, sf):
+    """KPI at the moment of each past load, after the last of them."""
+    from kolekta.plans.versions import read_pointer
+    store, i = _stored(spark, sf), inv(spark, sf)
+    store.upsert(_FACTS, _updates(i).unionByName(_new_rows(i)))
+    store.delete(_FACTS, i.select(*_KEY))
+    loads = []
+    for load in (1, 2):
+        moment = read_pointer(spark, store.path(_FACTS), load)["committed_at"]
+        kpi = summary.kpi_summary(store.read(_FACTS, as_of=moment))
+        loads.append(kpi.select(F.lit(load).alias("load"), "total_ar_m", F.col("total_records").alias("n")))
+    return loads[0].unionByName(loads[1])
+
+
+@register("stored_layouts", f"""{WITH_INV} select invoice_id, report_month,
+ cast(case when contains(report_month, 'Mei') then nilai_m else round(nilai_m, 2) end as double) as nilai_m,
+ cast(above_credit_limit as bigint) as above_credit_limit,
+ case when contains(report_month, 'Mei') then witel end as witel from ar_invoice""")
+def _stored_layouts(spark, sf):
+    """Three layouts of the fact table in one stored table: narrow, wider numbers, one more column."""
+    from kolekta.plans.versions import read_current, write_version
+    path, i = scratch_path(spark, "layouts"), inv(spark, sf)
+    narrow = i.select("invoice_id", "report_month", F.round("nilai_m", 2).cast("decimal(12,2)").alias("nilai_m"), "above_credit_limit")
+    wide = narrow.withColumns({"nilai_m": F.col("nilai_m").cast("decimal(18,6)"), "above_credit_limit": F.col("above_credit_limit").cast("long")})
+    full = i.select("invoice_id", "report_month", "nilai_m", F.col("above_credit_limit").cast("long").alias("above_credit_limit"), "witel")
+    june, may = F.col("report_month").contains("Juni"), F.col("report_month").contains("Mei")
+    for rows, where in ((narrow, june), (wide, ~june & ~may), (full, may)):
+        months = [r[0] for r in i.where(where).select("report_month").distinct().collect()]
+        write_version(rows.where(where), path, "report_month", replace=months)
+    return out(read_current(spark, path))
+
+
+@register("created_tables", f"{WITH_INV} {fact_select()}")
+def _created_tables(spark, sf):
+    """The five tables are created empty with their schemas; facts are appended to theirs."""
+    root = scratch_path(spark, "created")
+    tables.create_tables(spark, root)
+    return out(tables.StoredTables(spark, root).append(_FACTS, inv(spark, sf)))
+
+
+# --- indexes ----------------------------------------------------------------------
+
+@register("clustered_filter", f"{WITH_INV} {fact_select()} where region = 'EUROPE' and pengelolaan = 'BUILDING'")
+def _clustered_filter(spark, sf):
+    path = scratch_path(spark, "clustered")
+    indexes.write_clustered(schemas.conform(inv(spark, sf)), path)
+    return out(tables.read_current(spark, path, schemas.INVOICE).where("region = 'EUROPE' and pengelolaan = 'BUILDING'"))
+
+
+_SEARCHED = " or ".join(f"contains(lower(coalesce({c}, '')), 'r#00000001')" for c in vocab.SEARCH_COLUMNS)
+
+
+@register("indexed_search", f"{WITH_INV} {fact_select()} where {_SEARCHED}")
+def _indexed_search(spark, sf):
+    path, i = scratch_path(spark, "postings"), inv(spark, sf)
+    indexes.build_search(i, path)
+    return out(indexes.indexed_search(i, path, "R#00000001"))
+
+
+@register("ranked_page", f"""{WITH_INV}, c as (select greatest(1, cast(ceil(count(*) / {vocab.PAGE_SIZE}.0) as bigint)) as pages from ar_invoice)
+ select invoice_id, {', '.join("cast(nilai_m as double) as nilai_m" if c == "nilai_m" else c for c in vocab.DETAIL_COLUMNS)},
+ cast(40 as bigint) as page, pages from (select * from ar_invoice order by invoice_id limit {vocab.PAGE_SIZE} offset {39 * vocab.PAGE_SIZE}) t, c""")
+def _ranked_page(spark, sf):
+    """Page 40, from the key ranges that it touches alone."""
+    path, i = scratch_path(spark, "ranks"), inv(spark, sf)
+    indexes.build_ranks(i, path)
+    return out(indexes.ranked_page(i, path, 40))
+
+
+# --- landed layouts ------------------------------------------------------------------
+
+@register("conform_layout", f"""{WITH_INV} select invoice_id, customer_name, report_month, cast(nilai_m as double) as nilai_m,
+ cast(null as varchar) as witel, cast(null as integer) as above_credit_limit from ar_invoice""")
+def _conform_layout(spark, sf):
+    """An older layout: untidy upper-case headers, text amounts, columns missing."""
+    old = inv(spark, sf).select(F.col("invoice_id").alias(" INVOICE_ID "), F.col("customer_name").alias("CUSTOMER_NAME "),
+                                F.col("report_month").alias("Report_Month"), F.col("nilai_m").cast("string").alias(" NILAI_M"))
+    return out(schemas.conform(schemas.normalise_headers(old, "lower")).select(
+        "invoice_id", "customer_name", "report_month", "nilai_m", "witel", "above_credit_limit"))
+
+
+@register("ora_dates", "select o_orderkey, cast(o_orderdate as date) as d from orders")
+def _ora_dates(spark, sf):
+    orders = _fx(spark, sf).table("orders")
+    return orders.select("o_orderkey", ora_date(F.date_format("o_orderdate", "dd-MMM-yy")).alias("d")).withColumn(
+        "d", F.when(F.year("d") >= 2090, F.add_months("d", -1200)).otherwise(F.col("d")))
+
+
+@register("snapshots", f"""select {q(_SHEETS[0])} as sheet, cast(0 as integer) as sheet_pos, cast(o_orderkey as bigint) as row_idx,
+ cast(o_totalprice as double) as a, cast(null as varchar) as b from orders where o_orderkey % 2 = 0
+ union all select {q(_SHEETS[1])}, 1, o_orderkey, null, o_orderstatus from orders where o_orderkey % 2 = 1""")
+def _snapshots(spark, sf):
+    """Landed sheets of other columns as one frame, in workbook order."""
+    orders, root = _fx(spark, sf).table("orders"), scratch_path(spark, "snapshots")
+    even = orders.where("o_orderkey % 2 = 0").selectExpr("cast(o_orderkey as bigint) as ` row_idx`", "cast(o_totalprice as double) as `a `")
+    odd = orders.where("o_orderkey % 2 = 1").selectExpr("cast(o_orderkey as bigint) as row_idx", "o_orderstatus as b")
+    even.write.parquet(f"{root}/0")
+    odd.write.parquet(f"{root}/1")
+    return read_snapshots(spark, [(_SHEETS[0], f"{root}/0"), (_SHEETS[1], f"{root}/1")])
+
+
 # --- the six-dimension mart ------------------------------------------------------
 
 def _moved_mart(spark, sf):
@@ -382,6 +535,37 @@ def _mart_segments(spark, sf):
     return summary.segment_breakdown(_moved_mart(spark, sf))
 
 
+def _followed(spark, sf, maintain):
+    """A mart or cube that follows the stored table through two changes by its feed."""
+    store, path = tables.StoredTables(spark, scratch_path(spark, "fed"), feed=True), scratch_path(spark, "follower")
+    i = inv(spark, sf)
+    store.refresh(_FACTS, i)
+    maintain(spark, store.path(_FACTS), path)
+    store.upsert(_FACTS, _updates(i).unionByName(_new_rows(i)))
+    store.delete(_FACTS, i.where(_key() % 7 == 0).select(*_KEY))
+    return maintain(spark, store.path(_FACTS), path), path
+
+
+_FOLLOWED = f"""{WITH_INV}, t as (select * from ({_UPD_SQL}) u where not ({_K} % 7 = 0) union all select * from ({_NEW_SQL}) n)"""
+
+
+@register("mart_incremental", f"""{_FOLLOWED} select {', '.join(marts.KEYS)}, cast(coalesce(sum(nilai_m), 0) as double) as nilai_m,
+ cast(count(*) as bigint) as records from t group by {', '.join(marts.KEYS)}""")
+def _mart_incremental(spark, sf):
+    return out(marts.read_mart(spark, _followed(spark, sf, marts.maintain_mart)[1]))
+
+
+@register("cube_incremental", f"""{_FOLLOWED}
+select case when grouping(report_month) = 1 then 'ALL' else report_month end as month,
+ case when grouping(pengelolaan) = 1 then 'ALL' else pengelolaan end as segment,
+ case when grouping(region) = 1 then 'ALL' else region end as region,
+ {M(S())} as total_ar_m, {M(S(ST(vocab.LAYAK)))} as layak_m, {M(S(ST(vocab.TIDAK_LAYAK)))} as tidak_layak_m,
+ {M(S(ST(vocab.BERMASALAH)))} as bermasalah_m, cast(count(*) as bigint) as n
+from t group by cube (report_month, pengelolaan, region)""")
+def _cube_incremental(spark, sf):
+    return _followed(spark, sf, marts.maintain_cube)[0]
+
+
 # --- payload and stream ------------------------------------------------------------
 
 def _leaves(name: str, path: str, numbers: tuple = (), texts: tuple = ()) -> list[str]:
@@ -429,15 +613,25 @@ def _dashboard_payload(spark, sf):
                                             fx.metrics_history()))
 
 
-@register("stream_ingest", f"{_BASE} " + fact_select("imp"))
+_CORRECTED = _BASE.replace("case when o_orderkey % 5 = 0 then 'Follow up' end", "case when o_orderkey % 50 = 0 then 'Corrected' when o_orderkey % 5 = 0 then 'Follow up' end")
+
+
+@register("stream_ingest", f"{_CORRECTED} " + fact_select("imp"))
 def _stream_ingest(spark, sf):
-    """Land the wide sheet rows as several files, then run the folder stream
-    over them, a file a batch, into a fresh invoice table; returns the table."""
+    """Land the wide sheet rows as several files and a correction of some rows,
+    then run the folder stream over them, a file a batch, into a fresh invoice
+    table; the correction's keys are in two files, and its name is the greater."""
+    from kolekta.plans.versions import _fs, _names
     from kolekta.streaming.folder_ingest import stream_ingest
     fx = _fx(spark, sf)
     wide = fx.open_item_wide()
     root = scratch_path(spark, "stream_ingest")
     landing = f"{root}/landing"
-    wide.repartition(3, "sheet").write.parquet(landing)
+    wide.where("row_idx % 50 = 0").withColumn("UNLOCK", F.lit("Corrected")).coalesce(1).write.parquet(f"{root}/correction")
+    fs, folder, jvm = _fs(spark, landing)
+    fs.mkdirs(folder)
+    part = next(n for n in _names(spark, f"{root}/correction") if n.endswith(".parquet"))
+    fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/correction/{part}"), jvm.org.apache.hadoop.fs.Path(f"{landing}/zz-{part}"))
+    wide.repartition(3, "sheet").write.mode("append").parquet(landing)
     return out(stream_ingest(spark, landing, f"{root}/table", f"{root}/_checkpoint", fx.open_item_header(),
                              spark.read.parquet(landing).schema, files_per_batch=1))

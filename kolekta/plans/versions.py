@@ -173,12 +173,17 @@ def rebalanced(df: DataFrame, partition_by: str) -> DataFrame:
     return df.hint("rebalance", partition_by)
 
 
-def stage(df: DataFrame, table_dir: str, pinned: dict | None, partition_by: str | None) -> dict:
-    """Write ``df`` to a new folder that no pointer names yet: {"folders", "name", "schema"}."""
+def stage(df: DataFrame, table_dir: str, pinned: dict | None, partition_by: str | None, dealt: bool = False,
+          row_group: int | None = None) -> dict:
+    """Write ``df`` to a new folder that no pointer names yet: {"folders", "name", "schema"}.
+
+    ``dealt``: its rows are dealt and sorted as they are to lie; ``row_group``: bytes of a row group."""
     spark, root = df.sparkSession, table_dir.rstrip("/")
     name = f"{VERSION_PREFIX}{(pinned['version'] if pinned else 0) + 1:06d}-{uuid.uuid4().hex[:8]}"
     path = f"{root}/{name}"
-    writer = (rebalanced(df, partition_by) if partition_by else df).write.mode("errorifexists")
+    writer = (rebalanced(df, partition_by) if partition_by and not dealt else df).write.mode("errorifexists")
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     folders = [[None, name]]
     if partition_by:
