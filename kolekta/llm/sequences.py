@@ -1,8 +1,8 @@
 """Token sequences in Arrow files: equal-length rows of token ids and masks
 that readers map into memory and address directly.
 
-The documents' token ids, in ascending doc_id order, are cut into shards (one
-for each Spark partition) and each shard into rows of ``length`` tokens. A
+The documents' token ids, in ascending doc_id order, are cut into shards
+(ranges of doc_id) and each shard into rows of ``length`` tokens. A
 shard is two Arrow IPC files: ``tokens-N.arrow`` holds record batches of
 fixed-size lists (``tokens``, and ``mask``, 1 where a token stands; the
 last row of a shard is filled up), ``docs-N.arrow`` the doc_id, the shard
@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kolekta.llm.common import blocks, byte_texts, give_back, read_table, shared_folder, stored, worker_state
+from kolekta.llm.common import blocks, byte_texts, give_back, key_slices, read_table, shared_folder, stored, worker_state
 
 LENGTH = 2048
 ROWS = 128
 END = 1
-#: Bytes of text encoded at once.
-TEXT_BYTES = 1 << 20
+#: Bytes of text encoded at once, and in a shard.
+TEXT_BYTES, SHARD_BYTES = 1 << 20, 16 << 20
+#: Stands for a null id where ranges are told apart.
+LEAST = -1 << 63
 #: Words whose ids a Python worker remembers; beyond that it keeps the half used most.
 REMEMBERED = 400_000
 
@@ -147,6 +149,11 @@ def default_tokenizer() -> str:
         return f.read()
 
 
+def _vocabulary(tokenizer_json: str) -> int:
+    from tokenizers import Tokenizer
+    return Tokenizer.from_str(tokenizer_json).get_vocab_size()
+
+
 def file_system(folder: str):
     """(Arrow file system, path) of a folder that Spark names; it opens what
     Arrow has a client for (a shared mount, object stores, HDFS)."""
@@ -159,13 +166,12 @@ def file_system(folder: str):
 class ShardWriter:
     """Writes one shard; the files appear under their names when it is closed."""
 
-    def __init__(self, folder: str, shard: int, attempt: int, length: int, vocabulary: int):
-        import numpy as np
+    def __init__(self, folder: str, shard: int, attempt: int, length: int, kind):
         import pyarrow as pa
         self.fs, root = file_system(folder)
         self.fs.create_dir(root, recursive=True)
         self.paths = [(f"{root}/.{n}-{shard}-{attempt}", f"{root}/{n}-{shard}.arrow") for n in ("tokens", "docs")]
-        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.int32
+        self.kind = kind
         self.length, self.pending, self.waiting, self.position = length, [], 0, 0
         self.schemas = [pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.uint8(), length))]),
                         pa.schema([("doc_id", pa.int64()), ("position", pa.int64()), ("n_tokens", pa.int64())])]
@@ -255,40 +261,83 @@ class ShardReader:
             yield self.docs_file.get_batch(k)
 
 
+def _ranges(docs: DataFrame, shard_bytes: int):
+    """(doc_ids, hashes): the least (doc_id, text hash) of each shard, in order; null ids are the least number.
+
+    Only ids and hashes are dealt for this; one row a shard reaches the driver."""
+    import numpy as np
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
+    keys = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), "hash")
+    firsts = (keys.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "hash").groupBy(F.spark_partition_id())
+              .agg(F.min(F.struct("doc_id", "hash")).alias("k")).select("k.doc_id", "k.hash").collect())
+    firsts = sorted(map(tuple, firsts))
+    return np.array([i for i, _ in firsts], np.int64), np.array([h for _, h in firsts], np.int64)
+
+
+def shard_of(ids, hashes, first_ids, first_hashes):
+    """The shard of each (id, hash): the last one that starts at or before it."""
+    import numpy as np
+    low, high = (np.searchsorted(first_ids, ids, side=s) for s in ("left", "right"))
+    for k in np.flatnonzero(high > low):   # ids at which a shard starts
+        low[k] += np.searchsorted(first_hashes[low[k]:high[k]], hashes[k], side="right")
+    return np.maximum(low - 1, 0)
+
+
 def write_sequences(docs: DataFrame, folder: str, tokenizer_json: str | None = None, end: int = END,
-                    length: int = LENGTH) -> DataFrame:
+                    length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode ``docs(doc_id, text)`` into shards under ``folder``; returns the
     manifest (shard, n_docs, n_tokens, start), start being the tokens of all shards before.
 
-    Rows are dealt by ranges of doc_id and text hash and sorted, nulls first,
-    repeated ids by text hash; null text counts as empty; each document gets
-    the id ``end`` at its end. A task that runs again writes the same files anew under the same
-    names. An empty table gives an empty manifest.
+    Shards are ranges of doc_id and text hash of about ``shard_bytes`` of text,
+    sorted, nulls first, repeated ids by text hash; null text counts as empty;
+    each document gets the id ``end`` at its end. Texts are encoded where
+    they are read, and only their ids are dealt to the shards. A task that runs again writes
+    the same files anew under the same names. An empty table gives an empty manifest.
     """
-    tokenizer_json = tokenizer_json or default_tokenizer()
-    held = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    spark, tokenizer_json = docs.sparkSession, tokenizer_json or default_tokenizer()
+    held = spark.sparkContext.broadcast(tokenizer_json)
     key = "words_" + hashlib.sha256(tokenizer_json.encode()).hexdigest()
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
-    rows = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    ranges = _ranges(docs, shard_bytes)
+    shards, kind = max(1, len(ranges[0])), "<u2" if _vocabulary(tokenizer_json) <= 1 << 16 else "<i4"
+    firsts = spark.sparkContext.broadcast(ranges)
 
-    def write(batches):
+    def encode(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
-        task, writer, codec, n_docs = TaskContext.get(), None, None, 0
         for b in batches:
-            texts = byte_texts(b.column(1))
+            texts = byte_texts(b.column(2))
             for i, k in blocks(texts, TEXT_BYTES):
-                if writer is None:
-                    codec = worker_state(key, lambda: WordCodec(held.value))
-                    writer = ShardWriter(folder, task.partitionId(), task.taskAttemptId(), length,
-                                         codec.tokenizer.get_vocab_size())
+                codec = worker_state(key, lambda: WordCodec(held.value))
                 ids, sizes = codec.encode(texts[i:k])
-                ids = np.insert(ids, np.cumsum(sizes), end)
-                writer.add(b.column(0).slice(i, k - i), ids, sizes + 1)
-                n_docs += k - i
-        if writer is not None:
-            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "n_docs": n_docs, "n_tokens": writer.close()}])
+                ids = np.insert(ids, np.cumsum(sizes), end).astype(kind)
+                ends = np.cumsum(sizes + 1)
+                part = b.slice(i, k - i)
+                at = shard_of(part.column(0).fill_null(LEAST).to_numpy(), part.column(1).to_numpy(), *firsts.value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at), part.column(0), part.column(1),
+                     pa.array([ids[z - n:z].tobytes() for z, n in zip(ends.tolist(), (sizes + 1).tolist())], pa.binary())],
+                    ["shard", "doc_id", "hash", "ids"])
+        give_back()
+
+    rows = (docs.mapInArrow(encode, "shard long, doc_id long, hash long, ids binary")
+            .repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "doc_id", "hash"))
+
+    def write(batches):
+        import itertools
+
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+        for (shard,), parts in itertools.groupby(key_slices(batches, 1), lambda x: x[0]):
+            writer, n_docs = None, 0
+            for _, b in parts:
+                if writer is None:
+                    writer = ShardWriter(folder, shard, TaskContext.get().taskAttemptId(), length, np.dtype(kind))
+                ids = [np.frombuffer(x.as_buffer(), kind) for x in b.column(3)]
+                writer.add(b.column(1), np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+                n_docs += b.num_rows
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": n_docs, "n_tokens": writer.close()}])
         give_back()
 
     manifest = stored(rows.mapInArrow(write, "shard long, n_docs long, n_tokens long"), "manifest")

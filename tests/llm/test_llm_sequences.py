@@ -27,8 +27,9 @@ def test_query_equals_library(spark):
 
 def test_odd_rows_and_random_access(spark, scratch, monkeypatch):
     monkeypatch.setattr(sequences, "REMEMBERED", 20)
-    docs, folder = odd_documents(spark), f"{scratch}/seq"
-    manifest = sequences.write_sequences(docs, folder, length=16)
+    docs, folder = odd_documents(spark).repartition(3), f"{scratch}/seq"
+    manifest = sequences.write_sequences(docs, folder, length=16, shard_bytes=2000)
+    assert manifest.count() > 3
     got = [tuple(r) for r in sequences.read_documents(manifest, folder).collect()]
     want = list(library_rows(ODD))
     assert sorted(got, key=lambda r: r[1]) == [r[:4] for r in want]
@@ -42,7 +43,7 @@ def test_odd_rows_and_random_access(spark, scratch, monkeypatch):
             at = min(row, (r.n_tokens - 1) // 16) * 16
             assert len(tokens) == len(mask) == 16 and tokens[mask].tolist() == own[at:at + 16]
             assert not tokens.flags.owndata and not mask.flags.owndata  # views of the file
-    again = sequences.write_sequences(docs, folder, length=16)  # a second run puts the same files there
+    again = sequences.write_sequences(docs, folder, length=16, shard_bytes=2000)  # a second run puts the same files there
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest.collect()))
 
 
@@ -64,3 +65,12 @@ def test_tokenizers_that_keep_white_space_are_refused():
     import pytest
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError, match="white space"):
         sequences.WordCodec(f.read())
+
+
+def test_shards_of_keys():
+    firsts = np.array([sequences.LEAST, 3, 3, 3, 9]), np.array([5, 1, 4, 8, 0])
+    ids = np.array([sequences.LEAST, 2, 3, 3, 3, 3, 3, 9, 10])
+    hashes = np.array([5, 9, 0, 1, 5, 8, 9, -1, 0])
+    keys = sorted(zip(*firsts))
+    want = [max(0, sum(k <= x for k in keys) - 1) for x in zip(ids.tolist(), hashes.tolist())]
+    assert sequences.shard_of(ids, hashes, *firsts).tolist() == want
