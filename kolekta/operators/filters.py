@@ -92,13 +92,16 @@ def drilldown(inv: DataFrame, kind: str, value: str | None = None, home: str = v
 
 # --- search -------------------------------------------------------------------
 
+def search_sql(q: str, columns: tuple[str, ...] = vocab.SEARCH_COLUMNS) -> str:
+    """The search predicate for one needle, as SQL text."""
+    needle = sql_str(q.lower())
+    return " OR ".join(f"contains(lower(coalesce({c}, '')), {needle})" for c in columns)
+
+
 def search_invoices(inv: DataFrame, q: str | None, columns: tuple[str, ...] = vocab.SEARCH_COLUMNS) -> DataFrame:
     """Case-insensitive literal substring over the searchable columns (null as '');
     an empty query returns every row."""
-    if not q:
-        return inv
-    needle = sql_str(q.lower())
-    return inv.where(F.expr(" OR ".join(f"contains(lower(coalesce({c}, '')), {needle})" for c in columns)))
+    return inv.where(F.expr(search_sql(q, columns))) if q else inv
 
 
 def distinct_values(inv: DataFrame, col: str, drop_blank: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kolekta import vocab
 from kolekta.functions import sql_str
-from kolekta.operators.filters import search_invoices
+from kolekta.operators.filters import search_invoices, search_sql
 from kolekta.plans.versions import publish, read_current, read_pointer, stage
 
 # --- clustering -------------------------------------------------------------------
@@ -95,9 +95,12 @@ def indexed_search(inv: DataFrame, path: str, q: str | None) -> DataFrame:
         return search_invoices(inv, q)
     grams = sorted({needle[i:i + GRAM] for i in range(len(needle) - GRAM + 1)})
     held = read_current(inv.sparkSession, path).where(F.col("gram").isin(grams))
-    candidates = held.groupBy("report_month", "invoice_id").agg(F.count("*").alias("n")).where(F.col("n") >= len(grams))
-    same = inv["invoice_id"].eqNullSafe(candidates["invoice_id"]) & inv["report_month"].eqNullSafe(candidates["report_month"])
-    return search_invoices(inv.join(candidates, same, "left_semi"), q)
+    candidates = held.groupBy("report_month", "invoice_id").agg(F.count("*").alias("_grams")).where(
+        F.col("_grams") >= len(grams)).select(F.col("report_month").alias("_month"), F.col("invoice_id").alias("_id"), "_grams")
+    same = inv["invoice_id"].eqNullSafe(F.col("_id")) & inv["report_month"].eqNullSafe(F.col("_month"))
+    # The check names a column of the candidates, so it stays above the join: only they reach it.
+    checked = f"CASE WHEN _grams >= {len(grams)} THEN {search_sql(q)} ELSE false END"
+    return inv.join(candidates, same).where(F.expr(checked)).select(*inv.columns)
 
 
 # --- deep pages ---------------------------------------------------------------------
@@ -132,8 +135,13 @@ def ranked_page(df: DataFrame, path: str, page: int = 1, size: int = vocab.PAGE_
         F.min("low"), F.max("high"), F.min("before")).first()
     total = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     low, high, before = touched
-    rows = df.where(F.lit(False)) if before is None else df.where(
-        ((F.col(key) >= low) if low is not None else F.lit(True)) & (F.col(key) <= high) | (F.lit(low is None) & F.col(key).isNull()))
+    if before is None:
+        within = F.lit(False)
+    elif before == 0:   # null keys come first
+        within = F.col(key).isNull() if high is None else F.col(key).isNull() | (F.col(key) <= high)
+    else:
+        within = (F.col(key) >= low) & (F.col(key) <= high)
+    rows = df.where(within)
     rows = rows.orderBy(key).offset(skip - (before or 0)).limit(size)
     return rows.select(key, *columns, F.lit(page).cast("bigint").alias("page"),
                        F.lit(max(1, -(-total // size))).cast("bigint").alias("pages"))
