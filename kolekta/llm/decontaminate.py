@@ -114,18 +114,41 @@ class Tests:
             for k in range(width):
                 own = own * np.uint64(_BASE) + ids[pos + k].astype(np.uint64)
             lo, hi = np.searchsorted(h, own), np.searchsorted(h, own, "right")
-            pos, lo, many = pos[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            place = np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            pos = np.repeat(pos, many)
-            pairs = np.lexsort((pos, item[place], doc_of[pos]))
-            pos, place = pos[pairs], place[pairs]
-            d, i = doc_of[pos], item[place]
-            cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) != 0)) + 1
-            for p, s in zip(np.split(pos, cuts), np.split(place, cuts)) if len(pos) else ():
-                doc, it = int(doc_of[p[0]]), int(item[s[0]])
-                got = tile(ids[starts[doc]:starts[doc + 1]], self.items[it],
-                           np.stack([p - starts[doc], at[s]], 1), width) / len(self.items[it])
-                if (-got, self.ids[it]) < (-best[doc][0], best[doc][1] if best[doc][1] is not None else 1 << 63):
+            met = hi > lo
+            pos, lo, hi = pos[met], lo[met], hi[met]
+            if not len(pos):
+                continue
+            # Equal seeds of a text are one group; its places in items are listed once, not for each place in the text.
+            order = np.lexsort((pos, lo, doc_of[pos]))
+            pos, lo, hi = pos[order], lo[order], hi[order]
+            first = np.flatnonzero(np.r_[True, (np.diff(lo) != 0) | (np.diff(doc_of[pos]) != 0)])
+            ends = np.r_[first[1:], len(pos)]
+            many = (hi - lo)[first]
+            group = np.repeat(np.arange(len(first)), many)
+            place = np.repeat(lo[first] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            order = np.lexsort((at[place], item[place], doc_of[pos[first[group]]]))
+            group, place = group[order], place[order]
+            d, i, t = doc_of[pos[first[group]]], item[place], at[place]
+            cuts = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(i) != 0)])
+            # What an item's seeds could cover at most: the union of their runs.
+            reach = np.full(len(t), width)
+            reach[:-1] = np.where((np.diff(d) == 0) & (np.diff(i) == 0), np.minimum(width, np.diff(t)), width)
+            lengths = np.array([len(self.items[k]) for k in i[cuts].tolist()])
+            most = np.minimum(np.add.reduceat(reach, cuts), lengths) / lengths
+            names = np.array([self.ids[k] for k in i[cuts].tolist()], np.int64)
+            stops = np.r_[cuts[1:], len(d)]
+            # The most promising items first; one that cannot beat the best found is not tiled.
+            for c in np.lexsort((names, -most, d[cuts])).tolist():
+                doc, it = int(d[cuts[c]]), int(i[cuts[c]])
+                now = (-best[doc][0], best[doc][1] if best[doc][1] is not None else 1 << 63)
+                if (-most[c], self.ids[it]) >= now:
+                    continue
+                own_groups, own_places = group[cuts[c]:stops[c]], t[cuts[c]:stops[c]]
+                n = ends[own_groups] - first[own_groups]
+                at_doc = np.repeat(first[own_groups] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                seeds = np.stack([pos[at_doc] - starts[doc], np.repeat(own_places, n)], 1)
+                got = tile(ids[starts[doc]:starts[doc + 1]], self.items[it], seeds, width) / len(self.items[it])
+                if (-got, self.ids[it]) < now:
                     best[doc] = got, self.ids[it]
         return best
 
@@ -150,9 +173,11 @@ def with_coverage(docs: DataFrame, benchmark: DataFrame, coverage: str, item: st
         held = docs.sparkSession.sparkContext.broadcast(rows)
         now, name = fresh(out.columns, "tiled"), fresh(out.columns, "tiled_item")
 
-        def compute(texts, held=held):
+        def compute(texts, held=held, state={}):   # noqa: B006  (made once a task)
             import pyarrow as pa
-            got = Tests(held.value, width).covered(texts)
+            if "tests" not in state:
+                state["tests"] = Tests(held.value, width)
+            got = state["tests"].covered(texts)
             return [[c for c, _ in got], pa.array([i for _, i in got], pa.int64())]
 
         out = with_text_columns(out, {now: "double", name: "long"}, compute)

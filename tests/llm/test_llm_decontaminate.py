@@ -87,3 +87,29 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 12
     assert d.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert d.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_a_notice_that_many_items_share_is_not_paired_with_its_places():
+    """4,000 items with one notice and a text that repeats it 1,000 times: a second or so, not a minute."""
+    import time
+    notice = "all of this is shared"
+    items = [(i, f"own{i} words{i} here{i} and{i} there{i} more{i} {notice} tail{i}".encode()) for i in range(4000)]
+    tests = d.Tests(items)
+    start = time.perf_counter()
+    got = tests.covered([(f"{notice} " * 1000).encode(), items[17][1], b"nothing"])
+    assert got == [(5 / 12, 0), (1.0, 17), (0.0, None)] and time.perf_counter() - start < 5
+
+
+def test_the_best_item_equals_tiling_every_item():
+    draw = random.Random(7)
+    words = [f"w{k}" for k in range(6)]
+    for _ in range(60):
+        items = [(draw.randrange(50), " ".join(draw.choice(words) for _ in range(draw.randrange(1, 14)))) for _ in range(12)]
+        items = sorted({i: t for i, t in items}.items())
+        texts = [" ".join(draw.choice(words) for _ in range(draw.randrange(0, 50))) for _ in range(4)] + [items[0][1]]
+        got = d.Tests([(i, t.encode()) for i, t in items], 3).covered([t.encode() for t in texts])
+        for text, found in zip(texts, got):
+            doc = text.split()
+            covers = [(-plain_tiling(doc, t.split(), min(3, len(t.split()))) / len(t.split()), i) for i, t in items]
+            best = min(c for c in [*covers, (0.0, None)] if c[0] < 0 or c[1] is None) if any(c[0] < 0 for c in covers) else (0.0, None)
+            assert found == (-best[0], best[1])
