@@ -48,7 +48,7 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     from kolekta.operators import cubes, customers, filters, flow, history, ingest, mutations, paging, summary
-    from kolekta.plans import marts, tables
+    from kolekta.plans import indexes, marts, tables
     from kolekta.plans.payload import dashboard_payload
     from kolekta.sources.catalog import TableCatalog
     from kolekta.sources.fixtures import Fixtures
@@ -76,6 +76,7 @@ def main() -> None:
     store("ar_metrics_history_tbl", fx.metrics_history())
     # Open-item sheets arrive as landed files; the import starts there.
     landed("landing_open_items", lambda: fx.open_item_wide().write.parquet(f"{root}/landing/open_items"))
+    landed("ranks", lambda: indexes.build_ranks(cat.read_table("ar_segmen_ers_tbl"), f"{root}/ranks"))
     landed("mart", lambda: marts.refresh_mart(spark, cat.read_table("ar_segmen_ers_tbl"), f"{root}/mart"))
 
     inv = cat.read_table("ar_segmen_ers_tbl")
@@ -116,6 +117,11 @@ def main() -> None:
         "dashboard_payload": collect(lambda: dashboard_payload(
             inv, cust, cat.read_table("ar_cash_inflow_forecast_tbl"), cat.read_table("ar_trend_t13m_tbl"),
             cat.read_table("ar_metrics_history_tbl"))),
+        "dashboard_payload_mart": collect(lambda: dashboard_payload(
+            mart, cust, cat.read_table("ar_cash_inflow_forecast_tbl"), cat.read_table("ar_trend_t13m_tbl"),
+            cat.read_table("ar_metrics_history_tbl"))),
+        "kpi_cube_mart": collect(lambda: cubes.kpi_cube(mart)),
+        "ranked_page_deep": collect(lambda: indexes.ranked_page(inv, f"{root}/ranks", 4000)),
         "mart_kpi": collect(lambda: marts.mart_kpi(mart)),
         "mart_flow_levels": collect(lambda: flow.flow_levels(mart)),
         "stored_upsert_month": lambda: stored.upsert("ar_segmen_ers_tbl", in_month),
