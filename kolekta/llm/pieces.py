@@ -14,7 +14,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolekta.llm.common import read_table, with_text_columns
+from kolekta.llm.common import fresh, read_table, with_text_columns
 
 SPACE = "▁".encode()
 
@@ -221,9 +221,14 @@ def encode(docs: DataFrame, model: bytes | None = None, want: dict[str, str] | N
     source; decoded is the library's decode(ids). Digests are SHA-256 in
     lowercase hex: of the ids as little-endian unsigned 32-bit integers, of
     the begins then ends likewise, of the decoded UTF-8. Null text counts as
-    empty; every other column passes through.
+    empty; every other column passes through, and a new one whose name is
+    taken gets underscores behind it.
     """
     want = want or {k: k for k in KINDS if not k.endswith("sha256")}
+    taken = list(docs.columns)
+    for kind, name in want.items():
+        want = want | {kind: fresh(taken, name)}
+        taken.append(want[kind])
     held = docs.sparkSession.sparkContext.broadcast(model or default_model())
     state: dict = {}
 

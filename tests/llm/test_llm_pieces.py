@@ -74,3 +74,11 @@ def test_odd_rows(spark):
     for r in rows:
         assert r.n_tokens == len(r.ids) == len(r.begins) == len(r.ends) and r.decoded == (r.text or "").replace("▁", " ")
     assert pieces.encode(docs.limit(0)).count() == 0
+
+
+def test_new_columns_keep_off_taken_names(spark):
+    docs = spark.createDataFrame([(1, "some words", "mine", 7)], "doc_id long, text string, ids string, N_tokens int")
+    rows = pieces.encode(docs)
+    assert rows.columns == [*docs.columns, "n_tokens_", "ids_", "begins", "ends", "decoded"]
+    r = rows.first()
+    assert (r.ids, r["N_tokens"], r.decoded) == ("mine", 7, "some words") and r.n_tokens_ == len(r.ids_) > 2
