@@ -121,7 +121,8 @@ def unpivot_cells(wide: DataFrame, colmap: DataFrame, keep: tuple[str, ...] = ()
         fields = ", ".join(f"'{n}', c.{n}" for n in names.split(", ")[:4])
         cells = (f"filter(transform({cells}, c -> named_struct({fields}, 'v', {amount_sql('c.raw')})), "
                  f"c -> coalesce(c.v <> 0, {is_number_sql('c.raw')}))")
-    return wide.selectExpr("row_idx", *map(_quoted, keep), f"inline({cells}) AS ({names})")
+    # The outer form: for the other Spark adds a filter on the array's size, which would parse every cell once more.
+    return wide.selectExpr("row_idx", *map(_quoted, keep), f"inline_outer({cells}) AS ({names})").where("pos IS NOT NULL")
 
 
 def coerce_amount(cells: DataFrame) -> DataFrame:

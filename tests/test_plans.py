@@ -71,3 +71,19 @@ def test_paging_is_a_per_task_top_n(stored):
     assert "Exchange rangepartitioning" not in p
     known = plan(paging.detail_page(filters.drilldown(inv, "status", "AR BERMASALAH"), 3, records=60))
     assert known.count("FileScan parquet") == 1
+
+
+def test_import_leaves_the_wide_rows_where_they_are(spark, tmp_path_factory):
+    """The list of sheets is what is broadcast; the wide table has no exchange; each amount is parsed once."""
+    from kolekta.operators import ingest
+    fx = Fixtures(spark, SF)
+    path = str(tmp_path_factory.mktemp("wide"))
+    fx.open_item_wide().repartition(6).write.mode("overwrite").parquet(path)
+    facts = ingest.import_open_items(spark.read.parquet(path), fx.open_item_header())
+    p = plan(facts)
+    assert "BuildRight" in p and "BuildLeft" not in p
+    # The only exchanges stand below the broadcast of the chosen sheets (their distinct names).
+    before = p[:p.index("BroadcastExchange")]
+    assert "Exchange" not in before.replace("BroadcastExchange", "")
+    assert facts.rdd.getNumPartitions() > 1
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("try_cast(") == 1   # each amount is parsed once
