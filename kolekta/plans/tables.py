@@ -22,7 +22,7 @@ from kolekta import schemas
 from kolekta.operators.ingest import import_report
 from kolekta.operators.mutations import append_rows, delete_rows, keys_of, update_rows, upsert_rows
 from kolekta.plans.versions import (ConcurrentWriteError, Conflict, difference, expire, history, keep_feed, publish, read_current,  # noqa: F401
-                                    read_pointer, read_version, rebalanced, remove, stage, table_changes, versions,
+                                    read_pointer, read_version, rebalanced, remove, schema_of, stage, table_changes, versions,
                                     write_version)
 
 #: Runs of a change against other writers of the same partitions before it gives up.
@@ -61,10 +61,12 @@ def change(spark: SparkSession, path: str, changes: DataFrame, mutate, pk, part:
     if touched == []:
         return pinned
     for _ in range(ATTEMPTS):
-        old = read_version(spark, path, pinned, schema, touched)
+        # Columns that the table has beyond the schema (a later layout's, the stream's file) stay.
+        more = [f for f in (schema_of(pinned).fields if pinned else []) if f.name not in schema.names]
+        old = read_version(spark, path, pinned, StructType([*schema.fields, *more]), touched)
         made = stage(mutate(old, changes).select(*old.columns), path, pinned, part)
         new_pointer = {"folders": made["folders"], "whole": made["name"]}
-        kept = keep_feed(_images(old, read_version(spark, path, new_pointer, schema), changes, pk), path) if feed else None
+        kept = keep_feed(_images(old.select(*schema.names), read_version(spark, path, new_pointer, schema), changes, pk), path) if feed else None
         try:
             return publish(spark, path, pinned, made, part, touched if part else [None], operation, facts, kept)
         except Conflict as lost:

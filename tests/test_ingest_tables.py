@@ -338,6 +338,8 @@ def test_stream_keeps_a_change_that_overlaps_a_batch(spark, scratch, monkeypatch
     folder_ingest.merge_batch(spark, batch(4, "3e9"), header, path, 1)
     assert sorted(r[3] for r in _got(tables.read_current(spark, path, schemas.INVOICE))) == [1.0, 3.0, 5.0]
     assert folder_ingest.claims(tables.read_pointer(spark, path)) == {"Juli 2026": (3, "OI 202607")}
+    whole = tables.read_current(spark, path)   # a keyed change keeps the column that the stream added
+    assert sorted((float(r.nilai_m), r.land_file) for r in whole.collect()) == [(1.0, ""), (3.0, ""), (5.0, None)]
 
 
 def test_stream_replays_harmlessly(spark, scratch):
