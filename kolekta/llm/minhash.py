@@ -90,14 +90,14 @@ def band_keys(signatures, bands: int, rows: int):
 
 
 def sketches(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, bands) of every row of ``docs(doc_id, text)``:
+    """(doc_id, text_hash, n_shingles, d1, d2, bands) of every row of ``docs(doc_id, text)``:
     the size of its set, a 128-bit digest of it, and its bucket names (none for an empty set)."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_128_digest
         for b in batches:
-            sets = [shingle_set(t, shingle_words) for t in byte_texts(b.column(1))]
+            sets = [shingle_set(t, shingle_words) for t in byte_texts(b.column(2))]
             digest = np.array([np.frombuffer(xxh3_128_digest(s.tobytes()), np.int64) for s in sets]).reshape(-1, 2)
             full = [i for i, s in enumerate(sets) if len(s)]
             keys = band_keys(np.array([signature(sets[i], bands * rows) for i in full], np.uint32).reshape(
@@ -106,15 +106,16 @@ def sketches(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = B
             counts[1:][full] = bands
             named = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(digest[:, 0].copy()),
-                 pa.array(digest[:, 1].copy()), named], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+                [b.column(0), b.column(1), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(digest[:, 0].copy()),
+                 pa.array(digest[:, 1].copy()), named], ["doc_id", "text_hash", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, shingles) of the nodes of ``wanted(doc_id, d1, d2, node)``, each from one document that has its set."""
+    """(node, shingles) of the nodes of ``wanted(doc_id, text_hash, d1, d2, node)``, each from a document that has
+    its set. The text's hash is part of the key, so that an id with many texts meets each of them once."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -130,8 +131,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(4).take(pa.array(nodes, pa.int64())), pa.array(sets, pa.binary())],
                                              ["node", "shingles"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = named.join(wanted, named.doc_id.eqNullSafe(wanted.doc_id)).select(
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    same = named.doc_id.eqNullSafe(wanted.doc_id) & (named.text_hash == wanted.text_hash)
+    found = named.join(wanted, same).select(
         named.doc_id, "text", "d1", "d2", "node").mapInArrow(run, "node long, shingles binary")
     return found.dropDuplicates(["node"])  # a repeated row gives its set again
 
@@ -237,12 +239,13 @@ def minhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent:
     drawn = stored(sketches(docs, shingle_words, bands, rows), "sketches")
     slim = drawn.select("doc_id", "n_shingles", "d1", "d2")
     nodes = stored(drawn.where("n_shingles > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"),
+        F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     marks = nodes.select(F.posexplode("bands").alias("band", "key"), "node", F.col("n"))
     shared = marks.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     marks = stored(marks.join(shared, "key").select("band", "key", "node", "n"), "marks")
-    wanted = nodes.select("doc_id", "d1", "d2", "node").join(marks.select("node").distinct(), "node")
+    wanted = nodes.select("one.doc_id", "one.text_hash", "d1", "d2", "node").join(marks.select("node").distinct(), "node")
     sets = stored(_sets(docs, wanted, shingle_words), "sets")
     roots = components(stored(links(marks, sets, percent), "all_links"))
     named = nodes.join(roots, nodes.node == roots.u, "left").select(

@@ -73,6 +73,14 @@ def test_near_copies_chains_and_repeated_ids(spark, monkeypatch, tile):
     assert got(spark, rows) == sorted(map(str, plain_groups(rows)))
 
 
+def test_ids_that_many_texts_share(spark):
+    """One id, and null, with many texts: every text meets its own set."""
+    draw = random.Random(4)
+    base = [[f"w{draw.randrange(900)}" for _ in range(40)] for _ in range(20)]
+    rows = [(i, " ".join([*b[:39], f"x{k}"])) for b in base for k in range(3) for i in (7, None, 7)]
+    assert got(spark, rows) == sorted(map(str, plain_groups(rows)))
+
+
 def test_signature_estimates_the_similarity():
     draw = np.random.default_rng(1)
     shared = draw.integers(0, 1 << 63, 800, np.uint64)
