@@ -616,6 +616,10 @@ def _dashboard_payload(spark, sf):
 _CORRECTED = _BASE.replace("case when o_orderkey % 5 = 0 then 'Follow up' end", "case when o_orderkey % 50 = 0 then 'Corrected' when o_orderkey % 5 = 0 then 'Follow up' end")
 
 
+#: Bytes of a row group of a landed Parquet file: what one task reads of it.
+LANDED_GROUP = 8 << 20
+
+
 @register("stream_ingest", f"{_CORRECTED} " + fact_select("imp"))
 def _stream_ingest(spark, sf):
     """Land the wide sheet rows as several files and a correction of some rows,
@@ -632,6 +636,6 @@ def _stream_ingest(spark, sf):
     fs.mkdirs(folder)
     part = next(n for n in _names(spark, f"{root}/correction") if n.endswith(".parquet"))
     fs.rename(jvm.org.apache.hadoop.fs.Path(f"{root}/correction/{part}"), jvm.org.apache.hadoop.fs.Path(f"{landing}/zz-{part}"))
-    wide.repartition(3, "sheet").write.mode("append").parquet(landing)
+    wide.repartition(3, "sheet").write.option("parquet.block.size", LANDED_GROUP).mode("append").parquet(landing)
     return out(stream_ingest(spark, landing, f"{root}/table", f"{root}/_checkpoint", fx.open_item_header(),
                              spark.read.parquet(landing).schema, files_per_batch=1))

@@ -80,6 +80,12 @@ def _commit(spark: SparkSession, path: str, facts: DataFrame, coming: dict, pinn
         raise
 
 
+def dealt(batch: DataFrame) -> DataFrame:
+    """The rows of a batch dealt to all tasks by their place on the sheet: a landed file of a single
+    row group, whatever its size, is read by one task, which would import all of it."""
+    return batch.repartition(*[c for c in ("sheet", "row_idx") if c in batch.columns])
+
+
 def merge_batch(spark: SparkSession, batch: DataFrame, header: DataFrame, table_path: str, epoch_id: int,
                 sheets: DataFrame | None = None, mart_path: str | None = None) -> None:
     """Import one batch of wide sheet rows (with ``land_file``, if they have one) into the stored table.
@@ -98,7 +104,7 @@ def merge_batch(spark: SparkSession, batch: DataFrame, header: DataFrame, table_
     coming = {r["report_month"]: (r["sheet_pos"], r["sheet"]) for r in chosen_sheets(batch, sheets).collect()}
     present = spark.createDataFrame([(s, p) for p, s in coming.values()], "sheet string, sheet_pos int")
     # The import runs once a batch: its cells are kept in the shared folder until they are merged.
-    cells = import_cells(batch, header, sheets, present=present, keep=(FILE,))
+    cells = import_cells(dealt(batch), header, sheets, present=present, keep=(FILE,))
     kept, checked = scratch_path(spark, "batch"), scratch_path(spark, "batch")
     cells.write.parquet(kept)
     cells = spark.read.schema(cells.schema).parquet(kept)

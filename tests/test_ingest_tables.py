@@ -293,6 +293,23 @@ def test_stream_does_not_depend_on_batches(spark, scratch):
     assert spark.read.parquet(f"{path}_log").agg(F.sum("records")).first()[0] >= 3
 
 
+def test_import_of_a_batch_is_dealt_to_all_tasks(spark, scratch, monkeypatch):
+    """A landed file of one row group is read by one task, which must not import all of it."""
+    from kolekta.streaming import folder_ingest
+    plans = []
+
+    def import_cells(batch, *args, **kw):
+        plans.append(batch._jdf.queryExecution().optimizedPlan().toString())
+        return ingest.import_cells(batch, *args, **kw)
+
+    monkeypatch.setattr(folder_ingest, "import_cells", import_cells)
+    header = spark.createDataFrame([(0, "CA", None), (1, "a", "KONTRAK")], "idx int, name string, label string")
+    rows = spark.createDataFrame([(k, "OI 202607", 3, str(k), "1e9") for k in range(50)],
+                                 "row_idx long, sheet string, sheet_pos int, CA string, a string")
+    assert _stream(spark, scratch, "dealt", [rows], header)[0].count() == 50
+    assert plans and all(p.startswith("RepartitionByExpression [sheet") for p in plans)
+
+
 def test_stream_of_repeated_keys_in_any_order_and_grouping(spark, scratch):
     """Files of one sheet that hold the same rows: every order and grouping of them gives one table."""
     import itertools
