@@ -130,23 +130,37 @@ _PLACE = f"row_number() over (partition by o_orderkey % {len(_SHEETS)} order by
 _LANDED = _BASE.replace("o_orderkey as row_idx", f"({_PLACE}) + ({_PLACE}) // {_EMPTY_AFTER} as row_idx")
 
 
+#: Source numbers whose rows of a sheet are put in order together.
+_LANDED_RANGE = 100_000
+
+
 def land_sheets(fx, root: str, sheets: list[str]) -> list[tuple[str, str]]:
-    """Write the stand-in sheets as CSV files, cells as they stand: labels, a title, untidy names, the rows
-    in order, an empty line now and then; [(sheet, path)] in workbook order."""
+    """Write the stand-in sheets as CSV, cells as they stand: labels, a title, untidy names, the rows
+    in order, an empty line now and then; [(sheet, path)] in workbook order.
+
+    A sheet is a folder of files that follow each other by name. Places are counted within ranges of the
+    source number and over the ranges, so that no task orders or writes a whole sheet."""
     header = {(r["sheet"], r["idx"]): (r["name"], r["label"]) for r in fx.open_item_header().collect()}
     names = [header[sheets[0], k][0] for k in range(len(header) // len(sheets))]
-    place = Window.partitionBy("sheet").orderBy("row_idx")
-    rows = fx.open_item_wide().withColumn("place", F.row_number().over(place)).select(
-        "sheet", "place", F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]), CSV_CELLS).alias("line"))
+    at = F.expr("array_position(array(" + ", ".join(map(q, sheets)) + "), sheet) - 1").cast("int")
+    wide = fx.open_item_wide().where(F.col("sheet").isin(sheets)).withColumns(
+        {"at": at, "range": F.floor(F.col("row_idx") / _LANDED_RANGE)})
+    before = Window.partitionBy("at").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = wide.groupBy("at", "range").agg(F.count("*").alias("n")).select(
+        "at", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("at", "range").orderBy("row_idx"))
+    rows = (wide.select("at", "range", "row_idx", F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]), CSV_CELLS).alias("line"))
+            .withColumn("own", own).join(ranges, ["at", "range"]).withColumn("place", F.col("before") + F.col("own")))
     empty = F.when(F.col("place") % _EMPTY_AFTER == 0, F.array(F.col("line"), F.lit(""))).otherwise(F.array("line"))
-    rows = rows.select("sheet", "place", F.posexplode(empty).alias("k", "value"))
-    for sheet in sheets:
+    rows = rows.select("at", "place", F.posexplode(empty).alias("k", "value"))
+    top = []
+    for pos, sheet in enumerate(sheets):
         labels = ",".join(header[sheet, k][1] or "" for k in range(len(names)))
-        top = [(-3, labels), (-2, "Open items,,"), (-1, ",".join(f" {n} " for n in names))]
-        top = fx.spark.createDataFrame([(p, 0, v) for p, v in top], "place int, k int, value string")
-        (top.unionByName(rows.where(F.col("sheet") == sheet).select("place", "k", "value")).orderBy("place", "k")
-         .coalesce(1).select("value").write.text(f"{root}/{sheets.index(sheet)}"))
-    return [(sheet, f"{root}/{k}") for k, sheet in enumerate(sheets)]
+        top += [(pos, -3, 0, labels), (pos, -2, 0, "Open items,,"), (pos, -1, 0, ",".join(f" {n} " for n in names))]
+    top = fx.spark.createDataFrame(top, "at int, place long, k int, value string")
+    lines = top.unionByName(rows).repartitionByRange("at", "place", "k").sortWithinPartitions("at", "place", "k")
+    lines.select("at", "value").write.partitionBy("at").text(root)
+    return [(sheet, f"{root}/at={pos}") for pos, sheet in enumerate(sheets)]
 
 
 @register("landed_import", f"{_LANDED} " + fact_select("imp"))

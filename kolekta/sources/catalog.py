@@ -105,16 +105,23 @@ def sheet_records(spark: SparkSession, path: str) -> DataFrame:
 
     A record is a line, or several that a quoted cell joins; empty lines are
     records too. Lines end with a line feed, or with a return and a line feed.
-    Spark reads the file in splits. Each counts its lines and quotation
+    Files of a folder follow each other by name. Spark reads them in splits. Each counts its lines and quotation
     marks; running totals of the splits, a row each on the driver, tell where a split
     stands in the file and whether it starts within a quoted cell.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("start"), "value")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
     marks = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    splits = sorted(lines.groupBy("file", "start").agg(F.sum(marks).alias("m")).collect(), key=lambda r: (r["file"], r["start"]))
+    files = {f: k << 44 for k, f in enumerate(sorted({r["file"] for r in splits}))}   # a file's splits lie below 2**44
     odd, inside = 0, {}
-    for r in sorted(lines.groupBy("start").agg(F.sum(marks).alias("m")).collect(), key=lambda r: r["start"]):
-        inside[r["start"]] = odd
+    for r in splits:
+        inside[files[r["file"]] + r["start"]] = odd
         odd = (odd + r["m"]) % 2
+    if len(files) > 1:
+        known = F.create_map(*[F.lit(x) for pair in files.items() for x in pair])
+        lines = lines.withColumn("start", F.col("start") + F.element_at(known, F.col("file")))
+    lines = lines.select("start", "value")
 
     def number(batches):
         import numpy as np
@@ -138,12 +145,14 @@ def sheet_records(spark: SparkSession, path: str) -> DataFrame:
 
     numbered = lines.mapInArrow(number, "start long, record long, line long, goes_on boolean, value string")
     before, table = 0, []
-    for r in sorted(numbered.groupBy("start").agg(F.count(F.when(~F.col("goes_on"), 1)).alias("n")).collect(),
-                    key=lambda r: r["start"]):
+    counted = numbered.groupBy("start").agg(F.count(F.when(~F.col("goes_on"), 1)).alias("n"), F.count("*").alias("lines")).collect()
+    for r in sorted(counted, key=lambda r: r["start"]):
         table.append((r["start"], before))
         before += r["n"]
     table = spark.createDataFrame(table, "start long, before long")
     placed = numbered.join(F.broadcast(table), "start").withColumn("record", F.col("record") + F.col("before"))
+    if before == sum(r["lines"] for r in counted):   # every line is a record: nothing to join, so no shuffle of the texts
+        return placed.select("record", F.regexp_replace("value", r"\r\z", "").alias("text"))
     # Lines that a quoted cell joins to a record, as many as a cell has, in the order of the file.
     rest = placed.where("goes_on").groupBy("record").agg(F.sort_array(F.collect_list(F.struct("start", "line", "value"))).alias("rest"))
     text = F.concat_ws("\n", "value", F.transform(F.coalesce("rest", F.array()), lambda x: x["value"]))

@@ -433,6 +433,21 @@ def test_rows_are_numbered_alike_in_any_splits(spark, scratch, ends):
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
 
 
+def test_files_of_a_sheet_follow_each_other_by_name(spark, scratch):
+    """A sheet in several files is one run of records, also where a quoted cell goes on in the next file."""
+    from kolekta.sources.catalog import read_sheet
+    for name, quoted in (("plain", False), ("quoted", True)):
+        folder = os.path.join(scratch, name)
+        os.makedirs(folder)
+        for file, text in (("part-1", "a0,1\n\n"), ("part-0", ",KONTRAK\na title\nNAME,Aging\n"),
+                           ("part-2", 'a2,"3\n' if quoted else "a2,3\n"), ("part-3", '4"\na3,5\n' if quoted else "a3,5\n")):
+            with open(os.path.join(folder, file), "w") as f:
+                f.write(text)
+        wide, _ = read_sheet(spark, folder, "OI 202606", 0)
+        assert sorted((r.row_idx, r.NAME, r.Aging) for r in wide.collect()) == [
+            (0, "a0", "1"), (1, None, None), (2, "a2", "3\n4" if quoted else "3"), (3, "a3", "5")]
+
+
 def test_customers_of_one_cut_name_are_one(spark):
     from kolekta.operators.customers import customer_rollup
     df = invoices(spark, [("K1", "Within Due", None, None, None, 1.0), ("K2", "Within Due", None, None, None, 2.0)])
