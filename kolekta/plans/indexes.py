@@ -3,6 +3,9 @@ filters, a trigram index for the search box, a rank index for deep pages."""
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from kolekta.functions import sql_str
 from kolekta.operators.filters import search_invoices, search_sql
 from kolekta.plans.versions import publish, read_current, read_pointer, stage
 
+# Functions that run in tasks are pickled by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- clustering -------------------------------------------------------------------
 
 CLUSTER_COLUMNS = ("pengelolaan", "region", "status_tagih")
@@ -60,25 +66,103 @@ def write_clustered(df: DataFrame, table_dir: str, partition_by: str = "report_m
 # --- search -----------------------------------------------------------------------
 
 GRAM = 3
-
-
-def _grams(text: str) -> str:
-    """SQL array of the distinct trigrams of a text expression."""
-    return f"array_distinct(transform(sequence(1, greatest(length({text}) - {GRAM - 1}, 0)), i -> substr({text}, i, {GRAM})))"
+#: Rows of a segment of the postings; a row's place in it is a short.
+SEGMENT = 1 << 14
+
+
+def _segment(columns: list):
+    """(grams, bounds, places): the distinct trigrams of some rows in code point order; the rows that hold
+    ``grams[k]`` in any of ``columns`` (Arrow strings) are ``places[bounds[k]:bounds[k + 1]]``, ascending.
+
+    Each distinct value of a column is cut once."""
+    import numpy as np
+    cut = []
+    for c in columns:
+        d = c.dictionary_encode()
+        values = d.dictionary.to_pylist()
+        code = np.frombuffer("".join(values).encode("utf-32-le"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, values), np.int64, len(values))
+        n = np.maximum(size - (GRAM - 1), 0)
+        first = np.cumsum(n) - n
+        at = np.repeat(np.cumsum(size) - size - first, n) + np.arange(int(n.sum()))
+        rows = np.flatnonzero(d.indices.is_valid().to_numpy(zero_copy_only=False))
+        value = d.indices.drop_null().to_numpy()
+        gram = np.zeros(len(at), np.int64)
+        for k in range(GRAM):
+            gram = gram << 21 | code[at + k]
+        cut.append((gram, rows, n[value], first[value]))
+    grams, rank = np.unique(np.concatenate([g for g, *_ in cut]), return_inverse=True)
+    found, before = [], 0
+    for gram, rows, n, first in cut:
+        at = np.repeat(before + first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        found.append(rank[at] * SEGMENT + np.repeat(rows, n))
+        before += len(gram)
+    found = np.sort(np.concatenate(found))   # np.unique hashes, which takes many times as long on such numbers
+    found = found[np.append(True, found[1:] != found[:-1])] if len(found) else found
+    bounds = np.searchsorted(found, np.arange(len(grams) + 1) * SEGMENT)
+    letters = np.stack([grams >> 21 * (GRAM - 1 - k) & (1 << 21) - 1 for k in range(GRAM)], 1)
+    letters = letters.astype("<u4").tobytes().decode("utf-32-le")
+    return [letters[k:k + GRAM] for k in range(0, len(letters), GRAM)], bounds, (found % SEGMENT).astype(np.int16)
 
 
 def postings(inv: DataFrame, columns: tuple[str, ...] = vocab.SEARCH_COLUMNS, key: str = "invoice_id",
              month: str = "report_month") -> DataFrame:
-    """(report_month, gram, invoice_id): the trigrams of the searchable columns of every row, in lower case."""
-    each = ", ".join(f"if(length(lower({c})) >= {GRAM}, {_grams(f'lower({c})')}, array())" for c in columns)
-    return inv.selectExpr(month, f"explode(array_distinct(flatten(filter(array({each}), x -> x is not null)))) as gram", key)
+    """(report_month, segment, gram, places, keys): the trigrams of the searchable columns, in lower case, and the rows that hold them.
+
+    Rows are dealt by month, and a segment is at most SEGMENT rows of one: its row of the empty gram holds
+    their keys, every other row the places, within those keys, of the rows with that gram. Only the rows are
+    shuffled, not their trigrams; a month of any size is several segments."""
+    texts = [F.lower(F.col(c).cast("string")).alias(f"_t{k}") for k, c in enumerate(columns)]
+    rows = inv.select(F.col(month).alias("report_month"), F.col(key).cast("string").alias("_key"), *texts)
+    rows = rows.hint("rebalance", "report_month").sortWithinPartitions("report_month")
+
+    def run(batches):
+        import itertools
+
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        def made(parts, number):
+            t = pa.Table.from_batches(parts).combine_chunks()
+            column = [t.column(k).combine_chunks() for k in range(t.num_columns)]
+            grams, bounds, places = _segment(column[2:])
+            size = len(grams) + 1
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.full(size, t.num_rows)]), pa.int32()), column[1])
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], bounds]), pa.int32()), pa.array(places))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([column[0][0].as_py()] * size, pa.string()), pa.array(np.full(size, number, np.int64)),
+                 pa.array(["", *grams], pa.string()), held, keys], ["report_month", "segment", "gram", "places", "keys"])
+
+        number = itertools.count(TaskContext.get().partitionId() << 32)
+        waiting, n, month_ = [], 0, None
+        for b in batches:
+            months = b.column(0).dictionary_encode(null_encoding="encode")
+            values, change = months.dictionary.to_pylist(), months.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(change[1:] != change[:-1]) + 1).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                if a < z and n and values[change[a]] != month_:
+                    yield made(waiting, next(number))
+                    waiting, n = [], 0
+                while a < z:
+                    taken = min(z - a, SEGMENT - n)
+                    month_ = values[change[a]]
+                    waiting.append(b.slice(a, taken))
+                    a, n = a + taken, n + taken
+                    if n == SEGMENT:
+                        yield made(waiting, next(number))
+                        waiting, n = [], 0
+        if n:
+            yield made(waiting, next(number))
+
+    return rows.mapInArrow(run, "report_month string, segment long, gram string, places array<short>, keys array<string>")
 
 
 def build_search(inv: DataFrame, path: str, months: list | None = None) -> None:
-    """Write the postings (of some months only, after a change of those), sorted by trigram within a month."""
+    """Write the postings (of some months only, after a change of those), sorted by trigram within a segment."""
     spark = inv.sparkSession
     rows = inv if months is None else inv.where(F.col("report_month").isin(months))
-    rows = postings(rows).repartitionByRange("report_month", "gram", "invoice_id").sortWithinPartitions("report_month", "gram")
+    rows = postings(rows).sortWithinPartitions("report_month", "segment", "gram")
     pinned = read_pointer(spark, path)
     made = stage(rows, path, pinned, "report_month", dealt=True, row_group=ROW_GROUP)
     publish(spark, path, pinned, made, "report_month", months if pinned else None, "index")
@@ -94,12 +178,18 @@ def indexed_search(inv: DataFrame, path: str, q: str | None) -> DataFrame:
     if len(needle) < GRAM:
         return search_invoices(inv, q)
     grams = sorted({needle[i:i + GRAM] for i in range(len(needle) - GRAM + 1)})
-    held = read_current(inv.sparkSession, path).where(F.col("gram").isin(grams))
-    candidates = held.groupBy("report_month", "invoice_id").agg(F.count("*").alias("_grams")).where(
-        F.col("_grams") >= len(grams)).select(F.col("report_month").alias("_month"), F.col("invoice_id").alias("_id"), "_grams")
+    held = read_current(inv.sparkSession, path).where(F.col("gram").isin(["", *grams]))
+    lists = held.groupBy("report_month", "segment").agg(
+        F.collect_list(F.when(F.col("gram") != "", F.col("places"))).alias("lists"),
+        F.max(F.when(F.col("gram") == "", F.col("keys"))).alias("keys")).where(F.size("lists") == len(grams))
+    both = "aggregate(slice(lists, 2, size(lists)), lists[0], (a, b) -> array_intersect(a, b))"
+    ids = lists.select("report_month", F.explode(F.expr(f"transform({both}, i -> keys[i])")).alias("id"))
+    # A key that several rows share is one candidate, and all of its rows are checked.
+    candidates = ids.groupBy("report_month", "id").agg(F.count("*").alias("_hits")).select(
+        F.col("report_month").alias("_month"), F.col("id").alias("_id"), "_hits")
     same = inv["invoice_id"].eqNullSafe(F.col("_id")) & inv["report_month"].eqNullSafe(F.col("_month"))
     # The check names a column of the candidates, so it stays above the join: only they reach it.
-    checked = f"CASE WHEN _grams >= {len(grams)} THEN {search_sql(q)} ELSE false END"
+    checked = f"CASE WHEN _hits > 0 THEN {search_sql(q)} ELSE false END"
     return inv.join(candidates, same).where(F.expr(checked)).select(*inv.columns)
 
 

@@ -8,7 +8,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from kolekta import schemas
+from kolekta import schemas, vocab
 from kolekta.operators.filters import search_invoices
 from kolekta.operators.paging import detail_page
 from kolekta.plans import indexes, tables
@@ -66,6 +66,27 @@ def test_indexed_search_finds_what_the_scan_finds(spark, tmp_path_factory, inv,
     assert rows(indexes.indexed_search(table, path, needle)) == rows(search_invoices(table, needle))
 
 
+def test_postings_are_lists_by_segment_and_shuffle_rows_alone(spark, inv, monkeypatch):
+    monkeypatch.setattr(indexes, "SEGMENT", 5)
+    table = inv.limit(900).unionByName(inv.limit(3).withColumns({
+        "invoice_id": F.lit(None).cast("string"), "report_month": F.lit(None).cast("string"), "customer_name": F.lit("Ü\U0001f600x")}))
+    made = indexes.postings(table)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "RebalancePartitions" in plan[plan.index("MapInArrow"):]
+    lists = made.collect()
+    got, keys = set(), {(r.report_month, r.segment): r["keys"] for r in lists if r.gram == ""}
+    for r in lists:
+        assert r.gram == "" or (len(r.gram) == 3 and list(r.places) == sorted(set(r.places)))
+        got |= {(r.report_month, r.gram, keys[r.report_month, r.segment][k]) for k in r.places}
+    want = set()
+    for r in table.collect():
+        for text in (r[c] for c in vocab.SEARCH_COLUMNS):
+            low = (text or "").lower()
+            want |= {(r.report_month, low[i:i + 3], r.invoice_id) for i in range(len(low) - 2)}
+    assert got == want and sum(map(len, keys.values())) == 903 and max(map(len, keys.values())) <= 5
+    assert len(keys) > len({m for m, _ in keys}) and indexes.postings(table.limit(0)).count() == 0
+
+
 _built = {}
 
 
