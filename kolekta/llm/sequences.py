@@ -27,6 +27,13 @@ END = 1
 TEXT_BYTES, SHARD_BYTES = 1 << 20, 16 << 20
 #: Stands for a null id where ranges are told apart.
 LEAST = -1 << 63
+#: Marks that may end a word of letters (no apostrophe: what follows one can belong to it), at most LONGEST_TAIL of them.
+MARKS, LONGEST_TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", 3
+#: Bytes of texts that composition leaves alone: ASCII, and the letters U+00C0 to U+00FF.
+COMPOSED = bytes([*range(128), 0xC3, *range(0x80, 0xC0)])
+#: Bytes of words of letters up to U+00FF, and of those in lower case (no bytes of the signs U+00D7 and U+00F7).
+LETTERS = bytes([*range(65, 91), *range(97, 123), 0xC3, *(c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7))])
+LOWERED = bytes([*range(97, 123), 0xC3, *(c for c in range(0x9F, 0xC0) if c != 0xB7)])
 #: Words whose ids a Python worker remembers; beyond that it keeps the half used most.
 REMEMBERED = 400_000
 
@@ -37,9 +44,10 @@ class WordCodec:
     For such a tokenizer the ids of a text are those of its words one after
     the other, so a word is encoded by the library once and remembered. When
     REMEMBERED words are, those that came up most often stay. Where the
-    tokenizer lowers letters, and splits a mark off the letters before it, a
-    word of ASCII letters is encoded in lower case and without its last mark,
-    by the library's model alone where nothing else touches it. Raises for a tokenizer that keeps white space.
+    tokenizer lowers letters, and splits marks off the letters before them, a
+    word of letters up to U+00FF is encoded in lower case and without its last marks,
+    by the library's model alone where nothing else touches it; which of this
+    holds is asked of the library. Raises for a tokenizer that keeps white space.
     """
 
     def __init__(self, tokenizer_json: str, add_special_tokens: bool = False):
@@ -52,43 +60,76 @@ class WordCodec:
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=self.special).ids
         if ids("ab c") != ids("ab") + ids("c") or ids(" \t\n") != []:
             raise ValueError("the tokenizer does not drop white space")
-        marks, pre, norm = ".,;:!?", self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
-        self.lower = norm is not None and norm.normalize_str("ABXZ") == "abxz"
-        self.tails = {c.encode(): ids(c)[0] for c in marks if len(ids(c)) == 1 and pre is not None and all(
-            [at for _, at in pre.pre_tokenize_str(w + c)] == [(0, len(w)), (len(w), len(w) + 1)] for w in ("ab", "s", "the"))}
+        pre, norm = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        self.pre, self.norm = pre, (norm.normalize_str if norm is not None else lambda t: t)
+        self.lower = self.norm("ABXZ") == "abxz"
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         plain = "abcdefghijklmnopqrstuvwxyz"
-        self.direct = (not self.special and (norm is None or norm.normalize_str(plain) == plain)
+        self.direct = (not self.special and self.norm(plain) == plain
                        and pre is not None and pre.pre_tokenize_str(plain) == [(plain, (0, len(plain)))])
-
-    def _core(self, word: bytes) -> tuple[bytes, int]:
-        """(word to encode, id that follows or -1) with the same ids as ``word``."""
-        tail = self.tails.get(word[-1:], -1)
-        core = word if tail < 0 else word[:-1]
-        if not core.isalpha():   # ASCII letters only
-            return word, -1
-        return (core.lower() if self.lower else core), tail
+        self.bytes = self._byte_letters() if self.direct else None
+        self.lowered = LOWERED if self.bytes else LOWERED[:26]
+        self.tails: dict[bytes, bool] = {}
+        for c in b".,;:!?":
+            self._splits(bytes([c]))
+
+    def _byte_letters(self) -> dict[int, str] | None:
+        """What the pre-tokenizer makes of each byte of the letters U+00DF to U+00FF; None where it or the normaliser does more."""
+        upper, low = ("".join(chr(c) for c in r if chr(c).isalpha()) for r in (range(0xC0, 0xDF), range(0xDF, 0x100)))
+        every = upper + low + upper[::-1] + low[::-1]
+        if self.norm(every) != (every.lower() if self.lower else every):
+            return None
+        pieces = self.pre.pre_tokenize_str("ab" + low + "z" + low[::-1])
+        raw = ("ab" + low + "z" + low[::-1]).encode()
+        if len(pieces) != 1 or len(pieces[0][0]) != len(raw):
+            return None
+        made = dict(zip(raw, pieces[0][0]))
+        return made if [made[c] for c in raw] == list(pieces[0][0]) else None
+
+    def _splits(self, tail: bytes) -> bool:
+        """Whether the library leaves the marks as they are and makes them one piece after letters."""
+        if tail not in self.tails:
+            t = tail.decode()
+            self.tails[tail] = self.direct and self.norm("ab" + t) == "ab" + t and all(
+                [at for _, at in self.pre.pre_tokenize_str(w + t)] == [(0, len(w)), (len(w), len(w + t))] for w in ("ab", "s", "the"))
+        return self.tails[tail]
+
+    def _core(self, word: bytes) -> tuple[bytes, bytes]:
+        """(word to encode, marks that follow) with the same ids one after the other as ``word``."""
+        core = word.rstrip(MARKS)
+        tail = word[len(core):]
+        if tail and (len(tail) > LONGEST_TAIL or not self._splits(tail)):
+            return word, b""
+        if core.isalpha():   # ASCII letters only
+            return (core.lower() if self.lower else core), tail
+        if core and self.bytes and not core.translate(None, LETTERS):
+            return (core.decode().lower().encode() if self.lower else core), tail
+        return word, b""
 
     def _learn(self, words: list[bytes]) -> None:
+        import itertools
+
         import numpy as np
-        split = [self._core(w) for w in words]
-        cores = list(dict.fromkeys(c for c, _ in split if c not in self.place))
-        plain = [c for c in cores if c.isalpha() and c.islower()] if self.direct else []
-        if plain:   # ASCII letters, which neither the normaliser nor the pre-tokenizer changes
+        split = list(map(self._core, words))
+        cores = [c for c in dict.fromkeys(itertools.chain.from_iterable(split)) if c and c not in self.place]
+        plain = [c for c in cores if not c.translate(None, self.lowered)] if self.direct else []
+        if plain:   # letters, which neither the normaliser nor the pre-tokenizer changes but for their bytes
             model, known = self.tokenizer.model.tokenize, set(plain)
-            pieces = [[t.id for t in model(c.decode())] for c in plain]
-            self._add(plain, np.array([i for p in pieces for i in p], np.int32), np.array([len(p) for p in pieces], np.int32))
+            pieces = [[t.id for t in model(c.decode() if c.isascii() else c.decode("latin-1").translate(self.bytes))] for c in plain]
+            self._add(plain, np.array([i for p in pieces for i in p], np.int32), np.fromiter(map(len, pieces), np.int32, len(pieces)))
             cores = [c for c in cores if c not in known]
         if cores:
             self._encode(cores)
         rest = [(w, c, t) for w, (c, t) in zip(words, split) if w != c]
         if not rest:
             return
-        at = np.array([self.place[c] for _, c, _ in rest])
-        tail = np.array([t for _, _, t in rest], np.int32)
-        size = self.size[at]
+        core = np.array([self.place[c] for _, c, _ in rest])
+        tail = np.array([self.place[t] if t else -1 for _, _, t in rest])
+        at = np.stack([core, tail], 1).ravel()
+        size = np.where(at >= 0, self.size[at], 0)
         ends = np.cumsum(size, dtype=np.int64)
         ids = self.ids[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]))]
-        self._add([w for w, _, _ in rest], np.insert(ids, ends[tail >= 0], tail[tail >= 0]), size + (tail >= 0))
+        self._add([w for w, _, _ in rest], ids, size.reshape(-1, 2).sum(1))
 
     def _add(self, words: list[bytes], ids, size) -> None:
         import numpy as np
@@ -119,12 +160,20 @@ class WordCodec:
         self.ids = self.ids[np.repeat(self.start[kept] - (ends - size), size) + np.arange(int(size.sum()), dtype=np.int32)]
         self.start, self.size, self.used = ends - size, size, self.used[kept]
 
+    def _lowered(self, text: bytes) -> bytes:
+        """The text with A-Z in lower case, where that changes no id: composition, which may depend on the case
+        of a letter, leaves it as it is, and it holds no added token in any case."""
+        low = text.lower()
+        if not self.lower or text.translate(None, COMPOSED) or any(a in low for a in self.added):
+            return text
+        return low
+
     def encode(self, texts: list[bytes]):
         """(ids of all texts one after the other, number of each)."""
         import itertools
 
         import numpy as np
-        words = [t.split() for t in texts]
+        words = [self._lowered(t).split() for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         flat = list(itertools.chain.from_iterable(words))
         if len(self.place) > REMEMBERED:

@@ -60,6 +60,20 @@ def test_words_with_capitals_and_marks_have_the_ids_of_the_library():
     assert sizes.sum() == len(ids) and sizes[1] == 0 and b"word" in codec.place and codec.tails
 
 
+def test_words_of_letters_reach_the_model_alone(monkeypatch):
+    tokenizer, codec = Tokenizer.from_str(sequences.default_tokenizer()), sequences.WordCodec(sequences.default_tokenizer())
+    encoded, encode = [], codec._encode
+    monkeypatch.setattr(codec, "_encode", lambda words: (encoded.extend(words), encode(words)))
+    texts = ["blesh### THBLEND,!! \u00f6tzen, en\u00dfachge. \u00c4RGER", "\u00c0\u00de\u00df\u00ff!? blesh"]
+    odd = ["J\u030cx blesh### a\u00d7b a\u00f7. caf\u00e9's it's, it'S! (x) x\u0301, \u00e9\u0301. \u0130X <|endoftext|>, <|EndOfText|>, a<|endoftext|>b",
+           "\u00aa\u00ba. a\u00a0b \u0085c a\u200bb \u03a3\u03a3. o\u0308. A\u030a, a,,,,b ,,,, x,,,, y-- z... it'd;;"]
+    for part, known in ((texts, True), (odd, False)):
+        ids, sizes = codec.encode([t.encode() for t in part])
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+        assert not known or sorted(encoded) == [b"!?", b"###", b",", b",!!", b"."]
+
+
 def test_tokenizers_that_keep_white_space_are_refused():
     import public_tokenizers
     import pytest
