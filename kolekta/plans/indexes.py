@@ -68,6 +68,8 @@ def write_clustered(df: DataFrame, table_dir: str, partition_by: str = "report_m
 GRAM = 3
 #: Rows of a segment of the postings; a row's place in it is a short.
 SEGMENT = 1 << 14
+#: Shuffled bytes of rows that a task makes postings of; their trigrams are far more than they are.
+TASK_BYTES = 8 << 20
 
 
 def _segment(columns: list):
@@ -164,7 +166,13 @@ def build_search(inv: DataFrame, path: str, months: list | None = None) -> None:
     rows = inv if months is None else inv.where(F.col("report_month").isin(months))
     rows = postings(rows).sortWithinPartitions("report_month", "segment", "gram")
     pinned = read_pointer(spark, path)
-    made = stage(rows, path, pinned, "report_month", dealt=True, row_group=ROW_GROUP)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(TASK_BYTES))
+    try:
+        made = stage(rows, path, pinned, "report_month", dealt=True, row_group=ROW_GROUP)
+    finally:
+        spark.conf.set(size, before)
     publish(spark, path, pinned, made, "report_month", months if pinned else None, "index")
 
 
