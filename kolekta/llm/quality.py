@@ -6,6 +6,9 @@ for any capital, digit or symbol class, four for the bytes of other letters,
 and one for a word that repeats the word before it (so repetition has a
 price). With it a model of order n has at most 40**n n-grams, whatever the
 input, which bounds the count tables.
+
+The query prices every text by words too (``wordmodel``), whose n-grams have
+no such bound: there the documents meet the counts in sharded joins.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from kolekta.llm.common import byte_texts, fresh, read_table, stored, with_text_columns
+from kolekta.llm import wordmodel
+from kolekta.llm.common import byte_texts, fold, fresh, read_table, stored, with_text_columns
 
 UNITS = 40
 ORDER = 4
@@ -25,6 +29,10 @@ _REPEAT = b"\x01"
 QUANTILE, MARGIN = 0.999, 0.05
 #: Units at the mean price added to each document, so that short texts vary less.
 PRIOR_UNITS = 50
+#: The same for the model of words.
+PRIOR_WORDS = 10
+#: The words' model leaves out the trusted rows whose crc32(doc_id as text) is divisible by this; they give its thresholds.
+WORD_FOLDS = 5
 #: Least probability of a unit; a training text so small that nothing is discounted leaves none to unseen ones.
 LEAST_P = 1e-12
 #: Trusted documents that a language needs for its own threshold.
@@ -219,18 +227,27 @@ def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MA
             .groupBy("lang").agg((F.min("bin") * step + margin).alias("threshold")))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, own: str | None = None) -> tuple[DataFrame, str, str]:
-    """docs with score and threshold columns (and ``own``, see ``with_score``), and the names of the two."""
-    trusted = trusted_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), labels)
-    model = train(trusted)
-    limits = stored(thresholds(with_score(trusted, model).select("lang", "log_perplexity")), "thresholds")
-    name = fresh(docs.columns, "log_perplexity")
-    limit, key = fresh(docs.columns, "threshold"), fresh(docs.columns, "of_lang")
+def _trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return trusted_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), labels)
+
+
+def _with_limit(scored: DataFrame, scores: DataFrame, limit: str) -> DataFrame:
+    """``scored`` with ``limit``, the threshold of its language or that of all, from ``scores`` of trusted rows."""
+    limits = stored(thresholds(scores), "thresholds")
+    key = fresh(scored.columns, "of_lang")
     of_lang = limits.where("lang is not null").select(F.col("lang").alias(key), F.col("threshold").alias(limit))
     found = limits.where("lang is null").first()  # one number
-    scored = with_score(docs, model, name, own).join(of_lang, F.col("lang") == F.col(key), "left")
     fallback = F.lit(found["threshold"] if found else float("inf"))
-    return scored.drop(key).withColumn(limit, F.coalesce(F.col(limit), fallback)), name, limit
+    return (scored.join(of_lang, F.col("lang") == F.col(key), "left").drop(key)
+            .withColumn(limit, F.coalesce(F.col(limit), fallback)))
+
+
+def _judged(docs: DataFrame, trusted: DataFrame, own: str | None = None) -> tuple[DataFrame, str, str]:
+    """docs with score and threshold columns (and ``own``, see ``with_score``), and the names of the two."""
+    model = train(trusted)
+    name, limit = fresh(docs.columns, "log_perplexity"), fresh(docs.columns, "threshold")
+    scores = with_score(trusted, model).select("lang", "log_perplexity")
+    return _with_limit(with_score(docs, model, name, own), scores, limit), name, limit
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -241,18 +258,49 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     mean. Languages without enough trusted documents, null too, take the
     threshold of all; without trusted documents everything is kept.
     """
-    rows, score, limit = _judged(docs.select("doc_id", "text", "lang"), labels, "own")
+    docs = docs.select("doc_id", "text", "lang")
+    return _decided(docs, _trusted(docs, labels))
+
+
+def _decided(docs: DataFrame, trusted: DataFrame, *more: str) -> DataFrame:
+    rows, score, limit = _judged(docs, trusted, "own")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.pow(F.lit(10.0), "own").alias("perplexity"),
                        F.pow(F.lit(10.0), score).alias("judged"), F.pow(F.lit(10.0), limit).alias("threshold"),
-                       (F.col(score) <= F.col(limit)).alias("keep"))
+                       (F.col(score) <= F.col(limit)).alias("keep"), *more)
+
+
+def judge_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``judge``, and the same by words: word_perplexity, word_judged, word_threshold and word_keep.
+
+    Words price the texts that taught them far below others, so a fifth of the trusted rows (see WORD_FOLDS) is not
+    counted and gives mean and thresholds; without any such row those counted do. keep is that of the characters alone."""
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    docs = docs.select("doc_id", "text", "lang", text_hash)
+    trusted = _trusted(docs, labels)
+    held = fold(F.col("doc_id"), WORD_FOLDS) == 0
+    prices = wordmodel.log_prices(docs, trusted.where(~held))
+    known = stored(trusted.select("lang", text_hash, held.alias("held")).join(prices, "text_hash"), "word_trusted")
+    if not known.where("held").isEmpty():
+        known = known.where("held")
+    price, n = known.agg(F.sum("price"), F.sum("n_units")).first()
+    mean = price / n if n else 0.0
+    score = ((F.col("price") + PRIOR_WORDS * mean) / (F.col("n_units") + PRIOR_WORDS)).alias("log_perplexity")
+    own = F.when(F.col("n_units") > 0, F.col("price") / F.col("n_units")).otherwise(mean)
+    rows = _decided(docs, trusted, "text_hash").join(prices.select("text_hash", score, own.alias("own")), "text_hash", "left")
+    rows = _with_limit(rows, known.select("lang", score), "limit")
+    return rows.select(*(c for c in rows.columns if c not in ("text_hash", "log_perplexity", "own", "limit")),
+                       F.pow(F.lit(10.0), "own").alias("word_perplexity"),
+                       F.pow(F.lit(10.0), "log_perplexity").alias("word_judged"),
+                       F.pow(F.lit(10.0), "limit").alias("word_threshold"),
+                       (F.col("log_perplexity") <= F.col("limit")).alias("word_keep"))
 
 
 def keep_fluent(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` within their language's threshold, with their columns."""
-    rows, score, limit = _judged(docs, labels)
+    rows, score, limit = _judged(docs, _trusted(docs, labels))
     return rows.where(F.col(score) <= F.col(limit)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op6: perplexity, threshold and decision of every document."""
-    return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    """op6: perplexity, threshold and decision of every document, by characters and by words."""
+    return judge_words(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
