@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from kolekta.session import scratch_path
 
-#: Bytes of text that a task works on at once.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that a task works on at once, and those whose columns it makes at once.
+BLOCK_BYTES, COLUMN_BYTES = 4 << 20, 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,21 @@ def blocks(texts: list[bytes], most: int = BLOCK_BYTES):
         yield first, len(texts)
 
 
+def text_blocks(column, most: int = COLUMN_BYTES):
+    """(first, last, texts) of ranges of an Arrow string column of about ``most`` bytes, one text at
+    least; only the texts of one range are held apart from the column."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    column = column.cast(pa.binary())
+    first, size = 0, 0
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most or i + 1 == len(sizes):
+            yield first, i + 1, byte_texts(column.slice(first, i + 1 - first))
+            first, size = i + 1, 0
+
+
 def lower_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes with A-Z in lower case
     (bytes methods know ASCII only, so other letters stay as they are)."""
@@ -79,14 +94,28 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     _kept[:] = [x for x in _kept if x[1] != path]
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """Within it, ``key`` of the session's configuration is ``value``."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 class Stored:
     """A DataFrame written once to the shared folder and read back, so that
     what follows neither recomputes it nor depends on an executor's disk."""
 
-    def __init__(self, df: DataFrame, name: str, row_group: int | None = None):
-        """``row_group``: bytes that a reader takes at once, for tables of large values."""
+    def __init__(self, df: DataFrame, name: str, row_group: int | None = None, clean: bool = False, compression: str = "snappy"):
+        """``row_group``: bytes that a reader takes at once, for tables of large values. ``clean``: the shuffle
+        files of the write go when it ends, not when the driver happens to collect its garbage."""
         self.spark, self.path = df.sparkSession, shared_folder(df.sparkSession, name)
-        (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(self.path)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true") if clean else contextlib.nullcontext():
+            write = df.write.option("compression", compression)
+            (write.option("parquet.block.size", row_group) if row_group else write).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -109,7 +138,8 @@ def with_text_columns(docs: DataFrame, added: dict[str, str], compute, text: str
     """``docs`` with more columns (name: Spark type) that tasks compute from its text.
 
     ``compute(texts)`` gets UTF-8 texts of a block (null: empty) and returns an
-    array or list for each added column. All other columns pass through.
+    array or list for each added column. All other columns pass through. The
+    workers outlive the task, so they give back what it took.
     """
     from pyspark.sql.types import StructType
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in added.items())).fields])
@@ -118,10 +148,10 @@ def with_text_columns(docs: DataFrame, added: dict[str, str], compute, text: str
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            texts = byte_texts(b.column(at))
-            for i, k in blocks(texts):
+            for i, k, texts in text_blocks(b.column(at)):
                 yield pa.RecordBatch.from_arrays(
-                    [*b.slice(i, k - i).columns, *(pa.array(x) for x in compute(texts[i:k]))], names)
+                    [*b.slice(i, k - i).columns, *(pa.array(x) for x in compute(texts))], names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -137,17 +167,10 @@ def worker_state(key: str, make):
     return getattr(held, key)
 
 
-@contextlib.contextmanager
 def arrow_bytes(spark: SparkSession, most: int):
     """Within it, jobs pass ``most`` bytes at a time to Python (a row at least): for rows of some
     megabytes, several of which a worker would else hold at once."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def give_back() -> None:

@@ -132,12 +132,16 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, bits: int
 
 def scorer(weights: Weights):
     """texts -> scores from 0 to 1: each distinct feature of a document counts once."""
+    held: list = []
+
     def score(texts):
         import numpy as np
         if weights.bias is None:
             return np.zeros(len(texts))
-        w = np.zeros(1 << weights.bits)
-        w[weights.index] = weights.value
+        if not held:
+            held.append(np.zeros(1 << weights.bits))
+            held[0][weights.index] = weights.value
+        w = held[0]
         doc, index = features(texts, weights.bits)
         hit = w[index] != 0
         both = np.unique(doc[hit] << weights.bits | index[hit])
@@ -150,7 +154,14 @@ def with_score(docs: DataFrame, weights: Weights, name: str = "score") -> DataFr
     """``docs`` and the toxicity score of each text. The weights, at most
     2**bits pairs, go to the tasks as a broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(astuple(weights))
-    return with_text_columns(docs, {name: "double"}, lambda texts: [scorer(Weights(*held.value))(texts)])
+    made: list = []  # of the task
+
+    def compute(texts):
+        if not made:
+            made.append(scorer(Weights(*held.value)))
+        return [made[0](texts)]
+
+    return with_text_columns(docs, {name: "double"}, compute)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
