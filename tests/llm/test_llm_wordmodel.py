@@ -128,3 +128,29 @@ def test_odd_rows_by_words(spark):
     assert {1, 2, 3, 4} <= {r.doc_id for r in rows if r.word_keep}
     assert all(r.word_keep for r in quality.judge_words(docs, labels.limit(0)).collect())
     assert quality.judge_words(docs.limit(0), labels).count() == 0
+
+
+def test_rounds_equal_the_textbook(spark):
+    """Whatever the number of rounds the prices are the same; a pair is asked for in the rounds of both its words."""
+    trained = ["the cat sat on the mat", "The cat, the cat ate the rat the rat", "a dog a dog a dog", "", None, "é É the cat"]
+    texts = [*trained, "the cat", "unheard words only", "a dog sat on the mat the cat", " \t\x0b ", "the " * 3000]
+    price = plain_price(trained)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("*", "xxhash64(coalesce(text, '')) as text_hash")
+    rows = wordmodel.log_prices(docs, spark.createDataFrame([(t,) for t in trained], "text string"), rounds=4)
+    got = {r.text: (r.price, r.n_units) for r in docs.distinct().join(rows, "text_hash").collect()}
+    assert set(got) == set(texts)
+    assert all(got[t][1] == price(t)[1] and math.isclose(got[t][0], price(t)[0], rel_tol=1e-9, abs_tol=1e-9) for t in texts)
+    assert [wordmodel.rounds_of(n) for n in (0, 8 << 20, 9 << 20, 1 << 40)] == [1, 1, 2, wordmodel.ROUNDS]
+
+
+def test_a_round_asks_for_its_part(spark):
+    """All rounds together ask for each word and trigram once and for a pair once or twice; stores leave the session's settings as they were."""
+    from kolekta.llm.common import Stored
+    s, at = wordmodel.sequences([b"a b c d e f g h", b"", b"b a"], wordmodel.word_hashes())
+    whole = Counter(wordmodel.asked_keys(s, at)[0].tolist())
+    parts = sum((Counter(wordmodel.asked_keys(s, at, r, 4)[0].tolist()) for r in range(4)), Counter())
+    assert set(parts) == set(whole) and all(whole[k] <= n <= 2 * whole[k] for k, n in parts.items())
+    assert all(len(wordmodel.asked_keys(s, at, r, 4)[0]) < sum(whole.values()) for r in range(4))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    assert Stored(spark.range(100).groupBy("id").count(), "clean", clean=True).df.count() == 100 and spark.conf.get(key) == before
