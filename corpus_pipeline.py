@@ -17,7 +17,7 @@ from kolekta.llm.common import read_table, stored
 
 
 def fluent(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the perplexity threshold of their language.
+    """Documents within the perplexity thresholds of their language, by characters and by words.
 
     An empty text is judged as the mean of trusted text; a null or rare language
     takes the threshold of all. Repeated rows share their fate; a score equal to the threshold stays."""

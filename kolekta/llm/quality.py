@@ -7,8 +7,9 @@ and one for a word that repeats the word before it (so repetition has a
 price). With it a model of order n has at most 40**n n-grams, whatever the
 input, which bounds the count tables.
 
-The query prices every text by words too (``wordmodel``), whose n-grams have
-no such bound: there the documents meet the counts in sharded joins.
+The query and the pipeline price every text by words too (``wordmodel``), whose n-grams
+have no such bound: there the documents meet the counts in sharded joins. In the
+pipeline a document stays if both models keep it.
 """
 
 from __future__ import annotations
@@ -101,8 +102,11 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _discounts(counts: DataFrame) -> list[float]:
-    """Discounts of counts 1, 2 and 3 or more, from the counts of counts."""
-    n = counts.agg(*[F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4)]).first()
+    return discounts(counts.agg(*[F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4)]).first())
+
+
+def discounts(n) -> list[float]:
+    """Discounts of counts 1, 2 and 3 or more, from the counts of counts 1 to 4."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     return [min(max(0.0, k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.0), float(k)) for k in (1, 2, 3)]
 
@@ -251,43 +255,53 @@ def _judged(docs: DataFrame, trusted: DataFrame, own: str | None = None) -> tupl
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, perplexity, judged, threshold, keep) of every row of ``docs(doc_id, text, lang)``.
+    """``judge_words``, keep being the decision of the pipeline: a document stays if the characters and the words keep it."""
+    return judge_words(docs, labels).withColumn("keep", F.col("keep") & F.col("word_keep"))
+
+
+def _decided(docs: DataFrame, trusted: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, lang, perplexity, judged, threshold, keep, ``more``) of every row by characters.
 
     perplexity is the model's own; judged, which the threshold is compared
     with, is drawn towards the mean of trusted text for short texts. A text of null or no words has that
     mean. Languages without enough trusted documents, null too, take the
     threshold of all; without trusted documents everything is kept.
     """
-    docs = docs.select("doc_id", "text", "lang")
-    return _decided(docs, _trusted(docs, labels))
-
-
-def _decided(docs: DataFrame, trusted: DataFrame, *more: str) -> DataFrame:
     rows, score, limit = _judged(docs, trusted, "own")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.pow(F.lit(10.0), "own").alias("perplexity"),
                        F.pow(F.lit(10.0), score).alias("judged"), F.pow(F.lit(10.0), limit).alias("threshold"),
                        (F.col(score) <= F.col(limit)).alias("keep"), *more)
 
 
-def judge_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``judge``, and the same by words: word_perplexity, word_judged, word_threshold and word_keep.
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _word_scores(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((text_hash, log_perplexity, own) of each text of ``docs(text_hash, text)`` by words, (lang, log_perplexity) that give thresholds).
 
     Words price the texts that taught them far below others, so a fifth of the trusted rows (see WORD_FOLDS) is not
-    counted and gives mean and thresholds; without any such row those counted do. keep is that of the characters alone."""
-    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
-    docs = docs.select("doc_id", "text", "lang", text_hash)
-    trusted = _trusted(docs, labels)
+    counted and gives mean and thresholds; without any such row those counted do."""
     held = fold(F.col("doc_id"), WORD_FOLDS) == 0
     prices = wordmodel.log_prices(docs, trusted.where(~held))
-    known = stored(trusted.select("lang", text_hash, held.alias("held")).join(prices, "text_hash"), "word_trusted")
+    known = trusted.select("lang", _text_hash().alias("text_hash"), held.alias("held"))
+    known = stored(known.join(prices, "text_hash"), "word_trusted")
     if not known.where("held").isEmpty():
         known = known.where("held")
     price, n = known.agg(F.sum("price"), F.sum("n_units")).first()
     mean = price / n if n else 0.0
     score = ((F.col("price") + PRIOR_WORDS * mean) / (F.col("n_units") + PRIOR_WORDS)).alias("log_perplexity")
     own = F.when(F.col("n_units") > 0, F.col("price") / F.col("n_units")).otherwise(mean)
-    rows = _decided(docs, trusted, "text_hash").join(prices.select("text_hash", score, own.alias("own")), "text_hash", "left")
-    rows = _with_limit(rows, known.select("lang", score), "limit")
+    return prices.select("text_hash", score, own.alias("own")), known.select("lang", score)
+
+
+def judge_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The decision by characters (see ``_decided``) and the same by words: word_perplexity, word_judged, word_threshold
+    and word_keep. keep is that of the characters alone."""
+    docs = docs.select("doc_id", "text", "lang", _text_hash().alias("text_hash"))
+    trusted = _trusted(docs, labels)
+    scores, known = _word_scores(docs, trusted)
+    rows = _with_limit(_decided(docs, trusted, "text_hash").join(scores, "text_hash", "left"), known, "limit")
     return rows.select(*(c for c in rows.columns if c not in ("text_hash", "log_perplexity", "own", "limit")),
                        F.pow(F.lit(10.0), "own").alias("word_perplexity"),
                        F.pow(F.lit(10.0), "log_perplexity").alias("word_judged"),
@@ -296,9 +310,18 @@ def judge_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_fluent(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` within their language's threshold, with their columns."""
-    rows, score, limit = _judged(docs, _trusted(docs, labels))
-    return rows.where(F.col(score) <= F.col(limit)).select(*docs.columns)
+    """The rows of ``docs`` that ``judge`` keeps, with their columns."""
+    trusted = _trusted(docs, labels)
+    by_text = docs.select(_text_hash().alias("text_hash"), "text")
+    scores, known = _word_scores(by_text, trusted)
+    rows, score, limit = _judged(docs, trusted)
+    rows = rows.where(F.col(score) <= F.col(limit)).select(*docs.columns)
+    # texts of those kept by characters meet their scores by words
+    key, by_words = fresh(docs.columns, "text_hash"), fresh(docs.columns, "log_perplexity")
+    limit = fresh([*docs.columns, by_words], "threshold")
+    scores = scores.select(F.col("text_hash").alias(key), F.col("log_perplexity").alias(by_words))
+    rows = _with_limit(rows.withColumn(key, _text_hash()).join(scores, key), known, limit)
+    return rows.where(F.col(by_words) <= F.col(limit)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -121,3 +121,18 @@ def test_query_equals_brute_force(spark):
         assert math.isclose(math.log10(r.judged), judged[r.doc_id], rel_tol=1e-4)
         assert abs(math.log10(r.threshold) - want) < 0.0015
         assert r.keep == (judged[r.doc_id] <= want) or abs(judged[r.doc_id] - want) < 0.0015
+
+
+def test_pipeline_goes_by_words_too(spark):
+    """Words in an order never seen, which characters cannot tell (all words begin and end alike), do not stay."""
+    rng = np.random.default_rng(3)
+    words = ["a" + "".join(rng.choice(list("bcdefghij"), 5)) + "aa" for _ in range(50)]
+    rows = [(i, "en", " ".join(words[(i * 7 + k) % 50] for k in range(60))) for i in range(100)]
+    rows.append((1000, "en", " ".join(words[-k % 50] for k in range(60))))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    by = {r.doc_id: r for r in quality.judge_words(docs, labels).collect()}
+    assert by[1000].keep and not by[1000].word_keep and all(by[i].keep and by[i].word_keep for i in range(100))
+    kept = quality.keep_fluent(docs, labels)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(100))
+    assert {r.doc_id for r in quality.judge(docs, labels).where("keep").collect()} == set(range(100))
